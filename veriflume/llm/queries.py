@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import bin_slack, decontaminate, line_dedup, radix_dedup, url_filter
+from . import bin_slack, decontaminate, group_join, itq_dedup, language_kernel, line_dedup, radix_dedup, style_tree, toxicity, url_filter
 from .common import read
-from .oracles import ORACLES
+from .oracles import ORACLES  # noqa: F401
 
 
 def tokenizer_path() -> str:
@@ -16,18 +15,38 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.extract(read(spark, sf_dir, "pages"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(read(spark, sf_dir, "documents"), detail=True)
 
 
+def op5_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq_dedup.dedup(read(spark, sf_dir, "embeddings"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_dedup.removed(read(spark, sf_dir, "documents")).drop("kept")
 
 
+def op7_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_kernel.identify(read(spark, sf_dir, "documents"))
+
+
+def op8_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_join.join(read(spark, sf_dir, "documents"))
+
+
 def op9_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_slack.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -36,4 +55,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op4_line_dedup, op6_suffix_dedup, op9_bin_slack, op10_decontaminate)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_style_tree, op2_url_filter, op3_toxicity, op4_line_dedup, op5_itq_dedup, op6_suffix_dedup, op7_language_kernel, op8_group_join, op9_bin_slack, op10_decontaminate)
+}
