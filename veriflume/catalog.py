@@ -1,4 +1,4 @@
-"""Registered queries of the library and their DuckDB statements."""
+"""All registered queries of the library."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import curation, joins, statistics, structures  # noqa: F401
+from .plans.registry import ORACLES, QUERIES  # noqa: F401
