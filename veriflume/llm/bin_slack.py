@@ -8,7 +8,9 @@ its sequence and offset; executors look that up.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,13 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Rolling, cut
 
 CAPACITY = 2048
 #: pieces of one length are ranked in so many independent parts
 SALTS = 64
-#: distinct chunks of text whose ids a worker remembers
-CACHE = 1_000_000
+#: distinct chunks of text whose ids a worker remembers; bytes of text split at once
+CACHE, STRIDE = 900_000, 3_000_000
 
 
 def fullest(lengths: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
@@ -74,11 +76,19 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return slots
 
 
+#: a Latin word and ASCII punctuation after it (no apostrophe, which may start a contraction)
+LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
 class Encoder:
-    """Token ids as little-endian bytes, one chunk between ASCII white space at a time, remembered.
+    """Token ids of texts, one chunk between ASCII white space at a time.
 
-    Exact because the tokenizer's splitting never joins across white space, and because a full stop or comma
-    after a letter is always a token sequence of its own.
+    Exact because the tokenizer's splitting never joins across white space, because punctuation after a word is a token
+    sequence of its own, and because it lower-cases: Latin words are encoded in lower case, many to a call, and told apart
+    by the word-end mark of their last tokens. All other chunks are encoded one by one as they are. Texts are taken many at
+    once: chunks are found, told apart (by 64-bit hashes within STRIDE bytes) and expanded to ids in numpy; only distinct
+    chunks are looked up, by their bytes.
     """
 
     def __init__(self, path: str):
@@ -88,26 +98,111 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.marks = dict(zip(".,", self._fresh([".", ","])))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.count, self.filled = 0, 0
+        self.start, self.size, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, "<u4")
+
+    def _each(self, chunks: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(chunks), 5000):
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks[at : at + 5000], add_special_tokens=False)]
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Lower-case Latin words."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 5000):
+            some = words[at : at + 5000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some):
+                out += self._each(some)
+                continue
+            data, stop = ids.tobytes(), (cuts * 4).tolist()
+            out += [data[i:j] for i, j in zip([0, *stop], stop)]
+        return out
 
     def _fresh(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        known, split = self.known, [t.split() if t else [] for t in texts]
-        if len(known) > CACHE:
-            known.clear()
-        missing = {w for ws in split for w in ws} - known.keys()
-        if missing:
-            ends = {w: w[:-1] for w in missing if w[-1] in ".," and w[-2:-1].isalpha()}
-            fresh = list(({*missing} - ends.keys() | {*ends.values()}) - known.keys())
-            known.update(zip(fresh, self._fresh(fresh)))
-            marks = self.marks
-            for w, stem in ends.items():
-                known[w] = known[stem] + marks[w[-1]]
-        get = known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        words, tails = self.words, self.tails
+        if len(words) > CACHE:
+            words.clear()
+        if len(tails) > 50_000:
+            tails.clear()
+        parts = [(m[1].lower(), m[2]) if (m := LATIN(w)) else None for w in chunks]
+        low = list({p[0] for p in parts if p} - words.keys())
+        words.update(zip(low, self._words(low)))
+        marks = list({p[1] for p in parts if p} - tails.keys())
+        tails.update(zip(marks, self._each(marks)))
+        others = iter(self._each([w for w, p in zip(chunks, parts) if not p]))
+        return [words[p[0]] + tails[p[1]] if p else next(others) for p in parts]
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        found = self._fresh([c.decode() for c in chunks])
+        sizes = np.array([len(x) // 4 for x in found], np.int32)
+        total, n = int(sizes.sum()), len(found)
+        for name, need in (("start", self.count + n), ("size", self.count + n), ("ids", self.filled + total)):
+            have = getattr(self, name)
+            if need > len(have):
+                setattr(self, name, np.concatenate([have, np.zeros(max(need - len(have), len(have)), have.dtype)]))
+        self.start[self.count : self.count + n] = self.filled + np.r_[0, np.cumsum(sizes)[:-1]]
+        self.size[self.count : self.count + n] = sizes
+        self.ids[self.filled : self.filled + total] = np.frombuffer(b"".join(found), "<u4")
+        self.known.update(zip(chunks, range(self.count, self.count + n)))
+        self.count, self.filled = self.count + n, self.filled + total
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of every text in turn, as little-endian bytes; texts are taken together up to about STRIDE bytes."""
+        held, size = [], 0
+        for t in texts:
+            held.append(t.encode() if t else b"")
+            size += len(held[-1])
+            if size > STRIDE:
+                yield from self._encode(held)
+                held, size = [], 0
+        yield from self._encode(held)
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.known) > CACHE:
+            self._forget()
+        data = b"\n".join(texts)
+        buf = np.frombuffer(data, np.uint8)
+        gap = np.r_[True, SPACE[buf], True]
+        start, stop = np.flatnonzero(gap[:-2] & ~gap[1:-1]), np.flatnonzero(~gap[1:-1] & gap[2:]) + 1
+        if not len(start):
+            return [b""] * len(texts)
+        _, first, chunk = np.unique(Rolling(buf).of(start, stop), return_index=True, return_inverse=True)
+        keys = [data[i:j] for i, j in zip(start[first].tolist(), stop[first].tolist())]
+        row = list(map(self.known.get, keys))
+        new = [k for k, r in zip(keys, row) if r is None]
+        if new:
+            self._learn(new)
+            row = [self.known[k] if r is None else r for k, r in zip(keys, row)]
+        at = np.array(row)[chunk]
+        size, begin = self.size[at].astype(np.int64), self.start[at]
+        past = np.cumsum(size)
+        ids = self.ids[np.repeat(begin - past + size, size) + np.arange(past[-1])].tobytes()
+        # where each text's chunks end
+        edges = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]), "left")
+        bytes_at = (np.r_[0, past][np.r_[0, edges]] * 4).tolist()
+        return [ids[i:j] for i, j in zip(bytes_at[:-1], bytes_at[1:])]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder, kept from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -116,17 +211,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     tail = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer)
+        encoder, wide = encoder_of(tokenizer), capacity * 4
         for pdf in batches:
-            rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = encoder.encode([text])[0] + tail if text and len(text) > 2_000_000 else None
-                rows.append([doc, ids])
-            short = [i for i, (_, ids) in enumerate(rows) if ids is None]
-            for i, ids in zip(short, encoder.encode([pdf["text"].iat[i] for i in short])):
-                rows[i][1] = ids + tail
-            out, wide = [], capacity * 4
-            for doc, ids in rows:
+            out = []
+            for doc, ids in zip(pdf["doc_id"], encoder.encode(pdf["text"])):
+                ids += tail
                 for k, at in enumerate(range(0, len(ids), wide)):
                     part = ids[at : at + wide]
                     out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
