@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: labelled rows of the fit (chosen by the hash of doc_id), lexicon voters, fewest toxic rows behind one
 TRAINING, VOTERS, SUPPORT = 12_000, 400, 4
 #: shortest and longest word beginning used as a voter
@@ -119,7 +121,7 @@ def logistic(x: np.ndarray, target: np.ndarray, rounds: int = 30) -> tuple[np.nd
 
 
 def lexicon_of(train: DataFrame, n_pos: int, n_neg: int, voters: int = VOTERS, support: int = SUPPORT) -> list[str]:
-    """The tokens most associated with toxic rows, by a z score of their document rates. train: (text, toxic)."""
+    """The tokens most associated with toxic rows, by the log-likelihood ratio of their document rates. train: (text, toxic)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -130,21 +132,33 @@ def lexicon_of(train: DataFrame, n_pos: int, n_neg: int, voters: int = VOTERS, s
             yield pd.DataFrame({"token": keys, "pos": [pos[k] for k in keys], "neg": [neg[k] for k in keys]})
 
     rates = train.mapInPandas(count, "token string, pos long, neg long").groupBy("token").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    a, b = (F.col("pos") + 0.5) / (n_pos + 1), (F.col("neg") + 0.5) / (n_neg + 1)
-    z = F.log(a / b) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    best = rates.where(F.col("pos") >= support).select("token", "pos", "neg", z.alias("z")).where("z > 2").orderBy(F.desc("z"), "token").limit(voters)
-    return [r["token"] for r in best.collect()]
+    share = n_pos / (n_pos + n_neg)
+    term = lambda seen, part: F.when(seen > 0, seen * F.log(seen / ((F.col("pos") + F.col("neg")) * part))).otherwise(0.0)
+    gain = term(F.col("pos"), share) + term(F.col("neg"), 1 - share)
+    likely = F.col("pos") > 2 * share * (F.col("pos") + F.col("neg"))
+    best = rates.where((F.col("pos") >= support) & likely).select("token", "pos", "neg", gain.alias("gain")).where("gain > 6").orderBy(F.desc("gain"), "token").limit(8 * voters).collect()
+    # a beginning that says as much already speaks for the longer ones it covers
+    kept: dict[str, float] = {}
+    for r in best:
+        stem = r["token"].rstrip("*")
+        above = [kept[stem[:n] + "*"] for n in STEMS if n <= len(stem) and stem[:n] + "*" in kept]
+        if not any(g >= r["gain"] for g in above):
+            kept[r["token"]] = r["gain"]
+        if len(kept) == voters:
+            break
+    return list(kept)
 
 
-def fit(labelled: DataFrame):
-    """A model (lexicon, weights, intercept) of labelled rows (doc_id, text, toxic 0/1); None if a class is missing."""
-    n = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def fit(docs: DataFrame, gold: DataFrame):
+    """A model (lexicon, weights, intercept) of documents (doc_id, text) and their labels (doc_id, toxic 0/1); None if a class is missing."""
+    n = {r["toxic"]: r["n"] for r in gold.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return None
-    # all toxic rows up to half of the bound, and clean ones for the rest
+    # all toxic rows up to half of the bound, and clean ones for the rest; so few ids are broadcast, and no text is moved
     share = {1: min(1.0, TRAINING / 2 / n[1]), 0: min(1.0, TRAINING / 2 / n[0])}
     rate = F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
+    picked = gold.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
+    sample = cut(docs.join(F.broadcast(picked), "doc_id"))
     lexicon = lexicon_of(sample.select("text", "toxic"), int(n[1] * share[1]), int(n[0] * share[0]))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,7 +166,7 @@ def fit(labelled: DataFrame):
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "row": [voters.row(t).astype(np.float16).tobytes() for t in pdf["text"]]})
 
-    kind = labelled.schema["doc_id"].dataType.simpleString()
+    kind = sample.schema["doc_id"].dataType.simpleString()
     got = sorted(((r["doc_id"], r["toxic"], bytes(r["row"])) for r in sample.mapInPandas(features, f"doc_id {kind}, toxic int, row binary").collect()), key=lambda r: (r[0], r[1]))
     x = np.frombuffer(b"".join(r for *_, r in got), np.float16).reshape(len(got), -1).astype(np.float32)
     gold = np.array([t for _, t, _ in got], np.float64)
@@ -196,12 +210,12 @@ def held_out() -> F.Column:
 def train(docs: DataFrame, labels: DataFrame):
     """The model learned from the labels of documents that are not held out.
 
-    Null labels are ignored; several labels of a document count as toxic when at least half are. The join moves only
-    labelled rows' texts where the labels are few enough to be broadcast by Spark.
+    Null labels are ignored; several labels of a document count as toxic when at least half are. Texts are null-safe: a null
+    text is a training row without words.
     """
     gold = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     gold = gold.where(~held_out())
-    return fit(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(gold, "doc_id"))
+    return fit(docs.select("doc_id", F.col("text").cast("string").alias("text")), gold)
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
