@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import cut, ship
 
@@ -21,6 +24,20 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_USER, _FORGET = "", []
+
+
+def turn_to(operator: str, forget: Callable[[], None] | None = None) -> None:
+    """Says what a Python worker works on now. One that turns to another operator drops what the last remembered."""
+    global _USER
+    if operator != _USER:
+        while _FORGET:
+            _FORGET.pop()()
+        _USER = operator
+        if forget:
+            _FORGET.append(forget)
+
+
 # ---------------------------------------------------------------- byte hashing
 
 _RNG = np.random.default_rng(20260101)
@@ -69,6 +86,42 @@ class Rolling:
         return mix(raw + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+# ---------------------------------------------------------------- rows in small slices
+
+#: rows converted from Arrow at once
+ROWS = 256
+
+
+def map_small(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], ddl: str) -> DataFrame:
+    """mapInPandas over slices of ROWS rows: Arrow batches of long texts are never converted whole."""
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def slices() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS):
+                    yield batch.slice(at, ROWS).to_pandas(integer_object_nulls=True)
+
+        for pdf in f(slices()):
+            if len(pdf):
+                yield pa.RecordBatch.from_pandas(pdf, schema, preserve_index=False)
+
+    return df.mapInArrow(run, ddl)
+
+
+def keep_rows(df: DataFrame, column: str, start: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows of df, all columns untouched, whose text in column passes the test that start() makes for a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield part.filter(pa.array([passes(t) for t in part.column(column).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 # ---------------------------------------------------------------- grouped streams
 
 def grouped(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:

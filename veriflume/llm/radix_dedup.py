@@ -11,26 +11,26 @@ repeat across documents:
    which are grouped by hash: equal groups are exactly the repeated windows.
 
 Map tasks resolve repeats among their own rows first, so a hot passage sends a row per task, not per document. All
-hashes are 64-bit pairs.
+grouping is by two hashes (80 bits and those of the bucket).
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, cut, shuffle_parts
+from .common import cut, map_small, Rolling, shuffle_parts
 
 WINDOW = 50
-ANCHOR = 16
-#: bytes handled at once in numpy
-SEGMENT = 1 << 20
+ANCHOR = 24
+#: bytes handled at once in numpy; records sent at once; bytes of each hash that are sent (the bucket holds more bits)
+SEGMENT, FLUSH, WIDTH = 1 << 20, 300_000, 5
 RECORD = np.dtype([("anchor", "<u8"), ("run", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("n", "<i4")])
 
 
@@ -68,7 +68,7 @@ def runs_of(buf: np.ndarray, limits: np.ndarray, window: int, k: int):
     return first, count, grams[low[head]], roll.of(first, first + count + window - 1)
 
 
-def _segments(docs: list[tuple[int, bytes]], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _segments(docs: Iterable[tuple[int, bytes]], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(buffer, document limits, doc ids, offsets in the document) of at most about SEGMENT bytes; long texts overlap by window-1."""
     parts: list[tuple[int, int, bytes]] = []
     size = 0
@@ -91,8 +91,8 @@ def _pack(parts):
     return buf, limits, np.array([d for d, _, _ in parts], np.int64), np.array([o for _, o, _ in parts], np.int64)
 
 
-def _encode(texts) -> list[bytes]:
-    return [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+def _encode(texts) -> Iterator[bytes]:
+    return (t.encode("utf-8", "surrogatepass") if t else b"" for t in texts)
 
 
 def _settle(rec: np.ndarray):
@@ -116,19 +116,20 @@ def _widen(data: bytes, size: int) -> np.ndarray:
 
 
 def dump(rec: np.ndarray) -> bytes:
-    """Records in (doc, at) order as one binary: hashes cut to 5 and 6 bytes, places as compressed differences."""
+    """Records in (doc, at) order as one binary: hashes cut to WIDTH bytes each, places as compressed differences."""
     rec = rec[np.lexsort((rec["at"], rec["doc"]))]
     doc = np.diff(rec["doc"], prepend=np.int64(0))
     at = np.diff(rec["at"], prepend=np.int32(0))
     places = zlib.compress(doc.tobytes() + at.tobytes() + rec["n"].tobytes(), 1)
-    return len(rec).to_bytes(4, "little") + _narrow(rec["anchor"], 5) + _narrow(rec["run"], 6) + places
+    return len(rec).to_bytes(4, "little") + _narrow(rec["anchor"], WIDTH) + _narrow(rec["run"], WIDTH) + places
 
 
 def load(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:4], "little")
     rec = np.empty(n, RECORD)
-    rec["anchor"], rec["run"] = _widen(data[4 : 4 + 5 * n], 5), _widen(data[4 + 5 * n : 4 + 11 * n], 6)
-    places = zlib.decompress(data[4 + 11 * n :])
+    first, second = 4 + WIDTH * n, 4 + 2 * WIDTH * n
+    rec["anchor"], rec["run"] = _widen(data[4:first], WIDTH), _widen(data[first:second], WIDTH)
+    places = zlib.decompress(data[second:])
     rec["doc"] = np.cumsum(np.frombuffer(places, np.int64, n))
     rec["at"] = np.cumsum(np.frombuffer(places, np.int32, n, 8 * n))
     rec["n"] = np.frombuffer(places, np.int32, n, 12 * n)
@@ -149,41 +150,31 @@ def packed(docs: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "data": [zlib.compress(t, 1) for t in _encode(pdf["text"])]})
 
-    return docs.mapInPandas(run, "doc_id long, data binary")
+    return map_small(docs, run, "doc_id long, data binary").where("doc_id IS NOT NULL")
 
 
-def spans(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
-    """(doc_id, at, n): window starts at..at+n-1 of doc_id also start in a smaller doc_id. docs: (doc_id long, text)."""
-    buckets = shuffle_parts(docs.sparkSession)
+PARCEL = "bucket int, part int, data binary"
 
-    def mapper(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def flush(held):
-            rec, _, _, later = _settle(np.concatenate(held))
-            gone, rec = rec[later], rec[~later]
-            bucket = (rec["anchor"] >> np.uint64(40)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            rec, bucket = rec[order], bucket[order]
-            edge = np.searchsorted(bucket, np.arange(buckets + 1))
-            some = [(b, b, dump(rec[edge[b] : edge[b + 1]])) for b in range(buckets) if edge[b + 1] > edge[b]]
-            for part in np.array_split(gone, 1 + len(gone) // 100_000) if len(gone) else ():
-                some.append((-1, int(part["run"][0] % np.uint64(buckets)), dump(part)))
-            return pd.DataFrame(some, columns=["bucket", "part", "data"])
 
-        held, size = [], 0
-        for pdf in batches:
-            for buf, limits, ids, offs in _segments(list(zip(pdf["doc_id"], _encode(pdf["text"]))), window):
-                first, count, anchor, run = runs_of(buf, limits, window, k)
-                which = np.searchsorted(limits, first, "right")
-                rec = np.empty(len(first), RECORD)
-                rec["anchor"], rec["run"], rec["doc"], rec["n"] = anchor, run, ids[which], count
-                rec["at"] = first - np.r_[0, limits[:-1]][which] + offs[which]
-                held.append(rec)
-                size += len(rec)
-                if size > 1_000_000:
-                    yield flush(held)
-                    held, size = [], 0
-        if size:
-            yield flush(held)
+def parcels(held: list[np.ndarray], buckets: int) -> pd.DataFrame:
+    """Records of a task for the exchange: one binary a bucket, and (bucket -1) those that repeat the task's own smaller documents."""
+    rec, _, _, later = _settle(np.concatenate(held))
+    gone, rec = rec[later], rec[~later]
+    bucket = (rec["anchor"] >> np.uint64(48)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    rec, edge = rec[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+    some = [(b, b, dump(rec[edge[b] : edge[b + 1]])) for b in range(buckets) if edge[b + 1] > edge[b]]
+    for part in np.array_split(gone, 1 + len(gone) // 100_000) if len(gone) else ():
+        some.append((-1, int(part["run"][0] % np.uint64(buckets)), dump(part)))
+    return pd.DataFrame(some, columns=["bucket", "part", "data"])
+
+
+def settled(found: DataFrame, buckets: int, opens: bool) -> DataFrame:
+    """(doc_id, at, n, open) of parcels, brought together by bucket.
+
+    Not open: runs that a smaller document has. Open, if asked for: the smallest document's runs whose anchor other documents
+    have with other runs; each distinct run is there once (or as often as that document has it).
+    """
 
     def reducer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[np.ndarray]] = {}
@@ -194,27 +185,49 @@ def spans(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
                 else:
                     held.setdefault(b, []).append(load(d))
         for b in list(held):
-            rec, new, group, later = _settle(np.concatenate(held.pop(b)))
+            rec, new, _, later = _settle(np.concatenate(held.pop(b)))
             if not len(rec):
                 continue
-            turn = np.r_[True, rec["anchor"][1:] != rec["anchor"][:-1]]
-            starts, which = np.flatnonzero(turn), np.cumsum(turn) - 1
-            low, high = np.minimum.reduceat(rec["doc"], starts)[which], np.maximum.reduceat(rec["doc"], starts)[which]
-            n_runs = np.add.reduceat(new.astype(np.int64), starts)[which]
-            open_ = ~later & (low != high) & (n_runs > 1)  # the smallest document of each distinct run stands for it
             if later.any():
                 yield merged(rec[later]).assign(open=False)
-            if open_.any():
-                yield merged(rec[open_]).assign(open=True)
+            if opens:
+                turn = np.r_[True, rec["anchor"][1:] != rec["anchor"][:-1]]
+                starts, which = np.flatnonzero(turn), np.cumsum(turn) - 1
+                low, high = np.minimum.reduceat(rec["doc"], starts)[which], np.maximum.reduceat(rec["doc"], starts)[which]
+                open_ = ~later & (low != high) & (np.add.reduceat(new.astype(np.int64), starts)[which] > 1)
+                if open_.any():
+                    yield merged(rec[open_]).assign(open=True)
+
+    return found.repartition(buckets, "part").select("bucket", "data").mapInPandas(reducer, "doc_id long, at int, n int, open boolean")
 
-    found = docs.mapInPandas(mapper, "bucket int, part int, data binary")
-    runs = cut(found.repartition(buckets, "part").select("bucket", "data").mapInPandas(reducer, "doc_id long, at int, n int, open boolean"))
-    sure = runs.where("NOT open").select("doc_id", "at", "n")
+
+def spans(docs: DataFrame, texts: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
+    """(doc_id, at, n): window starts at..at+n-1 of doc_id also start in a smaller doc_id. docs: (doc_id long, text); texts: packed()."""
+    buckets = shuffle_parts(docs.sparkSession)
+
+    def mapper(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for pdf in batches:
+            for buf, limits, ids, offs in _segments(zip(pdf["doc_id"], _encode(pdf["text"])), window):
+                first, count, anchor, run = runs_of(buf, limits, window, k)
+                which = np.searchsorted(limits, first, "right")
+                rec = np.empty(len(first), RECORD)
+                rec["anchor"], rec["run"], rec["doc"], rec["n"] = anchor, run, ids[which], count
+                rec["at"] = first - np.r_[0, limits[:-1]][which] + offs[which]
+                held.append(rec)
+                size += len(rec)
+                if size > FLUSH:
+                    yield parcels(held, buckets)
+                    held, size = [], 0
+        if size:
+            yield parcels(held, buckets)
+
+    runs = cut(settled(map_small(docs, mapper, PARCEL), buckets, True))
     opened = runs.where("open").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for pdf in batches:
-            out = []
             for doc, data, runs_ in zip(pdf["doc_id"], pdf["data"], pdf["runs"]):
                 buf = np.frombuffer(zlib.decompress(data), np.uint8)
                 at = np.unique(np.concatenate([np.arange(r["at"], r["at"] + r["n"]) for r in runs_]))
@@ -223,18 +236,19 @@ def spans(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
                     some = at[at // SEGMENT == part]
                     base = int(some[0])
                     view = buf[base : int(some[-1]) + window]
-                    a, b = (Rolling(view, salt).of(some - base, some - base + window) for salt in (0, 7))
-                    out.append(pd.DataFrame({"doc_id": doc, "at": some.astype(np.int32), "a": a.view(np.int64), "b": b.view(np.int64)}))
-                    if sum(map(len, out)) > 200_000:
-                        yield pd.concat(out)
-                        out = []
-            if out:
-                yield pd.concat(out)
+                    rec = np.empty(len(some), RECORD)
+                    rec["anchor"], rec["run"] = (Rolling(view, salt).of(some - base, some - base + window) for salt in (0, 7))
+                    rec["doc"], rec["at"], rec["n"] = doc, some, 1
+                    held.append(rec)
+                    size += len(rec)
+                    if size > FLUSH:
+                        yield parcels(held, buckets)
+                        held, size = [], 0
+        if size:
+            yield parcels(held, buckets)
 
-    singles = cut(packed(docs).join(opened, "doc_id").mapInPandas(expand, "doc_id long, at int, a long, b long"))
-    first = singles.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a", "b", "first")
-    more = singles.join(first, ["a", "b"]).where("doc_id > first").select("doc_id", "at", F.lit(1).alias("n"))
-    return sure.unionByName(more)
+    singles = settled(map_small(texts.join(opened, "doc_id"), expand, PARCEL), buckets, False)
+    return runs.where("NOT open").select("doc_id", "at", "n").unionByName(singles.select("doc_id", "at", "n"))
 
 
 def removed(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
@@ -245,7 +259,8 @@ def removed(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame
     doc_id, and none repeats another; a null doc_id takes no part and loses nothing. An empty table gives no rows.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    marks = spans(base.where("doc_id IS NOT NULL"), window, k).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    texts = packed(base)
+    marks = spans(base.where("doc_id IS NOT NULL"), texts, window, k).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -266,4 +281,6 @@ def removed(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame
                 rows.append((doc, len(data), n_gone, n_spans, hashlib.sha256(kept).hexdigest(), kept))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
 
-    return packed(base).join(marks, "doc_id", "left").mapInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    nameless = base.where("doc_id IS NULL").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.col("text").cast("binary").alias("kept"))
+    return map_small(texts.join(marks, "doc_id", "left"), finish, out).unionByName(nameless)
