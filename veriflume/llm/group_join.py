@@ -1,6 +1,8 @@
 """Exact Jaccard joins of word shingles with a token-group matrix.
 
-Documents are partitioned into groups of likely similar ones (equal rarest token, near size). The matrix holds, for every
+Documents are partitioned into groups of likely similar ones: of near size, and with one first token in common - the
+first of their rare tokens, or, where frequent tokens dominate (families of many copies, shared passages), the first
+of the least frequent of those, which copies keep. The matrix holds, for every
 token of a document's prefix, the groups whose token union has it. Two groups qualify when their unions share enough prefix
 tokens: for similarity t, two sets of which one has n tokens share at least ceil(t n), so their first
 n - ceil(t n) + DEPTH tokens in any common order share DEPTH of them; the union's count bounds that of each member
@@ -22,15 +24,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, components, cut, forest, grouped, mix, shuffle_parts
+from .common import components, cut, forest, grouped, map_small, mix, Rolling, shuffle_parts, turn_to
 
 WORDS, PERCENT = 4, 85
 #: shared prefix tokens asked of two groups; members opened at once on a side
-DEPTH, BLOCK = 3, 256
+DEPTH, BLOCK = 8, 256
 #: tokens in so many documents go last in the order; so many of them, the most frequent, are remembered (an order needs no more)
 HOT, HOT_KEPT = 24, 2_000_000
-#: token hashes below this share of their range are counted (prefixes rarely reach past it), and all of small sets
-COUNTED, SMALL = 0.3, 64
+#: token hashes below this share of their range are all counted (prefixes rarely reach past it);
+#: above it, only what repeats within a task's own COUNT_AT tokens
+COUNTED, COUNT_AT = 0.5, 2_000_000
+#: share of hot tokens among a set's counted ones from which its group is taken from them
+DOMINATED = 0.5
 SEGMENT = 1 << 20
 U6 = np.uint64((1 << 48) - 1)
 
@@ -81,14 +86,21 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def hot_tokens(docs: DataFrame, size: int, hot: int = HOT, kept: int = HOT_KEPT) -> np.ndarray:
-    """Sorted tokens in `hot` documents at least (the `kept` most frequent): counts over all documents, summed map-side first."""
+def hot_tokens(docs: DataFrame, size: int, hot: int = HOT, kept: int = HOT_KEPT) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted tokens, binary logarithms of their counts) of tokens in `hot` documents at least (the `kept` most frequent).
+
+    Counts are over all documents, summed map-side first.
+    """
     buckets = shuffle_parts(docs.sparkSession)
     limit = np.uint64(int(COUNTED * 2**64))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn_to("group_join")
+
         def flush():
             value, n = np.unique(np.concatenate(held), return_counts=True)
+            take = (value < limit) | (n > 1)
+            value, n = value[take], n[take]
             bucket = value % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             value, n, bucket = value[order], n[order].astype(np.uint32), bucket[order]
@@ -98,10 +110,9 @@ def hot_tokens(docs: DataFrame, size: int, hot: int = HOT, kept: int = HOT_KEPT)
         held, total = [], 0
         for pdf in batches:
             tokens, starts = shingle_sets(pdf["text"].tolist(), size)
-            n = np.diff(starts)
-            held.append(tokens[(tokens < limit) | np.repeat(n <= SMALL, n)])
-            total += len(held[-1])
-            if total > 2_000_000:
+            held.append(tokens)
+            total += len(tokens)
+            if total > COUNT_AT:
                 yield flush()
                 held, total = [], 0
         if total:
@@ -117,20 +128,28 @@ def hot_tokens(docs: DataFrame, size: int, hot: int = HOT, kept: int = HOT_KEPT)
             n = np.bincount(at, np.concatenate([n for _, n in parts]), len(value))
             yield pd.DataFrame({"token": value[n >= hot].view(np.int64), "n": n[n >= hot].astype(np.int64)})
 
-    found = _texts(docs).select("text").mapInPandas(count, "bucket int, tokens binary, counts binary").repartition(buckets, "bucket").mapInPandas(add, "token long, n long")
-    got = found.orderBy(F.desc("n"), "token").limit(kept).select("token").toPandas()["token"].to_numpy(np.int64)
-    return np.sort(got.view(np.uint64))
+    found = map_small(_texts(docs).select("text"), count, "bucket int, tokens binary, counts binary").repartition(buckets, "bucket").mapInPandas(add, "token long, n long")
+    got = found.orderBy(F.desc("n"), "token").limit(kept).toPandas()
+    token = got["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], np.log2(np.maximum(got["n"].to_numpy(np.int64)[order], 1)).astype(np.uint8)
 
 
-def _ordered(tokens: np.ndarray, starts: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Tokens of every set, rare ones first, by hash among themselves."""
-    if not len(hot):
-        return tokens
-    at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
-    return tokens[np.lexsort((tokens, hot[at] == tokens, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))]
+def _ordered(tokens: np.ndarray, starts: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of every set, rare ones first, by hash among themselves; the token that names the group of every set, no set being empty)."""
+    known, level = hot
+    if not len(known):
+        return tokens, tokens[starts[:-1]]
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    is_hot = known[at] == tokens
+    counted = tokens < np.uint64(int(COUNTED * 2**64))
+    first = np.where(is_hot & counted, (level[at].astype(np.uint64) << np.uint64(56)) | (tokens >> np.uint64(8)), np.uint64(2**64 - 1))
+    n_hot, n_all = (np.add.reduceat(x.astype(np.int64), starts[:-1]) for x in (is_hot & counted, counted))
+    sorted_ = tokens[np.lexsort((tokens, is_hot, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))]
+    return sorted_, np.where((n_hot > 0) & (n_hot >= DOMINATED * n_all), np.minimum.reduceat(first, starts[:-1]), sorted_[starts[:-1]])
 
 
-def matrix(docs: DataFrame, size: int, percent: int, hot: np.ndarray) -> tuple[DataFrame, DataFrame]:
+def matrix(docs: DataFrame, size: int, percent: int, hot: tuple[np.ndarray, np.ndarray]) -> tuple[DataFrame, DataFrame]:
     """((doc_id, n, a, b, grp) of every document, qualifying (g1, g2) pairs of different groups).
 
     a and b are a fingerprint of the set; grp is null for an empty one.
@@ -141,6 +160,8 @@ def matrix(docs: DataFrame, size: int, percent: int, hot: np.ndarray) -> tuple[D
     step = math.log(100 / percent) if percent < 100 else math.inf
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn_to("group_join")
+
         def flush():
             token, group, band = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((group, token))
@@ -166,13 +187,15 @@ def matrix(docs: DataFrame, size: int, percent: int, hot: np.ndarray) -> tuple[D
             if len(some):
                 a[some] = np.add.reduceat(mix(tokens), starts[some])
                 b[some] = np.bitwise_xor.reduceat(mix(tokens + np.uint64(0x1234567)), starts[some])
-                tokens = _ordered(tokens, starts, shared.value)
+                tokens, name = _ordered(tokens, np.r_[starts[some], len(tokens)], shared.value)
                 band = np.floor(np.log(np.maximum(n, 1)) / step + 1e-9).astype(np.uint8)
-                group = mix(tokens[np.minimum(starts[:-1], len(tokens) - 1)] ^ mix(band.astype(np.uint64))) & U6
+                group = np.zeros(len(n), np.uint64)
+                group[some] = mix(name ^ mix(band[some].astype(np.uint64))) & U6
                 grp[some] = group[some].astype(np.int64)
                 least = -(-percent * n // 100)
                 take = np.where(pdf["doc_id"].notna(), np.minimum(n, n - least + DEPTH), 0)
                 at = np.repeat(starts[:-1] - np.r_[0, np.cumsum(take)[:-1]], take) + np.arange(take.sum())
+            if len(some) and len(at):
                 held.append((tokens[at], np.repeat(group, take), np.repeat(band, take)))
                 total += len(at)
             yield pd.DataFrame({"bucket": pd.array([None] * len(n), "Int32"), "data": None, "doc_id": pdf["doc_id"].astype("Int64"), "n": n, "a": a.view(np.int64), "b": b.view(np.int64), "grp": grp})
@@ -215,12 +238,12 @@ def matrix(docs: DataFrame, size: int, percent: int, hot: np.ndarray) -> tuple[D
             if found:
                 yield _summed(found)
 
-    made = cut(_texts(docs).mapInPandas(build, "bucket int, data binary, doc_id long, n long, a long, b long, grp long"))
+    made = cut(map_small(_texts(docs), build, "bucket int, data binary, doc_id long, n long, a long, b long, grp long"))
     info = made.where("data IS NULL").select("doc_id", "n", "a", "b", "grp")
     pairs = made.where("data IS NOT NULL").select("bucket", "data").repartition(buckets, "bucket").mapInPandas(pair, "g1 long, g2 long, shared long, low int")
-    # bands 0 and below hold sets too small to share DEPTH tokens
-    tiny = int(math.log(DEPTH) / step) + 1 if step < math.inf else 0
-    need = F.when(F.col("low") <= tiny, 1).otherwise(DEPTH)
+    # sets of the lower band have so many tokens at least, and so share so many
+    least = F.ceil(F.lit(percent / 100) * F.pow(F.lit(100 / percent), F.col("low")) - 1e-3) if step < math.inf else F.lit(1)
+    need = F.least(F.lit(DEPTH), F.greatest(F.lit(1), least))
     return info, pairs.groupBy("g1", "g2").agg(F.sum("shared").alias("shared"), F.min("low").alias("low")).where(F.col("shared") >= need).select("g1", "g2")
 
 
@@ -292,7 +315,7 @@ def edges(docs: DataFrame, info: DataFrame, pairs: DataFrame, size: int, percent
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "data": [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in pdf["text"]]})
 
-    texts = _texts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(squeeze, "doc_id long, data binary")
+    texts = map_small(_texts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL"), squeeze, "doc_id long, data binary")
     opened = texts.join(members, "doc_id").repartition("g1", "g2", "i", "j").sortWithinPartitions("g1", "g2", "i", "j", "doc_id")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -329,5 +352,7 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
 
 def drop_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns kept, whose document is the smallest of its component (a null doc_id stays)."""
-    kept = join(docs, size, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left").where("__kept IS NOT NULL OR doc_id IS NULL").select(*docs.columns)
+    kept = join(docs, size, percent).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # so that no column's name can clash
+    out = rows.join(kept, F.col("row.doc_id").cast("long") == F.col("kept"), "left").where("kept IS NOT NULL OR row.doc_id IS NULL")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
