@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import running_total
+
 MIN_COMPOUNDS, MIN_FAMILIES = 200, 3
 
 
@@ -35,10 +37,10 @@ def interleave(df: DataFrame, label: str = "label", seq: str = "seq") -> DataFra
     """df with position: labels in turn, the larger group first, then the first seen; both orders follow seq."""
     sizes = df.groupBy(label).agg(F.count("*").alias("__n"), F.min(seq).alias("__f"))
     ranked = df.withColumn("rn", F.row_number().over(Window.partitionBy(label).orderBy(seq))).join(F.broadcast(sizes), label)  # a row a label
-    return ranked.withColumn("position", F.row_number().over(Window.orderBy("rn", F.desc("__n"), "__f"))).drop("__n", "__f")
+    return running_total(ranked, ["rn", F.desc("__n"), "__f"]).withColumn("position", F.col("before") + 1).drop("__n", "__f", "before")
 
 
 def shard(df: DataFrame, n_shards: int, index: int, label: str = "label", seq: str = "seq") -> DataFrame:
     """Every n-th member of each label, interleaved."""
     rn = F.row_number().over(Window.partitionBy(label).orderBy(seq))
-    return interleave(df.where(F.lit(True)).withColumn("__rn", rn).where(F.pmod(F.col("__rn") - 1, F.lit(n_shards)) == index).drop("__rn"), label, seq)
+    return interleave(df.withColumn("__rn", rn).where(F.pmod(F.col("__rn") - 1, F.lit(n_shards)) == index).drop("__rn"), label, seq)

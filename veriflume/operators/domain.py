@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .similarity import every_pair
@@ -19,13 +19,13 @@ def distance(a: Column, b: Column) -> Column:
 def knn_distance(rows: DataFrame, train: DataFrame, k: int = 5, exclude_self: bool = False) -> DataFrame:
     """(id, knn_distance): mean Euclidean distance to the k nearest training rows (fewer if there are fewer).
 
-    Pairs are reduced to the k smallest by a bounded aggregate, map-side first.
+    Each task keeps the k smallest of a row before the exchange (a group limit under the window).
     """
     pairs = every_pair(rows.select("id", F.col("features").alias("__f")), train.select(F.col("id").alias("__t"), F.col("features").alias("__g")))
     pairs = pairs.where("id <> __t") if exclude_self else pairs
     d = pairs.select("id", distance(F.col("__f"), F.col("__g")).alias("d"))
-    nearest = F.slice(F.array_sort(F.collect_list("d")), 1, k)
-    return d.groupBy("id").agg(nearest.alias("n")).select("id", (F.aggregate("n", F.lit(0.0), lambda a, x: a + x) / F.size("n")).alias("knn_distance"))
+    nearest = d.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d"))).where(F.col("r") <= k)
+    return nearest.groupBy("id").agg(F.avg("d").alias("knn_distance"))
 
 
 def knn_threshold(train: DataFrame, k: int = 5, percentile: float = 0.95) -> DataFrame:

@@ -9,10 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import molecules
+from .ranking import running_total
 
 
 @dataclass(frozen=True)
@@ -125,4 +126,4 @@ def select_diverse(structures: DataFrame, limit: float = 0.45, min_atoms: int =
 
 def ranked(candidates: DataFrame, value: str = "prediction", trust: str = "rankable") -> DataFrame:
     """Only what may be ranked, best first; the rest is left out, not put last."""
-    return candidates.where(trust).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(value), "seq")))
+    return running_total(candidates.where(trust), [F.desc(value), "seq"]).withColumn("rank", F.col("before") + 1).drop("before")

@@ -1,7 +1,7 @@
 """Ranks, rank correlations, regression metrics, and the enrichment statistics of a screen (lower scores are better).
 
-Global ranks need every row in order. They are taken by distinct value: counts per value are aggregated first, so the
-window that accumulates them sees one row a distinct value, and rows get theirs back by a join.
+Places in one global order are taken over ranges of the order (running_total), so no task sorts everything; ranks count distinct
+values first.
 """
 
 from __future__ import annotations
@@ -11,6 +11,24 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
+
+def running_total(df: DataFrame, order: list, amount: Column | None = None, out: str = "before") -> DataFrame:
+    """df with the sum of amount (1 if not given) over all rows before each in a total order, without sorting all rows in one task.
+
+    Rows are dealt to ranges of the order, written once, and summed a range at a time; what comes before a range is added from a table
+    with one row a range. Rows that tie in the order get an arbitrary one of their places.
+    """
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    value = F.lit(1).cast("long") if amount is None else amount
+    dealt = cut(df.withColumn("__amount", value).repartitionByRange(n, *cols).withColumn("__range", F.spark_partition_id()))
+    whole = dealt.groupBy("__range").agg(F.sum("__amount").alias("__sum"))
+    earlier = whole.select("__range", F.coalesce(F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__earlier"))  # a row a range
+    within = F.coalesce(F.sum("__amount").over(Window.partitionBy("__range").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("__within", within).join(F.broadcast(earlier), "__range").withColumn(out, F.col("__within") + F.col("__earlier")).drop("__amount", "__range", "__within", "__earlier")
+
 
 def counter_hash(*parts: Column) -> Column:
     """A reproducible 32-bit number of its parts: the first 8 hex digits of md5."""
@@ -20,8 +38,7 @@ def counter_hash(*parts: Column) -> Column:
 def average_ranks(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
     """df with 1-based ranks of value, ties sharing their mean."""
     counts = df.groupBy(value).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(F.col(value).alias("__v"), (before + (F.col("__n") + 1) / F.lit(2.0)).alias(out))
+    ranks = running_total(counts, [value], F.col("__n"), "__before").select(F.col(value).alias("__v"), (F.col("__before") + (F.col("__n") + 1) / F.lit(2.0)).alias(out))
     return df.join(ranks, df[value].eqNullSafe(ranks["__v"])).drop("__v")
 
 
@@ -40,16 +57,19 @@ def auc(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve by the Mann-Whitney count, ties one half; NULL with one class. df: (label, score)."""
     by = by or []
     per = df.groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("d"))
-    w = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    wins = per.withColumn("below", F.coalesce(F.sum("a").over(w), F.lit(0)))
+    if by:
+        w = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+        wins = per.withColumn("below", F.coalesce(F.sum("a").over(w), F.lit(0)))
+    else:
+        wins = running_total(per, ["score"], F.col("a"), "below")
     # a decoy loses to every active with a lower score
     out = wins.groupBy(*by).agg(F.sum(F.col("d") * (F.col("below") + F.col("a") / F.lit(2.0))).alias("w"), F.sum("a").alias("n_actives"), F.sum("d").alias("n_decoys"))
     return out.select(*by, "n_actives", "n_decoys", F.when((F.col("n_actives") > 0) & (F.col("n_decoys") > 0), F.col("w") / (F.col("n_actives") * F.col("n_decoys"))).alias("auc"))
 
 
 def ordered_by_score(df: DataFrame) -> DataFrame:
-    """df with position: 1-based order by (score, seq), counted over ranges so that no task sorts everything."""
-    return df.withColumn("position", F.row_number().over(Window.orderBy("score", "seq")))
+    """df with position: 1-based order by (score, seq)."""
+    return running_total(df, ["score", "seq"]).withColumn("position", F.col("before") + 1).drop("before")
 
 
 def enrichment_factor(df: DataFrame, fraction: float) -> DataFrame:
@@ -82,7 +102,7 @@ def bootstrap(df: DataFrame, metric: Column, resamples: int, seed: int = 0, conf
     Undefined resamples are skipped; fewer than half defined gives NULL bounds.
     """
     spark = df.sparkSession
-    rows = df.withColumn("ix", F.row_number().over(Window.orderBy(order)) - 1)
+    rows = running_total(df, [order], out="ix")
     n = df.count()
     if n < 3:
         raise ValueError("a bootstrap needs three rows at least")

@@ -1,12 +1,12 @@
 """Leakage-free splits: groups are indivisible, so no scaffold is on two sides.
 
-Groups are few against rows: they are aggregated, folded in order by a SQL aggregate() over one array of (key, size), and
-joined back. Blank keys are groups of one row each; they are folded in bulk arithmetic order like all others.
+Groups are few against rows: they are aggregated, assigned in order on the driver (one name and size each), and joined back.
+Blank keys are groups of one row each, so a table with many of them brings as many names to the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -68,12 +68,11 @@ def assign(sizes: list[int], n: int, test: float, validation: float, balanced: b
 
 def random_split(df: DataFrame, test: float = 0.2, seed: int = 0, ix: str = "ix") -> DataFrame:
     """The n_test rows with the lowest counter hash are the test side (not a Mersenne-twister permutation)."""
-    from .ranking import counter_hash
+    from .ranking import counter_hash, running_total
 
-    n = df.count()
-    n_test = max(1, round(test * n))
-    rank = F.row_number().over(Window.orderBy(counter_hash(F.lit(str(seed)), F.col(ix).cast("string")), ix))
-    return df.withColumn("partition", F.when(rank <= n_test, "test").otherwise("train"))
+    n_test = max(1, round(test * df.count()))
+    placed = running_total(df, [counter_hash(F.lit(str(seed)), F.col(ix).cast("string")), ix])
+    return placed.withColumn("partition", F.when(F.col("before") < n_test, "test").otherwise("train")).drop("before")
 
 
 def leaks(split: DataFrame, key: str = "scaffold") -> DataFrame:
