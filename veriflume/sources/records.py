@@ -60,3 +60,14 @@ def write_report(triaged: DataFrame, path: str, limit: int = 50) -> str:
     rows = rows if withheld else rows.orderBy("ligand_efficiency")
     rows.limit(limit).select(F.to_json(F.struct(F.struct(*rows.columns).alias(key))).alias("value")).write.mode("overwrite").text(path)
     return key
+
+
+def search(catalogue: DataFrame, accession: str, method: str, max_resolution: float, limit: int) -> DataFrame:
+    """The `limit` best-resolved structures of an accession by one method (three AND-ed terms; a top-k query)."""
+    hit = F.array_contains("accessions", accession) & (F.col("method") == method) & (F.col("resolution") <= max_resolution)
+    return catalogue.where(hit).orderBy("resolution", "structure_id").limit(limit)
+
+
+def flush(cell: DataFrame, path: str) -> None:
+    """Appends one finished cell, so that a crash costs one."""
+    cell.write.mode("append").parquet(path)
