@@ -42,7 +42,7 @@ def check(candidates: DataFrame, conserved: list[str], strong: list[str], inform
     """candidates with present, missing, strong_present, duplicated and error; withheld verdicts say so, they do not fail."""
     names = lambda xs: F.array(*[F.lit(x) for x in sorted(xs)]).cast("array<string>")
     has: Column = F.map_keys(F.map_filter(F.col(counts), lambda k, v: v > 0))
-    error = F.lit("the active set yielded no usable feature profile") if not informative else F.when(F.col(counts).isNull(), "structure failed to parse")
+    error = F.lit("withheld: no profile that discriminates") if not informative else F.when(F.col(counts).isNull(), "not parseable")
     fine = error.isNull() if informative else F.lit(False)
     empty = F.array().cast("array<string>")
     out = candidates.withColumn("error", error.cast("string"))

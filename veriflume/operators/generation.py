@@ -13,15 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import molecules
+from ..session import cut
 from .ranking import running_total
+from .similarity import first_independent
 
 
 @dataclass(frozen=True)
 class GenerationPolicy:
-    min_heavy_atoms: int = 10
-    max_heavy_atoms: int = 40
+    min_heavy_atoms: int = 12
+    max_heavy_atoms: int = 50
     max_anchor_copies: int = 1
     max_similarity_to_known: float = 0.85
+    max_similarity_to_kept: float = 0.85
     anchors: tuple[str, ...] = ()
 
 
@@ -74,8 +77,8 @@ def recombine(parts: DataFrame, depth: int = 3, max_size: int = 40, limit: int |
 def cascade(candidates: DataFrame, known: DataFrame, policy: GenerationPolicy = GenerationPolicy(), audit: bool = False) -> DataFrame:
     """candidates (seq, smiles) with structure fields and drop_stage: the first stage that fails, NULL where kept.
 
-    Order: standardisation, duplicate, too small, too large, anchor copies, anchor lost, already known, too similar to known.
-    An audit leaves the last two out, because it runs the cascade over known actives themselves.
+    Order: standardisation, duplicate, too small, too large, anchor copies, anchor lost, already known, too similar to known, near
+    duplicate of one kept before. An audit leaves the last three out, because it runs the cascade over known actives themselves.
     """
     s = candidates.withColumn("s", molecules.structure(F.col("smiles"))).select(*candidates.columns, "s.error", "s.heavy_atoms", "s.key", "s.bits", "s.motifs")
     copies = F.aggregate(F.array(*[F.coalesce(F.try_element_at("motifs", F.lit(a)), F.lit(0)) for a in policy.anchors] or [F.lit(0)]), F.lit(0), lambda x, y: x + y)
@@ -93,7 +96,23 @@ def cascade(candidates: DataFrame, known: DataFrame, policy: GenerationPolicy =
     stage = F.lit(None).cast("string")
     for name, fails in reversed(stages):
         stage = F.when(fails, name).otherwise(stage)
-    return s.withColumn("drop_stage", stage).drop("first", "is_known")
+    out = s.withColumn("drop_stage", stage).drop("first", "is_known")
+    if audit:
+        return out
+    out = cut(out)
+    left = out.where("drop_stage IS NULL").select(F.col("seq").alias("id"), "bits")
+    kept = first_independent(left.select("id"), near_pairs(left, policy.max_similarity_to_kept)).select(F.col("id").alias("seq"), F.lit(True).alias("stays"))
+    late = F.when(F.col("drop_stage").isNull() & F.col("stays").isNull(), "near_duplicate").otherwise(F.col("drop_stage"))
+    return out.join(kept, "seq", "left").withColumn("drop_stage", late).drop("stays")
+
+
+def near_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b, of rows (id, bits) as similar as threshold, through shared bits; sizes that rule a pair out are dropped first."""
+    x = rows.select(F.col("id").alias("a"), F.size("bits").alias("na"), F.explode("bits").alias("bit"))
+    y = rows.select(F.col("id").alias("b"), F.size("bits").alias("nb"), F.explode("bits").alias("bit"))
+    fits = (F.col("a") < F.col("b")) & (F.col("na") * threshold <= F.col("nb")) & (F.col("nb") * threshold <= F.col("na"))
+    shared = x.join(y, "bit").where(fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("i"))
+    return shared.where(F.col("i") >= threshold * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
 
 def nearest_known(s: DataFrame, known: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from ..session import cut
 
 # Per-pair and group tolerances of the matched properties.
 TOLERANCES = {"molecular_weight": 25.0, "logp": 1.0, "hbd": 1.0, "hba": 2.0, "rotatable_bonds": 2.0, "formal_charge": 0.0}
-GROUP_TOLERANCES = {"molecular_weight": 15.0, "logp": 0.5, "hbd": 0.5, "hba": 1.0, "rotatable_bonds": 1.0, "formal_charge": 0.25}
-MAX_SIMILARITY = 0.25
+GROUP_TOLERANCES = {**TOLERANCES, "formal_charge": 0.15}
+MAX_SIMILARITY, PER_ACTIVE = 0.25, 10
 
 
 def tolerance_pairs(actives: DataFrame, candidates: DataFrame, tolerances: dict[str, float], bucket: str) -> DataFrame:
@@ -43,7 +43,7 @@ def drop_similar(pairs: DataFrame, max_similarity: DataFrame, limit: float = MAX
     return pairs.join(max_similarity.where(F.col("similarity") > limit).select("candidate"), "candidate", "left_anti")
 
 
-def greedy_match(pairs: DataFrame, per_active: int, max_rounds: int = 10_000) -> DataFrame:
+def greedy_match(pairs: DataFrame, per_active: int = PER_ACTIVE, max_rounds: int = 10_000) -> DataFrame:
     """(active, candidate, distance): actives in order take their closest free candidates, ties to the lowest id.
 
     Decided in rounds without a sequential pass: an active proposes its `per_active` best free candidates; one that every

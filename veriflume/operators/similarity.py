@@ -70,15 +70,19 @@ def novelty(nearest_: DataFrame, known: DataFrame, exact_key: str = "word", thre
 
 
 def diverse_subset(fp: DataFrame, threshold: float, max_rounds: int = 1000) -> DataFrame:
-    """(id): kept in id order iff no kept smaller id is as similar as threshold; rows without a fingerprint are skipped.
+    """(id): kept in id order iff no kept smaller id is as similar as threshold; rows without a fingerprint are skipped."""
+    return first_independent(fp.where("word IS NOT NULL").select("id"), similar_pairs(fp, threshold).select("a", "b"), max_rounds)
 
-    The lexicographically first maximal independent set of the similarity edges, decided in rounds: a row is kept once all its
-    smaller neighbours are out, and out once one of them is kept. Only edges and undecided ids move.
+
+def first_independent(ids: DataFrame, pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """The lexicographically first maximal independent set of (id) under edges (a, b), a < b.
+
+    Decided in rounds: a row is kept once all its smaller neighbours are out, and out once one of them is kept. Only edges
+    and undecided ids move.
     """
-    edges = cut(similar_pairs(fp, threshold).select("a", "b"))
+    edges = cut(pairs)
     touched = edges.select(F.col("b").alias("id")).distinct()
-    free = fp.where("word IS NOT NULL").select("id").join(touched, "id", "left_anti")
-    kept, live = free, edges
+    kept, live = ids.join(touched, "id", "left_anti"), edges
     for _ in range(max_rounds):
         out = live.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
         rest = cut(live.join(out.withColumnRenamed("id", "b"), "b", "left_anti").join(out.withColumnRenamed("id", "a"), "a", "left_anti"))

@@ -10,6 +10,12 @@ MIN_LIGAND_ATOMS, BLIND_EDGE, MIN_EDGE, PLANAR = 8, 30.0, 12.0, 2.0
 #: names of residues of proteins (fixed values)
 RESIDUES = "ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL MSE SEC PYL".split()
 
+# Residues that are water, ions, buffers, cryoprotectants, sugars or lipids, not ligands.
+ADDITIVES = (
+    "HOH WAT DOD H2O NA K MG CA ZN FE FE2 MN CU CU1 NI CO CD HG CS RB SR BA LI AL CL BR IOD F GOL EDO PEG PG4 PGE 1PE 2PE P6G XPE 7PE MPD DMS SO4 PO4 NO3 CO3 ACT ACY FMT TRS "
+    "MES EPE BTB CIT TAR MLA MLI IMD BME DTT NH4 AZI CYN SCN URE ETH IPA MOH EOH SIN OXL NAG NDG BMA MAN FUC GAL GLC BGC XYS PLM MYR OLA STE"
+).split()
+
 
 def number(line: Column, start: int, size: int, kind: str = "double") -> Column:
     return F.trim(F.substring(line, start, size)).try_cast(kind)
@@ -54,7 +60,7 @@ def chains(a: DataFrame) -> DataFrame:
     return per.withColumn("is_peptide", (F.col("protein_share") >= 0.6) & (F.col("n_residues") <= 30) & (F.col("n_residues") < largest / 2))
 
 
-def ligands(a: DataFrame, additives: list[str], min_atoms: int = MIN_LIGAND_ATOMS) -> DataFrame:
+def ligands(a: DataFrame, additives: list[str] = ADDITIVES, min_atoms: int = MIN_LIGAND_ATOMS) -> DataFrame:
     """Candidate ligands (structure_id, chain, residue_name, residue_seq, n_atoms), not additives, with carbon, largest first."""
     het = a.where("is_hetatm").where(~F.col("residue_name").isin(additives))
     per = het.groupBy("structure_id", "chain", "residue_name", "residue_seq").agg(F.count_if(F.col("element") != "H").alias("n_atoms"), F.count_if(F.col("element") == "C").alias("n_carbon"), F.min("line_no").alias("first_line"))

@@ -49,7 +49,7 @@ def peptide_chains(spark, d):
 
 @query(f"WITH {ATOMS} SELECT chain, residue_seq, count(*) AS n_atoms FROM atm WHERE is_hetatm GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY n_atoms DESC, min(line_no) LIMIT 1")
 def ligand_pick(spark, d):
-    found = structure.ligands(structure.atoms(_lines(spark, d)), ["GOL", "SO4"], 2)
+    found = structure.ligands(structure.atoms(_lines(spark, d)), min_atoms=2)
     return structure.best_ligand(found).select("chain", "residue_seq", "n_atoms")
 
 
