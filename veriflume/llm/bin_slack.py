@@ -18,13 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, cut
+from .common import cut, map_small, Rolling, trimmed, turn_to
 
 CAPACITY = 2048
 #: pieces of one length are ranked in so many independent parts
 SALTS = 64
 #: distinct chunks of text whose ids a worker remembers; bytes of text split at once
-CACHE, STRIDE = 900_000, 3_000_000
+CACHE, STRIDE = 600_000, 1_000_000
 
 
 def fullest(lengths: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
@@ -79,6 +79,26 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 #: a Latin word and ASCII punctuation after it (no apostrophe, which may start a contraction)
 LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+SMALL = (np.arange(256) >= 97) & (np.arange(256) < 123)
+LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) < 91), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
+PUNCTUATION = np.isin(np.arange(256), list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"))
+
+
+def chunks_of(low: np.ndarray, split: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, stops) of runs without ASCII white space; with split, ASCII punctuation that ends one after a-z is a run of its own."""
+    n = len(low)
+    space = SPACE[low]
+    if split:
+        mark = PUNCTUATION[low]
+        after = np.minimum.accumulate(np.where(mark, n, np.arange(n))[::-1])[::-1]  # the next byte that is no punctuation
+        ends = np.r_[space, True][after] & mark
+        ends[1:] &= SMALL[low[:-1]]
+        ends[:1] = False
+    else:
+        ends = np.zeros(n, bool)
+    start = np.flatnonzero(~space & (np.r_[True, space[:-1]] | ends))
+    stop = np.flatnonzero(~space & (np.r_[space[1:], True] | np.r_[ends[1:], False])) + 1
+    return start, stop
 
 
 class Encoder:
@@ -86,7 +106,8 @@ class Encoder:
 
     Exact because the tokenizer's splitting never joins across white space, because punctuation after a word is a token
     sequence of its own, and because it lower-cases: Latin words are encoded in lower case, many to a call, and told apart
-    by the word-end mark of their last tokens. All other chunks are encoded one by one as they are. Texts are taken many at
+    by the word-end mark of their last tokens. All other chunks are encoded one by one as they are. Texts near the start of a
+    special token are neither lower-cased nor split at punctuation beforehand. Texts are taken many at
     once: chunks are found, told apart (by 64-bit hashes within STRIDE bytes) and expanded to ids in numpy; only distinct
     chunks are looked up, by their bytes.
     """
@@ -132,7 +153,7 @@ class Encoder:
 
     def _fresh(self, chunks: list[str]) -> list[bytes]:
         words, tails = self.words, self.tails
-        if len(words) > CACHE:
+        if len(words) > CACHE // 6:
             words.clear()
         if len(tails) > 50_000:
             tails.clear()
@@ -173,12 +194,15 @@ class Encoder:
         if len(self.known) > CACHE:
             self._forget()
         data = b"\n".join(texts)
-        buf = np.frombuffer(data, np.uint8)
-        gap = np.r_[True, SPACE[buf], True]
-        start, stop = np.flatnonzero(gap[:-2] & ~gap[1:-1]), np.flatnonzero(~gap[1:-1] & gap[2:]) + 1
+        plain = b"<|" not in data  # else a special token could be made or broken
+        low = np.frombuffer(data, np.uint8)
+        if plain:
+            low = LOWER[low]
+            data = low.tobytes()
+        start, stop = chunks_of(low, plain)
         if not len(start):
             return [b""] * len(texts)
-        _, first, chunk = np.unique(Rolling(buf).of(start, stop), return_index=True, return_inverse=True)
+        _, first, chunk = np.unique(Rolling(low).of(start, stop), return_index=True, return_inverse=True)
         keys = [data[i:j] for i, j in zip(start[first].tolist(), stop[first].tolist())]
         row = list(map(self.known.get, keys))
         new = [k for k, r in zip(keys, row) if r is None]
@@ -211,6 +235,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     tail = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn_to("bin_slack", _ENCODERS.clear)
         encoder, wide = encoder_of(tokenizer), capacity * 4
         for pdf in batches:
             out = []
@@ -221,7 +246,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return map_small(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -259,4 +284,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
                 sequence[mine], offset[mine] = s[:, 2] + within // s[:, 3], s[:, 4] + within % s[:, 3] * size
             yield pdf.drop(columns=["salt", "rank"]).assign(sequence_id=sequence, offset=offset)
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "salt", "rank").mapInPandas(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "salt", "rank").mapInPandas(trimmed(place), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
