@@ -15,14 +15,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, keep_rows, map_small, turn_to
 
 #: labelled rows of the fit (chosen by the hash of doc_id), lexicon voters, fewest toxic rows behind one
 TRAINING, VOTERS, SUPPORT = 12_000, 400, 4
@@ -32,6 +32,8 @@ ROUNDS, L2 = 25, 1e-3
 PREDICT_AT = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 PATTERNS = 5
+#: words whose voters a task remembers
+REMEMBERED = 200_000
 
 
 def tokens_of(word: str) -> list[str]:
@@ -55,7 +57,7 @@ class Voters:
         words = words_of(text)
         hits: dict[int, int] = {}
         fired = 0
-        if len(self.known) > 500_000:
+        if len(self.known) > REMEMBERED:
             self.known.clear()
         for word, n in Counter(words).items():
             mine = self.known.get(word)
@@ -124,18 +126,24 @@ def lexicon_of(train: DataFrame, n_pos: int, n_neg: int, voters: int = VOTERS, s
     """The tokens most associated with toxic rows, by the log-likelihood ratio of their document rates. train: (text, toxic)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def flush() -> pd.DataFrame:
+            keys = list(pos.keys() | neg.keys())
+            return pd.DataFrame({"token": keys, "pos": [pos[k] for k in keys], "neg": [neg[k] for k in keys]})
+
+        pos, neg = Counter(), Counter()
         for pdf in batches:
-            pos, neg = Counter(), Counter()
             for text, toxic in zip(pdf["text"], pdf["toxic"]):
                 (pos if toxic else neg).update({t for w in set(words_of(text)) for t in tokens_of(w)})
-            keys = list(pos.keys() | neg.keys())
-            yield pd.DataFrame({"token": keys, "pos": [pos[k] for k in keys], "neg": [neg[k] for k in keys]})
+            if len(pos) + len(neg) > 400_000:
+                yield flush()
+                pos, neg = Counter(), Counter()
+        yield flush()
 
-    rates = train.mapInPandas(count, "token string, pos long, neg long").groupBy("token").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    rates = map_small(train, count, "token string, pos long, neg long").groupBy("token").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     share = n_pos / (n_pos + n_neg)
     term = lambda seen, part: F.when(seen > 0, seen * F.log(seen / ((F.col("pos") + F.col("neg")) * part))).otherwise(0.0)
     gain = term(F.col("pos"), share) + term(F.col("neg"), 1 - share)
-    likely = F.col("pos") > 2 * share * (F.col("pos") + F.col("neg"))
+    likely = F.col("pos") * n_neg > 2 * n_pos * F.col("neg")
     best = rates.where((F.col("pos") >= support) & likely).select("token", "pos", "neg", gain.alias("gain")).where("gain > 6").orderBy(F.desc("gain"), "token").limit(8 * voters).collect()
     # a beginning that says as much already speaks for the longer ones it covers
     kept: dict[str, float] = {}
@@ -167,7 +175,7 @@ def fit(docs: DataFrame, gold: DataFrame):
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "row": [voters.row(t).astype(np.float16).tobytes() for t in pdf["text"]]})
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    got = sorted(((r["doc_id"], r["toxic"], bytes(r["row"])) for r in sample.mapInPandas(features, f"doc_id {kind}, toxic int, row binary").collect()), key=lambda r: (r[0], r[1]))
+    got = sorted(((r["doc_id"], r["toxic"], bytes(r["row"])) for r in map_small(sample, features, f"doc_id {kind}, toxic int, row binary").collect()), key=lambda r: (r[0], r[1]))
     x = np.frombuffer(b"".join(r for *_, r in got), np.float16).reshape(len(got), -1).astype(np.float32)
     gold = np.array([t for _, t, _ in got], np.float64)
     size = len(lexicon)
@@ -185,6 +193,7 @@ def score(docs: DataFrame, model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn_to("toxicity")
         got = shared.value
         voters = Voters(got[0]) if got else None
         for pdf in batches:
@@ -193,7 +202,7 @@ def score(docs: DataFrame, model) -> DataFrame:
                 s = np.fromiter((_one(voters, got, t) for t in pdf["text"]), float, len(pdf))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": s, "predicted": (s >= PREDICT_AT).astype(np.int32)})
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, score double, predicted int")
+    return map_small(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {kind}, score double, predicted int")
 
 
 def _one(voters: Voters, model, text: str | None) -> float:
@@ -228,10 +237,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, at: float = PREDICT_AT) -> Da
     model = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable[[str | None], bool]:
+        turn_to("toxicity")
         got = shared.value
         voters = Voters(got[0]) if got else None
-        for pdf in batches:
-            yield pdf[[not got or _one(voters, got, t) < at for t in pdf["text"]]]
+        return lambda text: not got or _one(voters, got, text) < at
 
-    return docs.mapInPandas(run, docs.schema)
+    return keep_rows(docs, "text", start)
