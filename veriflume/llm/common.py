@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,6 +26,23 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Gives memory that a finished task no longer uses back to the system: idle Python workers stay in their executors."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f for mapInPandas or mapInArrow, with trim() at the end of each task."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from f(batches)
+        trim()
+
+    return run
+
+
 _USER, _FORGET = "", []
 
 
@@ -106,7 +125,7 @@ def map_small(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
             if len(pdf):
                 yield pa.RecordBatch.from_pandas(pdf, schema, preserve_index=False)
 
-    return df.mapInArrow(run, ddl)
+    return df.mapInArrow(trimmed(run), ddl)
 
 
 def keep_rows(df: DataFrame, column: str, start: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
@@ -119,7 +138,7 @@ def keep_rows(df: DataFrame, column: str, start: Callable[[], Callable[[str | No
                 part = batch.slice(at, ROWS)
                 yield part.filter(pa.array([passes(t) for t in part.column(column).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(trimmed(run), df.schema)
 
 
 # ---------------------------------------------------------------- grouped streams

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep_rows, map_small, turn_to
+
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
 #: benchmark words held by one automaton; larger benchmarks are searched in several passes
@@ -107,6 +109,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cut_text:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn_to("decontaminate")
         machines = [build(s.value, window) for s in shared] if len(shared) == 1 else None
         for pdf in batches:
             texts = [words_of(t) for t in pdf["text"]]
@@ -124,23 +127,21 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cut_text:
                 "items_sha256": [hashlib.sha256(",".join(sorted(map(str, f))).encode()).hexdigest() for f in found], "contaminated": [h > 0 for h in n_hit],
             })
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return map_small(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = PASS_WORDS) -> DataFrame:
     """The rows of docs, all columns kept, in which no benchmark window occurs (null texts stay)."""
     parts = [docs.sparkSession.sparkContext.broadcast(p) for p in passes(benchmark, limit)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable[[str | None], bool]:
+        turn_to("decontaminate")
         kept = build(parts[0].value, window) if len(parts) == 1 else None
-        for pdf in batches:
-            clean = [True] * len(pdf)
-            for p in parts:
-                machines = kept if kept is not None else build(p.value, window)
-                for i, t in enumerate(pdf["text"]):
-                    if clean[i] and t:
-                        words = words_of(t)
-                        clean[i] = not any(True for m in machines for _ in m.search(words))
-            yield pdf[clean]
-
-    return docs.mapInPandas(run, docs.schema)
+
+        def passes(text: str | None) -> bool:
+            words = words_of(text)
+            return not any(True for p in parts for m in (kept if kept is not None else build(p.value, window)) for _ in m.search(words))
+
+        return passes
+
+    return keep_rows(docs, "text", start)

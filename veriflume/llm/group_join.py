@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, forest, grouped, map_small, mix, Rolling, shuffle_parts, turn_to
+from .common import components, cut, forest, grouped, map_small, mix, Rolling, shuffle_parts, trimmed, turn_to
 
 WORDS, PERCENT = 4, 85
 #: shared prefix tokens asked of two groups; members opened at once on a side
@@ -128,7 +128,7 @@ def hot_tokens(docs: DataFrame, size: int, hot: int = HOT, kept: int = HOT_KEPT)
             n = np.bincount(at, np.concatenate([n for _, n in parts]), len(value))
             yield pd.DataFrame({"token": value[n >= hot].view(np.int64), "n": n[n >= hot].astype(np.int64)})
 
-    found = map_small(_texts(docs).select("text"), count, "bucket int, tokens binary, counts binary").repartition(buckets, "bucket").mapInPandas(add, "token long, n long")
+    found = map_small(_texts(docs).select("text"), count, "bucket int, tokens binary, counts binary").repartition(buckets, "bucket").mapInPandas(trimmed(add), "token long, n long")
     got = found.orderBy(F.desc("n"), "token").limit(kept).toPandas()
     token = got["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
@@ -199,7 +199,7 @@ def matrix(docs: DataFrame, size: int, percent: int, hot: tuple[np.ndarray, np.n
                 held.append((tokens[at], np.repeat(group, take), np.repeat(band, take)))
                 total += len(at)
             yield pd.DataFrame({"bucket": pd.array([None] * len(n), "Int32"), "data": None, "doc_id": pdf["doc_id"].astype("Int64"), "n": n, "a": a.view(np.int64), "b": b.view(np.int64), "grp": grp})
-            if total > 1_000_000:
+            if total > 500_000:
                 yield flush()
                 held, total = [], 0
         if held:
@@ -240,7 +240,7 @@ def matrix(docs: DataFrame, size: int, percent: int, hot: tuple[np.ndarray, np.n
 
     made = cut(map_small(_texts(docs), build, "bucket int, data binary, doc_id long, n long, a long, b long, grp long"))
     info = made.where("data IS NULL").select("doc_id", "n", "a", "b", "grp")
-    pairs = made.where("data IS NOT NULL").select("bucket", "data").repartition(buckets, "bucket").mapInPandas(pair, "g1 long, g2 long, shared long, low int")
+    pairs = made.where("data IS NOT NULL").select("bucket", "data").repartition(buckets, "bucket").mapInPandas(trimmed(pair), "g1 long, g2 long, shared long, low int")
     # sets of the lower band have so many tokens at least, and so share so many
     least = F.ceil(F.lit(percent / 100) * F.pow(F.lit(100 / percent), F.col("low")) - 1e-3) if step < math.inf else F.lit(1)
     need = F.least(F.lit(DEPTH), F.greatest(F.lit(1), least))
@@ -330,7 +330,7 @@ def edges(docs: DataFrame, info: DataFrame, pairs: DataFrame, size: int, percent
                 out = []
         yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    return opened.mapInPandas(verify, "u long, v long")
+    return opened.mapInPandas(trimmed(verify), "u long, v long")
 
 
 def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:

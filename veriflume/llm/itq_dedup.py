@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, forest, grouped
+from .common import components, cut, forest, grouped, trimmed
 
 COSINE, MISS = 0.93, 0.02
 #: vectors of the fit; iterations of it; vectors of a block; vectors wanted in an average bucket
@@ -108,7 +108,7 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFr
                     out[i] = k.astype(np.int64)
             yield pdf.assign(keys=out)
 
-    coded = cut(vectors.mapInPandas(encode, f"{_ddl(vectors)}, keys array<bigint>"))
+    coded = cut(vectors.mapInPandas(trimmed(encode), f"{_ddl(vectors)}, keys array<bigint>"))
     spread = coded.select("*", F.size("embedding").alias("d"), F.posexplode("keys").alias("table", "key"))
     crowd = spread.groupBy("d", "label", "table", "key").agg(F.count("*").alias("size")).where("size > 1").select("d", "label", "table", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     units = spread.join(crowd, ["d", "label", "table", "key"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
@@ -127,7 +127,7 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFr
                 counts, edges = [], []
         yield pd.DataFrame(counts + edges, columns=["u", "v", "n"]).astype("Int64")
 
-    found = cut(units.mapInPandas(compare, "u long, v long, n long"))
+    found = cut(units.mapInPandas(trimmed(compare), "u long, v long, n long"))
     return found.where("v IS NULL").select(F.col("u").alias("vec_id"), F.col("n").alias("n_links")), found.where("v IS NOT NULL").select("u", "v")
 
 

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_small
+
 BINS = 1 << 13
 ORDERS = (1, 2, 3, 4)
 LANDMARKS, RIDGE = 192, 0.3
@@ -106,7 +108,7 @@ def predict(docs: DataFrame, train: DataFrame) -> DataFrame:
                     lang[i] = names[b]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": lang, "score": score})
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
+    return map_small(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {kind}, lang_pred string, score double")
 
 
 def _sample(usable: DataFrame, counts: dict[str, int], share: int) -> DataFrame:
@@ -124,7 +126,7 @@ def _learn(sample: DataFrame):
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "bits": [np.packbits(presence(t)).tobytes() for t in pdf["text"]]})
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    got = sample.mapInPandas(bits, f"doc_id {kind}, lang string, bits binary").collect()
+    got = map_small(sample, bits, f"doc_id {kind}, lang string, bits binary").collect()
     got = sorted((r["doc_id"], r["lang"], bytes(r["bits"])) for r in got if r["doc_id"] is not None)
     if not got:
         return None

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_small, Rolling, shuffle_parts
+from .common import cut, map_small, Rolling, shuffle_parts, trimmed
 
 WINDOW = 50
 ANCHOR = 24
@@ -198,7 +198,7 @@ def settled(found: DataFrame, buckets: int, opens: bool) -> DataFrame:
                 if open_.any():
                     yield merged(rec[open_]).assign(open=True)
 
-    return found.repartition(buckets, "part").select("bucket", "data").mapInPandas(reducer, "doc_id long, at int, n int, open boolean")
+    return found.repartition(buckets, "part").select("bucket", "data").mapInPandas(trimmed(reducer), "doc_id long, at int, n int, open boolean")
 
 
 def spans(docs: DataFrame, texts: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
