@@ -181,6 +181,8 @@ def test_line_dedup_keeps_rows_and_columns(spark):
     assert out.columns == docs.columns and out.count() == 8
     assert {(r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()} >= {(5, "same line of more than eight words in it\nrest", 45), (6, "other", 5)}
     assert line_dedup.dedup(docs.where("false")).count() == 0
+    copies = docs_of(spark, ["same line of more than eight words in it\n", "same line of more than eight words in it\n\n", "", None])
+    assert sorted(r["doc_id"] for r in line_dedup.dedup(copies, drop_emptied=True).collect()) == [0, 2, 3] and line_dedup.dedup(copies).count() == 4
 
 
 # ---------------------------------------------------------------- 5 embeddings
