@@ -107,13 +107,21 @@ class Rolling:
 
 # ---------------------------------------------------------------- rows in small slices
 
-#: rows converted from Arrow at once
-ROWS = 256
+#: rows converted from Arrow at once; rows of an Arrow batch between the JVM and Python
+ROWS, BATCH = 256, 1000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Bounds the session's Arrow batches: with long texts, the default of 10,000 rows is tens of MB of off-heap memory a task."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name)) > BATCH or int(conf.get(name)) <= 0:
+        conf.set(name, str(BATCH))
 
 
 def map_small(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], ddl: str) -> DataFrame:
     """mapInPandas over slices of ROWS rows: Arrow batches of long texts are never converted whole."""
     schema = to_arrow_schema(StructType.fromDDL(ddl))
+    small_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def slices() -> Iterator[pd.DataFrame]:
@@ -131,6 +139,8 @@ def map_small(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
 def keep_rows(df: DataFrame, column: str, start: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
     """The rows of df, all columns untouched, whose text in column passes the test that start() makes for a task."""
 
+    small_batches(df)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = start()
         for batch in batches:
