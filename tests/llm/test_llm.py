@@ -279,6 +279,25 @@ def test_language_odd_rows(spark):
     assert language_kernel.identify(docs.where("false")).count() == 0
 
 
+def test_language_of_megabyte_texts(spark):
+    rng = random.Random(7)
+    train = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    words = {}
+    for r in train.orderBy("doc_id").collect():
+        words.setdefault(r["lang"], []).extend((r["text"] or "").split())
+    long, want = [], {}
+    for lang, ws in sorted(words.items()):
+        for share in (0.0, 0.05):  # names and rare words bring nearly every letter pair and triple of other languages
+            out, size = [], 0
+            while size < 1_000_000:
+                out.append("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 10))) if rng.random() < share else rng.choice(ws))
+                size += len(out[-1]) + 1
+            long.append((len(long), " ".join(out)))
+            want[len(want)] = lang
+    got = {r["doc_id"]: r["lang_pred"] for r in language_kernel.predict(spark.createDataFrame(long, "doc_id long, text string"), train).collect()}
+    assert len(words) > 2 and got == want
+
+
 # ---------------------------------------------------------------- 8 join
 
 def brute_join(texts, size, percent):
