@@ -16,7 +16,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go, and with them documents that consist of nothing else."""
-    return line_dedup.dedup(docs, drop_emptied=True)
+    return line_dedup.dedup(docs, drop_emptied=True, any_size=True)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

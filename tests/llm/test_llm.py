@@ -185,6 +185,35 @@ def test_line_dedup_keeps_rows_and_columns(spark):
     assert sorted(r["doc_id"] for r in line_dedup.dedup(copies, drop_emptied=True).collect()) == [0, 2, 3] and line_dedup.dedup(copies).count() == 4
 
 
+def test_line_runs_of_any_size(spark):
+    rng = random.Random(3)
+    pool = ["a b c d e f g h", "one two", "x", "three words here", "y z", "five words are in here", "q"]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(0, 30))) for _ in range(50)] + [None, "", "x\n" * 40]
+    run = ["red fish swim in water", "two lines", "blue birds fly over hills"]  # 5, 2 and 5 words
+    long = ["a1 b1 c1", "a2 b2 c2", " ".join(f"k{i}" for i in range(50))]  # 3, 3 and 50 words
+    texts += ["\n".join(run), "\n".join([*run, "u v"]), "\n".join(["s t", *run, "w"]), "\n".join(["m", *long, "n"]), "\n".join(["o", *long, "p"])]
+    lines = [[x for x in (t or "").split("\n") if x] for t in texts]
+    first, dead = {}, [set() for _ in texts]
+    for size in range(1, 9):  # eight lines always have eight words, so longer runs are unions of these
+        for d, ls in enumerate(lines):
+            for i in range(len(ls) - size + 1):
+                key = tuple(ls[i : i + size])
+                if sum(len(x.split()) for x in key) >= 8 and first.setdefault(key, (d, i)) != (d, i):
+                    dead[d] |= set(range(i, i + size))
+    assert dead[-4:] == [{0, 1, 2}, {1, 2, 3}, set(), {1, 2, 3}]
+    got = {r["doc_id"]: (r["n_removed"], r["n_runs"], [x for x in (r["text"] or "").split("\n") if x]) for r in line_dedup.dedup(docs_of(spark, texts), detail=True, any_size=True).collect()}
+    assert got == {d: (len(p), sum(i - 1 not in p for i in p), [x for i, x in enumerate(lines[d]) if i not in p]) for d, p in enumerate(dead)}
+
+
+def test_pipeline_removes_runs_of_three_lines(spark):
+    import corpus_pipeline
+
+    run = ["red fish swim in water", "two lines", "blue birds fly over hills"]
+    docs = docs_of(spark, ["\n".join(["m", *run]), "\n".join(run), "\n".join([*run, "n"])])
+    got = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, "").collect()}
+    assert got == {0: "\n".join(["m", *run]), 2: "n"}
+
+
 # ---------------------------------------------------------------- 5 embeddings
 
 def test_itq_against_brute_force(spark):

@@ -9,6 +9,10 @@ interval. Only DataFrame functions are used.
 A window of 2**k lines counts when it holds at least `min_words` words. Every line of a counting window that also
 starts at an earlier (doc_id, line) is deleted: the earliest copy stays. Since a line has a word at least, depths up
 to log2(min_words) suffice; windows both of whose halves count already are implied and are not emitted.
+
+These sizes are those that the query's SQL names, and miss parts of runs whose short lines fill no such window. With
+any_size, windows have every number of lines: the shortest counting window from each line on and the shortest one up to
+each line. Their union is every maximal repeated run of at least min_words words.
 """
 
 from __future__ import annotations
@@ -46,6 +50,25 @@ def _placed(names: Column, size: int, min_words: int) -> Column:
     return F.array_compact(F.transform(names, put))
 
 
+def _grown(n0: Column, below: Column, size: int, min_words: int) -> Column:
+    """Windows of size lines from those of one line less, as long as the lines after the first do not count by themselves.
+
+    l and f are the words without the last and without the first line.
+    """
+
+    def longer(x: Column) -> Column:
+        y = F.get(n0, x["at"] + size - 1)
+        return F.struct(x["at"].alias("at"), _name(x["id"], y["id"]).alias("id"), (x["w"] + y["w"]).alias("w"), x["w"].alias("l"), (x["f"] + y["w"]).alias("f"), x["lo"].alias("lo"), y["hi"].alias("hi"))
+
+    return F.transform(F.filter(below, lambda x: (x["f"] < min_words) & (x["at"] + size <= F.size(n0))), longer)
+
+
+def _shortest(windows: Column, size: int, min_words: int) -> Column:
+    """(at, size, lo, hi, name) of the counting windows that stop counting without their first or without their last line."""
+    wanted = F.filter(windows, lambda x: (x["w"] >= min_words) & (F.least(x["l"], x["f"]) < min_words))
+    return F.transform(wanted, lambda x: F.struct(x["at"].alias("at"), F.lit(size).alias("size"), x["lo"].alias("lo"), x["hi"].alias("hi"), x["id"].alias("name")))
+
+
 ODD = "\t\x0b\f\r"
 
 
@@ -57,14 +80,20 @@ def _squeezed(text: Column) -> Column:
     return F.when(odd, F.regexp_replace(text, "[\\t\\x0B\\f\\r ]{2,}|[\\t\\x0B\\f\\r]", " ")).otherwise(text)
 
 
-def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, at, size, lo, hi, name): every counting window that is not implied by its halves.
+def windows(docs: DataFrame, min_words: int = MIN_WORDS, any_size: bool = False) -> DataFrame:
+    """(doc, at, size, lo, hi, name): every counting window that is not implied by its halves; with any_size, every shortest one.
 
     `at` counts non-blank lines; lo and hi are the window's first and last line among all lines of the text.
     """
     lines = F.filter(F.transform(F.split(_squeezed(F.col("text").cast("string")), "\n"), lambda x, i: F.struct(F.trim(x).alias("x"), i.alias("i"))), lambda s: s["x"] != "")
     df = docs.where("text IS NOT NULL").select(F.struct(F.col("doc_id"), F.xxhash64("text").alias("t")).alias("doc"), lines.alias("lines"))
     words = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    if any_size:
+        df = df.select("doc", F.transform("lines", lambda s, at: F.struct(at.alias("at"), _name(s["x"]).alias("id"), words(s["x"]).alias("w"), F.lit(0).alias("l"), F.lit(0).alias("f"), s["i"].alias("lo"), s["i"].alias("hi"))).alias("n1"))
+        for size in range(2, max(1, min_words) + 1):  # min_words lines always count
+            df = df.withColumn(f"n{size}", _grown(F.col("n1"), F.col(f"n{size - 1}"), size, min_words))
+        parts = [_shortest(F.col(f"n{size}"), size, min_words) for size in range(1, max(1, min_words) + 1)]
+        return df.select("doc", F.explode(F.concat(*parts)).alias("x")).select("doc", "x.at", "x.size", "x.lo", "x.hi", "x.name")
     df = df.select("doc", F.transform("lines", lambda s: F.struct(_name(s["x"]).alias("id"), words(s["x"]).alias("w"), F.lit(0).alias("l"), s["i"].alias("lo"), s["i"].alias("hi"))).alias("n0"))
     parts, half = [_placed(F.col("n0"), 1, min_words)], 1
     for k in range(1, max(0, math.ceil(math.log2(min_words))) + 1):
@@ -74,9 +103,9 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return df.select("doc", F.explode(F.concat(*parts)).alias("x")).select("doc", "x.at", "x.size", "x.lo", "x.hi", "x.name")
 
 
-def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def deletions(docs: DataFrame, min_words: int = MIN_WORDS, any_size: bool = False) -> DataFrame:
     """(doc, runs): maximal runs (first, past the last: among non-blank lines; lo, hi: among all) to delete, for documents with any."""
-    w = cut(windows(docs, min_words))
+    w = cut(windows(docs, min_words, any_size))
     place = F.struct("doc.doc_id", "doc.t", "at")
     first = cut(w.groupBy("name", "size").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("name", "size", "first"))
     later = w.join(first, ["name", "size"]).where(place > F.col("first")).select("doc", F.struct("at", (F.col("at") + F.col("size")).alias("past"), "lo", "hi").alias("span"))
@@ -90,9 +119,10 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return spans.select("doc", F.aggregate(F.slice("spans", 2, F.size("spans")), F.slice("spans", 1, 1), merge).alias("runs"))
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, detail: bool = False, drop_emptied: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, detail: bool = False, drop_emptied: bool = False, any_size: bool = False) -> DataFrame:
     """docs with later copies of repeated line runs deleted; all columns kept, n_chars brought up to date if present.
 
+    any_size: whole maximal runs of any number of lines, not only those that windows of 1, 2, 4, 8 .. lines show.
     drop_emptied: rows that lose all their lines (copies of earlier documents) go altogether; rows that were empty before stay.
     detail: instead (doc_id, n_lines, n_removed, n_runs, text), n_lines being non-blank lines and n_runs the maximal
     runs deleted. Null texts stay null and have no lines; blank lines always stay. Rows with one doc_id and one text are one
@@ -100,7 +130,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, detail: bool = False, dro
     nothing keep their exact text.
     """
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # so that no column's name can clash
-    joined = rows.join(deletions(docs, min_words), F.col("row.doc_id").eqNullSafe(F.col("doc.doc_id")) & (F.xxhash64("row.text") == F.col("doc.t")), "left")
+    joined = rows.join(deletions(docs, min_words, any_size), F.col("row.doc_id").eqNullSafe(F.col("doc.doc_id")) & (F.xxhash64("row.text") == F.col("doc.t")), "left")
     old = F.col("row.text")
     raw = F.split(old.cast("string"), "\n")
     blank = lambda x: F.btrim(x, F.lit(" " + ODD)) == ""
