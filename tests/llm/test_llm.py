@@ -466,6 +466,25 @@ def test_decontamination_against_brute_force(spark, limit):
     assert kept == {d for d in got if not got[d]["contaminated"]}
 
 
+@pytest.mark.parametrize("limit", [2_000_000, 1])
+def test_decontamination_by_items_without_id(spark, tmp_path, limit):
+    import duckdb
+
+    items = [(1, "alpha beta gamma"), (None, "delta epsilon"), (None, "zeta eta theta"), (2, "delta epsilon"), (None, None)]
+    texts = ["x zeta eta theta y", "alpha beta gamma zeta eta theta", "a delta epsilon", "zeta eta theta delta epsilon", "nothing here", None]
+    docs, bench = docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", bench)):
+        df.write.parquet(str(tmp_path / name))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path / name}/*.parquet'")
+    rel = con.sql(queries.ORACLES["op10_decontaminate"])
+    want = sorted(tuple(dict(zip(rel.columns, r))[c] for c in sorted(rel.columns)) for r in rel.fetchall())
+    got = decontaminate.scan(docs, bench, limit=limit).collect()
+    assert sorted(tuple(r[c] for c in sorted(rel.columns)) for r in got) == want
+    assert {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in got} == {0: (3, 1), 1: (6, 2), 2: (2, 2), 3: (5, 2), 4: (0, 0), 5: (0, 0)}
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench, limit=limit).collect()} == {4, 5}
+
+
 # ---------------------------------------------------------------- pipeline and SQL
 
 def test_pipeline_stages(spark):

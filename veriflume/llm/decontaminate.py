@@ -86,20 +86,21 @@ def find(machines: list[WuManber], words: list[bytes]) -> tuple[bytearray, set]:
 
 def passes(benchmark: DataFrame, limit: int = PASS_WORDS) -> list[list[tuple]]:
     """The benchmark in lists of at most about limit bytes*8 each, so that a task never holds more than one automaton."""
-    b = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id"), F.col("text").cast("string").alias("text"))
+    b = benchmark.where("text IS NOT NULL").select(F.col("item_id"), F.col("text").cast("string").alias("text"))
     size = b.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // (limit * 8)))
     if n == 1:
         return [[tuple(r) for r in b.collect()]]
-    part = F.pmod(F.xxhash64("item_id"), F.lit(n))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))  # the text too: null ids spread as well
     return [[tuple(r) for r in b.where(part == k).collect()] for k in range(n)]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cut_text: bool = False, limit: int = PASS_WORDS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every document.
 
-    Null text has no words; an item without words has no window; items that share an item_id count as one; a null
-    item_id is ignored. Repeated documents each give a row. A document word inside any occurrence is hit. Texts are
+    Null text has no words; an item without words has no window; items that share an item_id count as one. Items
+    with a null item_id are searched like all others; together they count as one in n_items, and items_sha256 leaves them
+    out. Repeated documents each give a row. A document word inside any occurrence is hit. Texts are
     searched whole, one at a time, in one pass per automaton; a benchmark over the limit takes several automata in turn
     within the same scan.
     """
@@ -124,7 +125,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cut_text:
             n_hit = [sum(h) for h in hits]
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"], "n_words": [len(w) for w in texts], "n_hit": n_hit, "n_items": [len(f) for f in found],
-                "items_sha256": [hashlib.sha256(",".join(sorted(map(str, f))).encode()).hexdigest() for f in found], "contaminated": [h > 0 for h in n_hit],
+                "items_sha256": [hashlib.sha256(",".join(sorted(map(str, f - {None}))).encode()).hexdigest() for f in found], "contaminated": [h > 0 for h in n_hit],
             })
 
     return map_small(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
