@@ -74,6 +74,18 @@ def test_style_tree_learns_a_template(spark):
     assert style_tree.extract(pages.where("false")).count() == 0
 
 
+def test_style_tree_joins_without_page_ids(spark):
+    rng = random.Random(1)
+    body = lambda rare, often: f"<body><div><p>{often}</p></div><section><p>{rare}</p></section></body>"
+    one = [(None if i % 2 else i, f"http://one.example/{i}", body(prose(rng, 20, 9999), "Same notice")) for i in range(20)]
+    two = [(i, f"http://two.example/{i}", body("Same notice", prose(rng, 20, 9999))) for i in range(20)]  # page_ids of the first host again
+    pages = spark.createDataFrame([*one, *two, (None, None, None), (None, None, body("a", "b"))], "page_id long, url string, html string")
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    want = order(style_tree.extract(pages).collect())
+    assert sum(r[3] > 0 for r in want) == 41 and all("notice" not in r[2] for r in want)
+    assert order(style_tree.extract(pages, broadcast_rows=0).collect()) == want
+
+
 def test_style_tree_on_whole_table(spark):
     d = "/root/testdata/sf0.001"
     got = {r["page_id"]: r["text"] for r in queries.op1_style_tree(spark, d).collect()}

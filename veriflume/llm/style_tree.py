@@ -214,7 +214,7 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD, min_seen: int = MIN_
 
     Null or empty html gives an empty text; a null or odd url belongs to the host ''. Repeated rows each give a row.
     Nothing is capped. Only nodes of low importance are gathered: broadcast while they are few, else brought to their own
-    pages by joins.
+    pages by joins on a hash of url and html, whatever page_id is.
     """
     spark = pages.sparkSession
     kind = pages.schema["page_id"].dataType.simpleString()
@@ -238,16 +238,19 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD, min_seen: int = MIN_
 
         return base.mapInPandas(run, out)
 
+    whole = [F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))]  # rows that agree in both have one result
+    keyed = base.withColumn("key", F.struct(F.xxhash64(F.lit(1), *whole).alias("a"), F.xxhash64(F.lit(2), *whole).alias("b")))
+
     def paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [(p, split_url(u)[0], path) for p, u, h in zip(pdf["page_id"], pdf["url"], pdf["html"]) if h for path in {x for x, _ in parse(h)[1]}]
-            yield pd.DataFrame(found, columns=["page_id", "host", "path"])
+            found = [(a, b, split_url(u)[0], path) for a, b, u, h in zip(pdf["a"], pdf["b"], pdf["url"], pdf["html"]) if h for path in {x for x, _ in parse(h)[1]}]
+            yield pd.DataFrame(found, columns=["a", "b", "host", "path"])
 
-    mine = base.mapInPandas(paths, f"page_id {kind}, host string, path string").join(low, ["host", "path"])
-    mine = mine.groupBy("page_id").agg(F.collect_set("path").alias("low"))  # bounded by the page's own nodes
+    mine = keyed.select("key.a", "key.b", "url", "html").mapInPandas(paths, "a long, b long, host string, path string").join(low, ["host", "path"])
+    mine = mine.groupBy(F.struct("a", "b").alias("key")).agg(F.collect_set("path").alias("low"))  # bounded by the page's own nodes
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield rows(pdf, ["\n\n".join(main_blocks(h, set() if x is None else set(x))) for h, x in zip(pdf["html"], pdf["low"])])
 
-    return base.join(mine, "page_id", "left").mapInPandas(joined, out)
+    return keyed.join(mine, "key", "left").select("page_id", "url", "html", "low").mapInPandas(joined, out)
