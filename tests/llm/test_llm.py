@@ -156,16 +156,15 @@ def test_label_model_finds_the_good_voter():
 # ---------------------------------------------------------------- 4 lines
 
 def brute_lines(texts, min_words=8):
+    """Every run of any number of lines, by its words: all copies but the first lose all their lines."""
     squeeze = lambda x: " ".join(x.replace("\t", " ").replace("\r", " ").split(" ")).strip()
     lines = [[x for x in (" ".join(squeeze(y).split()) for y in (t or "").split("\n")) if x] for t in texts]
-    seen, dead = {}, [set() for _ in texts]
-    for size in (1, 2, 4, 8):
-        for d, ls in enumerate(lines):
-            for i in range(len(ls) - size + 1):
-                key = (size, *ls[i : i + size])
-                if sum(len(x.split(" ")) for x in key[1:]) >= min_words:
-                    if seen.setdefault(key, (d, i)) != (d, i):
-                        dead[d] |= set(range(i, i + size))
+    first, dead = {}, [set() for _ in texts]
+    for d, ls in enumerate(lines):
+        for i in range(len(ls)):
+            for j in range(i + 1, len(ls) + 1):
+                if sum(len(x.split(" ")) for x in ls[i:j]) >= min_words and first.setdefault(tuple(ls[i:j]), (d, i)) != (d, i):
+                    dead[d] |= set(range(i, j))
     return lines, dead
 
 
@@ -197,26 +196,52 @@ def test_line_dedup_keeps_rows_and_columns(spark):
     assert sorted(r["doc_id"] for r in line_dedup.dedup(copies, drop_emptied=True).collect()) == [0, 2, 3] and line_dedup.dedup(copies).count() == 4
 
 
-def test_line_runs_of_any_size(spark):
+@pytest.mark.parametrize("min_words", [1, 5, 8, 12])
+def test_line_runs_of_any_size(spark, min_words):
     rng = random.Random(3)
     pool = ["a b c d e f g h", "one two", "x", "three words here", "y z", "five words are in here", "q"]
     texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(0, 30))) for _ in range(50)] + [None, "", "x\n" * 40]
     run = ["red fish swim in water", "two lines", "blue birds fly over hills"]  # 5, 2 and 5 words
     long = ["a1 b1 c1", "a2 b2 c2", " ".join(f"k{i}" for i in range(50))]  # 3, 3 and 50 words
-    texts += ["\n".join(run), "\n".join([*run, "u v"]), "\n".join(["s t", *run, "w"]), "\n".join(["m", *long, "n"]), "\n".join(["o", *long, "p"])]
-    lines = [[x for x in (t or "").split("\n") if x] for t in texts]
-    first, dead = {}, [set() for _ in texts]
-    for size in range(1, 9):  # eight lines always have eight words, so longer runs are unions of these
-        for d, ls in enumerate(lines):
-            for i in range(len(ls) - size + 1):
-                key = tuple(ls[i : i + size])
-                if sum(len(x.split()) for x in key) >= 8 and first.setdefault(key, (d, i)) != (d, i):
-                    dead[d] |= set(range(i, i + size))
-    assert dead[-4:] == [{0, 1, 2}, {1, 2, 3}, set(), {1, 2, 3}]
-    got = {r["doc_id"]: (r["n_removed"], r["n_runs"], [x for x in (r["text"] or "").split("\n") if x]) for r in line_dedup.dedup(docs_of(spark, texts), detail=True, any_size=True).collect()}
+    many = [f"s{i}" for i in range(30)]  # a run of thirty words
+    texts += ["\n".join(run), "\n".join([*run, "u v"]), "\n".join(["s t", *run, "w"]), "\n".join(["m", *long, "n"]), "\n".join(["o", *long, "p"]), "\n".join(["m2", *many, "n2"]), "\n\n".join(["o2", *many, "p2"])]
+    texts += ["\n".join(["m3", *long[::-1]]), "\n".join([*long[::-1], "o3"])]
+    lines, dead = brute_lines(texts, min_words)
+    if min_words == 8:
+        assert dead[-8:] == [{0, 1, 2}, {1, 2, 3}, set(), {1, 2, 3}, set(), set(range(1, 31)), {1}, {0, 1, 2}]
+    got = {r["doc_id"]: (r["n_removed"], r["n_runs"], [x for x in (r["text"] or "").split("\n") if x]) for r in line_dedup.dedup(docs_of(spark, texts), min_words, detail=True).collect()}
     assert got == {d: (len(p), sum(i - 1 not in p for i in p), [x for i, x in enumerate(lines[d]) if i not in p]) for d, p in enumerate(dead)}
 
 
+def test_line_ranks_follow_the_suffix_array(spark):
+    """Ranks of doubled pairs sort as the pairs do, across partitions, and only repeated ones have any."""
+    rng = random.Random(8)
+    rows = [(d, 0, at, rng.randint(0, 20), rng.randint(0, 20)) for d in range(40) for at in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, t long, at int, x long, y long").repartition(7)
+    got = line_dedup.ranked(df, "x", "y").orderBy("rank").collect()
+    often = {}
+    for d, t, at, x, y in rows:
+        often.setdefault((x, y), []).append((d, t, at))
+    assert [(r["x"], r["y"]) for r in got] == sorted(k for k, v in often.items() if len(v) > 1)
+    assert all(tuple(r["first"]) == min(often[r["x"], r["y"]]) for r in got)
+
+
+def test_line_dedup_of_megabyte_texts(spark):
+    text = "\n".join(f"line {i % 7000} has a few words" if i % 3 else "s" for i in range(60_000))
+    out = {r["doc_id"]: r for r in line_dedup.dedup(docs_of(spark, [text, text, "w " * 700_000]), detail=True).collect()}
+    assert out[1]["text"] == "" and out[1]["n_removed"] == 60_000 and out[1]["n_runs"] == 1 and len(out[2]["text"]) == 1_400_000
+    lines = text.split("\n")
+    seen, dead = set(), set()
+    for k in range(1, 9):
+        for i in range(len(lines) - k + 1):
+            key = "\n".join(lines[i : i + k])
+            if len(key.split()) >= 8:
+                if key in seen:
+                    dead |= set(range(i, i + k))
+                seen.add(key)
+    assert out[0]["n_removed"] == len(dead) > 30_000
+
+
 def test_pipeline_removes_runs_of_three_lines(spark):
     import corpus_pipeline
 

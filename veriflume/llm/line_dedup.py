@@ -1,143 +1,160 @@
-"""Removal of repeated line runs: suffixes of line-ID sequences, named by prefix doubling.
-
-A document is its sequence of non-blank lines (trimmed, inner white space squeezed for comparison only). Depth 2**k
-names of all suffixes come from pairs of depth 2**(k-1) names, as in prefix doubling; suffixes with equal names at a
-depth are exactly one longest-common-prefix interval of at least that depth. Names are 128-bit hashes, not ranks, so
-doubling needs no global sort and stays inside each document; one exchange then finds the first member of every
-interval. Only DataFrame functions are used.
-
-A window of 2**k lines counts when it holds at least `min_words` words. Every line of a counting window that also
-starts at an earlier (doc_id, line) is deleted: the earliest copy stays. Since a line has a word at least, depths up
-to log2(min_words) suffice; windows both of whose halves count already are implied and are not emitted.
-
-These sizes are those that the query's SQL names, and miss parts of runs whose short lines fill no such window. With
-any_size, windows have every number of lines: the shortest counting window from each line on and the shortest one up to
-each line. Their union is every maximal repeated run of at least min_words words.
+"""Removal of repeated line runs by a suffix array over line-ID sequences, built by distributed prefix doubling.
+
+A document is its sequence of non-blank lines (trimmed, inner white space squeezed for comparison only). Contract: wherever a
+run of lines with at least `min_words` words stands more than once in the table, every line of all its copies but the first
+goes; the order of copies is (doc_id, line). Runs may have any number of lines and may overlap.
+
+1. Line IDs. Lines that stand once cannot be in a repeated run and are left behind. The others are sorted by range over the
+   whole table; a line's place in that order is its rank at depth 1.
+2. Doubling. The rank at depth 2h comes from sorting the pairs (rank of a suffix, rank of the suffix h lines further on) by
+   range, across all documents. Pairs that stand once are unique suffixes and leave, and so does what contains them.
+3. LCP intervals. Suffixes that share their first l lines, h < l <= 2h, are those with one pair (rank at depth h, rank at
+   depth h of the suffix l - h lines further on). Each interval gives the place of its first member; the others are deleted.
+
+Every line has a word at least, so runs of min_words lines always count and a longer run is the union of those in it: depths
+beyond min_words lines decide nothing. Of the runs that count, only those that stop counting without their first or without
+their last line are looked up; each maximal repeated run is a union of such. So lines that hold min_words words need depth 1
+alone, and only short lines and their neighbours go through the doubling.
+
+Only DataFrame functions are used. Rows exchanged are a few numbers a line; first places are summed map-side, and intervals
+meet their rows in joins that adaptive execution can split. No task holds more of a document than its short lines' numbers.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 MIN_WORDS = 8
+ODD = "\t\x0b\f\r"
+DOC = ["doc_id", "t"]
 
 
-def _name(*parts: Column) -> Column:
-    return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
-
-
-def _doubled(below: Column, half: int) -> Column:
-    """Names of depth 2*half from names of depth half: (id, words, fewer words of the two halves, first and last raw line)."""
-    n = F.size(below) - half
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-    def pair(i: Column) -> Column:
-        x, y = F.get(below, i), F.get(below, i + half)
-        return F.struct(_name(x["id"], y["id"]).alias("id"), (x["w"] + y["w"]).alias("w"), F.least(x["w"], y["w"]).alias("l"), x["lo"].alias("lo"), y["hi"].alias("hi"))
-
-    return F.transform(at, pair)
+def _squeezed(text: Column) -> Column:
+    """text with every run of white space but line ends as one space; texts without any such run are left alone."""
+    odd = F.contains(text, F.lit("  "))
+    for c in ODD:
+        odd = odd | F.contains(text, F.lit(c))
+    return F.when(odd, F.regexp_replace(text, "[\\t\\x0B\\f\\r ]{2,}|[\\t\\x0B\\f\\r]", " ")).otherwise(text)
 
 
-def _placed(names: Column, size: int, min_words: int) -> Column:
-    """(at, size, lo, hi, name) of the counting windows whose halves do not both count on their own."""
-    wanted = lambda x: (x["w"] >= min_words) & (x["l"] < min_words)
-    put = lambda x, i: F.when(wanted(x), F.struct(i.alias("at"), F.lit(size).alias("size"), x["lo"].alias("lo"), x["hi"].alias("hi"), x["id"].alias("name")))
-    return F.array_compact(F.transform(names, put))
+def _words(line: Column) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def _grown(n0: Column, below: Column, size: int, min_words: int) -> Column:
-    """Windows of size lines from those of one line less, as long as the lines after the first do not count by themselves.
+def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, t, at, lo, w, near, a, b) of every non-blank line.
 
-    l and f are the words without the last and without the first line.
+    t tells texts of one doc_id apart; at counts non-blank lines, lo all lines; w is the number of words; near: the line or one
+    beside it has fewer than min_words; a and b are 128 bits that stand for the line.
     """
+    some = F.filter(F.transform(F.split(_squeezed(F.col("text").cast("string")), "\n"), lambda x, i: F.struct(F.trim(x).alias("x"), i.alias("lo"))), lambda s: s["x"] != "")
+    df = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("t"), some.alias("lines"))
+    df = df.select(*DOC, "lines", F.transform("lines", lambda s: _words(s["x"]) < min_words).alias("short"))
+    short = lambda i: F.coalesce(F.get("short", i), F.lit(False))
+    lines = F.transform("lines", lambda s, i: F.struct(s["x"].alias("x"), s["lo"].alias("lo"), (short(i) | short(i + 1) | short(i - 1)).alias("near")))
+    df = df.select(*DOC, F.posexplode(lines).alias("at", "s"))
+    return df.select(*DOC, "at", "s.lo", _words(F.col("s.x")).alias("w"), "s.near", F.xxhash64(F.lit(1), "s.x").alias("a"), F.xxhash64(F.lit(2), "s.x").alias("b"))
 
-    def longer(x: Column) -> Column:
-        y = F.get(n0, x["at"] + size - 1)
-        return F.struct(x["at"].alias("at"), _name(x["id"], y["id"]).alias("id"), (x["w"] + y["w"]).alias("w"), x["w"].alias("l"), (x["f"] + y["w"]).alias("f"), x["lo"].alias("lo"), y["hi"].alias("hi"))
-
-    return F.transform(F.filter(below, lambda x: (x["f"] < min_words) & (x["at"] + size <= F.size(n0))), longer)
 
+def place() -> Column:
+    return F.struct(*DOC, "at")
 
-def _shortest(windows: Column, size: int, min_words: int) -> Column:
-    """(at, size, lo, hi, name) of the counting windows that stop counting without their first or without their last line."""
-    wanted = F.filter(windows, lambda x: (x["w"] >= min_words) & (F.least(x["l"], x["f"]) < min_words))
-    return F.transform(wanted, lambda x: F.struct(x["at"].alias("at"), F.lit(size).alias("size"), x["lo"].alias("lo"), x["hi"].alias("hi"), x["id"].alias("name")))
 
+def ranked(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, rank, first) of every key that stands at two places: its place in the order of all keys, and its first row's place.
 
-ODD = "\t\x0b\f\r"
-
-
-def _squeezed(text: Column) -> Column:
-    """text with every run of white space but line ends as one space; texts without any such run are left alone."""
-    odd = F.contains(text, F.lit("  "))
-    for c in ODD:
-        odd = odd | F.contains(text, F.lit(c))
-    return F.when(odd, F.regexp_replace(text, "[\\t\\x0B\\f\\r ]{2,}|[\\t\\x0B\\f\\r]", " ")).otherwise(text)
-
-
-def windows(docs: DataFrame, min_words: int = MIN_WORDS, any_size: bool = False) -> DataFrame:
-    """(doc, at, size, lo, hi, name): every counting window that is not implied by its halves; with any_size, every shortest one.
-
-    `at` counts non-blank lines; lo and hi are the window's first and last line among all lines of the text.
+    Ranks are sorted by range: they follow the order of the keys and are unique, though not gapless.
     """
-    lines = F.filter(F.transform(F.split(_squeezed(F.col("text").cast("string")), "\n"), lambda x, i: F.struct(F.trim(x).alias("x"), i.alias("i"))), lambda s: s["x"] != "")
-    df = docs.where("text IS NOT NULL").select(F.struct(F.col("doc_id"), F.xxhash64("text").alias("t")).alias("doc"), lines.alias("lines"))
-    words = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1
-    if any_size:
-        df = df.select("doc", F.transform("lines", lambda s, at: F.struct(at.alias("at"), _name(s["x"]).alias("id"), words(s["x"]).alias("w"), F.lit(0).alias("l"), F.lit(0).alias("f"), s["i"].alias("lo"), s["i"].alias("hi"))).alias("n1"))
-        for size in range(2, max(1, min_words) + 1):  # min_words lines always count
-            df = df.withColumn(f"n{size}", _grown(F.col("n1"), F.col(f"n{size - 1}"), size, min_words))
-        parts = [_shortest(F.col(f"n{size}"), size, min_words) for size in range(1, max(1, min_words) + 1)]
-        return df.select("doc", F.explode(F.concat(*parts)).alias("x")).select("doc", "x.at", "x.size", "x.lo", "x.hi", "x.name")
-    df = df.select("doc", F.transform("lines", lambda s: F.struct(_name(s["x"]).alias("id"), words(s["x"]).alias("w"), F.lit(0).alias("l"), s["i"].alias("lo"), s["i"].alias("hi"))).alias("n0"))
-    parts, half = [_placed(F.col("n0"), 1, min_words)], 1
-    for k in range(1, max(0, math.ceil(math.log2(min_words))) + 1):
-        df = df.withColumn(f"n{k}", _doubled(F.col(f"n{k - 1}"), half))
-        half *= 2
-        parts.append(_placed(F.col(f"n{k}"), half, min_words))
-    return df.select("doc", F.explode(F.concat(*parts)).alias("x")).select("doc", "x.at", "x.size", "x.lo", "x.hi", "x.name")
-
-
-def deletions(docs: DataFrame, min_words: int = MIN_WORDS, any_size: bool = False) -> DataFrame:
-    """(doc, runs): maximal runs (first, past the last: among non-blank lines; lo, hi: among all) to delete, for documents with any."""
-    w = cut(windows(docs, min_words, any_size))
-    place = F.struct("doc.doc_id", "doc.t", "at")
-    first = cut(w.groupBy("name", "size").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("name", "size", "first"))
-    later = w.join(first, ["name", "size"]).where(place > F.col("first")).select("doc", F.struct("at", (F.col("at") + F.col("size")).alias("past"), "lo", "hi").alias("span"))
-    spans = later.groupBy("doc").agg(F.sort_array(F.collect_list("span")).alias("spans"))  # at most a few for each of the document's own lines
-
-    def merge(runs: Column, s: Column) -> Column:
-        top = F.element_at(runs, -1)
-        grown = F.struct(top["at"].alias("at"), F.greatest(top["past"], s["past"]).alias("past"), top["lo"].alias("lo"), F.greatest(top["hi"], s["hi"]).alias("hi"))
-        return F.when(s["at"] <= top["past"], F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(grown))).otherwise(F.concat(runs, F.array(s)))
-
-    return spans.select("doc", F.aggregate(F.slice("spans", 2, F.size("spans")), F.slice("spans", 1, 1), merge).alias("runs"))
-
-
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, detail: bool = False, drop_emptied: bool = False, any_size: bool = False) -> DataFrame:
+    keys = rows.groupBy(*by).agg(F.min(place()).alias("first"), F.max(place()).alias("last")).where("first <> last").drop("last")
+    return cut(keys.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()))
+
+
+def _starts(short: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, t, at, need, rank): need holds (l, lo, hi) of the runs of l > 1 lines from here on that are to be looked up."""
+    w = Window.partitionBy(*DOC).orderBy("at")
+    rows = short.repartition(*DOC).dropDuplicates([*DOC, "at"])  # rows with one doc_id and one text are one document
+    ahead = rows.select("*", *[F.when(F.lead("at", k).over(w) == F.col("at") + k, F.struct(F.lead("w", k).over(w).alias("w"), F.lead("lo", k).over(w).alias("lo"))).alias(f"n{k}") for k in range(1, min_words)])
+    sums = [F.col("w")]
+    for k in range(1, min_words):
+        sums.append(sums[-1] + F.col(f"n{k}.w"))
+    ahead = ahead.select(*DOC, "at", "lo", "w", "rank", *[F.col(f"n{k}.lo").alias(f"hi{k + 1}") for k in range(1, min_words)], *[s.alias(f"s{k + 1}") for k, s in enumerate(sums)])
+    need = [
+        F.when((F.col(f"s{n}") >= min_words) & ((F.col(f"s{n - 1}") < min_words) | (F.col(f"s{n}") - F.col("w") < min_words)), F.struct(F.lit(n).alias("l"), F.col("lo").alias("lo"), F.col(f"hi{n}").alias("hi")))
+        for n in range(2, min_words + 1)
+    ]
+    return ahead.select(*DOC, "at", F.array_compact(F.array(*need)).alias("need"), "rank")
+
+
+def _later(rows: DataFrame, lines: Column, hi: Column) -> DataFrame:
+    """Spans of the rows that are not their interval's first."""
+    span = F.struct("at", (F.col("at") + lines).alias("past"), "lo", hi.alias("hi"))
+    return rows.where(place() > F.col("first")).select(*DOC, span.alias("span"))
+
+
+def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, t, span): later copies of runs; a span has at, past (of non-blank lines) and lo, hi (of all lines)."""
+    lines = cut(lines_of(docs, min_words))
+    lines = cut(lines.join(ranked(lines, "a", "b"), ["a", "b"]).drop("a", "b"))
+    found = [_later(lines.where(F.col("w") >= min_words), F.lit(1), F.col("lo"))]
+    if min_words > 1:
+        rows, h = _starts(lines.where("near").select(*DOC, "at", "lo", "w", "rank"), min_words), 1
+        w = Window.partitionBy(*DOC).orderBy("at")
+        while h < min_words:
+
+            def pair(n: int, h: int = h) -> Column:
+                """The pair that names the run of n lines from here on, if all of it may be repeated; wanted: it is to be looked up."""
+                there = F.when(F.lead("at", n - h).over(w) == F.col("at") + n - h, F.lead("rank", n - h).over(w))
+                want = F.get(F.filter("need", lambda x: x["l"] == n), F.lit(0))
+                return F.when(there.isNotNull() & (want.isNotNull() | (n == 2 * h)), F.struct(F.lit(n).alias("l"), there.alias("y"), want.alias("want")))
+
+            pairs = rows.select(*DOC, "at", "need", F.col("rank").alias("x"), F.array(*[pair(n) for n in range(h + 1, min(2 * h, min_words) + 1)]).alias("p"))
+            pairs = cut(pairs.select(*DOC, "at", "need", "x", F.explode(F.array_compact("p")).alias("p")).select(*DOC, "at", "need", "x", "p.*"))
+            met = cut(pairs.join(ranked(pairs, "l", "x", "y"), ["l", "x", "y"]).select(*DOC, "at", "need", "l", "want", "rank", "first"))
+            found.append(_later(met.where("want IS NOT NULL").select(*DOC, "at", "want.lo", "want.hi", "l", "first"), F.col("l"), F.col("hi")))
+            rows = met.where(F.col("l") == 2 * h).select(*DOC, "at", "need", "rank")
+            h *= 2
+    return reduce(DataFrame.unionByName, found)
+
+
+def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, t, runs): maximal runs to delete, in order (at, past: among non-blank lines; lo, hi: among all), for documents with any."""
+    mine = Window.partitionBy(*DOC).orderBy("span")
+    rows = spans(docs, min_words).withColumn("reached", F.max("span.past").over(mine.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("span.at") <= F.col("reached"), 0).otherwise(1)).over(mine))
+    runs = rows.groupBy(*DOC, "run").agg(F.min("span.at").alias("at"), F.max("span.past").alias("past"), F.min("span.lo").alias("lo"), F.max("span.hi").alias("hi"))
+    return runs.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("at", "past", "lo", "hi"))).alias("runs"))  # bounded by the document's own lines
+
+
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, detail: bool = False, drop_emptied: bool = False) -> DataFrame:
     """docs with later copies of repeated line runs deleted; all columns kept, n_chars brought up to date if present.
 
-    any_size: whole maximal runs of any number of lines, not only those that windows of 1, 2, 4, 8 .. lines show.
     drop_emptied: rows that lose all their lines (copies of earlier documents) go altogether; rows that were empty before stay.
     detail: instead (doc_id, n_lines, n_removed, n_runs, text), n_lines being non-blank lines and n_runs the maximal
     runs deleted. Null texts stay null and have no lines; blank lines always stay. Rows with one doc_id and one text are one
     document and get one result; a null doc_id sorts before all others. An empty table gives none. Documents that lose
-    nothing keep their exact text.
+    nothing keep their exact text. A text of any length is one row, and costs time in proportion to its length.
     """
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # so that no column's name can clash
-    joined = rows.join(deletions(docs, min_words, any_size), F.col("row.doc_id").eqNullSafe(F.col("doc.doc_id")) & (F.xxhash64("row.text") == F.col("doc.t")), "left")
+    joined = rows.join(deletions(docs, min_words), F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("t")), "left").select("row", "runs")
     old = F.col("row.text")
-    raw = F.split(old.cast("string"), "\n")
+    joined = joined.withColumn("raw", F.when(F.col("runs").isNotNull() | F.lit(detail), F.split(old.cast("string"), "\n")))
     blank = lambda x: F.btrim(x, F.lit(" " + ODD)) == ""
-    kept = F.filter(raw, lambda x, i: ~F.exists("runs", lambda r: i.between(r["lo"], r["hi"])) | blank(x))
+
+    def piece(r: Column, k: Column) -> Column:
+        """What stays of the lines from the end of the run before to the end of this one."""
+        done = F.coalesce(F.get("runs", k - 1)["hi"] + 1, F.lit(0))
+        return F.concat(F.slice("raw", done + 1, r["lo"] - done), F.filter(F.slice("raw", r["lo"] + 1, r["hi"] - r["lo"] + 1), blank))
+
+    end = F.element_at("runs", -1)["hi"] + 1
+    kept = F.concat(F.flatten(F.transform("runs", piece)), F.slice("raw", end + 1, F.size("raw")))
     text = F.when(F.col("runs").isNull(), old).otherwise(F.array_join(kept, "\n"))
     if detail:
-        n_lines = F.coalesce(F.size(F.filter(raw, lambda x: ~blank(x))), F.lit(0))
+        n_lines = F.coalesce(F.size(F.filter("raw", lambda x: ~blank(x))), F.lit(0))
         n_removed = F.coalesce(F.aggregate("runs", F.lit(0), lambda a, r: a + r["past"] - r["at"]), F.lit(0))
         return joined.select("row.doc_id", F.when(old.isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"), F.coalesce(F.array_size("runs"), F.lit(0)).cast("long").alias("n_runs"), text.alias("text"))
     out = joined.select("row", "runs", text.alias("text"))

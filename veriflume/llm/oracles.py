@@ -41,10 +41,12 @@ FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
 
 ORACLES = {"op2_url_filter": URL_FILTER, "op6_suffix_dedup": SUFFIX_DEDUP, "op10_decontaminate": DECONTAMINATE}
 
+#: a line goes where a run with at least eight words that holds it stands earlier too, the lines before and after it alike; a
+#: run of more than eight lines is the union of its runs of eight, which have a word a line at least
 LINE_DEDUP = r"""
 WITH raw AS (SELECT doc_id, text, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '[\t\x0B\f\r ]+', ' ', 'g'))), lambda x: x <> '') AS ls FROM documents),
 l AS (SELECT doc_id, ls, unnest(range(0, len(ls))) AS pos FROM raw),
-w AS (SELECT doc_id, pos, k, array_to_string(list_slice(ls, pos + 1, pos + k), chr(10)) AS g FROM l, (VALUES (1), (2), (4), (8)) AS s(k) WHERE pos + k <= len(ls)),
+w AS (SELECT doc_id, pos, k, array_to_string(list_slice(ls, pos + 1, pos + k), chr(10)) AS g FROM l, range(1, 9) AS s(k) WHERE pos + k <= len(ls)),
 c AS (SELECT * FROM w WHERE length(g) - length(replace(translate(g, chr(10), ' '), ' ', '')) + 1 >= 8),
 f AS (SELECT k, g, min((doc_id, pos)) AS first FROM c GROUP BY k, g HAVING count(*) > 1),
 dead AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + k)) AS p FROM c JOIN f USING (k, g) WHERE (doc_id, pos) > first),
