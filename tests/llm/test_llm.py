@@ -134,6 +134,40 @@ def test_toxicity_held_out(spark):
     assert len(got) == 10_000
 
 
+def test_toxicity_without_gold(spark):
+    """Seeds and patterns alone, which owe nothing to the labels; texts whose toxic words are invented stay out of their reach."""
+    d = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    got = [(r["score"], truth[r["doc_id"]]) for r in toxicity.judge(docs, labels, use_gold=False).collect() if r["held_out"] and r["doc_id"] in truth and lang[r["doc_id"]] == "en"]
+    pos, neg = [s for s, y in got if y], [s for s, y in got if not y]
+    assert np.mean([(p > n) + (p == n) / 2 for p in pos for n in neg]) > 0.9
+
+
+def test_toxicity_patterns():
+    voters = toxicity.Voters(toxicity.SEEDS)
+    flags = lambda t: voters.of(t)[1][[5, 6, 7]].tolist()
+    assert flags("YOU THERE STOP DOING ALL THAT") == [1, 0, 0] and flags("stop!! now") == [0, 1, 0] and flags("what a f**k, s#it") == [0, 0, 1]
+    assert flags(None) == flags("") == flags("a fine day. A b2b @home") == [0, 0, 0]
+    assert voters.of("Idiots are idiotic")[1][0] == np.float32(math.log1p(2)) and voters.of("x " * 1_000_000)[1][3] == 1
+
+
+def test_toxicity_without_documents_or_classes(spark):
+    docs = clashing(spark, ["awful", "fine", None])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    far = spark.createDataFrame([(i, i % 2) for i in range(1000, 1040)], "doc_id long, toxic int")
+    assert toxicity.judge(docs.where("false"), labels).count() == 0 and toxicity.drop_toxic(docs.where("false"), labels).count() == 0
+    assert {r["score"] for r in toxicity.judge(docs, far).collect()} == {0.0} and toxicity.drop_toxic(docs, far).columns == docs.columns
+    assert {r["score"] for r in toxicity.judge(docs, labels.where("toxic = 1")).collect()} == {0.0}
+    one = toxicity.judge(docs.where("doc_id = 1"), labels)  # labels of both classes, documents of one
+    assert [r["score"] for r in one.collect()] == [0.0]
+    long = clashing(spark, [("awful " if i % 2 else "fine ") * (200_000 if i < 2 else 3) for i in range(60)])
+    got = {r["doc_id"]: r["score"] for r in toxicity.judge(long, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")).collect()}
+    assert got[1] > 0.5 > got[0] and got[3] == got[5] and toxicity.drop_toxic(long, labels).columns == long.columns
+
+
 def test_toxicity_odd_rows(spark):
     docs = docs_of(spark, [None, "", "x", "x"], [1, 2, 3, 3])
     none = spark.createDataFrame([], "doc_id long, toxic int")

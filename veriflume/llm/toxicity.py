@@ -1,13 +1,16 @@
 """Toxicity scoring by weak supervision.
 
-1. Voters. Lexicon voters are words and word beginnings that the labelled training rows associate with toxic text; each
-   votes toxic where it occurs and abstains elsewhere. Pattern voters look at how many voters fired, how dense they are, and
-   whether none did. The gold label is one more voter, of unknown accuracy.
+1. Voters. Lexicon voters are general insults (SEEDS, which owe nothing to the labels) and words and word beginnings that the
+   labelled training rows associate with toxic text; each votes toxic where it occurs and abstains elsewhere. Pattern voters
+   look at how many lexicon voters fired, how dense they are and whether none did, and at shouting, runs of exclamation marks
+   and masked words, whatever the words. The gold label is one more voter, of unknown accuracy.
 2. Label model. A generative model of the votes, fitted by expectation-maximisation, estimates every voter's firing rates
    given the hidden class (its accuracy) and, from residual covariances given the class, the correlations between voters;
-   voters that say the same thing share one vote.
+   voters that say the same thing share one vote. It starts from the seeds' votes, and the gold votes where they are used.
 3. Classifier. Logistic regression on the voters' counts and the patterns is trained on the posterior labels. It alone
    scores texts, whole.
+
+With use_gold=False neither the voters nor their model see a label: seeds and patterns alone make the posterior labels.
 """
 
 from __future__ import annotations
@@ -31,14 +34,27 @@ STEMS = range(3, 9)
 ROUNDS, L2 = 25, 1e-3
 PREDICT_AT = 0.3
 WORD = re.compile(r"[^\W\d_]+")
-PATTERNS = 5
+PATTERNS = 8
+#: the patterns that vote: several hits, no hit, shouting, exclamations, masked words
+VOTING = [2, 3, 5, 6, 7]
+#: general insults and threats in English, German, French and Spanish; '*' stands for any ending
+SEEDS = """
+asshole bastard bitch clown coward cretin* crap damn* degenerate disgusting disgrace dumb* fool* freak* garbage hate hateful hideous idiot*
+imbecile* jerk* kill liar* loser* lowlife lunatic moron* nasty pathetic pig* repulsive rubbish scum shit* shut sicken* stupid* subhuman trash*
+ugly useless vermin vile worthless wretch*
+abschaum arschloch* dreck* dumm* ekelhaft* feigling* hass* idiotisch* miststück* müll schwachkopf* schwein* trottel* verlierer* versager* widerlich* wertlos*
+abruti* connard* connasse* crétin* débile* dégoût* haine imbécile* minable* moche nul ordure* pourri* salaud* salope* stupide* tais
+asco asqueros* basura cabrón* cerdo* cállate despreciable* estúpid* gilipollas inútil* idiota* imbécil* mierda odio patétic* perdedor* tont*
+""".split()
+MASKED = re.compile(r"[^\W\d_][*@#$]{2,}|[^\W\d_][*@#$][^\W\d_]")
+UPPER, LETTERS = bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123)])
 #: words whose voters a task remembers
 REMEMBERED = 200_000
 
 
-def tokens_of(word: str) -> list[str]:
+def tokens_of(word: str, stems=STEMS) -> list[str]:
     """The voters a word may set off: itself and its beginnings (marked by a trailing '*')."""
-    return [word, *(word[:n] + "*" for n in STEMS if n <= len(word))]
+    return [word, *(word[:n] + "*" for n in stems if n <= len(word))]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -51,6 +67,7 @@ class Voters:
     def __init__(self, lexicon: list[str]):
         self.at = {t: i for i, t in enumerate(lexicon)}
         self.size = len(lexicon)
+        self.stems = sorted({len(t) - 1 for t in lexicon if t.endswith("*")} | {*STEMS})
         self.known: dict[str, tuple[int, ...]] = {}
 
     def of(self, text: str | None) -> tuple[dict[int, int], np.ndarray]:
@@ -62,13 +79,17 @@ class Voters:
         for word, n in Counter(words).items():
             mine = self.known.get(word)
             if mine is None:
-                mine = self.known[word] = tuple(self.at[t] for t in tokens_of(word) if t in self.at)
+                mine = self.known[word] = tuple(self.at[t] for t in tokens_of(word, self.stems) if t in self.at)
             if mine:
                 fired += n
                 for i in mine:
                     hits[i] = hits.get(i, 0) + n
         total = max(1, len(words))
-        return hits, np.array([math.log1p(fired), min(1.0, 20 * fired / total), float(fired > 1), float(fired == 0), math.log1p(total) / 10], np.float32)
+        data = text.encode("utf-8", "surrogatepass") if text else b""
+        letters = len(data) - len(data.translate(None, LETTERS))
+        loud = letters >= 20 and 2 * (len(data) - len(data.translate(None, UPPER))) > letters
+        masked = bool(text) and not data.isalnum() and MASKED.search(text) is not None
+        return hits, np.array([math.log1p(fired), min(1.0, 20 * fired / total), fired > 1, fired == 0, math.log1p(total) / 10, loud, b"!!" in data, masked], np.float32)
 
     def row(self, text: str | None) -> np.ndarray:
         hits, pattern = self.of(text)
@@ -79,30 +100,33 @@ class Voters:
         return out
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of class 1, firing rates [voters, 2], weights) of binary votes and the gold voter, by EM.
+def label_model(votes: np.ndarray, gold: np.ndarray | None, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of class 1, firing rates [voters, 2], weights) of binary votes and the gold voter (if any), by EM.
 
+    start: rows that are taken for class 1 at first (default: those that gold votes for).
     Correlations: residual covariance of votes given the posterior; a voter's weight is one over the number of voters that it
     moves together with, itself included.
     """
     n = len(votes)
-    q = np.where(gold > 0, 0.9, 0.05)
+    yes = np.zeros(n, bool) if gold is None else gold > 0
+    q = np.where(yes if start is None else yes | start, 0.9, 0.05)
     weight = np.ones(votes.shape[1])
     rate = np.zeros((votes.shape[1], 2))
     for turn in range(ROUNDS):
         prior = (q.sum() + 1) / (n + 2)
         for c, r in ((0, 1 - q), (1, q)):
             rate[:, c] = (r @ votes + 0.5) / (r.sum() + 1)
-        gold_rate = [((1 - q) @ gold + 0.5) / ((1 - q).sum() + 1), (q @ gold + 0.5) / (q.sum() + 1)]
+        gold_rate = [0.5, 0.5] if gold is None else [((1 - q) @ gold + 0.5) / ((1 - q).sum() + 1), (q @ gold + 0.5) / (q.sum() + 1)]
         if turn in (2, 6):
             left = votes - (np.outer(q, rate[:, 1]) + np.outer(1 - q, rate[:, 0])).astype(np.float32)
             cov = left.T @ left / n
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             weight = 1 / np.maximum(1, np.maximum(cov / np.outer(sd, sd), 0).sum(1))
-        yes = np.log(rate[:, 1] / rate[:, 0]) * weight
-        no = np.log((1 - rate[:, 1]) / (1 - rate[:, 0])) * weight
-        score = math.log(prior / (1 - prior)) + votes @ (yes - no).astype(np.float32) + no.sum()
-        score = score + np.where(gold > 0, math.log(gold_rate[1] / gold_rate[0]), math.log((1 - gold_rate[1]) / (1 - gold_rate[0])))
+        fires = np.log(rate[:, 1] / rate[:, 0]) * weight
+        silent = np.log((1 - rate[:, 1]) / (1 - rate[:, 0])) * weight
+        score = math.log(prior / (1 - prior)) + votes @ (fires - silent).astype(np.float32) + silent.sum()
+        if gold is not None:
+            score = score + np.where(gold > 0, math.log(gold_rate[1] / gold_rate[0]), math.log((1 - gold_rate[1]) / (1 - gold_rate[0])))
         q = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
     return q, rate, weight
 
@@ -157,8 +181,11 @@ def lexicon_of(train: DataFrame, n_pos: int, n_neg: int, voters: int = VOTERS, s
     return list(kept)
 
 
-def fit(docs: DataFrame, gold: DataFrame):
-    """A model (lexicon, weights, intercept) of documents (doc_id, text) and their labels (doc_id, toxic 0/1); None if a class is missing."""
+def fit(docs: DataFrame, gold: DataFrame, use_gold: bool = True):
+    """A model (lexicon, weights, intercept) of documents (doc_id, text) and their labels (doc_id, toxic 0/1).
+
+    None if the labels, or those of the documents there are, lack a class. use_gold=False: labels only choose the rows of the fit.
+    """
     n = {r["toxic"]: r["n"] for r in gold.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return None
@@ -167,7 +194,14 @@ def fit(docs: DataFrame, gold: DataFrame):
     rate = F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
     picked = gold.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
     sample = cut(docs.join(F.broadcast(picked), "doc_id"))
-    lexicon = lexicon_of(sample.select("text", "toxic"), int(n[1] * share[1]), int(n[0] * share[0]))
+    lexicon = list(SEEDS)
+    if use_gold:
+        mine = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+        if not mine.get(0) or not mine.get(1):
+            return None
+        found = lexicon_of(sample.select("text", "toxic"), mine[1], mine[0])
+        lexicon = [*found, *(t for t in SEEDS if t not in set(found))]
+    seeds = np.isin(lexicon, SEEDS)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         voters = Voters(lexicon)
@@ -176,11 +210,13 @@ def fit(docs: DataFrame, gold: DataFrame):
 
     kind = sample.schema["doc_id"].dataType.simpleString()
     got = sorted(((r["doc_id"], r["toxic"], bytes(r["row"])) for r in map_small(sample, features, f"doc_id {kind}, toxic int, row binary").collect()), key=lambda r: (r[0], r[1]))
+    if not got:
+        return None
     x = np.frombuffer(b"".join(r for *_, r in got), np.float16).reshape(len(got), -1).astype(np.float32)
     gold = np.array([t for _, t, _ in got], np.float64)
     size = len(lexicon)
-    votes = np.hstack([x[:, :size] > 0, x[:, size + 2 : size + 4]]).astype(np.float32)
-    posterior, _, _ = label_model(votes, gold)
+    votes = np.hstack([x[:, :size] > 0, x[:, [size + k for k in VOTING]] > 0]).astype(np.float32)
+    posterior, _, _ = label_model(votes, gold if use_gold else None, (votes[:, :size][:, seeds] > 0).any(1) if not use_gold else None)
     posterior = np.clip(posterior, 0.01, 0.99)
     w, b = logistic(x, posterior)
     b += math.log(share[0] / share[1])  # back to the corpus's own share of toxic rows
@@ -216,7 +252,7 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame):
+def train(docs: DataFrame, labels: DataFrame, use_gold: bool = True):
     """The model learned from the labels of documents that are not held out.
 
     Null labels are ignored; several labels of a document count as toxic when at least half are. Texts are null-safe: a null
@@ -224,16 +260,19 @@ def train(docs: DataFrame, labels: DataFrame):
     """
     gold = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     gold = gold.where(~held_out())
-    return fit(docs.select("doc_id", F.col("text").cast("string").alias("text")), gold)
+    return fit(docs.select("doc_id", F.col("text").cast("string").alias("text")), gold, use_gold)
+
 
+def judge(docs: DataFrame, labels: DataFrame, use_gold: bool = True) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row: null and empty texts too; repeated rows each give one.
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row: null and empty texts too; repeated rows each give one."""
-    return score(docs, train(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    Equal texts get equal scores. Empty documents or labels, or labels of other documents only: every score is 0.
+    """
+    return score(docs, train(docs, labels, use_gold)).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, at: float = PREDICT_AT) -> DataFrame:
-    """The rows of docs, all columns kept, that score under `at`."""
+    """The rows of docs, all columns kept, that score under `at`; all of them where there is nothing to learn from."""
     model = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
