@@ -53,13 +53,70 @@ def test_rolling_hash():
 PAGE = "<html><head><title>t</title><script>var a='<p>no</p>';</script></head><body><nav><ul><li>Menu</li></ul></nav><div class='ad'>Buy</div><article><h1>Head&amp;line</h1><p>One  <b>two</b>\n three<br>four<p>Next &lt;x&gt;<div class='comments'><p>Reader says</p></div></article><aside>Side</aside><footer>Foot</footer></body></html>"
 
 
-def test_style_tree_page():
-    assert style_tree.main_blocks(PAGE, set()) == ["Head&line", "One two three four", "Next <x>"]
-    assert style_tree.main_blocks("", set()) == [] == style_tree.main_blocks(None, set())
-    assert style_tree.main_blocks("plain & simple", set()) == ["plain & simple"]
-    assert style_tree.main_blocks("<p>a<!-- <p>no</p> -->b", set()) == ["ab"]
-    assert style_tree.main_blocks("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", set()) == ["a", "b", "c", "d"]
-    assert len(style_tree.main_blocks("<p>x" * 5000, set())) == 5000
+def alone(spark, *pages):
+    """The main text of pages of one host each."""
+    df = spark.createDataFrame([(i, f"http://h{i}.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"].split("\n\n") if r["text"] else [] for r in style_tree.extract(df).orderBy("page_id").collect()]
+
+
+def test_style_tree_page(spark):
+    pages = [PAGE, "", None, "plain & simple", "<p>a<!-- <p>no</p> -->b", "<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "".join(f"<p>x{i}" for i in range(5000)), "<p>one <span class=ad>no</span> two<main></main>", "<p>a " + "word " * 300_000]
+    got = alone(spark, *pages)
+    assert got[0] == ["Head&line", "One two three four", "Next <x>"]
+    assert got[1:6] == [[], [], ["plain & simple"], ["ab"], ["a", "b", "c", "d"]] and len(got[6]) == 5000
+    assert got[7] == ["one two"] and len(got[8][0]) == 1_500_001
+    everything = style_tree.main_blocks(PAGE, set())  # without the tree nothing but scripts and styles goes
+    assert {"Menu", "Buy", "Side", "Foot", "Reader says", "Head&line"} <= set(everything) and not any("no" in t for t in everything)
+
+
+def brute_importance(pages):
+    """{(host, path): importance} by loops over the parsed pages."""
+    from collections import Counter
+
+    features = {}
+    for url, page in pages:
+        blocks, nodes = style_tree.parse(page)
+        for kind, found in ((0, nodes), (1, blocks)):
+            for path, x in found:
+                features.setdefault((url_filter.split_url(url)[0], path, kind), Counter())[x] += 1
+    own = {}
+    for k, c in features.items():
+        m = sum(c.values())
+        if m == 1:
+            own[k] = 1.0
+        elif k[2] == 0:
+            own[k] = -sum(n / m * math.log(n / m) for n in c.values()) / math.log(m)
+        else:
+            own[k] = 1 - sum(math.log(n) for n in c.values()) / len(c) / math.log(m)
+    out = {}
+    for (host, path, kind), v in own.items():
+        if kind == 0:
+            below = [(sum(features[k].values()), own[k], "+" in k[1] and "!" not in k[1]) for k in own if k[2] == 1 and k[0] == host and (k[1] == path or k[1].startswith(path + ">"))]
+            if below:
+                v = 0.1 * v + 0.9 * sum(m * x for m, x, _ in below) / sum(m for m, *_ in below)
+            noise = "!" in path or path[0] == "L" and "+" not in path and not any(g for *_, g in below)
+            faith = not noise and ("+" in path or any(g for *_, g in below))
+            out[host, path] = 0.25 * v if noise else 0.5 + 0.5 * v if faith else v
+    return out
+
+
+def test_style_tree_importance_against_loops(spark):
+    d = "/root/testdata/sf0.001"
+    pages = [(r["url"], r["html"]) for r in spark.read.parquet(f"{d}/pages.parquet").collect()]
+    pages += [(f"http://t.example/{i}", f"<body><div>Notice</div><div class=x{i % 3}><p>{i} own</p></div>{'<main>m</main>' if i % 2 else ''}</body>") for i in range(12)]
+    got = {(r["host"], r["path"]): r["importance"] for r in style_tree.statistics(spark.createDataFrame(pages, "url string, html string")).collect()}
+    want = brute_importance(pages)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_style_tree_without_landmarks(spark):
+    """Sample pages of one host whose article is a nameless div, with a notice that only its repetition gives away."""
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/pages.parquet").orderBy("page_id").collect()
+    plain = [(r["page_id"], f"http://one.example/{i}", r["html"].replace("<article>", "<div><p>The same words everywhere</p></div><section>").replace("</article>", "</section>")) for i, r in enumerate(rows)]
+    want = {r["page_id"]: r["text"] for r in queries.op1_style_tree(spark, d).collect()}
+    got = {r["page_id"]: r["text"] for r in style_tree.extract(spark.createDataFrame(plain, "page_id long, url string, html string")).collect()}
+    assert len(rows) > 20 and got == want
 
 
 def test_style_tree_learns_a_template(spark):

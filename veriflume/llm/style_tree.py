@@ -1,14 +1,16 @@
 """Main-text extraction with site style trees.
 
-Pages of one host are merged into one tree: nodes are keyed by their path of tags and first class names. For every
-node of a host the corpus gives two entropies. Presentation: how evenly its occurrences spread over different child
-sequences. Content: how rarely the same text comes back in its leaves. Uniform, repetitive branches (templates,
-notices, link lists) get a low composite importance and are removed from each page; varied ones stay.
-
-HTML semantics act as priors on that tree: branches that are navigation, page furniture, forms, scripts, adverts or
-reader comments by tag, role or class name are noise whatever their entropy, and text inside an article or main
-landmark is the page's own, so repeated copies of one article on a host do not erase it. Style-tree removal decides
-for pages without such a landmark.
+Pages of one host are merged into one tree: nodes are keyed by their path of tags and first class names; pages with a
+landmark (an article or main element with text) and pages without one grow apart from the root. For every node of a host the
+corpus gives two entropies. Presentation: how evenly its occurrences spread over different child sequences. Content: how
+rarely the same text comes back in its leaves. Together they are the node's own importance. Uniform, repetitive branches
+(templates, notices, link lists) get a low one, varied ones a high one.
+
+HTML semantics are priors on it. A node that is navigation, page furniture, a form, an advert or reader comments by tag, role or
+class name, or that lies outside the landmarks of pages that have them, keeps DOUBT of its own importance. A landmark, what it
+holds and what holds it have FAITH at least, so that copies of one article on a host do not erase it. Every page loses the
+branches whose importance is under THRESHOLD; nothing else decides, and without the tree a page keeps all its text but scripts
+and styles.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +31,15 @@ from .url_filter import split_url
 THRESHOLD, MIN_SEEN = 0.3, 8
 #: weight of the content of what lies below a node against its own presentation
 GAMMA = 0.9
+#: what priors make of a node's own importance v: DOUBT * v for noise, FAITH + (1 - FAITH) * v for landmarks
+DOUBT, FAITH = 0.25, 0.5
 #: host verdicts up to this many are broadcast (about 100 bytes each); beyond, they are joined to their pages
 BROADCAST_ROWS = 200_000
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+ODD = re.compile(r"[^a-z0-9:_.-]")
 
 # Names with a meaning in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,10 +56,10 @@ LANDMARKS = frozenset("article main".split())
 
 
 class Node:
-    __slots__ = ("tag", "path", "noise", "landmark", "children")
+    __slots__ = ("tag", "path", "noise", "landmark", "children", "texts")
 
-    def __init__(self, tag, path, noise, landmark):
-        self.tag, self.path, self.noise, self.landmark, self.children = tag, path, noise, landmark, []
+    def __init__(self, tag, path, noise, landmark, texts=None):
+        self.tag, self.path, self.noise, self.landmark, self.children, self.texts = tag, path, noise, landmark, [], texts
 
 
 def _names(attrs: str) -> tuple[list[str], str, bool]:
@@ -71,26 +77,39 @@ def _names(attrs: str) -> tuple[list[str], str, bool]:
 
 
 def parse(page: str):
-    """(blocks, nodes): blocks (path, text, landmark) that are not noise, in page order; nodes (path, children) of all elements."""
+    """(blocks, nodes): blocks (path, text) in page order; nodes (path, children) of all elements and texts.
+
+    A path is a step a node from the root, which says whether the page has a landmark (L) or not (N). A step is a tag and first
+    class name, with + for a landmark and ! for noise; # is text. Noise is one node with all its text.
+    """
     root = Node("", "", False, False)
     stack, blocks, nodes, buffer = [root], [], [], []
     at = 0
 
     def text(raw: str) -> None:
-        if raw and not stack[-1].noise:
-            buffer.append(html.unescape(raw) if "&" in raw else raw)
+        if raw:
+            top = stack[-1]
+            (top.texts if top.noise else buffer).append(html.unescape(raw) if "&" in raw else raw)
+
+    def block_of(path: str, parts: list[str]) -> None:
+        joined = " ".join("".join(parts).split())
+        parts.clear()
+        if joined:
+            blocks.append((path, joined))
 
     def flush() -> None:
         if buffer:
-            joined = " ".join("".join(buffer).split())
-            buffer.clear()
-            if joined:
-                top = stack[-1]
-                blocks.append((top.path, joined, top.landmark))
+            path = stack[-1].path + ">#"
+            block_of(path, buffer)
+            nodes.append((path, ""))
 
     def leave() -> None:
         node = stack.pop()
-        nodes.append((node.path, " ".join(node.children)))
+        if not node.noise:
+            nodes.append((node.path, " ".join(node.children)))
+        elif not stack[-1].noise:
+            nodes.append((node.path, " ".join(node.children)))
+            block_of(node.path, node.texts)
 
     while True:
         m = TAG.search(page, at)
@@ -107,18 +126,21 @@ def parse(page: str):
         if m[1] or m[4]:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
             if depth:
-                if any(n.tag in BLOCK for n in stack[depth:]):
+                if not stack[-1].noise and any(n.tag in BLOCK for n in stack[depth:]):
                     flush()
                 while len(stack) > depth:
                     leave()
             continue
         attrs = m[3] if m[2] else m[6]
         if tag == "br":
-            buffer.append(" ")
+            text(" ")
             continue
         block = tag in BLOCK
         if block:
-            flush()
+            if stack[-1].noise:
+                text(" ")
+            else:
+                flush()
             if tag in CLOSES_P and any(n.tag == "p" for n in stack):
                 depth = next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p")
                 while len(stack) > depth:
@@ -141,42 +163,47 @@ def parse(page: str):
             top.children.append(tag)
             continue
         words, role, hidden = _names(attrs) if attrs and attrs.strip() else ([], "", False)
-        noise = top.noise
-        if not noise and tag not in ("html", "body"):
+        noise = False
+        if not top.noise and tag not in ("html", "body"):
             named = set(words)
             if tag in LANDMARKS:
                 noise = bool(named & COMMENT_NAMES) or hidden
             else:
                 noise = tag in NOISE_TAGS or role in NOISE_ROLES or hidden or bool(named & NOISE_NAMES) or not top.landmark and (tag == "header" or bool(named & HEADERS))
-        key = tag + ("." + re.sub(r"\d+", "0", words[0]) if words else "")
+        if top.noise:
+            stack.append(Node(tag, top.path, True, False, top.texts))
+            continue
+        landmark = top.landmark or not noise and (tag in LANDMARKS or role == "main")
+        key = (tag if tag.isalnum() else ODD.sub("_", tag)) + ("." + re.sub(r"\d+", "0", words[0]) if words else "") + ("!" if noise else "+" if landmark and not top.landmark else "")
         top.children.append(key)
-        stack.append(Node(tag, f"{top.path}>{key}", noise, top.landmark or tag in LANDMARKS or role == "main"))
-    flush()
+        stack.append(Node(tag, f"{top.path}>{key}", noise, landmark and not noise, [] if noise else None))
     while len(stack) > 1:
+        if not stack[-1].noise:
+            flush()
         leave()
-    return blocks, nodes
+    flush()
+    kind = "L" if any("+" in p and "!" not in p for p, _ in blocks) else "N"
+    return [(kind + p, t) for p, t in blocks], [(kind + p, c) for p, c in nodes]
 
 
 def main_blocks(page: str | None, low: set[str]) -> list[str]:
-    """Texts of a page's own blocks: those in landmarks, else those with no branch of low importance above them."""
+    """Texts of a page's blocks that have no branch of low importance above them."""
     if not page:
         return []
-    blocks, _ = parse(page)
-    inside = [t for _, t, landmark in blocks if landmark]
-    if inside:
-        return inside
-    out = []
-    for path, t, _ in blocks:
-        steps = path.split(">")
-        if not low or not any(">".join(steps[:i]) in low for i in range(2, len(steps) + 1)):
+    out, known = [], {}
+    for path, t in parse(page)[0]:
+        if path not in known:
+            known[path] = bool(low) and (path in low or any(path[:i] in low for i, c in enumerate(path) if c == ">"))
+        if not known[path]:
             out.append(t)
     return out
 
 
 def statistics(pages: DataFrame) -> DataFrame:
-    """(host, path, importance, seen): composite importance of every node of every host's tree."""
+    """(host, path, importance, seen, prior) of every node of every host's tree; prior: -1 noise, 1 landmark, 0 neither."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest = lambda t: xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)
         for pdf in batches:
             out = {}
             for url, page in zip(pdf["url"], pdf["html"]):
@@ -184,29 +211,38 @@ def statistics(pages: DataFrame) -> DataFrame:
                     continue
                 host = split_url(url)[0]
                 blocks, nodes = parse(page)
-                for path, children in nodes:
-                    k = (host, path, 0, children)
-                    out[k] = out.get(k, 0) + 1
-                for path, t, _ in blocks:
-                    k = (host, path, 1, t)
-                    out[k] = out.get(k, 0) + 1
-            yield pd.DataFrame([(*k, n) for k, n in out.items()], columns=["host", "path", "kind", "feature", "n"])
-
-    seen = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInPandas(run, "host string, path string, kind int, feature string, n long")
-    per_feature = seen.groupBy("host", "path", "kind", F.xxhash64("feature").alias("f")).agg(F.sum("n").alias("n"))
+                for kind, found in ((0, nodes), (1, blocks)):
+                    for path, feature in found:
+                        k = (host, path, kind, digest(feature))
+                        out[k] = out.get(k, 0) + 1
+            yield pd.DataFrame([(*k, n) for k, n in out.items()], columns=["host", "path", "kind", "f", "n"])
+
+    seen = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInPandas(run, "host string, path string, kind int, f long, n long")
+    per_feature = seen.groupBy("host", "path", "kind", "f").agg(F.sum("n").alias("n"))
     log_n = F.log("n")
     per_node = per_feature.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * log_n).alias("nlogn"), F.avg(log_n).alias("logn"))
     log_m = F.log("m")
     spread = F.when(F.col("m") == 1, 1.0).when(F.col("kind") == 0, (log_m - F.col("nlogn") / F.col("m")) / log_m).otherwise(1 - F.col("logn") / log_m)
-    per_node = per_node.select("host", "path", "kind", "m", spread.alias("v"))
+    per_node = cut(per_node.select("host", "path", "kind", "m", spread.alias("v")))  # read twice below; pages are parsed once for it
     # content of a node: its leaves' content, weighted by how often they occur
     steps = F.split("path", ">")
     up = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), ">"))
-    leaves = per_node.where("kind = 1").where(F.size(steps) >= 2).select("host", F.explode(up).alias("path"), "m", "v")
-    content = leaves.groupBy("host", "path").agg((F.sum(F.col("m") * F.col("v")) / F.sum("m")).alias("content"))
+    good = F.contains("path", F.lit("+")) & ~F.contains("path", F.lit("!"))
+    leaves = per_node.where("kind = 1").select("host", F.explode(up).alias("path"), "m", "v", good.alias("good"))
+    content = leaves.groupBy("host", "path").agg((F.sum(F.col("m") * F.col("v")) / F.sum("m")).alias("content"), F.bool_or("good").alias("good"))
     nodes = per_node.where("kind = 0").select("host", "path", F.col("m").alias("seen"), F.col("v").alias("presentation"))
     value = F.when(F.col("content").isNull(), F.col("presentation")).otherwise((1 - GAMMA) * F.col("presentation") + GAMMA * F.col("content"))
-    return nodes.join(content, ["host", "path"], "left").select("host", "path", value.alias("importance"), "seen")
+    prior = F.when(F.contains("path", F.lit("!")), -1).when(F.contains("path", F.lit("+")) | F.col("good"), 1).when(F.startswith("path", F.lit("L")), -1).otherwise(0)
+    nodes = nodes.join(content, ["host", "path"], "left").select("host", "path", value.alias("v"), "seen", prior.alias("prior"))
+    importance = F.when(F.col("prior") < 0, DOUBT * F.col("v")).when(F.col("prior") > 0, FAITH + (1 - FAITH) * F.col("v")).otherwise(F.col("v"))
+    return nodes.select("host", "path", importance.alias("importance"), "seen", "prior")
+
+
+def low_nodes(pages: DataFrame, threshold: float = THRESHOLD, min_seen: int = MIN_SEEN) -> DataFrame:
+    """(host, path) of the nodes that go, without those right below another one. Entropies alone condemn only what is seen often enough."""
+    low = cut(statistics(pages).where((F.col("importance") < threshold) & ((F.col("seen") >= min_seen) | (F.col("prior") < 0))).select("host", "path"))
+    above = low.select("host", F.col("path").alias("parent"))
+    return low.withColumn("parent", F.regexp_extract("path", "^(.*)>", 1)).join(above, ["host", "parent"], "left_anti").select("host", "path")
 
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD, min_seen: int = MIN_SEEN, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -219,7 +255,7 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD, min_seen: int = MIN_
     spark = pages.sparkSession
     kind = pages.schema["page_id"].dataType.simpleString()
     base = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    low = cut(statistics(pages).where((F.col("importance") < threshold) & (F.col("seen") >= min_seen)).select("host", "path"))
+    low = cut(low_nodes(pages, threshold, min_seen))
     out = f"page_id {kind}, url string, text string, n_chars long"
 
     def rows(pdf: pd.DataFrame, texts: list[str]) -> pd.DataFrame:
