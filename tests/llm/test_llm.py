@@ -553,6 +553,32 @@ def test_encoder_is_exact():
     assert list(encoder.encode(texts)) == want
 
 
+def test_encoder_falls_back_to_whole_texts():
+    import public_tokenizers
+
+    assert not bin_slack.encoder_of(queries.tokenizer_path()).whole
+    encoder = bin_slack.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Two  words and\nlines ", "", None, "İ ß don't"]
+    assert encoder.whole and list(encoder.encode(texts)) == [np.array(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_encoder_forgets_by_bytes(monkeypatch):
+    monkeypatch.setattr(bin_slack, "CACHE", 20_000)
+    encoder, rng = bin_slack.Encoder(queries.tokenizer_path()), random.Random(2)
+    for _ in range(20):
+        texts = [prose(rng, 40, 9999) + " é.x" for _ in range(5)]
+        assert list(encoder.encode(texts)) == [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert encoder.held < 300_000
+
+
+def test_packing_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(bin_slack, "PART", 5)
+    df = clashing(spark, ["a b c"] * 40 + ["d " * k for k in range(60)] + ["long word " * 700_000])
+    rows = bin_slack.pack(df, queries.tokenizer_path(), 64).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows) and {r["doc_id"] for r in rows} == set(range(101))
+    assert check_packing(rows, 64) <= math.ceil(sum(r["length"] for r in rows) / 64) + 1
+
+
 def test_packing_odd_rows(spark):
     df = docs_of(spark, [None, "", "word", "word", "long word " * 3000], [1, 2, 3, 3, None])
     rows = bin_slack.pack(df, queries.tokenizer_path()).collect()

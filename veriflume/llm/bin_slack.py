@@ -21,10 +21,15 @@ from pyspark.sql import functions as F
 from .common import cut, map_small, Rolling, trimmed, turn_to
 
 CAPACITY = 2048
-#: pieces of one length are ranked in so many independent parts
-SALTS = 64
-#: distinct chunks of text whose ids a worker remembers; bytes of text split at once
-CACHE, STRIDE = 600_000, 1_000_000
+#: pieces of one length are ranked in parts of about so many, or of more where that would make over MOST_PARTS parts
+PART, MOST_PARTS = 1024, 100_000
+#: bytes that a worker remembers of chunks of text, their ids and the bookkeeping of both; bytes of text split at once
+CACHE, STRIDE = 64_000_000, 1_000_000
+#: texts on which a tokenizer must agree with the split into chunks, else it gets whole texts
+PROBES = [
+    "Plain words, and MORE of them.", "don't I'M we'll o'clock 'tis", "a.b,c;d e--f ... g?! (h) [i] {j}", "x_y 12,5 3.14 100% #tag @me", "Ünïcödé straße ΣΑΣ İstanbul ŉ ﬁ Ǆ", "tabs\tand\nlines\r\nand\x0bmore  spaces ",
+    "日本語 テスト。 word", "a\x1cb \x1f c", "e\u0301 \u0301e é\u0301", "word### tail&&& it's,' \"quoted\"", " lead and trail ", "don' t , ' s",
+]
 
 
 def fullest(lengths: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
@@ -104,31 +109,43 @@ def chunks_of(low: np.ndarray, split: bool) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """Token ids of texts, one chunk between ASCII white space at a time.
 
-    Exact because the tokenizer's splitting never joins across white space, because punctuation after a word is a token
-    sequence of its own, and because it lower-cases: Latin words are encoded in lower case, many to a call, and told apart
-    by the word-end mark of their last tokens. All other chunks are encoded one by one as they are. Texts near the start of a
-    special token are neither lower-cased nor split at punctuation beforehand. Texts are taken many at
-    once: chunks are found, told apart (by 64-bit hashes within STRIDE bytes) and expanded to ids in numpy; only distinct
-    chunks are looked up, by their bytes.
+    Right only for tokenizers whose splitting never joins across white space, to which punctuation after a word is a token
+    sequence of its own, and which lower-case and mark word ends: Latin words are encoded in lower case, many to a call, and
+    told apart by the word-end mark of their last tokens. All other chunks are encoded one by one as they are. Texts near the
+    start of a special token are neither lower-cased nor split at punctuation beforehand. Texts are taken many at once: chunks
+    are found, told apart (by 64-bit hashes within STRIDE bytes) and expanded to ids in numpy; only distinct chunks are looked
+    up, by their bytes. A tokenizer without these properties (its file says so, or PROBES do) gets whole texts instead.
     """
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        steps = json.dumps([made.get("normalizer"), made.get("pre_tokenizer")])
+        suffix = made["model"].get("end_of_word_suffix")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.whole = not suffix or '"Lowercase"' not in steps or '"add_prefix_space": true' in steps
         self._forget()
+        if not self.whole:
+            try:
+                self.whole = list(self.encode(PROBES)) != self._each(PROBES)
+            except (KeyError, IndexError, ValueError):
+                self.whole = True
+            self._forget()
 
     def _forget(self) -> None:
+        self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.known: dict[bytes, int] = {}
-        self.count, self.filled = 0, 0
+        self.held = self.count = self.filled = 0
         self.start, self.size, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, "<u4")
 
     def _each(self, chunks: list[str]) -> list[bytes]:
@@ -153,15 +170,13 @@ class Encoder:
 
     def _fresh(self, chunks: list[str]) -> list[bytes]:
         words, tails = self.words, self.tails
-        if len(words) > CACHE // 6:
-            words.clear()
-        if len(tails) > 50_000:
-            tails.clear()
         parts = [(m[1].lower(), m[2]) if (m := LATIN(w)) else None for w in chunks]
         low = list({p[0] for p in parts if p} - words.keys())
         words.update(zip(low, self._words(low)))
+        self.held += sum(map(len, low)) + 260 * len(low)
         marks = list({p[1] for p in parts if p} - tails.keys())
         tails.update(zip(marks, self._each(marks)))
+        self.held += sum(map(len, marks)) + 260 * len(marks)
         others = iter(self._each([w for w, p in zip(chunks, parts) if not p]))
         return [words[p[0]] + tails[p[1]] if p else next(others) for p in parts]
 
@@ -177,6 +192,7 @@ class Encoder:
         self.size[self.count : self.count + n] = sizes
         self.ids[self.filled : self.filled + total] = np.frombuffer(b"".join(found), "<u4")
         self.known.update(zip(chunks, range(self.count, self.count + n)))
+        self.held += sum(map(len, chunks)) + 180 * n + 8 * total
         self.count, self.filled = self.count + n, self.filled + total
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
@@ -191,7 +207,9 @@ class Encoder:
         yield from self._encode(held)
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > CACHE:
+        if self.whole:
+            return self._each([t.decode("utf-8", "surrogatepass") for t in texts])
+        if self.held > CACHE:
             self._forget()
         data = b"\n".join(texts)
         plain = b"<|" not in data  # else a special token could be made or broken
@@ -253,17 +271,21 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece.
 
     A null or empty text is a document of the end id alone. Repeated rows are documents of their own. An empty table
-    gives no rows. The pieces are written once to the shared scratch folder; the histogram collected to the driver has at
-    most capacity x SALTS rows.
+    gives no rows. The pieces are written once to the shared scratch folder. The driver gets how many pieces a length has, in
+    parts of PART pieces or more: `capacity` + MOST_PARTS rows at most, whatever the corpus. No task ranks more than a few parts.
     """
     spark = docs.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")
-    cuts = cut(pieces(docs, tokenizer, capacity, end_id)).withColumn("salt", salt)
+    cuts = cut(pieces(docs, tokenizer, capacity, end_id))
+    per = {r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    part = max(PART, -(-sum(per.values()) // MOST_PARTS))
+    several = spark.createDataFrame([(k, -(-n // part)) for k, n in sorted(per.items()) if n > part], "length long, parts long")
+    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.coalesce("parts", F.lit(1))).cast("int")
+    cuts = cuts.join(F.broadcast(several), "length", "left").withColumn("salt", salt).drop("parts")  # at most `capacity` rows
     counts = sorted((r["length"], r["salt"], r["n"]) for r in cuts.groupBy("length", "salt").agg(F.count("*").alias("n")).collect())
     offsets, total = {}, {}
-    for size, part, n in counts:
-        offsets[size, part] = total.get(size, 0)
-        total[size] = offsets[size, part] + n
+    for size, k, n in counts:
+        offsets[size, k] = total.get(size, 0)
+        total[size] = offsets[size, k] + n
     by: dict[int, list] = {}
     for slot in plan(total, capacity):
         by.setdefault(slot[0], []).append(slot[1:])
