@@ -10,16 +10,18 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, map_small, turn_to
+from .common import cut, keep_rows, map_small, turn_to
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
-#: benchmark words held by one automaton; larger benchmarks are searched in several passes
+#: benchmark words (of about eight bytes) in one automaton, which is what is broadcast at once; larger benchmarks are searched part
+#: by part, one automaton and one pass over the documents each, with the same result
 PASS_WORDS = 2_000_000
 
 
@@ -84,65 +86,126 @@ def find(machines: list[WuManber], words: list[bytes]) -> tuple[bytearray, set]:
     return hit, items
 
 
-def passes(benchmark: DataFrame, limit: int = PASS_WORDS) -> list[list[tuple]]:
-    """The benchmark in lists of at most about limit bytes*8 each, so that a task never holds more than one automaton."""
+def parts_of(benchmark: DataFrame, limit: int = PASS_WORDS) -> Iterator[list[tuple]]:
+    """The items in lists of about 8 * limit bytes at most, one at a time: neither the driver nor a task ever holds more than one."""
     b = benchmark.where("text IS NOT NULL").select(F.col("item_id"), F.col("text").cast("string").alias("text"))
     size = b.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // (limit * 8)))
     if n == 1:
-        return [[tuple(r) for r in b.collect()]]
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))  # the text too: null ids spread as well
-    return [[tuple(r) for r in b.where(part == k).collect()] for k in range(n)]
+        yield [tuple(r) for r in b.collect()]
+        return
+    b = cut(b.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))))  # the text too: null ids spread as well
+    for k in range(n):
+        yield [tuple(r) for r in b.where(F.col("part") == k).drop("part").collect()]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cut_text: bool = False, limit: int = PASS_WORDS) -> DataFrame:
+def _digest(items: set) -> str:
+    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+OUT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = PASS_WORDS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every document.
 
     Null text has no words; an item without words has no window; items that share an item_id count as one. Items
     with a null item_id are searched like all others; together they count as one in n_items, and items_sha256 leaves them
-    out. Repeated documents each give a row. A document word inside any occurrence is hit. Texts are
-    searched whole, one at a time, in one pass per automaton; a benchmark over the limit takes several automata in turn
-    within the same scan.
+    out. Repeated documents each give a row. A document word inside any occurrence is hit. Texts are searched whole, one at a
+    time. An empty benchmark hits nothing, empty documents give no rows. A benchmark of more than `limit` words is searched part
+    by part (see PASS_WORDS): each part's hits are written as (text, spans, items) and summed up by text in the end.
     """
     spark = docs.sparkSession
-    parts = passes(benchmark, limit)
-    shared = [spark.sparkContext.broadcast(p) for p in parts]  # each bounded by limit
     kind = docs.schema["doc_id"].dataType.simpleString()
+    base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    every = list(_two(parts_of(benchmark, limit)))
+    if len(every) == 1:
+        shared = spark.sparkContext.broadcast(every[0])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            turn_to("decontaminate")
+            machines = build(shared.value, window)
+            for pdf in batches:
+                rows = []
+                for doc, text in zip(pdf["doc_id"], pdf["text"]):
+                    words = words_of(text)
+                    hit, items = find(machines, words)
+                    n = sum(hit)
+                    rows.append((doc, len(words), n, len(items), _digest({str(i) for i in items if i is not None}), n > 0))
+                yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+        return map_small(base, run, f"doc_id {kind}, {OUT}")
+
+    keyed = base.select("*", F.xxhash64(F.lit(1), "text").alias("a"), F.xxhash64(F.lit(2), "text").alias("b"))
+    hits = []
+    for items in parts_of(benchmark, limit):
+        shared = spark.sparkContext.broadcast(items)
+
+        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            turn_to("decontaminate")
+            machines = build(shared.value, window)
+            for pdf in batches:
+                rows = []
+                for a, b, text in zip(pdf["a"], pdf["b"], pdf["text"]):
+                    hit, found = find(machines, words_of(text))
+                    if found:
+                        flags = re.finditer(rb"\x01+", bytes(hit))
+                        rows.append((a, b, [x for m in flags for x in m.span()], [None if i is None else str(i) for i in found]))
+                yield pd.DataFrame(rows, columns=["a", "b", "spans", "items"])
+
+        hits.append(cut(map_small(keyed.select("a", "b", "text"), search, "a long, b long, spans array<int>, items array<string>")))
+        shared.destroy()
+    met = reduce(DataFrame.unionByName, hits).distinct().groupBy("a", "b").agg(F.collect_list("spans").alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "a": pdf["a"], "b": pdf["b"], "n_words": [len(words_of(t)) for t in pdf["text"]]})
+
+    rows = map_small(keyed, count, f"doc_id {kind}, a long, b long, n_words long").join(met, ["a", "b"], "left").select("doc_id", "n_words", "spans", "items")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn_to("decontaminate")
-        machines = [build(s.value, window) for s in shared] if len(shared) == 1 else None
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = [words_of(t) for t in pdf["text"]]
-            hits, found = [bytearray(len(w)) for w in texts], [set() for _ in texts]
-            for s in range(len(shared)):
-                machine = machines[s] if machines else build(shared[s].value, window)
-                for i, words in enumerate(texts):
-                    flags, items = find(machine, words)
-                    if items:
-                        hits[i] = bytearray(a | b for a, b in zip(hits[i], flags))
-                        found[i] |= items
-            n_hit = [sum(h) for h in hits]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "n_words": [len(w) for w in texts], "n_hit": n_hit, "n_items": [len(f) for f in found],
-                "items_sha256": [hashlib.sha256(",".join(sorted(map(str, f - {None}))).encode()).hexdigest() for f in found], "contaminated": [h > 0 for h in n_hit],
-            })
-
-    return map_small(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+            out = []
+            for doc, n_words, spans, items in zip(pdf["doc_id"], pdf["n_words"], pdf["spans"], pdf["items"]):
+                n, end, who = 0, 0, set() if items is None else set(items)
+                pairs = sorted((s[i], s[i + 1]) for s in ([] if spans is None else spans) for i in range(0, len(s), 2))
+                for lo, hi in pairs:
+                    n += max(0, hi - max(lo, end))
+                    end = max(end, hi)
+                out.append((doc, n_words, n, len(who), _digest({i for i in who if i is not None}), n > 0))
+            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+    return map_small(rows, finish, f"doc_id {kind}, {OUT}")
+
+
+def _two(parts: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
+    """The first list, and whether there is another one, as an empty list."""
+    yield next(parts)
+    if next(parts, None) is not None:
+        yield []
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = PASS_WORDS) -> DataFrame:
-    """The rows of docs, all columns kept, in which no benchmark window occurs (null texts stay)."""
-    parts = [docs.sparkSession.sparkContext.broadcast(p) for p in passes(benchmark, limit)]
+    """The rows of docs, all columns kept, in which no benchmark window occurs (null texts stay).
+
+    A benchmark of more than `limit` words takes a pass over what is left for each of its parts, written in between.
+    """
+    spark = docs.sparkSession
 
-    def start() -> Callable[[str | None], bool]:
-        turn_to("decontaminate")
-        kept = build(parts[0].value, window) if len(parts) == 1 else None
+    def without(rows: DataFrame, items: list[tuple]) -> tuple[DataFrame, object]:
+        shared = spark.sparkContext.broadcast(items)
 
-        def passes(text: str | None) -> bool:
-            words = words_of(text)
-            return not any(True for p in parts for m in (kept if kept is not None else build(p.value, window)) for _ in m.search(words))
+        def start() -> Callable[[str | None], bool]:
+            turn_to("decontaminate")
+            machines = build(shared.value, window)
+            return lambda text: not any(True for words in (words_of(text),) for m in machines for _ in m.search(words))
 
-        return passes
+        return keep_rows(rows, "text", start), shared
 
-    return keep_rows(docs, "text", start)
+    parts = parts_of(benchmark, limit)
+    kept, shared = without(docs, next(parts))
+    for items in parts:
+        kept = cut(kept)
+        shared.destroy()
+        kept, shared = without(kept, items)
+    return kept
