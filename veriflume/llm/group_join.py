@@ -345,6 +345,7 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
     found = components(edges(docs, info, pairs, size, percent)).withColumnRenamed("id", "rep")
     key = ["grp", "a", "b", "n"]
     least = info.where("grp IS NOT NULL AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep")).join(found, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
+    least = cut(least)  # a row a distinct set; apart from it, adaptive execution can split the join of a set's many copies
     rows = info.where("grp IS NOT NULL AND doc_id IS NOT NULL").join(least, key).select("doc_id", "n", "component")
     alone = info.where("grp IS NULL OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component"))
     return rows.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
