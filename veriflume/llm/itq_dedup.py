@@ -1,10 +1,13 @@
 """Near-duplicate embeddings: iterative quantisation, multi-index Hamming tables, exact reranking.
 
 A rotation of the principal axes that balances binary codes is learned on a bounded sample. Codes are cut into chunks; each
-chunk is a hash table over all vectors, keyed with the label. Vectors that share a bucket are compared by their original
-components, in blocks, and counted in the first table they meet in. The number of tables follows from the threshold:
-two vectors at angle t differ in a bit with probability t/pi, so enough chunks are used to miss a pair at the
-threshold with probability MISS at most (closer pairs are missed far less).
+chunk is a hash table over all vectors, keyed with the label. What goes through the tables are ids and codes: two vectors that
+share a bucket are candidates when their whole codes differ in few enough bits, in the first table they meet in. Only vectors
+with a candidate are then fetched, once for each table that they have one in, and compared by their original components.
+
+Two vectors at angle t differ in a bit with probability t/pi for random planes: enough chunks are used to miss a pair at the
+threshold with probability MISS at most, and the Hamming radius lies SIGMAS deviations above its mean distance. Learned planes
+are not random ones, so recall is measured against all pairs as well.
 """
 
 from __future__ import annotations
@@ -14,12 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, forest, grouped, trimmed
+from .common import components, cut, forest, grouped, small_batches, trimmed
 
-COSINE, MISS = 0.93, 0.02
+COSINE, MISS, SIGMAS = 0.93, 0.02, 4
 #: vectors of the fit; iterations of it; vectors of a block; vectors wanted in an average bucket
 SAMPLE, ITERATIONS, BLOCK, BUCKET = 8_000, 30, 512, 32
 
@@ -47,7 +52,7 @@ def shape_of(n_largest: int, dims: int, cosine: float = COSINE, miss: float = MI
 
 def unit(vectors) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of length 1 in double precision, and which are usable (equal lengths are the caller's affair)."""
-    x = np.array([np.asarray(v, np.float64) for v in vectors])
+    x = np.array(vectors, np.float64)
     with np.errstate(all="ignore"):
         norm = np.linalg.norm(x, axis=1)
         big = ~np.isfinite(norm) & np.isfinite(x).all(1)
@@ -62,94 +67,153 @@ def unit(vectors) -> tuple[np.ndarray, np.ndarray]:
         return x / np.where(ok, norm, 1)[:, None], ok
 
 
-def _links(pdf: pd.DataFrame, cosine: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(vector, links) counts and forest edges of one unit: a block with itself, or with another."""
-    x, _ = unit(pdf["embedding"])
-    ids, weight = pdf["vec_id"].to_numpy(), pdf["n"].to_numpy()
-    keys = np.array(pdf["keys"].tolist())
-    table, side, i, j = pdf["table"].iat[0], pdf["block"].to_numpy(), pdf["i"].iat[0], pdf["j"].iat[0]
-    near = x @ x.T >= cosine
-    for t in range(table):  # met before
-        near &= keys[:, t][:, None] != keys[:, t][None, :]
-    np.fill_diagonal(near, False)
-    if i != j:
-        near &= side[:, None] != side[None, :]
-    counts = near @ weight
-    hit = np.flatnonzero(counts)
-    return list(zip(ids[hit].tolist(), counts[hit].tolist())), [(int(ids[a]), int(ids[b])) for a, b in forest(near)]
-
-
-def links(vectors: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFrame]:
-    """((vec_id, n_links) in parts, (u, v) edges) between distinct vectors (vec_id, label, embedding, n)."""
-    spark = vectors.sparkSession
-    sizes = vectors.groupBy(F.size("embedding").alias("d"), "label").agg(F.count("*").alias("n"))
-    per_dim = {r["d"]: r["n"] for r in sizes.groupBy("d").agg(F.max("n").alias("n")).collect()}
-    total = {r["d"]: r["n"] for r in sizes.groupBy("d").agg(F.sum("n").alias("n")).collect()}
+def radius_of(bits: int, cosine: float = COSINE) -> int:
+    """The Hamming distance up to which codes of so many bits are candidates."""
+    p = math.acos(cosine) / math.pi
+    return min(bits, math.ceil(bits * p + SIGMAS * math.sqrt(bits * p * (1 - p))))
+
+
+def hamming(codes: np.ndarray) -> np.ndarray:
+    """Distances of all pairs of packed codes [n, words of 64 bits]."""
+    out = np.zeros((len(codes), len(codes)), np.int32)
+    for k in range(codes.shape[1]):
+        out += np.bitwise_count(codes[:, k][:, None] ^ codes[:, k][None, :])
+    return out
+
+
+def _matrix(column, kind: str) -> np.ndarray:
+    """[rows, values] of equally long binaries."""
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
+
+
+def _fresh(pdf: pd.DataFrame) -> np.ndarray:
+    """Which pairs of a unit are its own to judge: those that share no bucket of an earlier table; across sides, if two blocks meet."""
+    keys, table = _matrix(pdf["keys"], "<i4"), pdf["table"].iat[0]
+    mine = np.ones((len(pdf), len(pdf)), bool)
+    for t in range(table):
+        mine &= keys[:, t][:, None] != keys[:, t][None, :]
+    np.fill_diagonal(mine, False)
+    if pdf["i"].iat[0] != pdf["j"].iat[0]:
+        side = pdf["block"].to_numpy()
+        mine &= side[:, None] != side[None, :]
+    return mine
+
+
+UNIT = ["d", "label", "table", "key"]
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows (with UNIT) of buckets of two vectors or more, in units of two blocks of a bucket, sorted; a bucket's blocks meet pairwise."""
+    crowd = rows.groupBy(*UNIT).agg(F.count("*").alias("size")).where("size > 1").select(*UNIT, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    units = rows.join(crowd, UNIT).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+    return units.repartition(*UNIT, "i", "j").sortWithinPartitions(*UNIT, "i", "j", "vec_id")
+
+
+def links(vectors: DataFrame, wide: int, cosine: float = COSINE) -> tuple[DataFrame, DataFrame]:
+    """((vec_id, n_links) in parts, (u, v) edges) between distinct vectors (vec_id, label, embedding, n); embedding: floats of `wide` bytes."""
+    spark, kind = vectors.sparkSession, f"<f{wide}"
+    length = (F.octet_length("embedding") / wide).cast("int")
+    sizes = vectors.groupBy(length.alias("d"), "label").agg(F.count("*").alias("n"))
+    per_dim = {r["d"]: (r["n"], r["all"]) for r in sizes.groupBy("d").agg(F.max("n").alias("n"), F.sum("n").alias("all")).collect()}
     plans = {}
-    for d, n in per_dim.items():
+    for d, (n, total) in per_dim.items():
         bits, tables, rotations = shape_of(n, d, cosine)
-        rate = min(1.0, SAMPLE / total[d])
-        some = vectors.where((F.size("embedding") == d) & (F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 20)) < rate * (1 << 20))).select("vec_id", "embedding").collect()
-        x = unit([r["embedding"] for r in sorted(some, key=lambda r: r["vec_id"])])[0] if some else np.eye(d)
+        rate = min(1.0, SAMPLE / total)
+        some = vectors.where((length == d) & (F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 20)) < rate * (1 << 20))).select("vec_id", "embedding").collect()
+        x = unit([np.frombuffer(r["embedding"], kind) for r in sorted(some, key=lambda r: r["vec_id"])])[0] if some else np.eye(d)
         plans[d] = (bits, tables, [learn(x, s) for s in range(rotations)])
     shared = spark.sparkContext.broadcast(plans)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            dims, out = np.array([len(v) for v in pdf["embedding"]]), np.empty(len(pdf), object)
+            dims, keys_of, code_of = np.array([len(v) // wide for v in pdf["embedding"]]), np.empty(len(pdf), object), np.empty(len(pdf), object)
             for d in np.unique(dims):
                 rows = np.flatnonzero(dims == d)
                 bits, tables, maps = shared.value[d]
-                x, keys, per = unit([pdf["embedding"].iat[i] for i in rows])[0], [], max(1, d // bits)
-                for m in maps:
-                    on = x @ m >= 0
-                    keys += [on[:, p * bits : (p + 1) * bits] @ (1 << np.arange(bits)[: on[:, p * bits : (p + 1) * bits].shape[1]]) for p in range(per)]
-                for i, k in zip(rows, np.stack(keys[:tables], 1)):
-                    out[i] = k.astype(np.int64)
-            yield pdf.assign(keys=out)
-
-    coded = cut(vectors.mapInPandas(trimmed(encode), f"{_ddl(vectors)}, keys array<bigint>"))
-    spread = coded.select("*", F.size("embedding").alias("d"), F.posexplode("keys").alias("table", "key"))
-    crowd = spread.groupBy("d", "label", "table", "key").agg(F.count("*").alias("size")).where("size > 1").select("d", "label", "table", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    units = spread.join(crowd, ["d", "label", "table", "key"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("vec_id", "embedding", "n", "keys", "table", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.xxhash64("d", "label", "table", "key").alias("bucket"), "label", "key", "d")
-    units = units.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "d", "label", "table", "key", "i", "j", "vec_id")
+                x, per = unit(_matrix(pdf["embedding"].iloc[rows], kind))[0], max(1, d // bits)
+                on = np.concatenate([x @ m >= 0 for m in maps], 1)
+                keys = np.empty((len(rows), tables), "<i4")
+                for t in range(tables):
+                    part = on[:, (t // per) * d + (t % per) * bits :][:, : min(bits, d)]
+                    keys[:, t] = part @ (1 << np.arange(part.shape[1]))
+                code = np.packbits(np.pad(on, ((0, 0), (0, -on.shape[1] % 64))), axis=1)
+                for i, k, c in zip(rows, keys, code):
+                    keys_of[i], code_of[i] = k.tobytes(), c.tobytes()
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "label": pdf["label"], "d": dims.astype(np.int32), "keys": keys_of, "code": code_of})
+
+    label = f"label {vectors.schema['label'].dataType.simpleString()}"
+    coded = cut(vectors.select("vec_id", "label", "embedding").mapInPandas(trimmed(encode), f"vec_id long, {label}, d int, keys binary, code binary"))
+    # the little-endian 32-bit keys, one a table
+    n_tables = F.sequence(F.lit(0), (F.octet_length("keys") / 4).cast("int") - 1)
+    spread = coded.select("*", F.explode(n_tables).alias("table")).withColumn("key", F.substring("keys", F.col("table") * 4 + 1, F.lit(4)))
+
+    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in grouped(batches, [*UNIT, "i", "j"]):
+            codes = _matrix(group["code"], "<u8")
+            d = int(group["d"].iat[0])
+            near = hamming(codes) <= radius_of(d * len(shared.value[d][2]), cosine)
+            near &= _fresh(group)
+            yield group.loc[near.any(1), ["vec_id", "d", "label", "table", "key", "keys"]]
+
+    met = _dealt(spread).mapInPandas(trimmed(candidates), f"vec_id long, d int, {label}, table int, key binary, keys binary").distinct()
+    opened = cut(met).join(vectors.select("vec_id", "embedding", "n"), "vec_id")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, edges = [], []
-        for group in grouped(batches, ["bucket", "d", "label", "table", "key", "i", "j"]):
-            a, b = _links(group, cosine)
-            counts += [(x, None, n) for x, n in a]
-            edges += [(x, y, None) for x, y in b]
+        for group in grouped(batches, [*UNIT, "i", "j"]):
+            x = unit(_matrix(group["embedding"], kind))[0]
+            ids, near = group["vec_id"].to_numpy(), (x @ x.T >= cosine) & _fresh(group)
+            n = near @ group["n"].to_numpy()
+            hit = np.flatnonzero(n)
+            counts += [(x, None, n) for x, n in zip(ids[hit].tolist(), n[hit].tolist())]
+            edges += [(int(ids[a]), int(ids[b]), None) for a, b in forest(near)]
             if len(counts) > 50_000:
                 yield pd.DataFrame(counts + edges, columns=["u", "v", "n"]).astype("Int64")
                 counts, edges = [], []
         yield pd.DataFrame(counts + edges, columns=["u", "v", "n"]).astype("Int64")
 
-    found = cut(units.mapInPandas(trimmed(compare), "u long, v long, n long"))
+    found = cut(_dealt(opened).mapInPandas(trimmed(compare), "u long, v long, n long"))
     return found.where("v IS NULL").select(F.col("u").alias("vec_id"), F.col("n").alias("n_links")), found.where("v IS NOT NULL").select("u", "v")
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+def packed(embeddings: DataFrame) -> DataFrame:
+    """(vec_id, label, data, h) of every row: its components as one binary and 128 bits that stand for them; null where it can link with nothing."""
+    single = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
+    small_batches(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = []
+            for v in batch.column(2).to_numpy(zero_copy_only=False):
+                v = None if v is None else np.asarray(v, kind)
+                data.append((v + v.dtype.type(0)).tobytes() if v is not None and np.isfinite(v).all() and v.any() else None)  # no negative zero
+            names = [None if d is None else xxhash.xxh3_128_digest(d) for d in data]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary()), pa.array(names, pa.binary())], ["vec_id", "label", "data", "h"])
+
+    label = f"label {rows.schema['label'].dataType.simpleString()}"
+    return rows.mapInArrow(trimmed(run), f"vec_id long, {label}, data binary, h binary")
 
 
 def dedup(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector; links join equal, non-null labels at cosine or more.
 
     Null vectors, zero vectors and vectors with a null or non-finite component link with nothing, nor do vectors of
-    different lengths. Equal vectors of a label are found by value and compared once, for all. Repeated rows of one vec_id
-    are vectors that link with each other but not with themselves: each row counts in the others' n_links and gives a row of its own.
+    different lengths. Equal vectors of a label are found by 128-bit digests of their values and compared once, for all. Repeated
+    rows of one vec_id are vectors that link with each other but not with themselves: each row counts in the others' n_links and
+    gives a row of its own. A null vec_id links with nothing. An empty table gives no rows.
     """
-    base = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
-    fine = F.col("embedding").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    usable = base.where(fine).withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
-    same = cut(usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")))
-    counts, edges = links(same.select("vec_id", "label", "embedding", "n"), cosine)
+    single = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"
+    base = cut(packed(embeddings))
+    fine = F.col("h").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    usable = base.where(fine)
+    same = cut(usable.groupBy("label", "h").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.first("data").alias("embedding")))
+    counts, edges = links(same.select("vec_id", "label", "embedding", "n"), 4 if single else 8, cosine)
     per_rep = counts.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
     ends = components(edges).withColumnRenamed("id", "vec_id")
-    reps = same.join(per_rep, "vec_id", "left").join(ends, "vec_id", "left").select("label", "embedding", (F.col("n") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    member = usable.join(reps, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
-    alone = base.where(~F.coalesce(fine, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    reps = same.join(per_rep, "vec_id", "left").join(ends, "vec_id", "left").select("label", "h", (F.col("n") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    member = usable.select("vec_id", "label", "h").join(cut(reps), ["label", "h"]).select("vec_id", "n_links", "component_id")
+    alone = base.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return member.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
