@@ -10,8 +10,9 @@ repeat across documents:
 3. runs that share an anchor but not all bytes (the edges of copied passages) are expanded to their single windows,
    which are grouped by hash: equal groups are exactly the repeated windows.
 
-Map tasks resolve repeats among their own rows first, so a hot passage sends a row per task, not per document. All
-grouping is by two hashes (80 bits and those of the bucket).
+Map tasks resolve repeats among their own rows first, so a hot passage sends a row per task, not per document. Digits are
+sent as 64-bit hashes, two for each group, in place of their bytes, which would be several times the input: windows count as
+equal when 128 bits are. A reducer works through its buckets one at a time.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from .common import cut, map_small, Rolling, shuffle_parts, trimmed
 
 WINDOW = 50
 ANCHOR = 24
-#: bytes handled at once in numpy; records sent at once; bytes of each hash that are sent (the bucket holds more bits)
-SEGMENT, FLUSH, WIDTH = 1 << 20, 300_000, 5
+#: bytes handled at once in numpy; records sent at once; bytes of each hash that are sent; buckets of a reducer, held one at a time
+SEGMENT, FLUSH, WIDTH, SHARE = 1 << 20, 300_000, 8, 4
 RECORD = np.dtype([("anchor", "<u8"), ("run", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("n", "<i4")])
 
 
@@ -160,10 +161,11 @@ def parcels(held: list[np.ndarray], buckets: int) -> pd.DataFrame:
     """Records of a task for the exchange: one binary a bucket, and (bucket -1) those that repeat the task's own smaller documents."""
     rec, _, _, later = _settle(np.concatenate(held))
     gone, rec = rec[later], rec[~later]
-    bucket = (rec["anchor"] >> np.uint64(48)) % np.uint64(buckets)
+    bucket = (rec["anchor"] >> np.uint64(24)) % np.uint64(buckets * SHARE)
     order = np.argsort(bucket, kind="stable")
-    rec, edge = rec[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-    some = [(b, b, dump(rec[edge[b] : edge[b + 1]])) for b in range(buckets) if edge[b + 1] > edge[b]]
+    rec, bucket = rec[order], bucket[order]
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(rec) else np.zeros(0, np.int64)
+    some = [(int(bucket[i]), int(bucket[i]) // SHARE, dump(rec[i:j])) for i, j in zip(starts, np.r_[starts[1:], len(rec)])]
     for part in np.array_split(gone, 1 + len(gone) // 100_000) if len(gone) else ():
         some.append((-1, int(part["run"][0] % np.uint64(buckets)), dump(part)))
     return pd.DataFrame(some, columns=["bucket", "part", "data"])
@@ -176,29 +178,34 @@ def settled(found: DataFrame, buckets: int, opens: bool) -> DataFrame:
     have with other runs; each distinct run is there once (or as often as that document has it).
     """
 
+    def judged(parts: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        rec, new, _, later = _settle(np.concatenate(parts))
+        if later.any():
+            yield merged(rec[later]).assign(open=False)
+        if opens and len(rec):
+            turn = np.r_[True, rec["anchor"][1:] != rec["anchor"][:-1]]
+            starts, which = np.flatnonzero(turn), np.cumsum(turn) - 1
+            low, high = np.minimum.reduceat(rec["doc"], starts)[which], np.maximum.reduceat(rec["doc"], starts)[which]
+            open_ = ~later & (low != high) & (np.add.reduceat(new.astype(np.int64), starts)[which] > 1)
+            if open_.any():
+                yield merged(rec[open_]).assign(open=True)
+
     def reducer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[np.ndarray]] = {}
+        held, now = [], -1
         for pdf in batches:
             for b, d in zip(pdf["bucket"], pdf["data"]):
                 if b < 0:
                     yield merged(load(d)).assign(open=False)
-                else:
-                    held.setdefault(b, []).append(load(d))
-        for b in list(held):
-            rec, new, _, later = _settle(np.concatenate(held.pop(b)))
-            if not len(rec):
-                continue
-            if later.any():
-                yield merged(rec[later]).assign(open=False)
-            if opens:
-                turn = np.r_[True, rec["anchor"][1:] != rec["anchor"][:-1]]
-                starts, which = np.flatnonzero(turn), np.cumsum(turn) - 1
-                low, high = np.minimum.reduceat(rec["doc"], starts)[which], np.maximum.reduceat(rec["doc"], starts)[which]
-                open_ = ~later & (low != high) & (np.add.reduceat(new.astype(np.int64), starts)[which] > 1)
-                if open_.any():
-                    yield merged(rec[open_]).assign(open=True)
-
-    return found.repartition(buckets, "part").select("bucket", "data").mapInPandas(trimmed(reducer), "doc_id long, at int, n int, open boolean")
+                    continue
+                if b != now and held:
+                    yield from judged(held)
+                    held = []
+                now = b
+                held.append(load(d))
+        if held:
+            yield from judged(held)
+
+    return found.repartition(buckets, "part").select("bucket", "data").sortWithinPartitions("bucket").mapInPandas(trimmed(reducer), "doc_id long, at int, n int, open boolean")
 
 
 def spans(docs: DataFrame, texts: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
