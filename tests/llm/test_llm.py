@@ -365,6 +365,30 @@ def test_itq_against_brute_force(spark):
     assert itq_dedup.dedup(df.where("false")).count() == 0
 
 
+def test_itq_recall_on_a_larger_table(spark):
+    """Against all pairs of sf0.1; the query's counts never exceed them."""
+    d = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").collect()
+    got = {r["vec_id"]: r["n_links"] for r in queries.op5_itq_dedup(spark, d).collect()}
+    want = {}
+    for label in {r["label"] for r in rows} - {None}:
+        mine = [r for r in rows if r["label"] == label and r["embedding"]]
+        x = np.array([r["embedding"] for r in mine], float)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        near = x @ x.T >= 0.93
+        np.fill_diagonal(near, False)
+        want |= {r["vec_id"]: int(n) for r, n in zip(mine, near.sum(1))}
+    assert all(got[k] <= n for k, n in want.items()) and sum(got.values()) >= 0.97 * sum(want.values())
+
+
+def test_hamming_candidates():
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 2**63, (30, 2), dtype=np.uint64)
+    bits = np.unpackbits(codes.view(np.uint8).reshape(30, -1), axis=1).astype(int)
+    assert (itq_dedup.hamming(codes) == (bits[:, None, :] != bits[None, :, :]).sum(2)).all()
+    assert itq_dedup.radius_of(64) == 19 and itq_dedup.radius_of(4) == 4
+
+
 # ---------------------------------------------------------------- 6 suffixes
 
 def brute_suffixes(texts, window):
@@ -492,6 +516,24 @@ def test_join_against_brute_force(spark, monkeypatch, size, percent, hot, block)
     assert [got[i] for i in range(len(texts))] == brute_join(texts, size, percent)
 
 
+def test_join_of_a_large_family_is_not_quadratic(spark, monkeypatch):
+    """Near copies of one text, in blocks of four: what is sent grows with the family, not with its square."""
+    rng = random.Random(4)
+    base = prose(rng, 200, 99999).split()
+    texts = []
+    for i in range(240):
+        t = list(base)
+        t[rng.randrange(len(t))] = f"v{i}"
+        texts.append(" ".join(t))
+    texts += [prose(rng, 30, 9999) for _ in range(20)]
+    monkeypatch.setattr(group_join, "BLOCK", 4)
+    sent, plain = [], group_join.opened
+    monkeypatch.setattr(group_join, "opened", lambda docs, members, *a: (sent.append(members.count()), plain(docs, members, *a))[1])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in group_join.join(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_join(texts, 4, 85)
+    assert sum(sent) < 15 * len(texts)
+
+
 def test_join_odd_rows(spark):
     df = docs_of(spark, ["a b c d e", "a b c d e", "a b c d e", None], [4, 4, None, 5])
     got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in group_join.join(df).collect())

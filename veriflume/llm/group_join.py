@@ -10,7 +10,8 @@ pair. Only qualifying groups are opened and their members compared exactly. Noth
 before frequent) and the groups only decide how much is opened.
 
 Equal sets are compared once. Groups are opened in blocks, so no task gets an unbounded group; a result is one row per
-document, and links inside a block leave as a spanning forest.
+document, and links inside a block leave as a spanning forest. Members of large groups meet a few of their own first, and only
+what that has not connected meets block by block, so a family of near copies costs time in proportion to its size.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .common import components, cut, forest, grouped, map_small, mix, Rolling, s
 WORDS, PERCENT = 4, 85
 #: shared prefix tokens asked of two groups; members opened at once on a side
 DEPTH, BLOCK = 8, 256
+#: members of a large group that all of it is compared with first
+PIVOTS = 4
 #: tokens in so many documents go last in the order; so many of them, the most frequent, are remembered (an order needs no more)
 HOT, HOT_KEPT = 24, 2_000_000
 #: token hashes below this share of their range are all counted (prefixes rarely reach past it);
@@ -296,33 +299,21 @@ def similar(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> np
     return ok & (100 * shared >= percent * (size[:, None] + size[None, :] - shared))
 
 
-def edges(docs: DataFrame, info: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(u, v): links that connect whatever is linked, between the smallest documents of distinct sets."""
-    reps = cut(info.where("grp IS NOT NULL AND doc_id IS NOT NULL").groupBy("grp", "a", "b", "n").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "grp"))
-    sizes = reps.groupBy("grp").agg(F.count("*").alias("m")).select("grp", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    own = sizes.where("m > 1").select(F.col("grp").alias("g1"), F.col("grp").alias("g2"), F.col("blocks").alias("b1"), F.col("blocks").alias("b2"))
-    one, two = sizes.select(F.col("grp").alias("g1"), F.col("blocks").alias("b1")), sizes.select(F.col("grp").alias("g2"), F.col("blocks").alias("b2"))
-    pairs = cut(own.unionByName(pairs.join(one, "g1").join(two, "g2").select("g1", "g2", "b1", "b2")))
-    sides = pairs.select("g1", "g2", F.col("g1").alias("grp"), F.col("b1").alias("mine"), F.col("b2").alias("others"), F.lit(0).alias("side"))
-    sides = sides.unionByName(pairs.where("g1 <> g2").select("g1", "g2", F.col("g2").alias("grp"), F.col("b2").alias("mine"), F.col("b1").alias("others"), F.lit(1).alias("side")))
-    members = reps.join(sides, "grp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("mine")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    same = F.col("g1") == F.col("g2")
-    i = F.when(same, F.least("block", "other")).when(F.col("side") == 0, F.col("block")).otherwise(F.col("other"))
-    j = F.when(same, F.greatest("block", "other")).when(F.col("side") == 0, F.col("other")).otherwise(F.col("block"))
-    members = members.select("doc_id", "g1", "g2", i.alias("i"), j.alias("j"), F.when(same, F.col("block")).otherwise(F.col("side")).alias("side"))
+UNIT = ["g1", "s1", "g2", "s2", "i", "j"]
+
+
+def opened(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """(u, v): links of the documents of each unit, as a spanning forest. members: (doc_id, side) and UNIT; two cells or blocks meet across sides."""
 
     def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "data": [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in pdf["text"]]})
 
-    texts = map_small(_texts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL"), squeeze, "doc_id long, data binary")
-    opened = texts.join(members, "doc_id").repartition("g1", "g2", "i", "j").sortWithinPartitions("g1", "g2", "i", "j", "doc_id")
-
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple[int, int]] = []
-        for unit in grouped(batches, ["g1", "g2", "i", "j"]):
+        for unit in grouped(batches, UNIT):
             tokens, starts = shingle_sets([zlib.decompress(d) for d in unit["data"]], size)
-            ids, cross = unit["doc_id"].to_numpy(), unit["g1"].iat[0] != unit["g2"].iat[0] or unit["i"].iat[0] != unit["j"].iat[0]
+            ids, cross = unit["doc_id"].to_numpy(), any(unit[a].iat[0] != unit[b].iat[0] for a, b in (("g1", "g2"), ("s1", "s2"), ("i", "j")))
             near = similar([tokens[a:b] for a, b in zip(starts[:-1], starts[1:])], unit["side"].to_numpy() if cross else None, percent)
             out += [(int(ids[a]), int(ids[b])) for a, b in forest(near)]
             if len(out) > 50_000:
@@ -330,7 +321,60 @@ def edges(docs: DataFrame, info: DataFrame, pairs: DataFrame, size: int, percent
                 out = []
         yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    return opened.mapInPandas(trimmed(verify), "u long, v long")
+    texts = map_small(_texts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL"), squeeze, "doc_id long, data binary")
+    return texts.join(members, "doc_id").repartition(*UNIT).sortWithinPartitions(*UNIT, "doc_id").mapInPandas(trimmed(verify), "u long, v long")
+
+
+def stars(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """(u, v): links of the members of groups over BLOCK with a few members of their own group, and of those few across groups; None without such groups.
+
+    They connect a family of near copies already: each member is sent once, whatever the family's size.
+    """
+    few = F.array_distinct(F.array(*[F.min_by("doc_id", F.xxhash64("doc_id", F.lit(k))) for k in range(PIVOTS)]))
+    large = cut(reps.groupBy("grp").agg(F.count("*").alias("m"), few.alias("pivots")).where(F.col("m") > BLOCK))
+    if large.isEmpty():
+        return None
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    unit = lambda i, side: [F.lit(0).cast("long").alias("s1"), F.lit(1).cast("long").alias("s2"), i.alias("i"), F.lit(-1).alias("j"), F.lit(side).alias("side")]
+    own = [F.col("grp").alias("g1"), F.col("grp").alias("g2")]
+    members = reps.join(large, "grp").select("doc_id", *own, *unit(F.pmod(F.xxhash64("doc_id"), blocks).cast("int"), 0))
+    pivots = large.select("pivots", *own, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("b")).select(F.explode("pivots").alias("doc_id"), "g1", "g2", *unit(F.col("b"), 1))
+    one, two = large.select(F.col("grp").alias("g1"), F.col("pivots").alias("p1")), large.select(F.col("grp").alias("g2"), F.col("pivots").alias("p2"))
+    both = cut(pairs.join(one, "g1").join(two, "g2"))
+    across = [both.select(F.explode(p).alias("doc_id"), "g1", "g2", *unit(F.lit(-1), side)) for side, p in enumerate(("p1", "p2"))]
+    return opened(docs, members.unionByName(pivots).unionByName(across[0]).unionByName(across[1]), size, percent)
+
+
+def edges(docs: DataFrame, info: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(u, v): links that connect whatever is linked, between the smallest documents of distinct sets.
+
+    A group is cut into cells: what stars() has connected already, each on its own, and the rest. Cells of a group and of two
+    qualifying groups meet, block by block, but for members of one connected cell, whose links could add nothing.
+    """
+    reps = cut(info.where("grp IS NOT NULL AND doc_id IS NOT NULL").groupBy("grp", "a", "b", "n").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "grp"))
+    pairs = cut(pairs)
+    first = stars(docs, reps, pairs, size, percent)
+    rest = F.lit(0).cast("long")
+    if first is None:
+        cells = reps.withColumn("sub", rest)
+    else:
+        first = cut(first)
+        ends = components(first).select(F.col("id").alias("doc_id"), F.xxhash64("component").alias("sub"))
+        cells = cut(reps.join(ends, "doc_id", "left").withColumn("sub", F.coalesce("sub", rest)))
+    sizes = cells.groupBy("grp", "sub").agg(F.count("*").alias("m"))
+    c1, c2 = (sizes.select(F.col("grp").alias(f"g{k}"), F.col("sub").alias(f"s{k}"), F.ceil(F.col("m") / BLOCK).cast("int").alias(f"b{k}"), F.col("m").alias(f"m{k}")) for k in (1, 2))
+    whole = ["g1", "s1", "g2", "s2", "b1", "b2"]
+    own = c1.join(c2, F.col("g1") == F.col("g2")).where("s1 < s2 OR s1 = 0 AND s2 = 0 AND m1 > 1").select(*whole)
+    todo = cut(own.unionByName(pairs.join(c1, "g1").join(c2, "g2").where("s1 <> s2 OR s1 = 0").select(*whole)))
+    same = (F.col("g1") == F.col("g2")) & (F.col("s1") == F.col("s2"))
+    sides = todo.select("g1", "s1", "g2", "s2", F.col("g1").alias("grp"), F.col("s1").alias("sub"), F.col("b1").alias("mine"), F.col("b2").alias("others"), F.lit(0).alias("side"))
+    sides = sides.unionByName(todo.where(~same).select("g1", "s1", "g2", "s2", F.col("g2").alias("grp"), F.col("s2").alias("sub"), F.col("b2").alias("mine"), F.col("b1").alias("others"), F.lit(1).alias("side")))
+    members = cells.join(sides, ["grp", "sub"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("mine")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    i = F.when(same, F.least("block", "other")).when(F.col("side") == 0, F.col("block")).otherwise(F.col("other"))
+    j = F.when(same, F.greatest("block", "other")).when(F.col("side") == 0, F.col("other")).otherwise(F.col("block"))
+    members = members.select("doc_id", "g1", "s1", "g2", "s2", i.alias("i"), j.alias("j"), F.when(same, F.col("block")).otherwise(F.col("side")).alias("side"))
+    found = opened(docs, members, size, percent)
+    return found if first is None else found.unionByName(first)
 
 
 def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
