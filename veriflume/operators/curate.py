@@ -1,6 +1,8 @@
 """Curation: ordered rules with a reason for every dropped row, then aggregation of replicates.
 
-Every input row ends in one kept group or one named rejection. Policies are Python configuration that build Columns.
+Every input row ends in one kept group or one named rejection. Policies are Python configuration that build Columns. Rows are
+judged once: what both points and rejections need is written to the scratch folder, so that no filter above takes the whole
+chain of rules into its condition and evaluates it again.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import units
+from ..session import cut
 
 
 @dataclass(frozen=True)
@@ -21,11 +24,13 @@ class CurationPolicy:
     drop_flagged: bool = True
     drop_duplicates: bool = True
     require_structure: bool = True
-    plausible: tuple[float, float] | None = units.PLAUSIBLE
+    exact_relation: bool = True
+    plausible: tuple[float, float] = units.PLAUSIBLE
     pchembl_tolerance: float | None = 0.1
 
 
-PERMISSIVE = CurationPolicy(None, (), (), False, False, False, None, None)
+#: keeps whatever can be converted and has a structure, for a look at what the default drops
+PERMISSIVE = CurationPolicy(None, (), (), False, False, pchembl_tolerance=None)
 
 
 @dataclass(frozen=True)
@@ -44,40 +49,52 @@ def blank(c: Column) -> Column:
     return units.strip(F.coalesce(c, F.lit(""))) == ""
 
 
-def apply_rules(records: DataFrame, policy: CurationPolicy = CurationPolicy()) -> DataFrame:
-    """records with pactivity, reason (of a refused conversion) and rule: the first rule that fails, or NULL."""
-    p, reason = units.pactivity(F.col("value"), F.col("unit"), F.col("activity_type"), F.col("relation"), F.col("molecular_weight"))
-    df = records.withColumn("__p", p).withColumn("__reason", reason)
-    relation = units.strip(F.when(F.coalesce("relation", F.lit("")) == "", "=").otherwise(F.col("relation")))
-    rules: list[tuple[str, Column]] = []
+def apply_rules(records: DataFrame, policy: CurationPolicy = CurationPolicy(), detail: bool = False) -> DataFrame:
+    """records with pactivity, reason (of a refused conversion) and rule: the first rule that fails, or NULL; detail: in words."""
+    df = units.converted(records, keep_steps=True)
+    p, listed = F.col("pactivity"), lambda xs: F.lit(", ".join(sorted(xs)))
+    df = df.withColumns({"__assay": F.upper(units.strip(F.coalesce("assay_type", F.lit("")))), "__family": units.family_of(F.col("__t")), "__off": F.abs(p - F.col("pchembl_value"))})
+    rules: list[tuple[str, Column, Column]] = []
     if policy.require_structure:
-        rules.append(("missing_structure", blank(F.col("smiles"))))
+        rules.append(("missing_structure", blank(F.col("smiles")), F.lit("no structure is given")))
     if policy.min_confidence is not None:
-        rules.append(("low_target_confidence", F.coalesce(F.col("confidence_score") < policy.min_confidence, F.lit(True))))
+        c = F.col("confidence_score")
+        rules.append(("low_target_confidence", F.coalesce(c < policy.min_confidence, F.lit(True)), F.when(c.isNull(), "no confidence score").otherwise(F.concat(F.lit("confidence "), c.cast("string"), F.lit(f" is under {policy.min_confidence}")))))
     if policy.assay_types:
-        rules.append(("wrong_assay_type", ~F.coalesce(F.upper(units.strip(F.col("assay_type"))).isin(list(policy.assay_types)), F.lit(False))))
+        a = F.col("__assay")
+        rules.append(("wrong_assay_type", ~a.isin(list(policy.assay_types)), F.when(a == "", "no assay type").otherwise(F.concat(F.lit("assay type '"), a, F.lit("' is none of "), listed(policy.assay_types)))))
     if policy.families:
-        rules.append(("incommensurable_endpoint", ~F.coalesce(units.family_of(F.col("activity_type")).isin(list(policy.families)), F.lit(False))))
+        f = F.col("__family")
+        outside = F.when(f.isNull(), F.concat(F.lit("type '"), F.coalesce("activity_type", F.lit("")), F.lit("' is of no known family"))).otherwise(F.concat(F.lit("family '"), f, F.lit("' is none of "), listed(policy.families)))
+        rules.append(("incommensurable_endpoint", ~F.coalesce(f.isin(list(policy.families)), F.lit(False)), outside))
     if policy.drop_flagged:
-        rules.append(("source_flagged_invalid", ~blank(F.col("data_validity_comment"))))
+        rules.append(("source_flagged_invalid", ~blank(F.col("data_validity_comment")), F.concat(F.lit("the source says '"), units.strip(F.col("data_validity_comment")), F.lit("'"))))
     if policy.drop_duplicates:
-        rules.append(("potential_duplicate", F.coalesce("potential_duplicate", F.lit(False))))
-    rules += [("censored_measurement", ~relation.isin("=", "==")), ("unconvertible_value", F.col("__p").isNull())]
-    if policy.plausible:
-        rules.append(("implausible_pactivity", ~F.col("__p").between(*policy.plausible)))
+        rules.append(("potential_duplicate", F.coalesce("potential_duplicate", F.lit(False)), F.lit("the source takes it for a repeated measurement")))
+    if policy.exact_relation:
+        rules.append(("censored_measurement", ~F.col("__r").isin("=", "=="), F.concat(F.lit("relation '"), F.col("__r"), F.lit("' is a bound, not a value"))))
+    rules.append(("unconvertible_value", p.isNull(), units.refusal(F.col("reason"), F.col("unit"), F.col("__r"), F.col("value"))))
+    low, high = policy.plausible
+    rules.append(("implausible_pactivity", ~p.between(low, high), F.format_string(f"pActivity %.2f is not within {low} to {high}", p)))
     if policy.pchembl_tolerance is not None:
-        rules.append(("pchembl_disagreement", F.coalesce(F.abs(F.col("__p") - F.col("pchembl_value")) > policy.pchembl_tolerance, F.lit(False))))
-    rule = F.lit(None).cast("string")
-    for name, fails in reversed(rules):
-        rule = F.when(fails, name).otherwise(rule)
-    return df.withColumn("rule", rule).withColumnsRenamed({"__p": "pactivity", "__reason": "reason"})
+        rules.append(("pchembl_disagreement", F.coalesce(F.col("__off") > policy.pchembl_tolerance, F.lit(False)), F.format_string("pActivity %.2f, but %.2f by the source", p, "pchembl_value")))
+    df = df.withColumn("rule", F.coalesce(*[F.when(fails, name) for name, fails, _ in rules]))
+    if detail:
+        df = df.withColumn("detail", F.coalesce(*[F.when(F.col("rule") == name, text) for name, _, text in rules]))
+    return df.drop(*units.STEPS, "__assay", "__family", "__off")
 
 
-def aggregate(kept: DataFrame, policy: AggregationPolicy = AggregationPolicy(), key: str = "compound_id") -> DataFrame:
+def _key(records: DataFrame, key: str | Column) -> tuple[DataFrame, str]:
+    """records with the compound key as a column, and its name: a column of that name, or any Column over the records."""
+    return (records, key) if isinstance(key, str) else (records.withColumn("compound_key", key), "compound_key")
+
+
+def aggregate(kept: DataFrame, policy: AggregationPolicy = AggregationPolicy(), key: str | Column = "compound_id") -> DataFrame:
     """One row per (key, target): counts, spread, statistic, members in seq order, and the group's rule or NULL.
 
     Hash aggregation with map-side partials; a compound's replicates are few, so the id lists are bounded by it.
     """
+    kept, key = _key(kept, key)
     middle = F.percentile("pactivity", F.lit(0.5)) if policy.statistic == "median" else F.avg("pactivity")
     spread = F.max("pactivity") - F.min("pactivity")
     n = F.count("*")
@@ -90,25 +107,69 @@ def aggregate(kept: DataFrame, policy: AggregationPolicy = AggregationPolicy(),
     return out.withColumn("uncertainty", uncertainty).withColumn("rule", rule)
 
 
-def curate(records: DataFrame, policy: CurationPolicy = CurationPolicy(), aggregation: AggregationPolicy = AggregationPolicy(), key: str = "compound_id") -> tuple[DataFrame, DataFrame]:
-    """(points, rejections): points ordered by nothing (sort at the edge), rejections one row per rejected record.
+def group_details(policy: AggregationPolicy, n: Column, spread: Column) -> tuple[Column, Column]:
+    """(rule, detail) of a group's members, from its size and spread; both NULL if it stands."""
+    few, apart = n < policy.min_measurements, spread > policy.max_spread
+    rule = F.when(few, "too_few_replicates").when(apart, "irreconcilable_replicates")
+    return rule, F.when(few, F.concat(n.cast("string"), F.lit(f" of the {policy.min_measurements} measurements needed"))).when(apart, F.format_string(f"%d measurements lie %.2f log units apart, over {policy.max_spread}", n, spread))
+
+
+NEEDED = ["activity_id", "seq", "compound_id", "target_id", "smiles", "activity_type", "pactivity", "rule", "detail"]
+
+
+def curate(records: DataFrame, policy: CurationPolicy = CurationPolicy(), aggregation: AggregationPolicy = AggregationPolicy(), key: str | Column = "compound_id") -> tuple[DataFrame, DataFrame]:
+    """(points, rejections): points in no order (in_order() sorts them at the edge), rejections one row per rejected record.
 
     Rejected groups' members are found by a window over the group, so no join back is needed.
     """
-    ruled = apply_rules(records, policy)
-    kept = ruled.where("rule IS NULL").drop("rule")
+    ruled, key = _key(apply_rules(records, policy, detail=True), key)
+    ruled = cut(ruled.select(*dict.fromkeys([*NEEDED, key])))
+    kept = ruled.where("rule IS NULL").drop("rule", "detail")
     points = aggregate(kept, aggregation, key).where("rule IS NULL").drop("rule")
     w = Window.partitionBy(key, "target_id")
-    n, spread = F.count("*").over(w), F.max("pactivity").over(w) - F.min("pactivity").over(w)
-    grouped = kept.withColumn("rule", F.when(n < aggregation.min_measurements, "too_few_replicates").when(spread > aggregation.max_spread, "irreconcilable_replicates"))
-    return points, ruled.where("rule IS NOT NULL").select("activity_id", "seq", "rule").unionByName(grouped.where("rule IS NOT NULL").select("activity_id", "seq", "rule"))
-
-
-def accounting(records: DataFrame, policy: CurationPolicy = CurationPolicy(), aggregation: AggregationPolicy = AggregationPolicy(), key: str = "compound_id") -> DataFrame:
-    """One row: n_input, n_points, n_kept_measurements, n_rejected, retention, balanced (nothing lost)."""
-    ruled = apply_rules(records, policy)
-    groups = aggregate(ruled.where("rule IS NULL").drop("rule"), aggregation, key)
-    kept = groups.agg(F.count_if(F.col("rule").isNull()).alias("n_points"), F.coalesce(F.sum(F.when(F.col("rule").isNull(), F.col("n_measurements"))), F.lit(0)).alias("n_kept_measurements"), F.coalesce(F.sum(F.when(F.col("rule").isNotNull(), F.col("n_measurements"))), F.lit(0)).alias("__g"))
-    whole = ruled.agg(F.count("*").alias("n_input"), F.count("rule").alias("__r"))
-    out = whole.crossJoin(kept).withColumn("n_rejected", F.col("__r") + F.col("__g"))  # 1 x 1 rows
-    return out.select("n_input", "n_points", "n_kept_measurements", "n_rejected", F.try_divide(F.col("n_input") - F.col("n_rejected"), F.col("n_input")).alias("retention"), (F.col("n_kept_measurements") + F.col("n_rejected") == F.col("n_input")).alias("balanced"))
+    grouped = kept.withColumns({"__n": F.count("*").over(w), "__s": F.max("pactivity").over(w) - F.min("pactivity").over(w)})
+    rule, detail = group_details(aggregation, F.col("__n"), F.col("__s"))
+    grouped = grouped.withColumns({"rule": rule, "detail": detail})
+    columns = ["activity_id", "seq", "compound_id", "target_id", "rule", "detail"]
+    return points, ruled.where("rule IS NOT NULL").select(*columns).unionByName(grouped.where("rule IS NOT NULL").select(*columns))
+
+
+def accounting(records: DataFrame, policy: CurationPolicy = CurationPolicy(), aggregation: AggregationPolicy = AggregationPolicy(), key: str | Column = "compound_id") -> DataFrame:
+    """One row: n_input, n_points, n_kept_measurements, n_rejected, retention (NULL without input), balanced (nothing lost).
+
+    One pass: sizes and spreads of groups with their own rejected records beside them, then their sums.
+    """
+    ruled, key = _key(apply_rules(records, policy), key)
+    fine = F.col("rule").isNull()
+    p = F.when(fine, F.col("pactivity"))
+    per = ruled.groupBy(key, "target_id").agg(F.count_if(fine).alias("k"), F.count("rule").alias("r"), (F.max(p) - F.min(p)).alias("s"))
+    good = (F.col("k") > 0) & (F.col("k") >= aggregation.min_measurements) & (F.col("s") <= aggregation.max_spread)
+    none = F.lit(0).cast("long")
+    out = per.agg(F.coalesce(F.sum(F.col("k") + F.col("r")), none).alias("n_input"), F.count_if(good).alias("n_points"), F.coalesce(F.sum(F.when(good, F.col("k"))), none).alias("n_kept_measurements"), F.coalesce(F.sum(F.col("r") + F.when(good, 0).otherwise(F.col("k"))), none).alias("n_rejected"))
+    return out.withColumn("retention", F.try_divide(F.col("n_input") - F.col("n_rejected"), F.col("n_input"))).withColumn("balanced", F.col("n_kept_measurements") + F.col("n_rejected") == F.col("n_input"))
+
+
+def summary(rejections: DataFrame) -> DataFrame:
+    """(rule, n), the most frequent first."""
+    return rejections.groupBy("rule").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rule")
+
+
+def in_order(points: DataFrame, key: str = "compound_id") -> DataFrame:
+    """Points by target and compound: the order of output files. A sort of everything, so only at the edge."""
+    return points.orderBy("target_id", key)
+
+
+# Potencies that make a compound active, a possible decoy, or part of a background.
+ACTIVE_FROM, DECOY_TO, BACKGROUND_TO = 8.0, 5.5, 6.0
+
+
+def potency(points: DataFrame, at_least: float | None = None, at_most: float | None = None, column: str = "pactivity") -> DataFrame:
+    """Points within potency bounds, both inclusive; unknown potencies are in none."""
+    out = points.where(F.col(column).isNotNull())
+    out = out if at_least is None else out.where(F.col(column) >= at_least)
+    return out if at_most is None else out.where(F.col(column) <= at_most)
+
+
+def most_potent(points: DataFrame, k: int, *ties: str, column: str = "pactivity") -> DataFrame:
+    """The k most potent points, ties by the columns given (compound_id): a bounded top-k."""
+    return points.where(F.col(column).isNotNull()).orderBy(F.desc(column), *(ties or ("compound_id",))).limit(k)

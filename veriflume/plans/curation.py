@@ -32,19 +32,40 @@ def unit_normalise(spark, d):
     return activity(spark, d).groupBy("unit", units.normalise_unit(F.col("unit")).alias("norm")).agg(F.count("*").alias("n"))
 
 
-def _converted(spark, d):
-    p, reason = units.pactivity(F.col("value"), F.col("unit"), F.col("activity_type"), F.col("relation"), F.col("molecular_weight"))
-    return activity(spark, d).withColumn("p", p).withColumn("reason", reason)
-
-
 @query(f"WITH {RULED} SELECT seq, round(p, 9) AS pactivity FROM ruled")
 def pactivity_value(spark, d):
-    return _converted(spark, d).select("seq", F.round("p", 9).alias("pactivity"))
+    return units.converted(activity(spark, d)).select("seq", F.round("pactivity", 9).alias("pactivity"))
 
 
 @query(f"WITH {RULED} SELECT coalesce(reason, 'converted') AS reason, count(*) AS n, count(*) FILTER (WHERE p BETWEEN 2 AND 12) AS n_plausible FROM ruled GROUP BY 1")
 def pactivity_reason(spark, d):
-    return _converted(spark, d).groupBy(F.coalesce("reason", F.lit("converted")).alias("reason")).agg(F.count("*").alias("n"), F.count_if(units.is_plausible(F.col("p"))).alias("n_plausible"))
+    return units.converted(activity(spark, d)).groupBy(F.coalesce("reason", F.lit("converted")).alias("reason")).agg(F.count("*").alias("n"), F.count_if(units.is_plausible(F.col("pactivity"))).alias("n_plausible"))
+
+
+QUOTED = "chr(39) || unit || chr(39)"
+REFUSAL = f"CASE reason WHEN 'no value' THEN 'no value is given' WHEN 'censored' THEN 'relation ' || chr(39) || relation || chr(39) || ' gives an upper bound only' WHEN 'not a concentration' THEN 'unit ' || {QUOTED} || ' is no concentration' WHEN 'needs molecular weight' THEN 'unit ' || {QUOTED} || ' cannot be made molar without a molecular weight' WHEN 'unrecognised unit' THEN 'unit ' || {QUOTED} || ' is not known' END"
+CITATION = "activity_id || ' / assay ' || assay_id || ' / target ' || target_id"
+
+
+@query(f"WITH {RULED} SELECT {REFUSAL} AS what, 'derived' AS origin, count(*) AS n FROM ruled WHERE reason IS NOT NULL GROUP BY ALL")
+def refused_quantities(spark, d):
+    """What unknown pActivities say of themselves, after the citation."""
+    df = units.converted(activity(spark, d), keep_steps=True)
+    q = units.as_quantity(units.citation(F.col("activity_id"), F.col("assay_id"), F.col("target_id")))
+    df = df.select(q.alias("q")).where("q.value IS NULL")
+    return df.groupBy(F.split("q.source", ": ")[1].alias("what"), F.col("q.origin").alias("origin")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {ACTIVITY_CTE} SELECT {CITATION} AS citation, count(*) AS n FROM activity GROUP BY 1")
+def citations(spark, d):
+    c = units.citation(F.col("activity_id"), F.col("assay_id"), F.col("target_id"))
+    return activity(spark, d).groupBy(c.alias("citation")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {ACTIVITY_CTE} SELECT count(*) AS n, count(*) FILTER (WHERE unit IN ('nM', 'uM')) AS n_molar, count(*) FILTER (WHERE unit = 'ug.mL-1' AND molecular_weight > 0 AND value IS NOT NULL) AS n_by_weight FROM activity")
+def unit_kinds(spark, d):
+    mass = units.mass_per_litre_to_molar(F.col("value"), F.col("unit"), F.col("molecular_weight"))
+    return activity(spark, d).agg(F.count("*").alias("n"), F.count_if(units.is_concentration_unit(F.col("unit"))).alias("n_molar"), F.count(mass).alias("n_by_weight"))
 
 
 @query(f"WITH {RULED} SELECT coalesce(family, 'none') AS family, activity_type, count(*) AS n FROM ruled GROUP BY ALL")
@@ -76,7 +97,7 @@ def curate_points_mean(spark, d):
 
 @query(f"WITH {RULED} SELECT seq, activity_id, rule FROM ruled WHERE rule IS NOT NULL UNION ALL SELECT r.seq, r.activity_id, 'irreconcilable_replicates' FROM ruled r JOIN grp g USING (compound_id, target_id) WHERE r.rule IS NULL AND g.spread > 1")
 def curate_rejections(spark, d):
-    return curate.curate(activity(spark, d))[1]
+    return curate.curate(activity(spark, d))[1].select("seq", "activity_id", "rule")
 
 
 @query(f"WITH {RULED}, x AS (SELECT (SELECT count(*) FROM ruled) AS n_input, (SELECT count(*) FROM grp WHERE spread <= 1) AS n_points, (SELECT sum(n_measurements)::BIGINT FROM grp WHERE spread <= 1) AS n_kept_measurements, (SELECT count(*) FROM ruled WHERE rule IS NOT NULL) + (SELECT coalesce(sum(n_measurements), 0)::BIGINT FROM grp WHERE spread > 1) AS n_rejected) SELECT n_input, n_points, n_kept_measurements, n_rejected, round((n_input - n_rejected) / n_input::DOUBLE, 9) AS retention, n_kept_measurements + n_rejected = n_input AS balanced FROM x")
@@ -84,14 +105,51 @@ def curate_accounting(spark, d):
     return curate.accounting(activity(spark, d)).withColumn("retention", F.round("retention", 9))
 
 
-@query(f"WITH {RULED} SELECT CASE WHEN relation NOT IN ('=', '==') THEN 'censored_measurement' WHEN p IS NULL THEN 'unconvertible_value' ELSE 'kept' END AS rule, count(*) AS n FROM ruled GROUP BY 1")
+@query(f"WITH {RULED} SELECT CASE WHEN smiles IS NULL OR smiles = '' THEN 'missing_structure' WHEN relation NOT IN ('=', '==') THEN 'censored_measurement' WHEN p IS NULL THEN 'unconvertible_value' WHEN NOT p BETWEEN 2 AND 12 THEN 'implausible_pactivity' ELSE 'kept' END AS rule, count(*) AS n FROM ruled GROUP BY 1")
 def curate_permissive(spark, d):
     return curate.apply_rules(activity(spark, d), curate.PERMISSIVE).groupBy(F.coalesce("rule", F.lit("kept")).alias("rule")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {RULED}, r AS (SELECT rule FROM ruled WHERE rule IS NOT NULL UNION ALL SELECT 'irreconcilable_replicates' FROM ruled r JOIN grp g USING (compound_id, target_id) WHERE r.rule IS NULL AND g.spread > 1) SELECT rule, count(*) AS n FROM r GROUP BY 1")
 def rejection_summary(spark, d):
-    return curate.curate(activity(spark, d))[1].groupBy("rule").agg(F.count("*").alias("n"))
+    return curate.summary(curate.curate(activity(spark, d))[1])
+
+
+DETAIL = f"CASE rule WHEN 'missing_structure' THEN 'no structure is given' WHEN 'low_target_confidence' THEN CASE WHEN confidence_score IS NULL THEN 'no confidence score' ELSE 'confidence ' || confidence_score || ' is under 8' END WHEN 'wrong_assay_type' THEN 'assay type ' || chr(39) || assay_type || chr(39) || ' is none of B, F' WHEN 'incommensurable_endpoint' THEN 'family ' || chr(39) || family || chr(39) || ' is none of functional' WHEN 'source_flagged_invalid' THEN 'the source says ' || chr(39) || data_validity_comment || chr(39) WHEN 'potential_duplicate' THEN 'the source takes it for a repeated measurement' WHEN 'censored_measurement' THEN 'relation ' || chr(39) || relation || chr(39) || ' is a bound, not a value' WHEN 'unconvertible_value' THEN {REFUSAL} END"
+
+
+@query(f"WITH {RULED} SELECT rule, {DETAIL} AS detail, count(*) AS n FROM ruled WHERE rule NOT IN ('implausible_pactivity', 'pchembl_disagreement') GROUP BY ALL")
+def rejection_details(spark, d):
+    """Details of the rules whose words hold no computed number."""
+    r = curate.apply_rules(activity(spark, d), detail=True)
+    return r.groupBy("rule", "detail").agg(F.count("*").alias("n")).where("rule NOT IN ('implausible_pactivity', 'pchembl_disagreement')")
+
+
+@query(f"WITH {RULED}, pts AS (SELECT target_id, compound_id, med FROM grp WHERE spread <= 1) SELECT count(*) FILTER (WHERE med >= 8) AS n_active, count(*) FILTER (WHERE med <= 5.5) AS n_decoy_pool, count(*) FILTER (WHERE med <= 6) AS n_background FROM pts")
+def potency_cuts(spark, d):
+    points = curate.curate(activity(spark, d))[0]
+    n = [curate.potency(points, *b).agg(F.count("*").alias(name)) for name, b in (("n_active", (curate.ACTIVE_FROM,)), ("n_decoy_pool", (None, curate.DECOY_TO)), ("n_background", (None, curate.BACKGROUND_TO)))]
+    return n[0].crossJoin(n[1]).crossJoin(n[2])  # one row each
+
+
+@query(f"WITH {RULED} SELECT compound_id, target_id, round(med, 9) AS pactivity FROM grp WHERE spread <= 1 ORDER BY round(med, 9) DESC, compound_id, target_id LIMIT 30")
+def most_potent(spark, d):
+    points = curate.curate(activity(spark, d))[0].withColumn("pactivity", F.round("pactivity", 9))
+    return curate.most_potent(points, 30, "compound_id", "target_id").select("compound_id", "target_id", "pactivity")
+
+
+@query(f"WITH {RULED} SELECT compound_id, target_id, replace(types, ';', ',') AS activity_types, CASE WHEN n_measurements > 1 THEN round(spread, 6) END AS spread_log_units, replace(ids, ';', ',') AS source_activity_ids, 'derived' AS origin FROM grp WHERE spread <= 1")
+def point_rows(spark, d):
+    rows = records.labelled_points(curate.curate(activity(spark, d))[0])
+    return rows.select("compound_id", "target_id", "activity_types", F.round("spread_log_units", 6).alias("spread_log_units"), "source_activity_ids", "origin")
+
+
+@query(f"WITH {RULED} SELECT smiles, target_id, count(*) AS n FROM (SELECT smiles, target_id, max(p) - min(p) AS s FROM ruled WHERE rule IS NULL GROUP BY ALL) WHERE s <= 1 GROUP BY ALL")
+def curate_by_structure(spark, d):
+    """Replicates pooled by a key that is an expression, as a structure hash would be."""
+    points = curate.curate(activity(spark, d), key=F.concat(F.lit("structure "), F.col("smiles")))[0]
+    return points.groupBy("smiles", "target_id").agg(F.count("*").alias("n"))
+
 
 
 ORIGIN = "CASE WHEN l_linenumber = 1 THEN 'measured' WHEN l_linenumber <= 3 THEN 'derived' WHEN l_linenumber <= 6 THEN 'predicted' ELSE 'heuristic' END"

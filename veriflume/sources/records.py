@@ -39,6 +39,24 @@ def shard_candidates(shards: DataFrame) -> DataFrame:
     return shards.select("shard", F.explode("candidates").alias("c")).select("shard", "c.*")
 
 
+def flatten_records(records: DataFrame) -> DataFrame:
+    """The columns of activity records that a reader looks at, in their order, for CSV."""
+    return records.select("activity_id", "compound_id", "target_id", "activity_type", "value", "unit", "relation", "assay_type", "confidence_score", "data_validity_comment", "pchembl_value", "smiles")
+
+
+def flatten_rejections(rejections: DataFrame) -> DataFrame:
+    return rejections.select("activity_id", "compound_id", "target_id", "rule", "detail")
+
+
+def labelled_points(points: DataFrame) -> DataFrame:
+    """Curated points as output rows: the value's label and origin, spread only of several measurements, lists as text."""
+    from ..functions import quantity as Q
+
+    q = Q.quantity(F.col("pactivity"), "derived", None, F.array_join("source_activity_ids", "; "), F.col("uncertainty"))
+    spread = F.when(F.col("n_measurements") > 1, F.col("spread"))
+    return points.select("compound_id", "smiles", "target_id", "pactivity", Q.label(q).alias("pactivity_label"), F.lit("derived").alias("origin"), "n_measurements", spread.alias("spread_log_units"), F.array_join("activity_types", ",").alias("activity_types"), F.array_join("source_activity_ids", ",").alias("source_activity_ids"))
+
+
 def flatten_points(points: DataFrame) -> DataFrame:
     """Curated points with arrays as text, for CSV."""
     return points.withColumn("source_activity_ids", F.array_join("source_activity_ids", ";")).withColumn("activity_types", F.array_join("activity_types", ";"))
