@@ -49,39 +49,46 @@ def blank(c: Column) -> Column:
     return units.strip(F.coalesce(c, F.lit(""))) == ""
 
 
-def apply_rules(records: DataFrame, policy: CurationPolicy = CurationPolicy(), detail: bool = False) -> DataFrame:
-    """records with pactivity, reason (of a refused conversion) and rule: the first rule that fails, or NULL; detail: in words."""
+def apply_rules(records: DataFrame, policy: CurationPolicy = CurationPolicy()) -> DataFrame:
+    """records with pactivity, reason (of a refused conversion) and rule: the first rule that fails, or NULL."""
     df = units.converted(records, keep_steps=True)
-    p, listed = F.col("pactivity"), lambda xs: F.lit(", ".join(sorted(xs)))
+    p, low, high = F.col("pactivity"), *policy.plausible
     df = df.withColumns({"__assay": F.upper(units.strip(F.coalesce("assay_type", F.lit("")))), "__family": units.family_of(F.col("__t")), "__off": F.abs(p - F.col("pchembl_value"))})
-    rules: list[tuple[str, Column, Column]] = []
-    if policy.require_structure:
-        rules.append(("missing_structure", blank(F.col("smiles")), F.lit("no structure is given")))
-    if policy.min_confidence is not None:
-        c = F.col("confidence_score")
-        rules.append(("low_target_confidence", F.coalesce(c < policy.min_confidence, F.lit(True)), F.when(c.isNull(), "no confidence score").otherwise(F.concat(F.lit("confidence "), c.cast("string"), F.lit(f" is under {policy.min_confidence}")))))
-    if policy.assay_types:
-        a = F.col("__assay")
-        rules.append(("wrong_assay_type", ~a.isin(list(policy.assay_types)), F.when(a == "", "no assay type").otherwise(F.concat(F.lit("assay type '"), a, F.lit("' is none of "), listed(policy.assay_types)))))
-    if policy.families:
-        f = F.col("__family")
-        outside = F.when(f.isNull(), F.concat(F.lit("type '"), F.coalesce("activity_type", F.lit("")), F.lit("' is of no known family"))).otherwise(F.concat(F.lit("family '"), f, F.lit("' is none of "), listed(policy.families)))
-        rules.append(("incommensurable_endpoint", ~F.coalesce(f.isin(list(policy.families)), F.lit(False)), outside))
-    if policy.drop_flagged:
-        rules.append(("source_flagged_invalid", ~blank(F.col("data_validity_comment")), F.concat(F.lit("the source says '"), units.strip(F.col("data_validity_comment")), F.lit("'"))))
-    if policy.drop_duplicates:
-        rules.append(("potential_duplicate", F.coalesce("potential_duplicate", F.lit(False)), F.lit("the source takes it for a repeated measurement")))
-    if policy.exact_relation:
-        rules.append(("censored_measurement", ~F.col("__r").isin("=", "=="), F.concat(F.lit("relation '"), F.col("__r"), F.lit("' is a bound, not a value"))))
-    rules.append(("unconvertible_value", p.isNull(), units.refusal(F.col("reason"), F.col("unit"), F.col("__r"), F.col("value"))))
-    low, high = policy.plausible
-    rules.append(("implausible_pactivity", ~p.between(low, high), F.format_string(f"pActivity %.2f is not within {low} to {high}", p)))
-    if policy.pchembl_tolerance is not None:
-        rules.append(("pchembl_disagreement", F.coalesce(F.col("__off") > policy.pchembl_tolerance, F.lit(False)), F.format_string("pActivity %.2f, but %.2f by the source", p, "pchembl_value")))
-    df = df.withColumn("rule", F.coalesce(*[F.when(fails, name) for name, fails, _ in rules]))
-    if detail:
-        df = df.withColumn("detail", F.coalesce(*[F.when(F.col("rule") == name, text) for name, _, text in rules]))
-    return df.drop(*units.STEPS, "__assay", "__family", "__off")
+    rules = {
+        "missing_structure": blank(F.col("smiles")) if policy.require_structure else None,
+        "low_target_confidence": F.coalesce(F.col("confidence_score") < policy.min_confidence, F.lit(True)) if policy.min_confidence is not None else None,
+        "wrong_assay_type": ~F.col("__assay").isin(list(policy.assay_types)) if policy.assay_types else None,
+        "incommensurable_endpoint": ~F.coalesce(F.col("__family").isin(list(policy.families)), F.lit(False)) if policy.families else None,
+        "source_flagged_invalid": ~blank(F.col("data_validity_comment")) if policy.drop_flagged else None,
+        "potential_duplicate": F.coalesce("potential_duplicate", F.lit(False)) if policy.drop_duplicates else None,
+        "censored_measurement": ~F.col("__r").isin("=", "==") if policy.exact_relation else None,
+        "unconvertible_value": p.isNull(),
+        "implausible_pactivity": ~p.between(low, high),
+        "pchembl_disagreement": F.coalesce(F.col("__off") > policy.pchembl_tolerance, F.lit(False)) if policy.pchembl_tolerance is not None else None,
+    }
+    rule = F.coalesce(*[F.when(fails, name) for name, fails in rules.items() if fails is not None])
+    return df.withColumn("rule", rule).drop(*units.STEPS, "__assay", "__family", "__off")
+
+
+def with_details(ruled: DataFrame, policy: CurationPolicy = CurationPolicy()) -> DataFrame:
+    """Rows of apply_rules() with detail: their rule in words, with what it was that failed. Meant for rejected rows, and made only where it is read."""
+    p, c, kind = F.col("pactivity"), F.col("confidence_score"), F.col("activity_type")
+    quoted = lambda before, x, after: F.concat(F.lit(f"{before} '"), F.coalesce(x, F.lit("")), F.lit(f"'{after}"))
+    listed, (low, high), relation = lambda xs: ", ".join(sorted(xs)), policy.plausible, units.exact(F.col("relation"))
+    assay, family = F.upper(units.strip(F.coalesce("assay_type", F.lit("")))), units.family_of(units.strip(kind))
+    words = {
+        "missing_structure": F.lit("no structure is given"),
+        "low_target_confidence": F.when(c.isNull(), "no confidence score").otherwise(F.concat(F.lit("confidence "), c.cast("string"), F.lit(f" is under {policy.min_confidence}"))),
+        "wrong_assay_type": F.when(assay == "", "no assay type").otherwise(quoted("assay type", assay, f" is none of {listed(policy.assay_types)}")),
+        "incommensurable_endpoint": F.when(family.isNull(), quoted("type", kind, " is of no known family")).otherwise(quoted("family", family, f" is none of {listed(policy.families)}")),
+        "source_flagged_invalid": quoted("the source says", units.strip(F.col("data_validity_comment")), ""),
+        "potential_duplicate": F.lit("the source takes it for a repeated measurement"),
+        "censored_measurement": quoted("relation", relation, " is a bound, not a value"),
+        "unconvertible_value": units.refusal(F.col("reason"), F.col("unit"), relation, F.col("value")),
+        "implausible_pactivity": F.format_string(f"pActivity %.2f is not within {low} to {high}", p),
+        "pchembl_disagreement": F.format_string("pActivity %.2f, but %.2f by the source", p, "pchembl_value"),
+    }
+    return ruled.withColumn("detail", F.coalesce(*[F.when(F.col("rule") == name, text) for name, text in words.items()]))
 
 
 def _key(records: DataFrame, key: str | Column) -> tuple[DataFrame, str]:
@@ -92,16 +99,19 @@ def _key(records: DataFrame, key: str | Column) -> tuple[DataFrame, str]:
 def aggregate(kept: DataFrame, policy: AggregationPolicy = AggregationPolicy(), key: str | Column = "compound_id") -> DataFrame:
     """One row per (key, target): counts, spread, statistic, members in seq order, and the group's rule or NULL.
 
-    Hash aggregation with map-side partials; a compound's replicates are few, so the id lists are bounded by it.
+    A group's members are listed once, in seq order, and all else follows from the list: a compound's replicates are few.
     """
     kept, key = _key(kept, key)
-    middle = F.percentile("pactivity", F.lit(0.5)) if policy.statistic == "median" else F.avg("pactivity")
-    spread = F.max("pactivity") - F.min("pactivity")
-    n = F.count("*")
-    out = kept.groupBy(key, "target_id").agg(
-        n.alias("n_measurements"), spread.alias("spread"), middle.alias("pactivity"), F.min_by("smiles", "seq").alias("smiles"),
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "activity_id"))), lambda x: x["activity_id"]).alias("source_activity_ids"), F.sort_array(F.collect_set("activity_type")).alias("activity_types"),
+    members = F.array_sort(F.collect_list(F.struct("seq", "activity_id", "pactivity", "smiles", "activity_type"))).alias("__m")
+    rows = kept.groupBy(key, "target_id").agg(F.count("*").alias("n_measurements"), (F.max("pactivity") - F.min("pactivity")).alias("spread"), F.avg("pactivity").alias("__mean"), members)
+    rows = rows.withColumn("__v", F.array_sort("__m.pactivity"))
+    half = lambda i: F.element_at("__v", F.floor(i / 2).cast("int"))
+    middle = (half(F.col("n_measurements") + 1) + half(F.col("n_measurements") + 2)) / 2
+    out = rows.select(
+        key, "target_id", "n_measurements", "spread", (middle if policy.statistic == "median" else F.col("__mean")).alias("pactivity"), F.col("__m")[0]["smiles"].alias("smiles"),
+        F.col("__m.activity_id").alias("source_activity_ids"), F.array_sort(F.array_distinct("__m.activity_type")).alias("activity_types"),
     )
+
     rule = F.when(F.col("n_measurements") < policy.min_measurements, "too_few_replicates").when(F.col("spread") > policy.max_spread, "irreconcilable_replicates")
     uncertainty = F.when(F.col("n_measurements") > 1, F.col("spread") / 2) if policy.spread_as_uncertainty else F.lit(None).cast("double")
     return out.withColumn("uncertainty", uncertainty).withColumn("rule", rule)
@@ -114,7 +124,8 @@ def group_details(policy: AggregationPolicy, n: Column, spread: Column) -> tuple
     return rule, F.when(few, F.concat(n.cast("string"), F.lit(f" of the {policy.min_measurements} measurements needed"))).when(apart, F.format_string(f"%d measurements lie %.2f log units apart, over {policy.max_spread}", n, spread))
 
 
-NEEDED = ["activity_id", "seq", "compound_id", "target_id", "smiles", "activity_type", "pactivity", "rule", "detail"]
+NEEDED = ["activity_id", "seq", "compound_id", "target_id", "smiles", "activity_type", "pactivity", "rule"]
+WORDED = ["reason", "value", "unit", "relation", "assay_type", "confidence_score", "data_validity_comment", "pchembl_value"]
 
 
 def curate(records: DataFrame, policy: CurationPolicy = CurationPolicy(), aggregation: AggregationPolicy = AggregationPolicy(), key: str | Column = "compound_id") -> tuple[DataFrame, DataFrame]:
@@ -122,16 +133,16 @@ def curate(records: DataFrame, policy: CurationPolicy = CurationPolicy(), aggreg
 
     Rejected groups' members are found by a window over the group, so no join back is needed.
     """
-    ruled, key = _key(apply_rules(records, policy, detail=True), key)
-    ruled = cut(ruled.select(*dict.fromkeys([*NEEDED, key])))
-    kept = ruled.where("rule IS NULL").drop("rule", "detail")
+    ruled, key = _key(apply_rules(records, policy), key)
+    ruled = cut(ruled.select(*dict.fromkeys([*NEEDED, *WORDED, key])))
+    kept = ruled.where("rule IS NULL").select(*dict.fromkeys([*NEEDED, key])).drop("rule")
     points = aggregate(kept, aggregation, key).where("rule IS NULL").drop("rule")
     w = Window.partitionBy(key, "target_id")
     grouped = kept.withColumns({"__n": F.count("*").over(w), "__s": F.max("pactivity").over(w) - F.min("pactivity").over(w)})
     rule, detail = group_details(aggregation, F.col("__n"), F.col("__s"))
     grouped = grouped.withColumns({"rule": rule, "detail": detail})
     columns = ["activity_id", "seq", "compound_id", "target_id", "rule", "detail"]
-    return points, ruled.where("rule IS NOT NULL").select(*columns).unionByName(grouped.where("rule IS NOT NULL").select(*columns))
+    return points, with_details(ruled.where("rule IS NOT NULL"), policy).select(*columns).unionByName(grouped.where("rule IS NOT NULL").select(*columns))
 
 
 def accounting(records: DataFrame, policy: CurationPolicy = CurationPolicy(), aggregation: AggregationPolicy = AggregationPolicy(), key: str | Column = "compound_id") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import quantity as Q
 from ..functions import units
 from ..operators import background, curate
+from ..session import cut
 from ..sources import records
 from .bridge import ACTIVITY_CTE, activity, table
 from .registry import query
@@ -121,13 +122,14 @@ DETAIL = f"CASE rule WHEN 'missing_structure' THEN 'no structure is given' WHEN
 @query(f"WITH {RULED} SELECT rule, {DETAIL} AS detail, count(*) AS n FROM ruled WHERE rule NOT IN ('implausible_pactivity', 'pchembl_disagreement') GROUP BY ALL")
 def rejection_details(spark, d):
     """Details of the rules whose words hold no computed number."""
-    r = curate.apply_rules(activity(spark, d), detail=True)
-    return r.groupBy("rule", "detail").agg(F.count("*").alias("n")).where("rule NOT IN ('implausible_pactivity', 'pchembl_disagreement')")
+    r = curate.curate(activity(spark, d))[1].where("rule NOT IN ('implausible_pactivity', 'pchembl_disagreement', 'irreconcilable_replicates')")
+    return r.groupBy("rule", "detail").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {RULED}, pts AS (SELECT target_id, compound_id, med FROM grp WHERE spread <= 1) SELECT count(*) FILTER (WHERE med >= 8) AS n_active, count(*) FILTER (WHERE med <= 5.5) AS n_decoy_pool, count(*) FILTER (WHERE med <= 6) AS n_background FROM pts")
 def potency_cuts(spark, d):
     points = curate.curate(activity(spark, d))[0]
+    points = cut(points.select("pactivity"))
     n = [curate.potency(points, *b).agg(F.count("*").alias(name)) for name, b in (("n_active", (curate.ACTIVE_FROM,)), ("n_decoy_pool", (None, curate.DECOY_TO)), ("n_background", (None, curate.BACKGROUND_TO)))]
     return n[0].crossJoin(n[1]).crossJoin(n[2])  # one row each
 
