@@ -6,27 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .similarity import every_pair
-
-
-def distance(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
+from .blocks import euclidean, nearest
 
 
 def knn_distance(rows: DataFrame, train: DataFrame, k: int = 5, exclude_self: bool = False) -> DataFrame:
-    """(id, knn_distance): mean Euclidean distance to the k nearest training rows (fewer if there are fewer).
-
-    Each task keeps the k smallest of a row before the exchange (a group limit under the window).
-    """
-    pairs = every_pair(rows.select("id", F.col("features").alias("__f")), train.select(F.col("id").alias("__t"), F.col("features").alias("__g")))
-    pairs = pairs.where("id <> __t") if exclude_self else pairs
-    d = pairs.select("id", distance(F.col("__f"), F.col("__g")).alias("d"))
-    nearest = d.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d"))).where(F.col("r") <= k)
-    return nearest.groupBy("id").agg(F.avg("d").alias("knn_distance"))
-
+    """(id, knn_distance): mean Euclidean distance to the k nearest training rows (fewer if there are fewer)."""
+    near = nearest(rows, train, k, euclidean, exclude_self=exclude_self)
+    return near.select("id", (F.aggregate("near.d", F.lit(0.0), lambda s, x: s + x) / F.size("near")).alias("knn_distance"))
 
 def knn_threshold(train: DataFrame, k: int = 5, percentile: float = 0.95) -> DataFrame:
     return knn_distance(train, train, k, True).agg(F.percentile("knn_distance", F.lit(percentile)).alias("knn_threshold"))
@@ -65,15 +54,26 @@ def leverage(rows: DataFrame, train: DataFrame) -> tuple[DataFrame, float]:
 
 
 def assess(rows: DataFrame, train: DataFrame, k: int = 5, percentile: float = 0.95, similarity: DataFrame | None = None, floor: float = 0.3, use_leverage: bool = True) -> DataFrame:
-    """(id, knn_distance, leverage, max_similarity, in_domain, methods_disagree); in the domain only if every method says so."""
+    """(id, knn_distance, knn_threshold, leverage, leverage_threshold, max_similarity, in_domain, methods_disagree, reasons).
+
+    In the domain only if every method says so. similarity: (id, similarity) to the most similar training row.
+    """
     limit = knn_threshold(train, k, percentile).first()[0]
-    out, calls = knn_distance(rows, train, k), [F.col("knn_distance") <= limit]
+    out, far = knn_distance(rows, train, k).withColumn("knn_threshold", F.lit(limit).cast("double")), F.col("knn_distance")
+    calls = [(far <= limit, F.format_string(f"the {k} nearest training rows are %.3f away on average, over %.3f", far, "knn_threshold"))]
     if use_leverage:
         lev, warn = leverage(rows, train)
-        out, calls = out.join(lev, "id"), [*calls, F.col("leverage") <= warn]
+        out = out.join(lev, "id").withColumn("leverage_threshold", F.lit(float(warn)))
+        calls.append((F.col("leverage") <= warn, F.format_string("leverage %.3f is over %.3f", "leverage", "leverage_threshold")))
     if similarity is not None:
-        out, calls = out.join(similarity.select("id", F.col("similarity").alias("max_similarity")), "id", "left"), [*calls, F.coalesce(F.col("max_similarity") >= floor, F.lit(False))]
-    every, some = calls[0], calls[0]
-    for c in calls[1:]:
+        out = out.join(similarity.select("id", F.col("similarity").alias("max_similarity")), "id", "left")
+        calls.append((F.coalesce(F.col("max_similarity") >= floor, F.lit(False)), F.concat(F.lit("the most similar training row is only "), F.coalesce(F.format_string("%.3f", "max_similarity"), F.lit("unknown")), F.lit(f" similar, under {floor:g}"))))
+    every, some = calls[0][0], calls[0][0]
+    for c, _ in calls[1:]:
         every, some = every & c, some | c
-    return out.withColumn("in_domain", every).withColumn("methods_disagree", some & ~every)
+    return out.withColumn("in_domain", every).withColumn("methods_disagree", some & ~every).withColumn("reasons", F.array_compact(F.array(*[F.when(~c, text) for c, text in calls])))
+
+
+def coverage(assessed: DataFrame) -> DataFrame:
+    """(n, coverage): the share of rows inside the domain; NULL of none."""
+    return assessed.agg(F.count("*").alias("n"), F.avg(F.col("in_domain").cast("double")).alias("coverage"))

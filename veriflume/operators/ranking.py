@@ -94,26 +94,66 @@ def bedroc(df: DataFrame, alpha: float = 20.0) -> DataFrame:
     return s.select(F.when((F.col("a") > 0) & (F.col("a") < F.col("n")), value).alias("bedroc"))
 
 
-def bootstrap(df: DataFrame, metric: Column, resamples: int, seed: int = 0, confidence: float = 0.95, order: str = "seq") -> DataFrame:
-    """estimate, low, high of a weighted metric over resamples with replacement.
+def resampled(df: DataFrame, resamples: int, seed: int = 0, order: str = "seq") -> DataFrame:
+    """df's rows with rep and times: how often each is drawn in each resample with replacement.
 
-    Rows are drawn by a counter hash: draw j of resample b is row hash(seed, b, j) mod n. Draws are counted per (resample, row)
-    before rows are joined to them, so what is joined is the multiplicities. metric: a Column over the rows and `times`.
-    Undefined resamples are skipped; fewer than half defined gives NULL bounds.
+    Draw j of resample b is row hash(seed, b, j) mod n. Draws are counted per (resample, row) before rows are joined to them.
     """
-    spark = df.sparkSession
     rows = running_total(df, [order], out="ix")
     n = df.count()
     if n < 3:
         raise ValueError("a bootstrap needs three rows at least")
-    draws = spark.range(resamples * n).select((F.col("id") / n).cast("int").alias("rep"), F.pmod(counter_hash(F.lit(str(seed)), (F.col("id") / n).cast("int").cast("string"), (F.col("id") % n).cast("string")), F.lit(n)).cast("int").alias("ix"))
-    times = draws.groupBy("rep", "ix").agg(F.count("*").alias("times"))
-    values = times.join(rows, "ix").groupBy("rep").agg(metric.alias("v")).where("v IS NOT NULL")
+    rep, j = F.floor(F.col("id") / n).cast("long"), F.col("id") % n
+    draws = df.sparkSession.range(resamples * n).select(rep.alias("rep"), F.pmod(counter_hash(F.lit(str(seed)), rep.cast("string"), j.cast("string")), F.lit(n)).cast("long").alias("ix"))
+    return draws.groupBy("rep", "ix").agg(F.count("*").alias("times")).join(rows, "ix")
+
+
+def _bounds(values: DataFrame, resamples: int, confidence: float, strict: bool, *by: str) -> DataFrame:
+    """(by, low, high, defined) of values (v); undefined resamples are skipped, and with fewer than half defined there are no bounds."""
     tail = (1 - confidence) / 2
-    whole = df.withColumn("times", F.lit(1)).agg(metric.alias("estimate"))
-    got = values.agg(F.count("*").alias("defined"), F.percentile("v", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
-    return whole.crossJoin(got).select("estimate", F.when(F.col("defined") * 2 >= resamples, F.col("q")[0]).alias("low"), F.when(F.col("defined") * 2 >= resamples, F.col("q")[1]).alias("high"), "defined")
+    got = values.groupBy(*by).agg(F.count("v").alias("defined"), F.percentile("v", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
+    enough = F.col("defined") * 2 >= resamples
+    q = F.when(enough, F.col("q"))
+    if strict:
+        q = q.otherwise(F.raise_error(F.lit("fewer than half of the resamples are defined")).cast("array<double>"))
+    return got.select(*by, q[0].alias("low"), q[1].alias("high"), "defined")
+
 
+def bootstrap(df: DataFrame, metric: Column, resamples: int = 1000, seed: int = 0, confidence: float = 0.95, order: str = "seq", strict: bool = False) -> DataFrame:
+    """estimate, low, high of a weighted metric over resamples with replacement. metric: a Column over the rows and `times`.
+
+    Undefined resamples are skipped; fewer than half defined gives NULL bounds, or an error if strict.
+    """
+    values = resampled(df, resamples, seed, order).groupBy("rep").agg(metric.alias("v"))
+    whole = df.withColumn("times", F.lit(1)).agg(metric.alias("estimate"))
+    return whole.crossJoin(_bounds(values, resamples, confidence, strict)).select("estimate", "low", "high", "defined")  # 1 x 1 rows
+
+
+def weighted_ranks(drawn: DataFrame, value: str, out: str) -> DataFrame:
+    """drawn (rep, times) with the mean rank that a value's copies share within its resample."""
+    per = drawn.groupBy("rep", value).agg(F.sum("times").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("rep").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return drawn.join(per.withColumn(out, before + (F.col("__n") + 1) / F.lit(2.0)).drop("__n"), ["rep", value])
+
+
+def evaluate(df: DataFrame, resamples: int = 1000, seed: int = 0, truth: str = "y", predicted: str = "p", order: str = "seq", confidence: float = 0.95) -> DataFrame:
+    """(metric, estimate, low, high, defined) of r2, rmse, mae and spearman, all over the same resamples."""
+    drawn = resampled(df.select(order, F.col(truth).cast("double").alias("y"), F.col(predicted).cast("double").alias("p")), resamples, seed, order)
+    drawn = cut(drawn)
+    t, miss = F.col("times"), F.col("y") - F.col("p")
+    plain = {"r2": weighted_r2(), "rmse": F.sqrt(F.sum(t * miss * miss) / F.sum(t)), "mae": F.sum(t * F.abs(miss)) / F.sum(t)}
+    a, b = F.col("__a"), F.col("__b")
+    n, sa, sb = F.sum(t), F.sum(t * a), F.sum(t * b)
+    spread = lambda s, x: F.sum(t * x * x) - s * s / n
+    rho = F.when((spread(sa, a) > 1e-9) & (spread(sb, b) > 1e-9), (F.sum(t * a * b) - sa * sb / n) / F.sqrt(spread(sa, a) * spread(sb, b)))
+
+    def measured(rows: DataFrame) -> DataFrame:
+        one = rows.groupBy("rep").agg(*[m.alias(k) for k, m in plain.items()])
+        two = weighted_ranks(weighted_ranks(rows, "y", "__a"), "p", "__b").groupBy("rep").agg(rho.alias("spearman"))
+        return one.join(two, "rep").unpivot(["rep"], [*plain, "spearman"], "metric", "v")
+
+    whole = measured(df.select(F.lit(0).cast("long").alias("rep"), F.lit(1).cast("long").alias("times"), F.col(truth).cast("double").alias("y"), F.col(predicted).cast("double").alias("p")))
+    return whole.select("metric", F.col("v").alias("estimate")).join(_bounds(measured(drawn), resamples, confidence, False, "metric"), "metric")
 
 def weighted_r2(truth: str = "y", predicted: str = "p") -> Column:
     t, y, miss = F.col("times"), F.col(truth), F.col(truth) - F.col(predicted)

@@ -1,18 +1,18 @@
 """Tanimoto similarity of packed fingerprints, nearest neighbours and diverse subsets.
 
 Thresholded joins are equi-joins: with a and b set bits, similarity t needs t*a <= b <= a/t, so each left row meets only the
-right rows of those bit counts. Unthresholded searches are block joins: the right side is dealt to blocks, and every left row
-visits each; a right side under a checked size is broadcast instead.
+right rows of those bit counts. Searches for the nearest compare block with block in numpy. The full matrix, whose size is that
+of its result, visits a right side dealt to blocks; one under a checked size is broadcast instead.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from . import blocks
 
 #: rows of a right side that may be broadcast
 BROADCAST_ROWS = 100_000
@@ -42,12 +42,11 @@ def matrix(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def nearest(left: DataFrame, right: DataFrame, exclude_self: bool = False) -> DataFrame:
-    """(id, ref, similarity): the most similar reference, the lowest id on ties."""
-    m = matrix(left, right)
-    m = m.where("id <> ref") if exclude_self else m
-    best = F.max_by("ref", F.struct(F.col("similarity"), -F.col("ref")))
-    return m.groupBy("id").agg(best.alias("ref"), F.max("similarity").alias("similarity"))
-
+    """(id, ref, similarity): the most similar reference, the lowest id on ties; -1 and no reference without a fingerprint or a reference."""
+    packed = lambda df: df.select("id", F.array("word").alias("features")).where("features[0] IS NOT NULL")
+    best = blocks.nearest(packed(left), packed(right), 1, lambda x, y: -blocks.tanimoto(x.astype(np.int64).view(np.uint64), y.astype(np.int64).view(np.uint64)), exclude_self=exclude_self)
+    best = best.select("id", F.get("near", F.lit(0))["ref"].alias("ref"), (-F.get("near", F.lit(0))["d"]).alias("similarity"))
+    return left.select("id").join(best, "id", "left").withColumn("similarity", F.coalesce("similarity", F.lit(-1.0)))
 
 def similar_pairs(fp: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) with a < b and similarity >= threshold, by equi-joins on the number of set bits."""
@@ -94,6 +93,3 @@ def first_independent(ids: DataFrame, pairs: DataFrame, max_rounds: int = 1000)
             return kept
     raise RuntimeError("the subset did not settle")
 
-
-def block_count(n: int, size: int) -> int:
-    return max(1, math.ceil(n / size))

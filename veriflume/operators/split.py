@@ -66,6 +66,20 @@ def assign(sizes: list[int], n: int, test: float, validation: float, balanced: b
     return out
 
 
+def repeated(df: DataFrame, repeats: int = 5, test: float = 0.2, base_seed: int = 0, key: str = "scaffold", ix: str = "ix") -> DataFrame:
+    """df under several seeded splits, with repeat: one split has no error bar."""
+    out = None
+    for k in range(repeats):
+        one = scaffold_split(df, test, seed=base_seed + k, key=key, ix=ix).withColumn("repeat", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def by_scaffold(df: DataFrame, key: str = "scaffold") -> DataFrame:
+    """(scaffold, n): acyclic rows, whose scaffold is '', are a group like any other; so are rows without one, NULL."""
+    return df.groupBy(key).agg(F.count("*").alias("n"))
+
+
 def random_split(df: DataFrame, test: float = 0.2, seed: int = 0, ix: str = "ix") -> DataFrame:
     """The n_test rows with the lowest counter hash are the test side (not a Mersenne-twister permutation)."""
     from .ranking import counter_hash, running_total

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import euclidean, nearest
+
 MIN_LIGAND_ATOMS, BLIND_EDGE, MIN_EDGE, PLANAR = 8, 30.0, 12.0, 2.0
 #: names of residues of proteins (fixed values)
 RESIDUES = "ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL MSE SEC PYL".split()
@@ -104,12 +106,9 @@ def rmsd(a: DataFrame, b: DataFrame, on: str = "ix") -> DataFrame:
 
 def nearest_rmsd(reference: DataFrame, points: DataFrame) -> DataFrame:
     """Deviation of each reference point from its nearest point, in whatever order."""
-    from .similarity import every_pair
-
-    pairs = every_pair(reference.select(F.col("ix"), *[F.col(c).alias(f"a{c}") for c in "xyz"]), points.select(*[F.col(c).alias(f"b{c}") for c in "xyz"]))
-    d2 = sum(((F.col(f"a{c}") - F.col(f"b{c}")) * (F.col(f"a{c}") - F.col(f"b{c}")) for c in "xyz"), F.lit(0.0))
-    return pairs.groupBy("ix").agg(F.min(d2).alias("d2")).agg(F.sqrt(F.avg("d2")).alias("rmsd"))
-
+    at = lambda df: df.select(F.col("ix").alias("id"), F.array(*[F.col(c).cast("double") for c in "xyz"]).alias("features"))
+    near = nearest(at(reference), at(points), 1, euclidean)
+    return near.select(F.get("near", F.lit(0))["d"].alias("d")).agg(F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmsd"))
 
 def within(points: DataFrame, centre: tuple[float, float, float], radius: float) -> DataFrame:
     d2 = sum(((F.col(c) - v) * (F.col(c) - v) for c, v in zip("xyz", centre)), F.lit(0.0))

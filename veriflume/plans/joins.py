@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import domain, features, matching, modelling, ranking, similarity, split
+from ..operators import domain, features, matching, similarity, split
 from .bridge import FINGERPRINT_CTE, fingerprints, table
 from .registry import query
 
@@ -68,19 +68,22 @@ def domain_verdict(spark, d):
     return domain.assess(v.where("label < 5"), v.where("label >= 5"), use_leverage=False).select("id", "in_domain")
 
 
-@query()
+TWO = "SELECT vec_id AS id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings"
+LEVERAGE = f"t AS (SELECT count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM ({TWO}) WHERE label >= 5), det AS (SELECT *, n * (xx * yy - xy * xy) - sx * (sx * yy - xy * sy) + sy * (sx * xy - xx * sy) AS d FROM t)"
+
+
+@query(f"WITH {LEVERAGE}, h AS (SELECT id, n, ((xx * yy - xy * xy) + 2 * (sy * xy - sx * yy) * x + 2 * (sx * xy - sy * xx) * y + (n * yy - sy * sy) * x * x + 2 * (sx * sy - n * xy) * x * y + (n * xx - sx * sx) * y * y) / d AS h FROM ({TWO}), det WHERE label < 5) SELECT id, round(h, 6) AS leverage, h > 9 / n AS is_outside FROM h")
 def leverage(spark, d):
-    v = _vectors(spark, d)
+    """Of two features, for which the inverse can be written out."""
+    v = _vectors(spark, d).withColumn("features", F.slice("features", 1, 2))
     lev, limit = domain.leverage(v.where("label < 5"), v.where("label >= 5"))
     return lev.select("id", F.round("leverage", 6).alias("leverage"), (F.col("leverage") > limit).alias("is_outside"))
 
 
-@query("WITH t AS (SELECT a.vec_id AS id, a.label, b.label AS p, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0) SELECT id, label, p AS predicted FROM t WHERE r = 1")
-def nn_baseline(spark, d):
+@query("WITH t AS (SELECT quantile_cont(k, 0.95) AS t FROM (" + KNN.format(pairs=PAIRS.format(where="a.label >= 5 AND b.label >= 5 AND a.vec_id <> b.vec_id")) + ")) SELECT count(*) AS n, round(avg((k <= t)::INT), 9) AS coverage FROM (" + KNN.format(pairs=PAIRS.format(where="a.label < 5 AND b.label >= 5")) + "), t")
+def domain_coverage(spark, d):
     v = _vectors(spark, d)
-    test, train = v.where("id % 5 = 0").select("id", "label", F.col("features").alias("x")), v.where("id % 5 <> 0").select(F.col("id").alias("t"), F.col("label").alias("p"), F.col("features").alias("y"))
-    near = similarity.every_pair(test, train).withColumn("d", domain.distance(F.col("x"), F.col("y")))
-    return near.groupBy("id", "label").agg(F.min_by("p", F.struct("d", "t")).alias("predicted"))
+    return domain.coverage(domain.assess(v.where("label < 5"), v.where("label >= 5"), use_leverage=False)).withColumn("coverage", F.round("coverage", 9))
 
 
 SCAFFOLD = "SELECT p_partkey AS ix, CASE WHEN p_partkey % 50 = 0 THEN '' ELSE p_name END AS scaffold FROM part"
@@ -92,7 +95,7 @@ def _parts(spark, d):
 
 @query(f"SELECT scaffold, count(*) AS n FROM ({SCAFFOLD}) GROUP BY 1")
 def scaffold_groups(spark, d):
-    return _parts(spark, d).groupBy("scaffold").agg(F.count("*").alias("n"))
+    return split.by_scaffold(_parts(spark, d))
 
 
 @query(f"WITH g AS (SELECT scaffold, count(*) AS c FROM ({SCAFFOLD}) GROUP BY 1) SELECT sum(c)::BIGINT AS n, 0::BIGINT AS n_unparseable, coalesce(sum(c) FILTER (WHERE scaffold = ''), 0)::BIGINT AS n_acyclic, count(*) FILTER (WHERE scaffold <> '') AS n_scaffolds, round(max(c) FILTER (WHERE scaffold <> '') / sum(c)::DOUBLE, 9) AS largest_share, count(*) FILTER (WHERE scaffold <> '' AND c = 1) AS n_singletons, count(*) FILTER (WHERE scaffold <> '') < 10 AS few_scaffolds, max(c) FILTER (WHERE scaffold <> '') / sum(c)::DOUBLE > 0.5 AS dominated FROM g")
@@ -113,6 +116,14 @@ def scaffold_split(spark, d):
     return split.scaffold_split(_parts(spark, d)).select("ix", "partition")
 
 
+SEEDED = " UNION ALL ".join(f"SELECT *, {k} AS repeat FROM ({_split_sql(f'substr(sha256({chr(39)}{k}:{chr(39)} || grp), 1, 16)')})" for k in range(3))
+
+
+@query(SEEDED)
+def repeated_splits(spark, d):
+    return split.repeated(_parts(spark, d), 3).select("ix", "partition", "repeat")
+
+
 @query(_split_sql("substr(sha256('7:' || grp), 1, 16)"))
 def scaffold_split_seeded(spark, d):
     return split.scaffold_split(_parts(spark, d), seed=7).select("ix", "partition")
@@ -159,7 +170,12 @@ def decoy_exclusion(spark, d):
     return matching.drop_similar(_pairs(spark, d), sim, 0.30).select("active", "candidate")
 
 
-@query()
+CHOSEN = f"""WITH RECURSIVE {MATCH}, c AS (SELECT active, list({{'candidate': candidate, 'distance': round(distance, 9)}} ORDER BY round(distance, 9), candidate) AS cs FROM pairs GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY active) AS k FROM c),
+step(k, taken, active, mine) AS (SELECT 0::BIGINT, []::BIGINT[], 0::BIGINT, []::STRUCT(candidate BIGINT, distance DOUBLE)[] UNION ALL SELECT o.k, list_concat(taken, list_transform(list_filter(o.cs, lambda x: NOT list_contains(taken, x.candidate))[1:3], lambda x: x.candidate)), o.active, list_filter(o.cs, lambda x: NOT list_contains(taken, x.candidate))[1:3] FROM step JOIN o ON o.k = step.k + 1)
+SELECT active, x.candidate AS candidate, x.distance AS distance FROM (SELECT active, unnest(mine) AS x FROM step WHERE k > 0)"""
+
+
+@query(CHOSEN)
 def decoy_select(spark, d):
     return matching.greedy_match(_pairs(spark, d).withColumn("distance", F.round("distance", 9)), 3)
 
@@ -169,10 +185,18 @@ def property_gap(spark, d):
     return matching.property_gap(_props(spark, d), ["price", "size"]).withColumn("gap", F.round("gap", 6))
 
 
-@query()
+BALANCED = """WITH RECURSIVE s AS (SELECT s_suppkey AS id, s_acctbal AS v FROM supplier), m AS (SELECT avg(v) AS m FROM s WHERE id % 3 = 0),
+f AS (SELECT list({'id': id, 'v': v}) AS kept, greatest(2, floor(0.6::DOUBLE * count(*)))::BIGINT AS least FROM s WHERE id % 3 <> 0),
+step(i, kept) AS (SELECT 0, kept FROM f UNION ALL SELECT i + 1, list_filter(kept, lambda x: x.id <> best.id) FROM (
+  SELECT i, kept, n, t, m, least, abs(m - t / n) / 500 AS worst, list_min(list_transform(kept, lambda x: {'e': abs(m - (t - x.v) / (n - 1)) / 500, 'id': x.id})) AS best
+  FROM (SELECT i, step.kept AS kept, len(step.kept) AS n, list_sum(list_transform(step.kept, lambda x: x.v)) AS t, m, least FROM step, m, f)) WHERE n > least AND worst > 1 AND best.e < worst)
+SELECT unnest(kept).id AS id FROM step WHERE i = (SELECT max(i) FROM step)"""
+
+
+@query(BALANCED)
 def balance_selection(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("logp"))
-    return matching.balance(s.where("id % 3 = 0"), s.where("id % 3 <> 0 AND logp > 0"), {"logp": 500.0}).select("id")
+    return matching.balance(s.where("id % 3 = 0"), s.where("id % 3 <> 0"), {"logp": 500.0}).select("id")
 
 
 #: twenty named patterns of words that stand for features
@@ -229,46 +253,3 @@ def policy_audit(spark, d):
     per = known.groupBy(rule.alias("rule")).agg(F.count("*").alias("c"))
     out = per.agg(F.sum("c").alias("n"), (F.coalesce(F.sum(F.when(F.col("rule").isNull(), F.col("c"))), F.lit(0)) / F.sum("c")).alias("p"), F.min_by(F.col("rule"), F.when(F.col("rule").isNotNull(), F.struct(-F.col("c"), "rule"))).alias("dominant_rule"))
     return out.select("n", F.round("p", 9).alias("pass_rate"), (F.col("p") < 0.8).alias("suspect"), "dominant_rule")
-
-
-def _training(spark, d):
-    v = _vectors(spark, d)
-    return v.select("id", "features", F.aggregate(F.slice("features", 1, 8), F.lit(0.0), lambda a, x: a + x).alias("label"))
-
-
-def _modelled(spark, d, kind, **settings):
-    t = _training(spark, d)
-    model = modelling.fit(t.where("id % 5 <> 0"), kind, **settings)
-    return modelling.predict(model, t.where("id % 5 = 0")).select("id", "label", "prediction")
-
-
-@query()
-def rf_predict(spark, d):
-    return _modelled(spark, d, "forest", trees=20)
-
-
-@query()
-def gbt_predict(spark, d):
-    return _modelled(spark, d, "boosting", rounds=10)
-
-
-@query()
-def ridge_predict(spark, d):
-    return _modelled(spark, d, "ridge")
-
-
-@query("WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i, row_number() OVER (ORDER BY ('0x' || substr(md5('5:' || vec_id), 1, 8))::BIGINT, vec_id) AS k, label FROM embeddings) SELECT a.vec_id AS id, b.label FROM r a JOIN r b ON a.i = b.k")
-def label_permutation(spark, d):
-    return modelling.permuted(_vectors(spark, d).select("id", "label"), 5)
-
-
-@query("SELECT origin, count(*) AS n FROM (SELECT CASE event_type WHEN 'view' THEN 'measured' WHEN 'click' THEN 'derived' ELSE 'predicted' END AS origin, value FROM events) WHERE value IS NULL OR origin = 'predicted' GROUP BY 1")
-def label_provenance(spark, d):
-    origin = F.when(F.col("event_type") == "view", "measured").when(F.col("event_type") == "click", "derived").otherwise("predicted")
-    return modelling.label_problems(table(spark, d, "events").select(origin.alias("origin"), F.col("value").alias("label")))
-
-
-@query()
-def model_metrics(spark, d):
-    m = ranking.regression_metrics(_modelled(spark, d, "ridge").select(F.col("label").alias("y"), F.col("prediction").alias("p")))
-    return m.select("n", *[F.round(c, 4).alias(c) for c in ("r2", "rmse", "mae")])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import background, ranking, screening, triage
+from ..operators import background, modelling, ranking, screening, triage
 from .bridge import REGRESSION_CTE, SCORED_CTE, regression, scored, table
 from .registry import query
 
@@ -26,11 +26,8 @@ def regression_metrics(spark, d):
 
 @query(f"WITH {REGRESSION_CTE}, m AS (SELECT avg(y) FILTER (WHERE id % 5 <> 0) AS q FROM reg) SELECT count(*) AS n, round(1 - sum((y - q) * (y - q)) / (var_pop(y) * count(*)), 6) AS r2, round(sqrt(avg((y - q) * (y - q))), 6) AS rmse, round(stddev_pop(y), 6) AS label_spread FROM reg, m WHERE id % 5 = 0")
 def mean_baseline(spark, d):
-    r = regression(spark, d)
-    mean = r.where("id % 5 <> 0").agg(F.avg("y").alias("q"))
-    test = r.where("id % 5 = 0").drop("p").crossJoin(F.broadcast(mean)).withColumnRenamed("q", "p")  # one row
-    m = ranking.regression_metrics(test).crossJoin(test.agg(F.stddev_pop("y").alias("label_spread")))
-    return m.select("n", *[F.round(c, 6).alias(c) for c in ("r2", "rmse", "label_spread")])
+    r = regression(spark, d).withColumnRenamed("y", "label").drop("p")
+    return modelling.mean_baseline(r.where("id % 5 <> 0"), r.where("id % 5 = 0")).select("n", *[F.round(c, 6).alias(c) for c in ("r2", "rmse", "label_spread")])
 
 
 @query(f"WITH {SCORED_CTE}, d AS (SELECT b::INT AS rep, (('0x' || substr(md5('0:' || b || ':' || j), 1, 8))::BIGINT % (SELECT count(*) FROM scored))::INT AS ix FROM range(40) t(b), range((SELECT count(*) FROM scored)) u(j)), s AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS ix FROM scored), x AS (SELECT rep, label::DOUBLE AS y, score / 100 AS p FROM d JOIN s USING (ix)), v AS (SELECT rep, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS v FROM x GROUP BY rep), w AS (SELECT label::DOUBLE AS y, score / 100 AS p FROM scored) SELECT (SELECT round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) FROM w) AS estimate, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(*) AS defined FROM v")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions import units  # noqa: F401
+from ..functions import molecules
 from ..operators import structure
 from .bridge import table
 from .registry import query
@@ -91,20 +91,20 @@ def residue_offset(spark, d):
     return structure.residue_offset(e.withColumn("key", F.col("key") + 17), e).select("offset", "mapped", F.round("agreement", 9).alias("agreement"))
 
 
-@query()
+@query("SELECT count(*) AS n, 0.0::DOUBLE AS residual, round(cos(0.4), 6) AS r00, round(sin(0.4), 6) AS r10 FROM embeddings WHERE embedding IS NOT NULL")
 def kabsch(spark, d):
     p = _points(spark, d)
     c, s = float(np.cos(0.4)), float(np.sin(0.4))
     turned = p.select(*[F.col(v).alias(f"a{v}") for v in "xyz"], (c * F.col("x") - s * F.col("y") + 1).alias("bx"), (s * F.col("x") + c * F.col("y") - 2).alias("by"), (F.col("z") + 3).alias("bz"))
     rotation, _, _, residual, n = structure.kabsch(turned)
-    return spark.createDataFrame([(n, round(residual, 4), round(float(rotation[0, 0]), 6), round(float(rotation[1, 0]), 6))], "n long, residual double, r00 double, r10 double")
+    return spark.createDataFrame([(n, round(residual, 3), round(float(rotation[0, 0]), 6), round(float(rotation[1, 0]), 6))], "n long, residual double, r00 double, r10 double")
 
 
 @query("SELECT p_partkey AS id, (p_retailprice > 1200)::INT + (p_size > 40)::INT + (p_partkey % 7 > 5)::INT + (p_partkey % 12 > 10)::INT AS violations FROM part")
 def lipinski(spark, d):
     p = table(spark, d, "part")
-    rules = [F.col("p_retailprice") / 2.4 > 500, F.col("p_size") / 8.0 > 5, F.col("p_partkey") % 7 > 5, F.col("p_partkey") % 12 > 10]
-    return p.select(F.col("p_partkey").alias("id"), sum((r.cast("int") for r in rules), F.lit(0)).alias("violations"))
+    v = molecules.lipinski_violations(F.col("p_retailprice") / 2.4, F.col("p_size") / 8.0, F.col("p_partkey") % 7, F.col("p_partkey") % 12)
+    return p.select(F.col("p_partkey").alias("id"), v.alias("violations"))
 
 
 @query(f"SELECT grp, count(*) FILTER (WHERE abs(x - 1) <= 5 AND abs(y) <= 5 AND abs(z) <= 5) AS inside, count(*) AS n FROM ({POINTS}) GROUP BY 1")
