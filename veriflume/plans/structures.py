@@ -26,7 +26,9 @@ def _lines(spark, d):
         F.when(F.col("grp") == 9, "LIG").when(F.col("ix") % 3 == 0, "ALA").otherwise("GLY").alias("residue_name"), F.chr(F.col("grp") + 65).alias("chain"), ((F.col("ix") / 4).cast("int") % 10000).alias("residue_seq"),
         "x", "y", "z", F.lit(1.0).alias("occupancy"), F.lit(10.0).alias("b_factor"), F.lit("C").alias("element"),
     )
-    return atoms.select("structure_id", "line_no", structure.format_atom().alias("value"))
+    head = ["HEADER    HYDROLASE" + " " * 43 + "1ABC", "TITLE     A STRUCTURE MADE", "TITLE    2 OF POINTS", "EXPDTA    X-RAY DIFFRACTION", "REMARK   2 RESOLUTION.    3.20 ANGSTROMS."]
+    head = spark.createDataFrame([("S1", i - 10, v) for i, v in enumerate(head)], "structure_id string, line_no long, value string")
+    return head.unionByName(atoms.select("structure_id", "line_no", structure.format_atom().alias("value")))
 
 
 ATOMS = f"atm AS (SELECT ix AS line_no, CASE WHEN ix % 2 = 0 THEN 'CA' ELSE 'CB' END AS name, CASE WHEN grp = 9 THEN 'LIG' WHEN ix % 3 = 0 THEN 'ALA' ELSE 'GLY' END AS residue_name, chr(grp + 65) AS chain, ((ix // 4) % 10000)::INT AS residue_seq, grp = 9 AS is_hetatm, x, y, z FROM ({POINTS}) WHERE grp IS NOT NULL)"
@@ -91,6 +93,60 @@ def residue_offset(spark, d):
     return structure.residue_offset(e.withColumn("key", F.col("key") + 17), e).select("offset", "mapped", F.round("agreement", 9).alias("agreement"))
 
 
+@query("SELECT 'S1' AS structure_id, '1ABC' AS pdb_id, 'A STRUCTURE MADE OF POINTS' AS title, 'X-RAY DIFFRACTION' AS method, 3.2::DOUBLE AS resolution")
+def pdb_header(spark, d):
+    return structure.header(_lines(spark, d))
+
+
+@query("SELECT 'S1' AS structure_id, 'a low resolution of 3.20' AS warnings")
+def pdb_warnings(spark, d):
+    return structure.warnings(_lines(spark, d)).select("structure_id", F.array_join("warnings", "; ").alias("warnings"))
+
+
+BOXED = "round((max(x) + min(x)) / 2, 3) AS center_x, round(greatest(12, max(x) - min(x) + {pad}), 3) AS size_x, count(*) AS n_atoms"
+
+
+@query(f"WITH {ATOMS}, a AS (SELECT * REPLACE (round(x, 3) AS x) FROM atm), l AS (SELECT chain, residue_seq, residue_name FROM a WHERE is_hetatm GROUP BY ALL HAVING count(*) >= 2 ORDER BY count(*) DESC, min(line_no) LIMIT 1) SELECT {BOXED.format(pad=16)}, 'ligand LIG' AS derived_from FROM a JOIN l USING (chain, residue_seq, residue_name)")
+def ligand_box(spark, d):
+    a = structure.atoms(_lines(spark, d))
+    b = structure.box_from_ligand(a, structure.best_ligand(structure.ligands(a, min_atoms=2)))
+    return b.select(F.round("center_x", 3).alias("center_x"), F.round("size_x", 3).alias("size_x"), "n_atoms", "derived_from")
+
+
+@query(f"WITH {ATOMS}, a AS (SELECT * REPLACE (round(x, 3) AS x) FROM atm WHERE NOT is_hetatm AND residue_seq IN (3, 5, 8)) SELECT {BOXED.format(pad=16)}, count(DISTINCT chain) > 1 AS several FROM a")
+def residue_box(spark, d):
+    b = structure.box_from_residues(structure.atoms(_lines(spark, d)), [3, 5, 8], evidence="made up")
+    return b.select(F.round("center_x", 3).alias("center_x"), F.round("size_x", 3).alias("size_x"), "n_atoms", F.exists("warnings", lambda w: w.startswith("the residues are on chains")).alias("several"))
+
+
+@query(f"WITH {ATOMS}, a AS (SELECT * REPLACE (round(x, 3) AS x) FROM atm WHERE NOT is_hetatm) SELECT {BOXED.format(pad=8)} FROM a")
+def whole_box(spark, d):
+    b = structure.blind_box(structure.atoms(_lines(spark, d)))
+    return b.select(F.round("center_x", 3).alias("center_x"), F.round("size_x", 3).alias("size_x"), "n_atoms")
+
+
+@query(f"WITH {ATOMS}, c AS (SELECT residue_seq AS key, arg_min(residue_name, line_no) AS name, arg_min(x, line_no) AS x FROM atm WHERE name = 'CA' GROUP BY 1) SELECT a.key, round(round(a.x, 3) - round(b.x, 3), 3) AS dx FROM c a JOIN c b ON b.key = a.key + 3 AND a.name = b.name")
+def carbon_pairs(spark, d):
+    c = structure.alpha_carbons(structure.atoms(_lines(spark, d)))
+    return structure.paired(c, c, 3).select("key", F.round(F.col("ax") - F.col("bx"), 3).alias("dx"))
+
+
+@query(f"WITH {ATOMS}, r AS (SELECT DISTINCT chain, residue_seq, residue_name FROM atm), c AS (SELECT chain, count(*) AS n, avg((residue_name IN ('ALA', 'GLY'))::INT) AS share FROM r GROUP BY 1), p AS (SELECT chain FROM c WHERE share >= 0.6 AND n <= 30 AND n < (SELECT max(n) FROM c) / 2.0) SELECT chain, residue_seq, chain IN (SELECT chain FROM p) AS is_fragment FROM atm WHERE is_hetatm GROUP BY ALL HAVING count(*) >= 2")
+def ligand_fragments(spark, d):
+    a = structure.atoms(_lines(spark, d))
+    return structure.on_peptide(structure.ligands(a, min_atoms=2), structure.chains(a)).select("chain", "residue_seq", "is_fragment")
+
+
+@query(f"WITH p AS ({POINTS}) SELECT grp AS ligand, round(sqrt(0.75), 6) AS rmsd_at_most, count(*) AS n FROM p WHERE grp IS NOT NULL GROUP BY 1")
+def redocked(spark, d):
+    """Every label's points against themselves moved by half a unit along each axis: no nearest point is further than that."""
+    p = _points(spark, d).where("grp IS NOT NULL").withColumnRenamed("grp", "ligand")
+    moved = p.groupBy("ligand").agg(F.collect_list(F.struct(*[(F.col(c) + 0.5).alias(c) for c in "xyz"])).alias("points"))
+    poses = moved.select("ligand", F.lit(1).alias("rank"), F.lit(-9.0).alias("score"), "points", F.lit(None).cast("string").alias("error"))
+    r = structure.redock(p, poses)
+    return r.select("ligand", F.round(F.when(F.col("rmsd") <= 0.8660255, F.sqrt(F.lit(0.75))), 6).alias("rmsd_at_most"), F.regexp_extract("detail", "against ([0-9]+)", 1).cast("long").alias("n"))
+
+
 @query("SELECT count(*) AS n, 0.0::DOUBLE AS residual, round(cos(0.4), 6) AS r00, round(sin(0.4), 6) AS r10 FROM embeddings WHERE embedding IS NOT NULL")
 def kabsch(spark, d):
     p = _points(spark, d)
