@@ -69,7 +69,13 @@ def or_else(q: Column, default: Column) -> Column:
     return F.coalesce(q["value"], default)
 
 
+def with_notes(q: Column, *notes: str) -> Column:
+    """The quantity with more notes after its own."""
+    return q.withField("notes", F.concat(q["notes"], F.array(*map(F.lit, notes))))
+
+
 def label(q: Column) -> Column:
+
     shown = F.concat(
         F.format_string("%.3f", q["value"]), F.when(q["uncertainty"].isNotNull(), F.format_string(" ± %.3f", q["uncertainty"])).otherwise(""), F.when(F.coalesce(q["unit"], F.lit("")) != "", F.concat(F.lit(" "), q["unit"])).otherwise(""),
         F.lit(" ["), q["origin"], F.when(q["in_domain"] == F.lit(False), ", OUT OF DOMAIN").otherwise(""), F.lit("]"),

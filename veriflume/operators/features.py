@@ -52,3 +52,30 @@ def check(candidates: DataFrame, conserved: list[str], strong: list[str], inform
         .withColumn("strong_present", pick(F.array_sort(F.array_intersect(names(strong), has))))
         .withColumn("duplicated", F.when(fine, F.map_filter(F.col(counts), lambda k, v: (v > 1) & F.array_contains(names(strong), k))))
     )
+
+
+def screen_counts(checked: DataFrame) -> DataFrame:
+    """One row: n, n_retaining, n_flagged (none of the conserved features, and no error), n_weak_only, n_duplicated of check()'s rows."""
+    any_, strong = F.size("present") > 0, F.size("strong_present") > 0
+    return checked.agg(
+        F.count("*").alias("n"), F.count_if(any_).alias("n_retaining"), F.count_if(~any_ & F.col("error").isNull()).alias("n_flagged"),
+        F.count_if(any_ & ~strong).alias("n_weak_only"), F.count_if(F.coalesce(F.size("duplicated"), F.lit(0)) > 0).alias("n_duplicated"),
+    )
+
+
+def screen(candidates: DataFrame, actives: DataFrame, background: DataFrame | None, features: list[str], threshold: float = PREVALENT, ratio: float = RATIO) -> tuple[DataFrame, DataFrame]:
+    """(profile, checked candidates): actives (counts) profiled against a background, then every candidate checked by the profile."""
+    p = profile(prevalence(actives, features), None if background is None else prevalence(background, features), threshold, ratio).cache()
+    rows = p.collect()  # a row a feature
+    conserved = [r["feature"] for r in rows if r["kind"] == "conserved"]
+    informative = bool(rows) and rows[0]["n"] >= MIN_ACTIVES
+    return p, check(candidates, conserved, [r["feature"] for r in rows if r["strong"]], informative)
+
+
+def two_sided(profiled: DataFrame, anchors: list[str], incidental: list[str], floor: float = DISCRIMINATING) -> DataFrame:
+    """One row: the best enrichment among expected anchors and among incidental features (infinity as 1000), and whether a floor separates them."""
+    value = F.when(F.col("enrichment") == float("inf"), 1000.0).otherwise(F.col("enrichment"))
+    best = lambda names: F.coalesce(F.max(F.when(F.col("feature").isin(names) & (F.col("prevalence") > 0), value)), F.lit(0.0))
+    out = profiled.agg(best(anchors).alias("anchor"), best(incidental).alias("incidental"))
+    verdict = F.when((F.col("anchor") >= floor) & (F.col("incidental") < floor), "separates").when(F.col("anchor") >= floor, "enriches everything").otherwise("nothing stands out")
+    return out.withColumn("verdict", verdict)

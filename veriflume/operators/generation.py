@@ -1,146 +1,258 @@
 """Candidate generation and its filter cascade, on the reduced structure kernel.
 
-Molecules are cut at single bonds between a ring and the rest, and rebuilt by joining fragments whose open ends were cut from
-matching neighbours; joining is an equi-join on the ends' labels, so products are never a cross join of fragments.
+Molecules are cut at single bonds between a ring system and what hangs on it; a cut leaves open ends that say which elements it
+parted. Molecules are built by joining fragments at ends that fit: an equi-join on the ends' codes, never a cross join of fragments.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import molecules
 from ..session import cut
-from .ranking import running_total
+from . import blocks
+from .ranking import counter_hash, running_total
 from .similarity import first_independent
 
 
 @dataclass(frozen=True)
 class GenerationPolicy:
+    max_generated: int = 4000
     min_heavy_atoms: int = 12
     max_heavy_atoms: int = 50
+    max_sascore: float | None = 6.0
+    reject_pains: bool = True
+    reject_brenk: bool = True
+    require_novelty: bool = True
     max_anchor_copies: int = 1
     max_similarity_to_known: float = 0.85
     max_similarity_to_kept: float = 0.85
     anchors: tuple[str, ...] = ()
 
 
-def _decompose(smiles: pd.Series) -> pd.Series:
-    """Pieces left by cutting every single bond between a ring atom and an atom off that ring, with the label of each cut."""
-
-    def pieces(s):
-        m, error = molecules.parse(s)
-        if error:
-            return []
-        core = molecules.ring_atoms(m, molecules.largest(m))
-        cuts = [(i, j) for (i, j), order in m.bonds.items() if order == 1.0 and (i in core) != (j in core)]
-        for i, j in cuts:
-            m.near[i].remove(j)
-            m.near[j].remove(i)
-        ends: dict[int, list[str]] = {}
-        for i, j in cuts:
-            label = "-".join(sorted((m.atoms[i][0], m.atoms[j][0])))
-            ends.setdefault(i, []).append(label)
-            ends.setdefault(j, []).append(label)
-        out = []
-        for part in molecules.fragments(m):
-            for label in sorted({x for i in part for x in ends.get(i, [])}) or ["none"]:
-                out.append({"name": molecules.key(m, part), "size": sum(m.atoms[i][0] != "H" for i in part), "label": label})
-        return out
-
-    return smiles.map(pieces)
+FRAGMENT = "array<struct<fragment: string, size: int, ends: array<int>>>"
 
 
 def decompose(smiles: Column) -> Column:
-    return F.pandas_udf(_decompose, "array<struct<name: string, size: int, label: string>>")(smiles)
+    """The pieces of a structure, as fragments with open ends."""
+    cut_up = lambda s: [{"fragment": f, "size": n, "ends": e} for f, n, e in molecules.pieces(s)]
+    return F.pandas_udf(lambda s: s.map(cut_up), FRAGMENT)(smiles)
 
 
 def fragments(df: DataFrame, smiles: str = "smiles") -> DataFrame:
-    """Distinct (name, size, label) over all molecules."""
+    """Distinct (fragment, size, ends) over all molecules."""
     return df.select(F.explode(decompose(F.col(smiles))).alias("f")).select("f.*").distinct()
 
 
-def recombine(parts: DataFrame, depth: int = 3, max_size: int = 40, limit: int | None = None) -> DataFrame:
-    """(members, size, label): sets of up to `depth` fragments joined at equal labels. limit: a cap on emitted products."""
-    grown = parts.where("label <> 'none'").select(F.array("name").alias("members"), "size", "label")
-    out = grown
+def count_anchors(smiles: Column, anchors: tuple[str, ...]) -> Column:
+    """How often anchoring features occur, counted and not only detected: two mark two molecules joined."""
+    return F.pandas_udf(lambda s: s.map(lambda x: molecules.anchors_of(x, anchors)), "int")(smiles)
+
+
+def by_motif(parts: DataFrame, anchors: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(fragments that carry an anchoring feature, the others)."""
+    n = cut(parts.withColumn("__n", count_anchors(F.col("fragment"), anchors)))
+    return n.where("__n > 0").drop("__n"), n.where("__n = 0").drop("__n")
+
+
+def _grow(a: pd.Series, b: pd.Series, code: pd.Series) -> pd.DataFrame:
+    rows = []
+    for x, y, c in zip(a, b, code):
+        new = molecules.joined(x, y, int(c))
+        m = molecules.parse(new)[0] if new else None
+        if m is None:
+            rows.append((None, None, None))
+        else:
+            rows.append((new, sum(t[0] not in ("H", "*") for t in m.atoms), sorted(t[4] for t in m.atoms if t[0] == "*")))
+    return pd.DataFrame(rows, columns=["smiles", "size", "ends"])
+
+
+def recombine(parts: DataFrame, depth: int = 3, max_size: int = 50, limit: int | None = None, seeds: DataFrame | None = None, seed: int = 0) -> DataFrame:
+    """(smiles, members, size) of molecules built from up to `depth` fragments (fragment, size, ends), open ends closed by hydrogens.
+
+    seeds: what every molecule grows from; all fragments without them. limit: a cap on emitted products, and, before any is built, on
+    the joins of each step, chosen by a counter hash so that no fragment is favoured for its place in the order.
+    """
+    n = len(molecules.ELEMENTS)
+    own, other = F.floor((F.col("code") - 1) / n).cast("int"), F.pmod(F.col("code") - 1, F.lit(n))
+    start = parts if seeds is None else seeds
+    grown = start.where(F.size("ends") > 0).select(F.col("fragment").alias("smiles"), F.array("fragment").alias("members"), "size", "ends")
+    reagent = parts.select(F.col("fragment").alias("f"), F.col("size").alias("s"), F.explode(F.array_distinct("ends")).alias("code"))
+    grow, close = F.pandas_udf(_grow, "smiles string, size int, ends array<int>"), F.pandas_udf(lambda s: s.map(molecules.closed), "string")
+    out = None
     for _ in range(depth - 1):
-        other = parts.select(F.col("name").alias("n"), F.col("size").alias("s"), "label")
-        grown = grown.join(other, "label").where((F.col("size") + F.col("s") <= max_size) & ~F.array_contains("members", F.col("n"))).select(F.array_sort(F.concat("members", F.array("n"))).alias("members"), (F.col("size") + F.col("s")).alias("size"), "label").distinct()
-        out = out.unionByName(grown)
-    return out if limit is None else out.orderBy("members", "label").limit(limit)
+        open_ = grown.select("*", F.explode(F.array_distinct("ends")).alias("code")).withColumn("fits", 1 + n * other + own)
+        pairs = open_.join(reagent.withColumnRenamed("code", "fits"), "fits").where(F.col("size") + F.col("s") <= max_size).select("smiles", "members", "f", "code")
+        if limit is not None:
+            pairs = pairs.orderBy(counter_hash(F.lit(str(seed)), F.col("smiles"), F.col("f"), F.col("code").cast("string")), "smiles", "f", "code").limit(limit)
+        made = pairs.select(F.array_sort(F.concat("members", F.array("f"))).alias("members"), grow("smiles", "f", "code").alias("g")).where("g.smiles IS NOT NULL")
+        grown = cut(made.groupBy("g.smiles").agg(F.min("members").alias("members"), F.min("g.size").alias("size"), F.min("g.ends").alias("ends")))
+        out = grown if out is None else out.unionByName(grown)
+    done = out.select(close("smiles").alias("smiles"), "members", "size").where("smiles IS NOT NULL").groupBy("smiles").agg(F.min("members").alias("members"), F.min("size").alias("size"))
+    return done if limit is None else done.orderBy(counter_hash(F.lit(str(seed)), F.col("smiles")), "smiles").limit(limit)
+
+
+def staged(df: DataFrame, stages: list[tuple[str, Column]], out: str = "drop_stage") -> DataFrame:
+    """df with the first stage that fails, NULL where none does."""
+    return df.withColumn(out, F.coalesce(*[F.when(fails, name) for name, fails in stages]))
 
 
-def cascade(candidates: DataFrame, known: DataFrame, policy: GenerationPolicy = GenerationPolicy(), audit: bool = False) -> DataFrame:
+def cascade(
+    candidates: DataFrame, known: DataFrame, policy: GenerationPolicy = GenerationPolicy(), audit: bool = False, seeded: bool = False, alerts: Callable[[Column], Column] | None = None, sascore: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """candidates (seq, smiles) with structure fields and drop_stage: the first stage that fails, NULL where kept.
 
-    Order: standardisation, duplicate, too small, too large, anchor copies, anchor lost, already known, too similar to known, near
-    duplicate of one kept before. An audit leaves the last three out, because it runs the cascade over known actives themselves.
+    Order: standardisation, duplicate, too small, too large, anchor copies, anchor lost (only of a seeded build), already known, PAINS,
+    Brenk, synthetic accessibility, too similar to known, near duplicate of one kept before. An audit runs the stages that judge a
+    structure by itself. alerts gives a struct (pains, brenk) and sascore a number for a column of structures; without a toolkit there
+    is neither, and what is not known fails nobody.
     """
-    s = candidates.withColumn("s", molecules.structure(F.col("smiles"))).select(*candidates.columns, "s.error", "s.heavy_atoms", "s.key", "s.bits", "s.motifs")
+    s = candidates.withColumn("s", molecules.structure(F.col("smiles"))).select(*candidates.columns, "s.error", "s.heavy_atoms", "s.key", "s.bits", F.map_concat("s.features", F.map_filter("s.motifs", lambda k, v: ~F.map_contains_key("s.features", k))).alias("motifs"))
     copies = F.aggregate(F.array(*[F.coalesce(F.try_element_at("motifs", F.lit(a)), F.lit(0)) for a in policy.anchors] or [F.lit(0)]), F.lit(0), lambda x, y: x + y)
-    first = s.where("key IS NOT NULL").groupBy("key").agg(F.min("seq").alias("first"))
-    s = s.join(first, "key", "left")
-    keys = known.select(molecules.structure(F.col("smiles"))["key"].alias("key")).where("key IS NOT NULL").distinct().withColumn("is_known", F.lit(True))
-    s = s.join(keys, "key", "left")
-    stages = [("standardisation", F.col("error").isNotNull()), ("duplicate", F.col("seq") > F.col("first")), ("too_small", F.col("heavy_atoms") < policy.min_heavy_atoms), ("too_large", F.col("heavy_atoms") > policy.max_heavy_atoms)]
-    if policy.anchors:
-        stages += [("anchor_copies", copies > policy.max_anchor_copies), ("anchor_lost", copies == 0)]
+    none = F.lit(None).cast("boolean")
+    s = s.withColumn("__alerts", alerts(F.col("smiles")) if alerts else F.struct(none.alias("pains"), none.alias("brenk"))).withColumn("sascore", sascore(F.col("smiles")) if sascore else F.lit(None).cast("double"))
+    small, large = ("too_small", F.col("heavy_atoms") < policy.min_heavy_atoms), ("too_large", F.col("heavy_atoms") > policy.max_heavy_atoms)
+    stages = [("standardisation", F.col("error").isNotNull()), small, large]
     if not audit:
-        stages.append(("already_known", F.coalesce("is_known", F.lit(False))))
-        stages.append(("too_similar", F.coalesce(F.col("similarity") >= policy.max_similarity_to_known, F.lit(False))))
-        s = s.join(nearest_known(s, known), "seq", "left")
-    stage = F.lit(None).cast("string")
-    for name, fails in reversed(stages):
-        stage = F.when(fails, name).otherwise(stage)
-    out = s.withColumn("drop_stage", stage).drop("first", "is_known")
+        first = s.where("key IS NOT NULL").groupBy("key").agg(F.min("seq").alias("__first"))
+        s = s.join(first, "key", "left")
+        stages.insert(1, ("duplicate", F.col("seq") > F.col("__first")))
+        if policy.anchors:
+            stages.append(("anchor_copies", copies > policy.max_anchor_copies))
+            stages += [("anchor_lost", copies == 0)] if seeded else []
+        if policy.require_novelty:
+            keys = known.select(molecules.structure(F.col("smiles"))["key"].alias("key")).where("key IS NOT NULL").distinct().withColumn("__known", F.lit(True))
+            s = s.join(keys, "key", "left")
+            stages.append(("already_known", F.coalesce("__known", F.lit(False))))
+    stages += [("pains", F.coalesce("__alerts.pains", F.lit(False)))] if policy.reject_pains else []
+    stages += [("brenk", F.coalesce("__alerts.brenk", F.lit(False)))] if policy.reject_brenk else []
+    stages += [("sascore", F.coalesce(F.col("sascore") > policy.max_sascore, F.lit(False)))] if policy.max_sascore is not None else []
+    out = staged(s, stages).drop("__first", "__known", "__alerts")
     if audit:
         return out
     out = cut(out)
+    if policy.require_novelty:
+        near = nearest_known(out.where("drop_stage IS NULL"), known)
+        late = F.when(F.col("drop_stage").isNull() & (F.col("similarity") >= policy.max_similarity_to_known), "too_similar").otherwise(F.col("drop_stage"))
+        out = cut(out.join(near, "seq", "left").withColumn("drop_stage", late))
     left = out.where("drop_stage IS NULL").select(F.col("seq").alias("id"), "bits")
     kept = first_independent(left.select("id"), near_pairs(left, policy.max_similarity_to_kept)).select(F.col("id").alias("seq"), F.lit(True).alias("stays"))
     late = F.when(F.col("drop_stage").isNull() & F.col("stays").isNull(), "near_duplicate").otherwise(F.col("drop_stage"))
     return out.join(kept, "seq", "left").withColumn("drop_stage", late).drop("stays")
 
 
+def _words(column) -> np.ndarray:
+    return np.stack(column).astype(np.int64).view(np.uint64)
+
+
 def near_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b, of rows (id, bits) as similar as threshold, through shared bits; sizes that rule a pair out are dropped first."""
-    x = rows.select(F.col("id").alias("a"), F.size("bits").alias("na"), F.explode("bits").alias("bit"))
-    y = rows.select(F.col("id").alias("b"), F.size("bits").alias("nb"), F.explode("bits").alias("bit"))
-    fits = (F.col("a") < F.col("b")) & (F.col("na") * threshold <= F.col("nb")) & (F.col("nb") * threshold <= F.col("na"))
-    shared = x.join(y, "bit").where(fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("i"))
-    return shared.where(F.col("i") >= threshold * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+    """(a, b), a < b, of rows (id, bits) as similar as threshold, block by block over packed fingerprints."""
+    packed = rows.where("bits IS NOT NULL").select("id", molecules.words_of_bits(F.col("bits")).alias("features"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def unit(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "b": []})
+        x, y = a["id"].to_numpy(), b["id"].to_numpy()
+        i, j = np.nonzero((blocks.tanimoto(_words(a["features"]), _words(b["features"])) >= threshold) & (x[:, None] < y[None, :]))
+        return pd.DataFrame({"a": x[i], "b": y[j]})
+
+    return blocks.block_pairs(packed, packed, unit, f"a {kind}, b {kind}")
 
 
 def nearest_known(s: DataFrame, known: DataFrame) -> DataFrame:
-    """(seq, similarity) to the most similar known structure, through shared bits only."""
-    a = s.where("bits IS NOT NULL").select("seq", F.size("bits").alias("na"), F.explode("bits").alias("bit"))
-    b = known.select(molecules.structure(F.col("smiles")).alias("s"), F.monotonically_increasing_id().alias("k")).where("s.bits IS NOT NULL").select("k", F.size("s.bits").alias("nb"), F.explode("s.bits").alias("bit"))
-    shared = a.join(b, "bit").groupBy("seq", "k", "na", "nb").agg(F.count("*").alias("i"))
-    return shared.groupBy("seq").agg(F.max(F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("similarity"))
+    """(seq, similarity) to the most similar known structure, block by block over packed fingerprints."""
+    a = s.where("bits IS NOT NULL").select(F.col("seq").alias("id"), molecules.words_of_bits(F.col("bits")).alias("features"))
+    k = known.select(molecules.structure(F.col("smiles")).alias("s")).where("s.bits IS NOT NULL").select(F.col("s.key").alias("id"), molecules.words_of_bits(F.col("s.bits")).alias("features")).dropDuplicates(["id"])
+    near = _nearest_across(a, k)
+    return near.select(F.col("id").alias("seq"), "similarity")
+
+
+def _nearest_across(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, similarity) of a's rows to the most similar of b's; the two sides' ids may be of different types."""
+    kind = a.schema["id"].dataType.simpleString()
 
+    def unit(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"id": [], "similarity": []})
+        return pd.DataFrame({"id": x["own"].to_numpy(), "similarity": blocks.tanimoto(_words(x["features"]), _words(y["features"])).max(1)})
+
+    left = a.select(F.xxhash64("id").alias("id"), F.col("id").alias("own"), "features")
+    right = b.select(F.xxhash64("id").alias("id"), F.lit(None).cast(kind).alias("own"), "features")
+    return blocks.block_pairs(left, right, unit, f"id {kind}, similarity double").groupBy("id").agg(F.max("similarity").alias("similarity"))
+
+
+def generate(actives: DataFrame, known: DataFrame, policy: GenerationPolicy = GenerationPolicy(), seed: int = 0, depth: int = 3) -> tuple[DataFrame, dict]:
+    """(cascaded candidates, report): fragments of the actives (smiles), recombined, through the cascade.
+
+    With anchors, fragments that carry one are what molecules grow from, and the others what they grow by, so that each has one; where
+    there are no fragments of either sort the build is unconstrained, and the report's notes say so. The report has counts, attrition
+    by stage and notes, whatever came out.
+    """
+    parts = cut(fragments(actives))
+    report: dict = {"n_fragments": parts.count(), "n_anchor_fragments": 0, "n_plain_fragments": 0, "n_generated": 0, "n_anchor_escapes": 0, "n_anchor_lost": 0, "attrition": {}, "notes": []}
+    kind = "seq long, smiles string, drop_stage string"
+    spark = actives.sparkSession
+    if report["n_fragments"] < 2:
+        report["notes"].append("too few fragments to recombine: a finding about these actives, not a failure")
+        return spark.createDataFrame([], kind), report
+    seeds, reagents = None, parts
+    if policy.anchors:
+        anchored, plain = by_motif(parts, policy.anchors)
+        report["n_anchor_fragments"], report["n_plain_fragments"] = anchored.count(), plain.count()
+        if not report["n_anchor_fragments"]:
+            report["notes"].append("no fragment carries the anchor: the build is unconstrained, and its products may lack it")
+        elif not report["n_plain_fragments"]:
+            report["notes"].append("every fragment carries the anchor: the build is unconstrained, and repeated anchors are only filtered")
+        else:
+            seeds, reagents = anchored, plain
+            report["notes"].append(f"built from {report['n_anchor_fragments']} anchored fragments with {report['n_plain_fragments']} others")
+    products = recombine(reagents, depth, policy.max_heavy_atoms + 30, policy.max_generated, seeds, seed)
+    numbered = running_total(products.select("smiles"), ["smiles"], out="seq")
+    out = cut(cascade(cut(numbered), known, policy, seeded=seeds is not None))
+    counts = {r["drop_stage"]: r["n"] for r in attrition(out).collect()}  # a row a stage
+    report["n_generated"] = sum(counts.values())
+    report["n_kept"] = counts.pop("kept", 0)
+    report |= {"attrition": counts, "n_anchor_escapes": counts.get("anchor_copies", 0), "n_anchor_lost": counts.get("anchor_lost", 0)}
+    return out, report
 
 def attrition(cascaded: DataFrame) -> DataFrame:
     return cascaded.groupBy(F.coalesce("drop_stage", F.lit("kept")).alias("drop_stage")).agg(F.count("*").alias("n"))
 
 
-def audit(actives: DataFrame, policy: GenerationPolicy = GenerationPolicy()) -> DataFrame:
-    """n, pass_rate, suspect (under 0.8), dominant_rule of the cascade over known actives."""
-    c = cascade(actives, actives, policy, audit=True)
-    per = c.groupBy("drop_stage").agg(F.count("*").alias("n"))
+def audited(rows: DataFrame, floor: float = 0.8) -> DataFrame:
+    """n, pass_rate, dominant_rule and suspect (under the floor) of rows with drop_stage."""
+    per = rows.groupBy("drop_stage").agg(F.count("*").alias("n"))
     total = F.sum("n")
-    return per.agg(total.alias("n"), (F.coalesce(F.sum(F.when(F.col("drop_stage").isNull(), F.col("n"))), F.lit(0)) / total).alias("pass_rate"), F.max_by("drop_stage", F.when(F.col("drop_stage").isNotNull(), F.struct("n", "drop_stage"))).alias("dominant_rule")).withColumn("suspect", F.col("pass_rate") < 0.8)
+    worst = F.max_by("drop_stage", F.when(F.col("drop_stage").isNotNull(), F.struct("n", "drop_stage")))
+    return per.agg(total.alias("n"), (F.coalesce(F.sum(F.when(F.col("drop_stage").isNull(), F.col("n"))), F.lit(0)) / total).alias("pass_rate"), worst.alias("dominant_rule")).withColumn("suspect", F.col("pass_rate") < floor)
 
 
-def select_diverse(structures: DataFrame, limit: float = 0.45, min_atoms: int = 20, max_atoms: int = 40, max_resolution: float = 2.0) -> DataFrame:
-    """Structures (id, heavy_atoms, resolution, word, bits) within bounds, then greedily diverse by their fingerprints."""
-    from .similarity import diverse_subset
+def audit(actives: DataFrame, policy: GenerationPolicy = GenerationPolicy()) -> DataFrame:
+    """audited() of known actives: filters that reject what is known to work are wrong for it."""
+    return audited(cascade(actives, actives, policy, audit=True))
+
+def select_diverse(structures: DataFrame, limit: float = 0.45, min_atoms: int = 20, max_atoms: int = 40, max_resolution: float = 2.0, pinned: str | int | None = None) -> DataFrame:
+    """Structures (id, heavy_atoms, resolution, word, bits) within bounds, then greedily diverse by their fingerprints.
+
+    pinned: the id of one that is in whatever its bounds, and before all others.
+    """
+    from .similarity import similar_pairs
 
     ok = structures.where(F.col("heavy_atoms").between(min_atoms, max_atoms) & (F.col("resolution") <= max_resolution))
-    return diverse_subset(ok, limit)
+    if pinned is None:
+        return first_independent(ok.where("word IS NOT NULL").select("id"), similar_pairs(ok, limit).select("a", "b"))
+    rows = cut(structures.where((F.col("id") == pinned)).unionByName(ok.where(F.col("id") != pinned)).where("word IS NOT NULL"))
+    near = similar_pairs(rows, limit)
+    beside = near.where(F.col("a") == pinned).select(F.col("b").alias("id")).unionByName(near.where(F.col("b") == pinned).select(F.col("a").alias("id")))
+    rest = rows.where(F.col("id") != pinned).join(beside, "id", "left_anti")
+    return rows.where(F.col("id") == pinned).select("id").unionByName(first_independent(rest.select("id"), similar_pairs(rest, limit).select("a", "b")))
 
 
 def ranked(candidates: DataFrame, value: str = "prediction", trust: str = "rankable") -> DataFrame:

@@ -55,3 +55,8 @@ def cell_summary(poses: DataFrame, threshold: float = 2.0) -> DataFrame:
     """(receptor, ligand, top_rmsd, best_rmsd, best_rank, within) of ranked poses (rank, rmsd)."""
     best = F.min(F.struct("rmsd", "rank"))
     return poses.groupBy("receptor", "ligand").agg(F.min_by("rmsd", "rank").alias("top_rmsd"), best.alias("b")).select("receptor", "ligand", "top_rmsd", F.col("b.rmsd").alias("best_rmsd"), F.col("b.rank").alias("best_rank"), (F.col("b.rmsd") < threshold).alias("within"))
+
+
+def stale(allowed: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries of an allowlist that nothing needs any more: allowed rows that are not among the found ones, as often as they are there."""
+    return allowed.exceptAll(found.select(*allowed.columns))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .similarity import every_pair
 
 # Per-pair and group tolerances of the matched properties.
 TOLERANCES = {"molecular_weight": 25.0, "logp": 1.0, "hbd": 1.0, "hba": 2.0, "rotatable_bonds": 2.0, "formal_charge": 0.0}
@@ -16,27 +17,33 @@ MAX_SIMILARITY, PER_ACTIVE = 0.25, 10
 
 
 def tolerance_pairs(actives: DataFrame, candidates: DataFrame, tolerances: dict[str, float], bucket: str) -> DataFrame:
-    """(active, candidate, distance) of pairs within every tolerance.
+    """(active, candidate, distance) of pairs within every tolerance; a property that either side lacks is left out.
 
     An equi-join on buckets of one wide property, as wide as its tolerance: an active visits three. Zero tolerances are
-    equi-join keys too. Distance is the sum of differences over tolerances.
+    equi-join keys too. Distance is the sum of differences over tolerances. Rows that lack one of the joined properties, which
+    should be few, meet all rows of the other side, block by block.
     """
-    wide = tolerances[bucket]
+    wide, names = tolerances[bucket], list(tolerances)
     exact = [p for p, t in tolerances.items() if t == 0]
-    a = actives.select(F.col("id").alias("active"), *[F.col(p).cast("double").alias(f"a_{p}") for p in tolerances])
-    c = candidates.select(F.col("id").alias("candidate"), *[F.col(p).cast("double").alias(f"c_{p}") for p in tolerances])
+    a = actives.select(F.col("id").alias("active"), *[F.col(p).cast("double").alias(f"a_{p}") for p in names])
+    c = candidates.select(F.col("id").alias("candidate"), *[F.col(p).cast("double").alias(f"c_{p}") for p in names])
+    whole = lambda s: reduce(lambda x, y: x & y, [F.col(f"{s}_{p}").isNotNull() for p in [bucket, *exact]])
+    gap = {p: F.abs(F.col(f"a_{p}") - F.col(f"c_{p}")) for p in names}
+    fits, total = F.lit(True), F.lit(0.0)
+    for p, t in tolerances.items():
+        fits, total = fits & F.coalesce(gap[p] <= t, F.lit(True)), total + F.coalesce(gap[p] / (t if t > 0 else 1.0), F.lit(0.0))
+    found = lambda pairs: pairs.where(fits).select("active", "candidate", total.alias("distance"))
     base = F.floor(F.col(f"a_{bucket}") / wide)
-    a = a.withColumn("__k", F.explode(F.array(base - 1, base, base + 1)))
-    c = c.withColumn("__k", F.floor(F.col(f"c_{bucket}") / wide))
-    on = a["__k"] == c["__k"]
+    left = a.where(whole("a")).withColumn("__k", F.explode(F.array(base - 1, base, base + 1)))
+    right = c.where(whole("c")).withColumn("__k", F.floor(F.col(f"c_{bucket}") / wide))
+    on = left["__k"] == right["__k"]
     for p in exact:
         on = on & (F.col(f"a_{p}") == F.col(f"c_{p}"))
-    gap = {p: F.abs(F.col(f"a_{p}") - F.col(f"c_{p}")) for p in tolerances}
-    fits, total = F.lit(True), F.lit(0.0)
-    for p, t in tolerances.items():
-        fits, total = fits & (gap[p] <= t), total + gap[p] / (t if t > 0 else 1.0)
-    return a.join(c, on).where(fits).select("active", "candidate", total.alias("distance"))
-
+    out = found(left.join(right, on))
+    for odd_a, odd_c in ((a.where(~whole("a")), c), (a.where(whole("a")), c.where(~whole("c")))):
+        if not (odd_a if odd_c is c else odd_c).isEmpty():
+            out = out.unionByName(found(every_pair(odd_a, odd_c)))
+    return out
 
 def drop_similar(pairs: DataFrame, max_similarity: DataFrame, limit: float = MAX_SIMILARITY) -> DataFrame:
     """Pairs without candidates that resemble any active more than limit. max_similarity: (candidate, similarity)."""
@@ -65,11 +72,16 @@ def greedy_match(pairs: DataFrame, per_active: int = PER_ACTIVE, max_rounds: int
     raise RuntimeError("matching did not settle")
 
 
-def property_gap(df: DataFrame, properties: list[str], label: str = "label") -> DataFrame:
-    """(property, gap): mean over label 1 less mean over label 0."""
-    long = df.select(label, F.explode(F.array(*[F.struct(F.lit(p).alias("property"), F.col(p).cast("double").alias("v")) for p in properties])).alias("x")).select(label, "x.*")
-    return long.groupBy("property").agg((F.avg(F.when(F.col(label) == 1, F.col("v"))) - F.avg(F.when(F.col(label) == 0, F.col("v")))).alias("gap"))
+def shared_properties(a: DataFrame, b: DataFrame) -> list[str]:
+    """Names that both tables have, sorted, without their ids and labels."""
+    return sorted((set(a.columns) & set(b.columns)) - {"id", "label"})
+
 
+def property_gap(df: DataFrame, properties: list[str], label: str = "label") -> DataFrame:
+    """(property, gap, concerning): mean over label 1 less mean over label 0, and whether that alone could make a score separate them."""
+    long = df.select(label, F.explode(F.array(*[F.struct(F.lit(p).alias("property"), F.col(p).cast("double").alias("v"), F.lit(GROUP_TOLERANCES.get(p)).cast("double").alias("t")) for p in properties])).alias("x")).select(label, "x.*")
+    per = long.groupBy("property").agg((F.avg(F.when(F.col(label) == 1, F.col("v"))) - F.avg(F.when(F.col(label) == 0, F.col("v")))).alias("gap"), F.max("t").alias("__t"))
+    return per.select("property", "gap", F.coalesce(F.abs("gap") > F.col("__t"), F.lit(False)).alias("concerning"))
 
 def balance(actives: DataFrame, decoys: DataFrame, tolerances: dict[str, float] = GROUP_TOLERANCES, min_keep: float = 0.6) -> DataFrame:
     """The decoys (id, properties) left after removing, one by one, whichever most reduces the worst gap over its tolerance.
@@ -94,6 +106,27 @@ def balance(actives: DataFrame, decoys: DataFrame, tolerances: dict[str, float]
         kept = kept.where(F.col("id") != best["id"])
 
 
-def match_quality(matched: DataFrame, requested: int) -> DataFrame:
-    """n_matched, mean distance, adequate (half of what was asked for)."""
-    return matched.agg(F.count("*").alias("n_matched"), F.avg("distance").alias("mean_distance"), (F.count("*") >= math.ceil(requested / 2)).alias("adequate"))
+def match_quality(matched: DataFrame, actives: DataFrame, candidates: DataFrame, tolerances: dict[str, float], per_active: int, max_similarity: DataFrame | None = None, limit: float = MAX_SIMILARITY) -> DataFrame:
+    """One row of how well matched (active, candidate) pairs match: n_requested, n_selected, deltas (mean difference of each property),
+    max_similarity of what was chosen, shortfall (reason to number), adequate: half of what was asked for, and no mean beyond its tolerance.
+
+    max_similarity: (candidate, similarity) to the most similar active.
+    """
+    names = [p for p in tolerances if p in actives.columns and p in candidates.columns]
+    a = actives.select(F.col("id").alias("active"), *[F.col(p).cast("double").alias(f"a_{p}") for p in names])
+    c = candidates.select(F.col("id").alias("candidate"), *[F.col(p).cast("double").alias(f"c_{p}") for p in names])
+    pairs = matched.select("active", "candidate").join(a, "active").join(c, "candidate")
+    pairs = pairs.withColumn("similarity", F.lit(None).cast("double")) if max_similarity is None else pairs.join(max_similarity.select("candidate", "similarity"), "candidate", "left")
+    mean = {p: F.avg(F.abs(F.col(f"a_{p}") - F.col(f"c_{p}"))) for p in names}
+    known = F.filter(F.array(*[F.struct(F.lit(p).alias("k"), m.alias("v")) for p, m in mean.items()]), lambda x: x["v"].isNotNull())
+    within = F.lit(True)
+    for p in names:
+        within = within & F.coalesce(mean[p] <= tolerances[p], F.lit(True))
+    got = pairs.agg(F.count("*").alias("n_selected"), F.map_from_entries(known).alias("deltas"), F.coalesce(F.max("similarity"), F.lit(0.0)).alias("max_similarity"), within.alias("__w"))
+    per = actives.select(F.col("id").alias("active")).join(matched.groupBy("active").agg(F.count("*").alias("n")), "active", "left")
+    short = per.agg(F.count("*").alias("__n"), F.count_if(F.coalesce("n", F.lit(0)) < per_active).alias("__few"))
+    too = (candidates.limit(0) if max_similarity is None else max_similarity.where(F.col("similarity") > limit)).agg(F.count("*").alias("__too"))
+    out = got.crossJoin(short).crossJoin(too)  # one row each
+    reasons = F.map_filter(F.create_map(F.lit("too few matches for an active"), F.col("__few"), F.lit(f"similarity above {limit:g}"), F.col("__too")), lambda k, v: v > 0)
+    asked = F.col("__n") * per_active
+    return out.select(asked.alias("n_requested"), "n_selected", "deltas", "max_similarity", reasons.alias("shortfall"), ((F.col("n_selected") >= 0.5 * asked) & F.col("__w")).alias("adequate"))

@@ -7,10 +7,11 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantity import quantity
+from .ranking import running_total
 
 RESULT = "seq long, smiles string, label int, best_score double, n_heavy_atoms int, error string, elapsed double"
 
@@ -20,8 +21,16 @@ def engine_available(program: str = "vina") -> bool:
     return shutil.which(program) is not None
 
 
+def toolchain(spark: SparkSession) -> DataFrame:
+    """(component, present, consequence) of what docking needs; an absence is a state, not an error."""
+    import importlib.util
+
+    rows = [("vina", engine_available("vina") or importlib.util.find_spec("vina") is not None, "no docking"), ("meeko", importlib.util.find_spec("meeko") is not None, "ligands are prepared by simpler rules"), ("obabel", engine_available("obabel"), "no receptor preparation")]
+    return spark.createDataFrame([(n, bool(p), "" if p else c) for n, p, c in rows], "component string, present boolean, consequence string")
+
+
 def screen(ligands: DataFrame, dock: Callable[[str], tuple[float | None, int | None, str | None]], budget_seconds: float | None = None) -> DataFrame:
-    """Docks (seq, smiles, label) where they are; a failure is a row with its reason. The budget is each task's own."""
+    """Docks (seq, smiles, label) where they are; a failure is a row with its reason. The budget is each task's own: a ligand past it is a row that says so."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         began = time.monotonic()
@@ -30,7 +39,8 @@ def screen(ligands: DataFrame, dock: Callable[[str], tuple[float | None, int | N
             for seq, smiles, label in zip(pdf["seq"], pdf["smiles"], pdf["label"]):
                 start = time.monotonic()
                 if budget_seconds is not None and start - began > budget_seconds:
-                    break
+                    rows.append((seq, smiles, label, None, None, "not run: the time budget was spent", 0.0))
+                    continue
                 try:
                     score, atoms, error = dock(smiles)
                 except Exception as problem:  # noqa: BLE001  a ligand that fails is reported like any other
@@ -41,6 +51,27 @@ def screen(ligands: DataFrame, dock: Callable[[str], tuple[float | None, int | N
     return ligands.select("seq", "smiles", "label").mapInPandas(run, RESULT)
 
 
+def scored(results: DataFrame) -> DataFrame:
+    """(seq, label, score) of ligands that were docked. Results without any label cannot be told apart, and are refused."""
+    if results.where("label IS NOT NULL").isEmpty():
+        raise ValueError("no labels: actives cannot be told from decoys")
+    return results.where("error IS NULL AND best_score IS NOT NULL").select("seq", "label", F.col("best_score").alias("score"))
+
+
+def pose_is_correct(rmsd: Column, limit: float = 2.0) -> Column:
+    return F.coalesce(rmsd < limit, F.lit(False))
+
+
+def distinguishable(a: Column, b: Column, error: float = 2.5) -> Column:
+    """Whether two scores differ by more than the method's error."""
+    return F.abs(a - b) > error
+
+
+def attach(docked: DataFrame, properties: DataFrame, on: str = "smiles") -> DataFrame:
+    """docked rows with what is known of their structures (one row each in properties), NULL where nothing is; none is lost or doubled."""
+    once = properties.groupBy(on).agg(*[F.min(c).alias(c) for c in properties.columns if c != on])
+    return docked.join(once, on, "left")
+
 def missing_engine(smiles: str) -> tuple[None, None, str]:
     return None, None, "engine unavailable: no docking program on this machine"
 
@@ -67,10 +98,16 @@ def uneven_failures(results: DataFrame, limit: float = 0.1) -> DataFrame:
 
 
 def budget_prefix(df: DataFrame, budget: float, elapsed: str = "elapsed", order: str = "seq", by: list[str] | None = None) -> DataFrame:
-    """Rows whose start is within the budget: what came before them took no longer."""
-    w = Window.partitionBy(*(by or [])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("__s", F.coalesce(F.sum(elapsed).over(w), F.lit(0.0))).where(F.col("__s") <= budget).drop("__s")
-
+    """Rows whose start is within the budget: what came before them, in their group if any, took no longer. Groups may be large: sums run over ranges of rows."""
+    by = by or []
+    total = running_total(df, [*by, order], F.coalesce(F.col(elapsed), F.lit(0)), "__s")
+    if by:
+        starts = total.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.min(F.struct(order, F.col("__s").alias("s"))).alias("__f"))
+        on = F.lit(True)
+        for c in by:
+            on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        total = total.join(starts, on).withColumn("__s", F.col("__s") - F.col("__f.s")).drop(*[f"__{c}" for c in by], "__f")
+    return total.where(F.col("__s") <= budget).drop("__s")
 
 def pose_spread(poses: Column) -> Column:
     """(spread, determined) of an array of scores; a ranking needs two poses further apart than the method's error."""

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import running_total
+
 METHOD_ERROR = 2.5
+#: values hashed at once by signature()
+ROWS = 1_000_000
 
 
 def _flagged(df: DataFrame) -> DataFrame:
@@ -34,22 +38,74 @@ def by_efficiency(candidates: DataFrame, reference: DataFrame, error: float = ME
     return _flagged(df.withColumn("distinguishable", F.col("passing") & far))
 
 
+def survivors(triaged: DataFrame, profile_usable: bool) -> DataFrame:
+    """triaged with set_aside: 'no strong feature', 'joined molecules', or NULL of what is left of the kept rows; NULL-kept rows are not there.
+
+    A feature check without a profile that discriminates condemns nobody: only retains_strong_feature = false counts, and only where
+    the profile is usable. A motif that an anchor needs once and a candidate has twice marks two molecules joined.
+    """
+    rows = triaged.where("kept")
+    lost = F.coalesce(~F.col("retains_strong_feature"), F.lit(False)) if profile_usable else F.lit(False)
+    joined = F.coalesce(F.size("duplicated_motifs") > 0, F.lit(False))
+    return rows.withColumn("set_aside", F.when(lost, "no strong feature").when(joined, "joined molecules"))
+
+
+def presented(rows: DataFrame, withheld: bool) -> DataFrame:
+    """Survivors for a report: the most efficient first, unless the triage was withheld, when any order would claim too much."""
+    left = rows.where("set_aside IS NULL")
+    return left if withheld else left.orderBy(F.coalesce("ligand_efficiency", F.lit(0.0)), "seq")
+
+
+def triage_counts(triaged: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row: n_candidates, n_passing (kept), n_no_strong_feature, n_joined, n_survivors, withheld, n_distinguishable, threshold."""
+    a = triaged.agg(F.count("*").alias("n_candidates"), F.count_if("kept").alias("n_passing"), F.bool_or("withheld").alias("withheld"), F.max("n_distinguishable").alias("n_distinguishable"), F.max("threshold").alias("threshold"))
+    b = rows.agg(F.count_if(F.col("set_aside") == "no strong feature").alias("n_no_strong_feature"), F.count_if(F.col("set_aside") == "joined molecules").alias("n_joined"), F.count_if(F.col("set_aside").isNull()).alias("n_survivors"))
+    return a.crossJoin(b)  # 1 x 1 rows
+
+
+def pool_check(shards: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
+    """(by, n_<column> .., poolable): how many settings shards have of each kind; they are poolable only if there is one of each. NULL is a setting."""
+    n = [F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("\0"))).alias(f"n_{c}") for c in columns]
+    out = shards.groupBy(*([by] if by else [])).agg(*n)
+    same = F.lit(True)
+    for c in columns:
+        same = same & (F.col(f"n_{c}") <= 1)
+    return out.withColumn("poolable", same)
+
+
 def pool_problems(shards: DataFrame, columns: list[str]) -> list[str]:
     """The settings that differ among shards; pooling is refused unless there is none."""
-    got = shards.agg(*[F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("\0"))).alias(c) for c in columns]).first()
-    return [c for c in columns if got[c] > 1]
-
+    got = pool_check(shards, columns).first()
+    return [c for c in columns if got[f"n_{c}"] > 1]
 
 def signature(df: DataFrame, value: str, order: str) -> DataFrame:
-    """First 16 hex digits of the sha256 of the values, newline-joined in order."""
-    return df.agg(F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value].cast("string")), "\n"), 256), 1, 16).alias("signature"))
+    """First 16 hex digits of a sha256 that stands for the values in order: that of the newline-joined values of a table of up to ROWS rows.
 
+    A larger table's signature is that of its parts' signatures: parts of ROWS rows in order, so that no task holds more than one.
+    """
+    placed = running_total(df.select(F.col(order).alias("__o"), F.col(value).cast("string").alias("__v")), ["__o"], out="__i").withColumn("__part", F.floor(F.col("__i") / ROWS))
+    hashed = lambda rows, o, v: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(o, v))), lambda x: x[v]), "\n"), 256)
+    parts = placed.groupBy("__part").agg(hashed(placed, "__i", "__v").alias("__s"))
+    whole = parts.agg(F.count("*").alias("n"), F.max("__s").alias("one"), hashed(parts, "__part", "__s").alias("many"))
+    return whole.select(F.substring(F.when(F.col("n") == 1, F.col("one")).when(F.col("n") == 0, F.sha2(F.lit(""), 256)).otherwise(F.col("many")), 1, 16).alias("signature"))
 
 def five_numbers(df: DataFrame, value: str, by: str) -> DataFrame:
     q = F.percentile(value, F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
     return df.groupBy(by).agg(F.count(value).alias("n"), q.alias("q")).select(by, "n", *[F.col("q")[i].alias(name) for i, name in enumerate(("low", "q1", "median", "q3", "high"))])
 
 
+def median_shift(df: DataFrame, value: str, by: str, to: str, since: str) -> DataFrame:
+    """(to, since, shift): how much the median of one arm lies above that of another; NULL if either is empty."""
+    m = lambda arm: F.percentile(F.when(F.col(by) == arm, F.col(value)), F.lit(0.5))
+    return df.agg((m(to) - m(since)).alias("shift")).select(F.lit(to).alias("to"), F.lit(since).alias("since"), "shift")
+
+
+def pass_rates(df: DataFrame, value: str, by: str, thresholds: DataFrame) -> DataFrame:
+    """(by, n, n_passing, rate) of values at their arm's threshold or below. thresholds: (by, threshold), a row an arm; unknown values are not counted."""
+    known = df.where(F.col(value).isNotNull()).join(F.broadcast(thresholds), by)
+    return known.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col(value) <= F.col("threshold")).alias("n_passing")).withColumn("rate", F.col("n_passing") / F.col("n"))
+
+
 def determinism(df: DataFrame, setting: str, score: str, tolerance: float = 1e-6) -> DataFrame:
     """spread overall, largest spread within a setting, and what varies."""
     per = df.groupBy(setting).agg(F.min(score).alias("a"), F.max(score).alias("b"))

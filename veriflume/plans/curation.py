@@ -234,6 +234,3 @@ def background_usable(spark, d):
     return background.usable(table(spark, d, "documents"), "lang")
 
 
-@query("SELECT DISTINCT p_brand || '/' || p_type AS fragment, p_type = 'ECONOMY' AS plain FROM part")
-def fragment_union(spark, d):
-    return table(spark, d, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("fragment"), (F.col("p_type") == "ECONOMY").alias("plain")).distinct()

@@ -182,7 +182,7 @@ def decoy_select(spark, d):
 
 @query(f"SELECT property, round(gap, 6) AS gap FROM (SELECT 'price' AS property, avg(price) FILTER (WHERE label = 1) - avg(price) FILTER (WHERE label = 0) AS gap FROM ({PROPS}) UNION ALL SELECT 'size', avg(size) FILTER (WHERE label = 1) - avg(size) FILTER (WHERE label = 0) FROM ({PROPS}))")
 def property_gap(spark, d):
-    return matching.property_gap(_props(spark, d), ["price", "size"]).withColumn("gap", F.round("gap", 6))
+    return matching.property_gap(_props(spark, d), ["price", "size"]).select("property", F.round("gap", 6).alias("gap"))
 
 
 BALANCED = """WITH RECURSIVE s AS (SELECT s_suppkey AS id, s_acctbal AS v FROM supplier), m AS (SELECT avg(v) AS m FROM s WHERE id % 3 = 0),
@@ -235,21 +235,3 @@ def candidate_check(spark, d):
     return out.select("doc_id", F.size("present").cast("long").alias("n_present"), F.size("missing").cast("long").alias("n_missing"), (F.size("strong_present") > 0).alias("has_strong"), (F.size("duplicated") > 0).alias("duplicated"))
 
 
-STAGE = "CASE WHEN n_chars < 100 THEN 'too_small' WHEN n_chars > 5000 THEN 'too_large' WHEN rn > 1 THEN 'duplicate' WHEN lang = 'es' THEN 'alert' END"
-
-
-@query(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS rn FROM documents) SELECT coalesce({STAGE}, 'kept') AS drop_stage, count(*) AS n FROM r GROUP BY 1")
-def generation_attrition(spark, d):
-    docs = table(spark, d, "documents").withColumn("h", F.md5("text"))
-    first = docs.groupBy("h").agg(F.min("doc_id").alias("f"))
-    stage = F.when(F.col("n_chars") < 100, "too_small").when(F.col("n_chars") > 5000, "too_large").when(F.col("doc_id") != F.col("f"), "duplicate").when(F.col("lang") == "es", "alert").otherwise("kept")
-    return docs.join(first, "h").groupBy(stage.alias("drop_stage")).agg(F.count("*").alias("n"))
-
-
-@query("WITH r AS (SELECT n_chars BETWEEN 100 AND 5000 AND lang <> 'es' AS ok, CASE WHEN n_chars < 100 THEN 'too_small' WHEN n_chars > 5000 THEN 'too_large' WHEN lang = 'es' THEN 'alert' END AS rule FROM documents JOIN labels USING (doc_id) WHERE quality = 1) SELECT count(*) AS n, round(avg(ok::INT), 9) AS pass_rate, avg(ok::INT) < 0.8 AS suspect, (SELECT rule FROM r WHERE rule IS NOT NULL GROUP BY rule ORDER BY count(*) DESC, rule LIMIT 1) AS dominant_rule FROM r")
-def policy_audit(spark, d):
-    known = table(spark, d, "documents").join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id")
-    rule = F.when(F.col("n_chars") < 100, "too_small").when(F.col("n_chars") > 5000, "too_large").when(F.col("lang") == "es", "alert")
-    per = known.groupBy(rule.alias("rule")).agg(F.count("*").alias("c"))
-    out = per.agg(F.sum("c").alias("n"), (F.coalesce(F.sum(F.when(F.col("rule").isNull(), F.col("c"))), F.lit(0)) / F.sum("c")).alias("p"), F.min_by(F.col("rule"), F.when(F.col("rule").isNotNull(), F.struct(-F.col("c"), "rule"))).alias("dominant_rule"))
-    return out.select("n", F.round("p", 9).alias("pass_rate"), (F.col("p") < 0.8).alias("suspect"), "dominant_rule")
