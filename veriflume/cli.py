@@ -1,4 +1,4 @@
-"""python -m veriflume.cli COMMAND: curate a table, pool shards, compare two arms, or list and run queries."""
+"""python -m veriflume.cli COMMAND: fetch or curate measurements, validate a model of them, pool shards, compare two arms, or run queries."""
 
 from __future__ import annotations
 
@@ -6,9 +6,26 @@ import argparse
 
 from pyspark.sql import functions as F
 
-from .operators import curate, triage
+from .functions import molecules
+from .operators import curate, modelling, ranking, reports, split, triage
 from .session import build
-from .sources import records
+from .sources import activities, records
+
+
+def validate(points, kind: str = "ridge", resamples: int = 200) -> str:
+    """The report of a model of curated points (compound_id, smiles, pactivity, uncertainty) on scaffolds it has not seen."""
+    rows = points.select(F.col("compound_id").alias("id"), "smiles", F.col("pactivity").alias("label"), F.lit("derived").alias("origin"), "uncertainty")
+    made = rows.withColumn("s", molecules.structure(F.col("smiles")))
+    made = made.withColumn("features", molecules.descriptor_row(F.col("s"))[0]).where("features IS NOT NULL").cache()
+    data = modelling.build_training_set(made.select(*rows.columns), lambda _: made.select("id", "features"))
+    data = data.join(made.select("id", F.col("s.scaffold").alias("scaffold")), "id")
+    sides = split.scaffold_split(data, ix="id").cache()
+    train, test = (sides.where(F.col("partition") == p) for p in ("train", "test"))
+    out = modelling.predict_raw(modelling.fit(train, kind, tuple(molecules.AVAILABLE)), test).select(F.col("id").alias("seq"), F.col("label").alias("y"), F.col("prediction").alias("p"))
+    metrics = ranking.evaluate(out, resamples).cache()
+    r2 = {r["metric"]: r["estimate"] for r in metrics.collect()}["r2"]
+    b = modelling.baselines(train, test).withColumn("f", modelling.findings(F.lit(r2), F.col("mean_r2"), F.col("nn_r2"), F.col("permutation_p95"), F.col("label_spread"))).first()
+    return reports.evaluation(metrics, train.count(), test.count(), f"{kind}, scaffold split", findings=b["f"])
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -20,6 +37,18 @@ def main(argv: list[str] | None = None) -> int:
     one.add_argument("--statistic", choices=["median", "mean"], default="median")
     one.add_argument("--max-spread", type=float, default=1.0)
     one.add_argument("--permissive", action="store_true")
+    fetch = commands.add_parser("fetch", help="activities of a protein, curated, as CSV")
+    fetch.add_argument("accession")
+    fetch.add_argument("--service", required=True, help="address of the web service")
+    fetch.add_argument("--activity-types", nargs="+", default=["IC50", "EC50"])
+    fetch.add_argument("--max-records", type=int, default=8000)
+    fetch.add_argument("--cache", help="folder of responses, shared by executors")
+    fetch.add_argument("--offline", action="store_true")
+    fetch.add_argument("--out", required=True)
+    valid = commands.add_parser("validate", help="whether a model of curated points (Parquet) beats trivial baselines on unseen scaffolds")
+    valid.add_argument("points")
+    valid.add_argument("--model", choices=["forest", "boosting", "ridge"], default="ridge")
+    valid.add_argument("--resamples", type=int, default=200)
     two = commands.add_parser("combine", help="pool shard files of one experiment and triage their candidates")
     two.add_argument("shards")
     two.add_argument("out")
@@ -38,6 +67,16 @@ def main(argv: list[str] | None = None) -> int:
         points.write.mode("overwrite").parquet(f"{args.out}/points")
         rejected.write.mode("overwrite").parquet(f"{args.out}/rejections")
         curate.accounting(df, policy, how).show(truncate=False)
+    elif args.command == "fetch":
+        found, origin = activities.fetch_records(spark, args.service, args.accession, args.activity_types, args.max_records, args.cache, args.offline)
+        found = found.cache()
+        points, rejected = curate.curate(found)
+        origin.show(truncate=False)
+        print(reports.curation(curate.accounting(found), curate.summary(rejected)))
+        if records.write_csv(curate.in_order(records.labelled_points(points)).coalesce(1), f"{args.out}/points"):
+            records.write_csv(records.flatten_rejections(rejected), f"{args.out}/rejections")
+    elif args.command == "validate":
+        print(validate(spark.read.parquet(args.points), args.model, args.resamples))
     elif args.command == "combine":
         shards = records.read_shards(spark, args.shards)
         odd = triage.pool_problems(shards, [c for c in ("receptor_id", "box_signature", "ligand_signature", "curation_signature", "exhaustiveness") if c in shards.columns])

@@ -15,6 +15,12 @@ def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
     return best.unionByName(df.where(F.col(key).isNull()))
 
 
+def representatives(df: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, representative, n): the first row of each key by order; rows without a key stand for themselves."""
+    known = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("representative"), F.count("*").alias("n"))
+    return known.unionByName(df.where(F.col(key).isNull()).select(key, F.col(order).alias("representative"), F.lit(1).cast("long").alias("n")))
+
+
 def exclude(df: DataFrame, known: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose key is not known, one row n_excluded): a NULL key is never known."""
     keys = known.select(key).where(F.col(key).isNotNull()).distinct()

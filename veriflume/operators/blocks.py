@@ -58,7 +58,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, measure: Callable[[np.nda
 
     def unit(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "near": []})
+            return pd.DataFrame({"id": [], "near": []}, dtype=object)
         b = b.sort_values("id", kind="stable")
         d = measure(np.stack(a["features"]), np.stack(b["features"]))
         ids, refs = a["id"].to_numpy(), b["id"].to_numpy()

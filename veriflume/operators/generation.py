@@ -158,7 +158,7 @@ def near_pairs(rows: DataFrame, threshold: float) -> DataFrame:
 
     def unit(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": []})
+            return pd.DataFrame({"a": [], "b": []}, dtype=object)
         x, y = a["id"].to_numpy(), b["id"].to_numpy()
         i, j = np.nonzero((blocks.tanimoto(_words(a["features"]), _words(b["features"])) >= threshold) & (x[:, None] < y[None, :]))
         return pd.DataFrame({"a": x[i], "b": y[j]})
@@ -180,7 +180,7 @@ def _nearest_across(a: DataFrame, b: DataFrame) -> DataFrame:
 
     def unit(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
-            return pd.DataFrame({"id": [], "similarity": []})
+            return pd.DataFrame({"id": [], "similarity": []}, dtype=object)
         return pd.DataFrame({"id": x["own"].to_numpy(), "similarity": blocks.tanimoto(_words(x["features"]), _words(y["features"])).max(1)})
 
     left = a.select(F.xxhash64("id").alias("id"), F.col("id").alias("own"), "features")

@@ -68,6 +68,12 @@ def novelty(nearest_: DataFrame, known: DataFrame, exact_key: str = "word", thre
     return df.select("id", "is_exact", "similarity", "ref", ok.alias("is_novel"), band.alias("band"))
 
 
+def mark_known(df: DataFrame, known: DataFrame, key: str = "key") -> DataFrame:
+    """df with is_known: whether its key is among the known ones; a NULL key is not."""
+    keys = known.select(key).where(F.col(key).isNotNull()).distinct().withColumn("__k", F.lit(True))
+    return df.join(keys, key, "left").withColumn("is_known", F.coalesce("__k", F.lit(False))).drop("__k")
+
+
 def diverse_subset(fp: DataFrame, threshold: float, max_rounds: int = 1000) -> DataFrame:
     """(id): kept in id order iff no kept smaller id is as similar as threshold; rows without a fingerprint are skipped."""
     return first_independent(fp.where("word IS NOT NULL").select("id"), similar_pairs(fp, threshold).select("a", "b"), max_rounds)

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import quantity as Q
 from ..functions import units
-from ..operators import background, curate
+from ..operators import background, curate, guards, similarity
 from ..session import cut
-from ..sources import records
+from ..sources import paged, records
 from .bridge import ACTIVITY_CTE, activity, table
 from .registry import query
 
@@ -196,17 +196,17 @@ def missing_metadata(spark, d):
     return records.missing_metadata(activity(spark, d))
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+@query("SELECT o_orderkey, o_custkey, (SELECT count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)) AS n_excluded FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def overlap_anti_join(spark, d):
     known = table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, d, "orders").join(known, "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
+    rest, n = background.exclude(table(spark, d, "orders"), known, "o_custkey")
+    return rest.select("o_orderkey", "o_custkey").crossJoin(F.broadcast(n))  # one row
 
 
 @query("SELECT doc_id, EXISTS (SELECT 1 FROM benchmark b WHERE b.text = d.text) AS is_known FROM documents d")
 def known_semi_join(spark, d):
-    known = table(spark, d, "benchmark").select(F.sha2("text", 256).alias("h")).distinct().withColumn("k", F.lit(True))
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h")).join(known, "h", "left").select("doc_id", F.coalesce("k", F.lit(False)).alias("is_known"))
-
+    known = table(spark, d, "benchmark").select(F.sha2("text", 256).alias("key"))
+    return similarity.mark_known(table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("key")), known).select("doc_id", "is_known")
 
 @query("SELECT md5(text) AS key, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY 1")
 def first_seen_dedup(spark, d):
@@ -216,9 +216,7 @@ def first_seen_dedup(spark, d):
 @query("SELECT p_name AS key, min(p_partkey) AS representative, count(*) AS n FROM part WHERE p_partkey % 11 <> 0 GROUP BY 1 UNION ALL SELECT NULL, p_partkey, 1 FROM part WHERE p_partkey % 11 = 0")
 def structure_dedup(spark, d):
     p = table(spark, d, "part").withColumn("key", F.when(F.col("p_partkey") % 11 != 0, F.col("p_name")))
-    known = p.where("key IS NOT NULL").groupBy("key").agg(F.min("p_partkey").alias("representative"), F.count("*").alias("n"))
-    return known.unionByName(p.where("key IS NULL").select("key", F.col("p_partkey").alias("representative"), F.lit(1).cast("long").alias("n")))
-
+    return background.representatives(p, "key", "p_partkey")
 
 BG = "SELECT doc_id AS molecule_id, source, doc_id AS seq FROM documents"
 
@@ -229,8 +227,32 @@ def round_robin_background(spark, d):
     return background.assemble(docs, 250, docs.where("seq % 7 = 0")).select("molecule_id", "source", "turn")
 
 
+TURNS = "WITH t AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents WHERE doc_id % 7 <> 0), c AS (SELECT *, row_number() OVER (ORDER BY turn, source) AS k FROM t), p AS (SELECT * FROM c WHERE k <= 250), e AS (SELECT source, max(doc_id) AS last FROM p GROUP BY 1)"
+
+
+@query(TURNS + " SELECT count(*) AS n, count(DISTINCT source) AS n_sources, (SELECT count(*) FROM documents JOIN e USING (source) WHERE doc_id % 7 = 0 AND (doc_id <= last OR (SELECT count(*) FROM p) < 250)) AS n_excluded, 0::BIGINT AS n_duplicates FROM p")
+def background_account(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("molecule_id"), "source", F.col("doc_id").alias("seq"))
+    a = background.account(docs, 250, docs.where("seq % 7 = 0"))
+    return a.select("n", F.size("per_source").cast("long").alias("n_sources"), "n_excluded", "n_duplicates")
+
+
+@query("WITH u AS (SELECT lang AS source, md5(text) AS molecule_id, min(doc_id) AS seq FROM documents WHERE trim(text) <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY seq) AS k FROM u) SELECT source, molecule_id, seq FROM r WHERE k <= 20")
+def background_contributions(spark, d):
+    docs = table(spark, d, "documents").select(F.col("lang").alias("source"), F.md5("text").alias("molecule_id"), F.col("text").alias("smiles"), F.col("doc_id").alias("seq"))
+    return background.contributions(docs, 20)[0].select("source", "molecule_id", "seq")
+
+
 @query("SELECT count(*) AS n, count(DISTINCT lang) AS n_families, count(*) >= 200 AND count(DISTINCT lang) >= 3 AS usable FROM documents")
 def background_usable(spark, d):
     return background.usable(table(spark, d, "documents"), "lang")
 
 
+@query("SELECT floor((row_number() OVER (ORDER BY id) - 1) / 50)::BIGINT AS batch, id FROM (SELECT DISTINCT c_custkey::VARCHAR AS id FROM customer)")
+def id_batches(spark, d):
+    return paged.batches(table(spark, d, "customer"), "c_custkey").select("batch", F.explode("ids").alias("id"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def stale_entries(spark, d):
+    return guards.stale(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct())

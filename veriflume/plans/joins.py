@@ -235,3 +235,36 @@ def candidate_check(spark, d):
     return out.select("doc_id", F.size("present").cast("long").alias("n_present"), F.size("missing").cast("long").alias("n_missing"), (F.size("strong_present") > 0).alias("has_strong"), (F.size("duplicated") > 0).alias("duplicated"))
 
 
+@query(f"WITH {WORDS}, c AS (SELECT len(list_filter(['de', 'la', 'le'], lambda x: list_contains(ws, x))) AS k, list_contains(ws, 'le') AS s, len(list_filter(ws, lambda x: x = 'le')) > 1 AS dup FROM w) SELECT count(*) AS n, count(*) FILTER (WHERE k > 0) AS n_retaining, count(*) FILTER (WHERE k = 0) AS n_flagged, count(*) FILTER (WHERE k > 0 AND NOT s) AS n_weak_only, count(*) FILTER (WHERE dup) AS n_duplicated FROM c")
+def feature_screen_counts(spark, d):
+    name = {w: k for k, w in NAMED.items()}
+    return features.screen_counts(features.check(_counts(spark, d), [name["de"], name["la"], name["le"]], [name["le"]], True))
+
+
+BEST = "coalesce(max(CASE WHEN b.p > 0 THEN a.p / b.p WHEN a.p > 0 THEN 1000 END) FILTER (WHERE a.p > 0 AND feature IN ({})), 0)"
+
+
+def _both(names):
+    return ", ".join(f"'{k}'" for k, w in NAMED.items() if w in names)
+
+
+ANCHORS, PLAIN = ("de", "la", "le", "et", "les"), ("the", "and", "in", "on")
+
+
+@query(f"WITH {WORDS}, a AS (" + PREV.format(where="lang = 'fr'") + "), b AS (" + PREV.format(where="lang <> 'fr'") + f"), x AS (SELECT {BEST.format(_both(ANCHORS))} AS anchor, {BEST.format(_both(PLAIN))} AS incidental FROM a JOIN b USING (feature)) SELECT round(anchor, 6) AS anchor, round(incidental, 6) AS incidental, CASE WHEN anchor >= 3 AND incidental < 3 THEN 'separates' WHEN anchor >= 3 THEN 'enriches everything' ELSE 'nothing stands out' END AS verdict FROM x")
+def background_two_sided(spark, d):
+    c = _counts(spark, d)
+    p = features.profile(features.prevalence(c.where("lang = 'fr'"), list(NAMED)), features.prevalence(c.where("lang <> 'fr'"), list(NAMED)), 0.5)
+    of = lambda ws: [k for k, w in NAMED.items() if w in ws]
+    return features.two_sided(p, of(ANCHORS), of(PLAIN)).select(F.round("anchor", 6).alias("anchor"), F.round("incidental", 6).alias("incidental"), "verdict")
+
+
+PICKED = CHOSEN.replace("SELECT active, x.candidate AS candidate, x.distance AS distance FROM (SELECT active, unnest(mine) AS x FROM step WHERE k > 0)", "SELECT (SELECT count(*) * 3 FROM p WHERE label = 1) AS n_requested, count(*) AS n_selected, round(avg(abs(a.price - c.price)), 6) AS price, round(avg(abs(a.size - c.size)), 6) AS size, count(*) >= 0.5 * (SELECT count(*) * 3 FROM p WHERE label = 1) AND avg(abs(a.price - c.price)) <= 25 AND avg(abs(a.size - c.size)) <= 3 AS adequate FROM (SELECT active, unnest(mine) AS x FROM step WHERE k > 0) y JOIN p a ON a.id = y.active JOIN p c ON c.id = y.x.candidate")
+
+
+@query(PICKED)
+def match_quality(spark, d):
+    p = _props(spark, d)
+    chosen = matching.greedy_match(_pairs(spark, d).withColumn("distance", F.round("distance", 9)), 3)
+    q = matching.match_quality(chosen, p.where("label = 1"), p.where("label = 0"), TOL, 3)
+    return q.select("n_requested", "n_selected", *[F.round(F.col("deltas")[c], 6).alias(c) for c in ("price", "size")], "adequate")

@@ -149,11 +149,48 @@ def triage_efficiency(spark, d):
     return triage.by_efficiency(r.where("label = 0"), r.where("label = 1").select("ligand_efficiency")).select("seq", "passing", "n_distinguishable", "kept")
 
 
-@query("SELECT c_mktsegment AS segment, count(DISTINCT c_nationkey) AS n_receptors, count(DISTINCT c_nationkey) = 1 AS poolable FROM customer GROUP BY 1")
+@query("SELECT c_mktsegment AS segment, count(DISTINCT c_nationkey) AS n_receptors, count(DISTINCT c_nationkey) <= 1 AND count(DISTINCT c_mktsegment) <= 1 AS poolable FROM customer GROUP BY 1")
 def pool_guards(spark, d):
-    return table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count_distinct("c_nationkey").alias("n_receptors"), (F.count_distinct("c_nationkey") == 1).alias("poolable"))
+    df = table(spark, d, "customer").withColumn("segment", F.col("c_mktsegment"))
+    return triage.pool_check(df, ["c_nationkey", "c_mktsegment"], "segment").select("segment", F.col("n_c_nationkey").alias("n_receptors"), "poolable")
 
 
+@query(f"WITH {SCORED_CTE} SELECT count(*) AS n, count(*) FILTER (WHERE label = 1) AS n_actives, count(*) FILTER (WHERE abs(score - 5) > 2.5) AS n_far, count(*) FILTER (WHERE score < 2) AS n_right FROM scored")
+def score_checks(spark, d):
+    s = scored(spark, d).withColumnRenamed("score", "best_score").withColumn("error", F.lit(None).cast("string"))
+    r = screening.scored(s)
+    return r.agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("n_actives"), F.count_if(screening.distinguishable(F.col("score"), F.lit(5.0))).alias("n_far"), F.count_if(screening.pose_is_correct(F.col("score"))).alias("n_right"))
+
+
+@query("SELECT round(median(o_totalprice) FILTER (WHERE o_orderstatus = 'F') - median(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 6) AS shift FROM orders")
+def arm_shift(spark, d):
+    return triage.median_shift(table(spark, d, "orders"), "o_totalprice", "o_orderstatus", "F", "O").select(F.round("shift", 6).alias("shift"))
+
+
+@query("WITH t AS (SELECT o_orderstatus AS arm, median(o_totalprice) AS threshold FROM orders GROUP BY 1) SELECT arm, count(*) AS n, count(*) FILTER (WHERE o_totalprice <= threshold / 2) AS n_passing FROM orders JOIN t ON o_orderstatus = arm GROUP BY 1")
+def arm_pass_rates(spark, d):
+    o = table(spark, d, "orders").withColumnRenamed("o_orderstatus", "arm")
+    limits = o.groupBy("arm").agg((F.percentile("o_totalprice", F.lit(0.5)) / 2).alias("threshold"))
+    return triage.pass_rates(o, "o_totalprice", "arm", limits).select("arm", "n", "n_passing")
+
+
+LEFT = f"r AS (SELECT *, best_score / heavy_atoms AS e FROM ({RESULTS})), t AS (SELECT quantile_cont(e, 0.5) AS t FROM r WHERE label = 1), f AS (SELECT seq, coalesce(e <= t, false) AS kept, coalesce(e <= t AND abs(e - t) * heavy_atoms > 2.5, false) AS dist, e IS NOT NULL AS assessed FROM r, t WHERE label = 0), k AS (SELECT seq FROM f WHERE CASE WHEN (SELECT count(*) FILTER (WHERE dist) FROM f) = 0 THEN assessed ELSE kept END)"
+
+
+@query(f"WITH {LEFT} SELECT CASE WHEN seq % 4 = 0 THEN 'no strong feature' WHEN seq % 6 = 1 THEN 'joined molecules' ELSE 'left' END AS fate, count(*) AS n FROM k GROUP BY 1")
+def triage_survivors(spark, d):
+    r = _results(spark, d).withColumn("ligand_efficiency", screening.ligand_efficiency(F.col("best_score"), F.col("heavy_atoms")))
+    c = r.where("label = 0").withColumn("retains_strong_feature", F.when(F.col("seq") % 4 == 0, False).when(F.col("seq") % 4 == 1, True)).withColumn("duplicated_motifs", F.when(F.col("seq") % 6 == 1, F.create_map(F.lit("amidine"), F.lit(2))))
+    rows = triage.survivors(triage.by_efficiency(c, r.where("label = 1").select("ligand_efficiency")), True)
+    return rows.groupBy(F.coalesce("set_aside", F.lit("left")).alias("fate")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SCORED_CTE}, p AS (SELECT label AS key, min(score) AS low FROM scored WHERE seq % 3 = 0 GROUP BY 1) SELECT seq, low FROM scored LEFT JOIN p ON key = label")
+def attached_properties(spark, d):
+    s = scored(spark, d)
+    known = s.where("seq % 3 = 0").select("label", F.col("score").alias("low"))
+    return screening.attach(s, known, "label").select("seq", "low")
+
 @query("SELECT substr(sha256(string_agg(p_name || ':' || p_partkey, chr(10) ORDER BY p_partkey)), 1, 16) AS signature FROM part")
 def signature(spark, d):
     return triage.signature(table(spark, d, "part").select("p_partkey", F.concat_ws(":", "p_name", "p_partkey").alias("v")), "v", "p_partkey")

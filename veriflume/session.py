@@ -40,11 +40,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir. Where that is unset, a local session gets a temporary one; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if named is None:
         if current.isEmpty():
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veriflume-"))
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if current.isEmpty():
@@ -52,9 +54,33 @@ def scratch_dir(spark: SparkSession) -> str:
     return named
 
 
+_SCRATCH: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written once to the shared scratch folder and read back: cuts lineage and recomputation."""
+    """df written once to the shared scratch folder and read back: cuts lineage and recomputation. clear_scratch() deletes what was written."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*dfs: DataFrame) -> None:
+    """Deletes the scratch tables that cut() made for these and that nothing reads any more."""
+    for df in dfs:
+        for file in df.inputFiles()[:1]:
+            folder = file.rsplit("/", 1)[0]
+            if "/stage-" in folder:
+                delete(df.sparkSession, folder)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this session: its results must have been written by then."""
+    while _SCRATCH:
+        delete(spark, _SCRATCH.pop())

@@ -1,7 +1,8 @@
 """A Python data source over an offset-paginated JSON service, with a response cache.
 
-One input partition a page: executors fetch their own pages. Responses are kept as gzipped JSON named by the hash of
-their address; a corrupt entry is a miss, and offline reads fail on a miss.
+Executors fetch pages; how many of them at once is the option `parallel` (1), since the service's interval between requests is
+kept by each. Responses are kept as gzipped JSON named by the hash of their address, in a folder that all executors must share; a
+corrupt entry is a miss, and offline reads fail on a miss. Filters on columns named in the option `push` reach the address.
 """
 
 from __future__ import annotations
@@ -12,10 +13,14 @@ import json
 import os
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
 PAGE, INTERVAL, BACKOFF = 1000, 0.34, (1, 2, 4, 8)
 
@@ -43,6 +48,11 @@ class Cache:
         self.misses += 1
         return None
 
+    def describe(self) -> str:
+        """What this reader's cache did: each task has its own counts."""
+        n = self.hits + self.misses
+        return f"{self.hits} of {n} responses from the cache" if n else "no requests"
+
     def put(self, url: str, value) -> None:
         if self.folder:
             os.makedirs(self.folder, exist_ok=True)
@@ -96,19 +106,37 @@ def pages(limit: int, total: int, page: int = PAGE) -> list[tuple[int, int]]:
 
 
 class Page(InputPartition):
-    def __init__(self, offset: int, size: int):
-        self.offset, self.size = offset, size
+    """Pages (offset, size) that one task fetches, one after the other."""
+
+    def __init__(self, parts: list[tuple[int, int]]):
+        self.parts = parts
 
 
 class PagedReader(DataSourceReader):
     def __init__(self, schema, options):
         self.schema, self.options = schema, options
         self.key, self.limit = options["key"], int(options.get("limit", 8000))
-        self.page = int(options.get("page", PAGE))
+        self.page, self.parallel = int(options.get("page", PAGE)), int(options.get("parallel", 1))
+        self.push = dict(x.split("=", 1) for x in options.get("push", "").split(",") if x)
+        self.terms: list[tuple[str, str]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes equality, IN and IS NOT NULL on the columns of `push` (column=parameter,..) into the address; all else Spark applies."""
+        for f in filters:
+            name = self.push.get(f.attribute[0]) if isinstance(f, (EqualTo, In, IsNotNull)) and len(f.attribute) == 1 else None
+            if name is None:
+                yield f
+            elif isinstance(f, EqualTo):
+                self.terms.append((name, str(f.value)))
+            elif isinstance(f, In):
+                self.terms.append((f"{name}__in", ",".join(map(str, f.value))))
+            else:
+                self.terms.append((f"{name}__isnull", "false"))
 
     def url(self, offset: int, size: int) -> str:
         base = self.options["path"]
-        return f"{base}{'&' if '?' in base else '?'}limit={size}&offset={offset}"
+        terms = urllib.parse.urlencode([*sorted(self.terms), ("limit", size), ("offset", offset)], safe=",")
+        return f"{base}{'&' if '?' in base else '?'}{terms}"
 
     def _get(self, offset: int, size: int) -> dict:
         return get(self.url(offset, size), Cache(self.options.get("cache")), self.options.get("offline", "false") == "true")
@@ -116,11 +144,20 @@ class PagedReader(DataSourceReader):
     def partitions(self):
         first = self._get(0, min(self.page, self.limit))
         total = (first.get("page_meta") or {}).get("total_count", len(first.get(self.key, [])))
-        return [Page(a, b) for a, b in pages(self.limit, int(total), self.page)]
+        every = pages(self.limit, int(total), self.page)
+        return [Page(every[k :: self.parallel]) for k in range(min(self.parallel, len(every)))]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        for row in self._get(partition.offset, partition.size).get(self.key, []):
-            yield tuple(None if row.get(f.name) is None else row[f.name] if not isinstance(row[f.name], (dict, list)) else json.dumps(row[f.name]) for f in self.schema)
+        for offset, size in partition.parts:
+            rows = self._get(offset, size).get(self.key, [])
+            for row in rows:
+                yield tuple(_value(row.get(f.name)) for f in self.schema)
+            if len(rows) < size:  # a short page is the last
+                return
+
+
+def _value(x):
+    return json.dumps(x) if isinstance(x, (dict, list)) else x
 
 
 class PagedSource(DataSource):
@@ -135,3 +172,68 @@ class PagedSource(DataSource):
 
     def reader(self, schema) -> PagedReader:
         return PagedReader(schema, self.options)
+
+
+def paged(spark: SparkSession, address: str, schema: str, key: str, push: dict[str, str] | None = None, limit: int = 8000, cache: str | None = None, offline: bool = False, page: int = PAGE, parallel: int = 1) -> DataFrame:
+    """Rows of a paginated service; push maps columns to the parameters by which it filters on them."""
+    spark.dataSource.register(PagedSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    options = {"key": key, "limit": str(limit), "page": str(page), "parallel": str(parallel), "offline": str(offline).lower(), "push": ",".join(f"{a}={b}" for a, b in (push or {}).items())} | ({"cache": cache} if cache else {})
+    return spark.read.format("paged").schema(schema).options(**options).load(address)
+
+
+def batches(ids: DataFrame, column: str, size: int = 50) -> DataFrame:
+    """(batch, ids) of the distinct, non-null ids in their order, `size` to a batch."""
+    from ..operators.ranking import running_total
+
+    once = ids.select(F.col(column).cast("string").alias("__id")).where("__id IS NOT NULL AND __id <> ''").distinct()
+    placed = running_total(once, ["__id"], out="__i").withColumn("batch", F.floor(F.col("__i") / size))
+    return placed.groupBy("batch").agg(F.array_sort(F.collect_list("__id")).alias("ids"))
+
+
+def batched_lookup(ids: DataFrame, column: str, address: str, parameter: str, key: str, id_field: str, schema: str, size: int = 50, cache: str | None = None, offline: bool = False, parallel: int = 1) -> DataFrame:
+    """Records (schema) of distinct ids, asked for `size` at a time; of several records of an id the last of its answer stays."""
+    fields = [c.split() for c in schema.split(",")]
+    names = [f[0] for f in fields]
+    cell = lambda x, kind: None if x is None else str(_value(x)) if kind == "string" else _value(x)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = Cache(cache)
+        for pdf in parts:
+            found: dict = {}
+            for some in pdf["ids"]:
+                for row in get(f"{address}?{parameter}={','.join(some)}&limit={size}&offset=0", held, offline).get(key, []):
+                    if row.get(id_field):
+                        found[str(row[id_field])] = row
+            yield pd.DataFrame([[cell(r.get(n), kind) for n, kind in fields] for r in found.values()], columns=names, dtype=object)
+
+    return batches(ids, column, size).repartition(parallel).mapInPandas(run, schema)
+
+
+def cache_report(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: n_entries, n_bytes of a response cache."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json.gz").load(folder)
+    return files.agg(F.count("*").alias("n_entries"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
+
+
+def fetch_text(url: str, folder: str, name: str, tries: int = 3, fetch: Callable[[str], tuple[int, str]] | None = None, sleep: Callable[[float], None] = time.sleep) -> str:
+    """A file's text, from the folder if it is there; else fetched with a few tries and put there."""
+    path = os.path.join(folder, name)
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            return f.read()
+    last = ""
+    for k in range(tries):
+        try:
+            status, body = (fetch or _http)(url)
+        except OSError as problem:
+            status, body, last = 0, "", str(problem)
+        if status == 200 and body:
+            os.makedirs(folder, exist_ok=True)
+            with open(f"{path}.{os.getpid()}", "w", encoding="utf-8") as f:
+                f.write(body)
+            os.replace(f"{path}.{os.getpid()}", path)
+            return body
+        last = last or f"status {status}"
+        sleep(BACKOFF[min(k, len(BACKOFF) - 1)])
+    raise SourceError(f"{last}: {url}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,12 +19,17 @@ def resolve_target(targets: DataFrame, accession: str) -> str:
 
 
 def assemble(activities: DataFrame, assays: DataFrame) -> DataFrame:
-    """activities (value as text) with their assay's type and confidence; values that are not numbers become NULL."""
-    assay = assays.groupBy("assay_id").agg(F.last("assay_type").alias("__t"), F.last("confidence_score").alias("confidence_score"))
-    value = F.col("value").cast("string").try_cast("double")
-    out = activities.drop("confidence_score").join(assay, "assay_id", "left")
-    return out.withColumn("value", F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)).withColumn("relation", F.when(F.coalesce("relation", F.lit("")) == "", "=").otherwise(F.col("relation"))).withColumn("assay_type", F.coalesce("__t", "assay_type")).drop("__t")
+    """activities (value as text) with their assay's type and confidence, and no_assay; values that are not numbers become NULL.
 
+    Of several records of an assay the largest counts, so the result does not depend on their order. Assays are joined by an
+    equi-join; adaptive execution broadcasts them where they are few.
+    """
+    assay = assays.groupBy("assay_id").agg(F.max(F.struct(F.col("assay_type").alias("t"), F.col("confidence_score").alias("c"))).alias("__a"))
+    value = F.col("value").cast("string").try_cast("double")
+    out = activities.drop("confidence_score").join(assay, "assay_id", "left").withColumn("no_assay", F.col("__a").isNull())
+    out = out.withColumns({"__v": value, "confidence_score": F.col("__a.c")})
+    finite = ~F.isnan("__v") & (F.abs("__v") < float("inf"))
+    return out.withColumn("value", F.when(finite, F.col("__v"))).withColumn("relation", F.when(F.coalesce("relation", F.lit("")) == "", "=").otherwise(F.col("relation"))).withColumn("assay_type", F.coalesce(F.when(F.col("__a.t") != "", F.col("__a.t")), "assay_type")).drop("__a", "__v")
 
 def missing_metadata(records: DataFrame) -> DataFrame:
     return records.agg(F.count_if(F.col("confidence_score").isNull()).alias("no_confidence"), F.count_if(F.col("assay_type").isNull()).alias("no_assay_type"), F.count_if(F.col("value").isNull()).alias("no_value"))
@@ -70,16 +75,38 @@ def write_csv(df: DataFrame, path: str) -> bool:
     return True
 
 
-def write_report(triaged: DataFrame, path: str, limit: int = 50) -> str:
-    """Candidates as JSON lines under the key that says whether they are a selection; returns the key. limit: a top-k report."""
+def report_rows(triaged: DataFrame, limit: int = 50) -> tuple[str, DataFrame]:
+    """(key, rows) of a report: a shortlist, the most efficient first, or unranked candidates where the triage was withheld; a top-k report."""
     withheld = bool(triaged.agg(F.bool_or("withheld")).first()[0])
-    key = "candidates_unranked" if withheld else "shortlist"
     rows = triaged.where("kept")
-    rows = rows if withheld else rows.orderBy("ligand_efficiency")
-    rows.limit(limit).select(F.to_json(F.struct(F.struct(*rows.columns).alias(key))).alias("value")).write.mode("overwrite").text(path)
+    rows = rows if withheld else rows.orderBy("ligand_efficiency", "seq") if "seq" in rows.columns else rows.orderBy("ligand_efficiency")
+    return ("candidates_unranked" if withheld else "shortlist"), rows.limit(limit)
+
+
+def write_report(triaged: DataFrame, path: str, limit: int = 50, **summary) -> str:
+    """One JSON document: summary fields, whether the triage was withheld, and the list under the key that says what it is; returns the key."""
+    key, rows = report_rows(triaged, limit)
+    n = triaged.agg(F.count("*").alias("n_candidates"), F.count_if("kept").alias("n_kept"), F.coalesce(F.bool_or("withheld"), F.lit(False)).alias("triage_withheld"))
+    listed = rows.agg(F.collect_list(F.struct(*rows.columns)).alias(key))  # at most `limit` rows
+    out = n.crossJoin(listed)  # 1 x 1 rows
+    fields = [F.lit(v).alias(k) for k, v in summary.items()]
+    out.select(F.to_json(F.struct(*fields, *out.columns), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
     return key
 
 
+def read_selection(spark: SparkSession, path: str, field: str = "selected") -> DataFrame:
+    """One row for each structure of a selection document (JSON)."""
+    return spark.read.json(path, multiLine=True).select(F.explode(field).alias("s")).select("s.*")
+
+
+def component_smiles(sdf: Column, descriptors: Column, path: str = "$.smiles") -> Column:
+    """A ligand's structure: from its structure file where that can be read, else from its descriptor document; NULL of neither, with the source."""
+    from ..functions import molecules
+
+    own = F.pandas_udf(lambda s: s.map(molecules.from_molfile), "string")(sdf)
+    other = F.get_json_object(descriptors, path)
+    return F.struct(F.coalesce(own, other).alias("smiles"), F.when(own.isNotNull(), "structure file").when(other.isNotNull(), "descriptor").otherwise("none").alias("source"))
+
 def search(catalogue: DataFrame, accession: str, method: str, max_resolution: float, limit: int) -> DataFrame:
     """The `limit` best-resolved structures of an accession by one method (three AND-ed terms; a top-k query)."""
     hit = F.array_contains("accessions", accession) & (F.col("method") == method) & (F.col("resolution") <= max_resolution)
