@@ -32,6 +32,8 @@ WORDS, PERCENT = 4, 85
 DEPTH, BLOCK = 8, 256
 #: members of a large group that all of it is compared with first
 PIVOTS = 4
+#: ids (eight bytes each) that are broadcast to pick texts before they are exchanged; beyond, the exchange itself picks them
+LOOKUP = 500_000
 #: tokens in so many documents go last in the order; so many of them, the most frequent, are remembered (an order needs no more)
 HOT, HOT_KEPT = 24, 2_000_000
 #: token hashes below this share of their range are all counted (prefixes rarely reach past it);
@@ -321,7 +323,12 @@ def opened(docs: DataFrame, members: DataFrame, size: int, percent: int) -> Data
                 out = []
         yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    texts = map_small(_texts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL"), squeeze, "doc_id long, data binary")
+    members = cut(members)
+    texts = _texts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    ids = members.select("doc_id").distinct()
+    if members.count() <= LOOKUP:  # only the texts of members are moved then, and not found out after they were
+        texts = texts.join(F.broadcast(ids), "doc_id")
+    texts = map_small(texts, squeeze, "doc_id long, data binary")
     return texts.join(members, "doc_id").repartition(*UNIT).sortWithinPartitions(*UNIT, "doc_id").mapInPandas(trimmed(verify), "u long, v long")
 
 
