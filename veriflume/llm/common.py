@@ -177,6 +177,30 @@ def grouped(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.Data
         yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
 
 
+def grouped_arrays(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """grouped(), with each group as arrays by column: what many small groups need."""
+    held: list[dict[str, np.ndarray]] = []
+    last = None
+    put = lambda: {c: np.concatenate([h[c] for h in held]) for c in held[0]} if len(held) > 1 else held[0]
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        columns = {c: pdf[c].to_numpy() for c in pdf.columns}
+        change = np.zeros(len(pdf), bool)
+        for k in key:
+            change[1:] |= columns[k][1:] != columns[k][:-1]
+        starts = np.concatenate([[0], np.flatnonzero(change), [len(pdf)]]).tolist()
+        for a, b in zip(starts[:-1], starts[1:]):
+            now = tuple(columns[k][a] for k in key)
+            if held and now != last:
+                yield put()
+                held = []
+            held.append({c: v[a:b] for c, v in columns.items()})
+            last = now
+    if held:
+        yield put()
+
+
 def forest(adjacent: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a spanning forest (root, member) of a symmetric boolean matrix."""
     n = len(adjacent)

@@ -22,11 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, forest, grouped, small_batches, trimmed
+from .common import components, cut, forest, grouped_arrays, small_batches, trimmed
 
 COSINE, MISS, SIGMAS = 0.93, 0.02, 4
 #: vectors of the fit; iterations of it; vectors of a block; vectors wanted in an average bucket
-SAMPLE, ITERATIONS, BLOCK, BUCKET = 8_000, 30, 512, 32
+SAMPLE, ITERATIONS, BLOCK, BUCKET = 8_000, 30, 256, 32
 
 
 def learn(x: np.ndarray, seed: int) -> np.ndarray:
@@ -86,16 +86,16 @@ def _matrix(column, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
 
 
-def _fresh(pdf: pd.DataFrame) -> np.ndarray:
+def _fresh(unit: dict[str, np.ndarray]) -> np.ndarray:
     """Which pairs of a unit are its own to judge: those that share no bucket of an earlier table; across sides, if two blocks meet."""
-    keys, table = _matrix(pdf["keys"], "<i4"), pdf["table"].iat[0]
-    mine = np.ones((len(pdf), len(pdf)), bool)
-    for t in range(table):
-        mine &= keys[:, t][:, None] != keys[:, t][None, :]
-    np.fill_diagonal(mine, False)
-    if pdf["i"].iat[0] != pdf["j"].iat[0]:
-        side = pdf["block"].to_numpy()
-        mine &= side[:, None] != side[None, :]
+    n, table = len(unit["vec_id"]), int(unit["table"][0])
+    mine = ~np.eye(n, dtype=bool)
+    if table:
+        keys = _matrix(unit["keys"], "<i4")[:, :table]
+        for t in range(table):
+            mine &= keys[:, t][:, None] != keys[:, t][None, :]
+    if unit["i"][0] != unit["j"][0]:
+        mine &= unit["block"][:, None] != unit["block"][None, :]
     return mine
 
 
@@ -148,23 +148,33 @@ def links(vectors: DataFrame, wide: int, cosine: float = COSINE) -> tuple[DataFr
     n_tables = F.sequence(F.lit(0), (F.octet_length("keys") / 4).cast("int") - 1)
     spread = coded.select("*", F.explode(n_tables).alias("table")).withColumn("key", F.substring("keys", F.col("table") * 4 + 1, F.lit(4)))
 
+    columns = ["vec_id", "d", "label", "table", "key", "keys"]
+
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in grouped(batches, [*UNIT, "i", "j"]):
-            codes = _matrix(group["code"], "<u8")
-            d = int(group["d"].iat[0])
-            near = hamming(codes) <= radius_of(d * len(shared.value[d][2]), cosine)
-            near &= _fresh(group)
-            yield group.loc[near.any(1), ["vec_id", "d", "label", "table", "key", "keys"]]
+        out, held = [], 0
+        for unit in grouped_arrays(batches, [*UNIT, "i", "j"]):
+            d = int(unit["d"][0])
+            near = hamming(_matrix(unit["code"], "<u8")) <= radius_of(d * len(shared.value[d][2]), cosine)
+            if near.sum() > len(near):
+                some = np.flatnonzero((near & _fresh(unit)).any(1))
+                if len(some):
+                    out.append({c: unit[c][some] for c in columns})
+                    held += len(some)
+            if held > 20_000:
+                yield pd.DataFrame({c: np.concatenate([x[c] for x in out]) for c in columns})
+                out, held = [], 0
+        if out:
+            yield pd.DataFrame({c: np.concatenate([x[c] for x in out]) for c in columns})
 
     met = _dealt(spread).mapInPandas(trimmed(candidates), f"vec_id long, d int, {label}, table int, key binary, keys binary").distinct()
     opened = cut(met).join(vectors.select("vec_id", "embedding", "n"), "vec_id")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, edges = [], []
-        for group in grouped(batches, [*UNIT, "i", "j"]):
+        for group in grouped_arrays(batches, [*UNIT, "i", "j"]):
             x = unit(_matrix(group["embedding"], kind))[0]
-            ids, near = group["vec_id"].to_numpy(), (x @ x.T >= cosine) & _fresh(group)
-            n = near @ group["n"].to_numpy()
+            ids, near = group["vec_id"], (x @ x.T >= cosine) & _fresh(group)
+            n = near @ group["n"]
             hit = np.flatnonzero(n)
             counts += [(x, None, n) for x, n in zip(ids[hit].tolist(), n[hit].tolist())]
             edges += [(int(ids[a]), int(ids[b]), None) for a, b in forest(near)]
