@@ -24,7 +24,7 @@ CAPACITY = 2048
 #: pieces of one length are ranked in parts of about so many, or of more where that would make over MOST_PARTS parts
 PART, MOST_PARTS = 1024, 100_000
 #: bytes that a worker remembers of chunks of text, their ids and the bookkeeping of both; bytes of text split at once
-CACHE, STRIDE = 64_000_000, 1_000_000
+CACHE, STRIDE = 160_000_000, 1_000_000
 #: texts on which a tokenizer must agree with the split into chunks, else it gets whole texts
 PROBES = [
     "Plain words, and MORE of them.", "don't I'M we'll o'clock 'tis", "a.b,c;d e--f ... g?! (h) [i] {j}", "x_y 12,5 3.14 100% #tag @me", "Ünïcödé straße ΣΑΣ İstanbul ŉ ﬁ Ǆ", "tabs\tand\nlines\r\nand\x0bmore  spaces ",
