@@ -142,7 +142,6 @@ class Encoder:
             self._forget()
 
     def _forget(self) -> None:
-        self.words: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.known: dict[bytes, int] = {}
         self.held = self.count = self.filled = 0
@@ -169,11 +168,10 @@ class Encoder:
         return out
 
     def _fresh(self, chunks: list[str]) -> list[bytes]:
-        words, tails = self.words, self.tails
+        tails = self.tails
         parts = [(m[1].lower(), m[2]) if (m := LATIN(w)) else None for w in chunks]
-        low = list({p[0] for p in parts if p} - words.keys())
-        words.update(zip(low, self._words(low)))
-        self.held += sum(map(len, low)) + 260 * len(low)
+        low = list({p[0] for p in parts if p})
+        words = dict(zip(low, self._words(low)))
         marks = list({p[1] for p in parts if p} - tails.keys())
         tails.update(zip(marks, self._each(marks)))
         self.held += sum(map(len, marks)) + 260 * len(marks)
