@@ -60,7 +60,7 @@ def test_pushed_filters_reach_the_address(spark, tmp_path):
         cache.put(f"{BASE}/x.json?kind__in=a,b&limit={size}&offset=0", {"rows": [{"id": 1, "kind": "a"}], "page_meta": {"total_count": 1}})
     df = paged.paged(spark, f"{BASE}/x.json", "id int, kind string", "rows", {"kind": "kind"}, cache=str(tmp_path), offline=True)
     assert [tuple(r) for r in df.where(F.col("kind").isin("a", "b")).select("id", "kind").collect()] == [(1, "a")]
-    reader = paged.PagedReader(df.schema, {"key": "rows", "path": BASE, "push": "kind=kind"})
+    reader = paged.PushingReader(df.schema, {"key": "rows", "path": BASE, "push": "kind=kind"})
     other = paged.EqualTo(("id",), 1)
     assert list(reader.pushFilters([paged.EqualTo(("kind",), "a"), other, paged.IsNotNull(("kind",))])) == [other]
     assert reader.url(0, 5) == f"{BASE}?kind=a&kind__isnull=false&limit=5&offset=0"

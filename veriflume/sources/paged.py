@@ -120,19 +120,6 @@ class PagedReader(DataSourceReader):
         self.push = dict(x.split("=", 1) for x in options.get("push", "").split(",") if x)
         self.terms: list[tuple[str, str]] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Takes equality, IN and IS NOT NULL on the columns of `push` (column=parameter,..) into the address; all else Spark applies."""
-        for f in filters:
-            name = self.push.get(f.attribute[0]) if isinstance(f, (EqualTo, In, IsNotNull)) and len(f.attribute) == 1 else None
-            if name is None:
-                yield f
-            elif isinstance(f, EqualTo):
-                self.terms.append((name, str(f.value)))
-            elif isinstance(f, In):
-                self.terms.append((f"{name}__in", ",".join(map(str, f.value))))
-            else:
-                self.terms.append((f"{name}__isnull", "false"))
-
     def url(self, offset: int, size: int) -> str:
         base = self.options["path"]
         terms = urllib.parse.urlencode([*sorted(self.terms), ("limit", size), ("offset", offset)], safe=",")
@@ -156,6 +143,23 @@ class PagedReader(DataSourceReader):
                 return
 
 
+class PushingReader(PagedReader):
+    """With `push`; the session must allow pushdown (spark.sql.python.filterPushdown.enabled)."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes equality, IN and IS NOT NULL on the columns of `push` (column=parameter,..) into the address; all else Spark applies."""
+        for f in filters:
+            name = self.push.get(f.attribute[0]) if isinstance(f, (EqualTo, In, IsNotNull)) and len(f.attribute) == 1 else None
+            if name is None:
+                yield f
+            elif isinstance(f, EqualTo):
+                self.terms.append((name, str(f.value)))
+            elif isinstance(f, In):
+                self.terms.append((f"{name}__in", ",".join(map(str, f.value))))
+            else:
+                self.terms.append((f"{name}__isnull", "false"))
+
+
 def _value(x):
     return json.dumps(x) if isinstance(x, (dict, list)) else x
 
@@ -171,7 +175,7 @@ class PagedSource(DataSource):
         raise SourceError("give the schema with .schema(...)")
 
     def reader(self, schema) -> PagedReader:
-        return PagedReader(schema, self.options)
+        return (PushingReader if self.options.get("push") else PagedReader)(schema, self.options)
 
 
 def paged(spark: SparkSession, address: str, schema: str, key: str, push: dict[str, str] | None = None, limit: int = 8000, cache: str | None = None, offline: bool = False, page: int = PAGE, parallel: int = 1) -> DataFrame:
