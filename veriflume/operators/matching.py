@@ -13,7 +13,7 @@ from .similarity import every_pair
 # Per-pair and group tolerances of the matched properties.
 TOLERANCES = {"molecular_weight": 25.0, "logp": 1.0, "hbd": 1.0, "hba": 2.0, "rotatable_bonds": 2.0, "formal_charge": 0.0}
 GROUP_TOLERANCES = {**TOLERANCES, "formal_charge": 0.15}
-MAX_SIMILARITY, PER_ACTIVE = 0.25, 10
+MAX_SIMILARITY, PER_ACTIVE, STEPS = 0.25, 10, 100
 
 
 def tolerance_pairs(actives: DataFrame, candidates: DataFrame, tolerances: dict[str, float], bucket: str) -> DataFrame:
@@ -86,24 +86,29 @@ def property_gap(df: DataFrame, properties: list[str], label: str = "label") ->
 def balance(actives: DataFrame, decoys: DataFrame, tolerances: dict[str, float] = GROUP_TOLERANCES, min_keep: float = 0.6) -> DataFrame:
     """The decoys (id, properties) left after removing, one by one, whichever most reduces the worst gap over its tolerance.
 
-    A step is one pass: gaps without a row follow from sums and counts. Stops at 1, at the floor, or when no removal helps.
+    A step is one pass: gaps without a row follow from sums and counts, which are kept up to date on the driver. Stops at 1, at the
+    floor, or when no removal helps. Removed ids, which are what the driver gathers, are written off every STEPS steps.
     """
     names = [p for p, t in tolerances.items() if t > 0 and p in decoys.columns]
     mean = actives.agg(*[F.avg(p).alias(p) for p in names]).first()
-    kept = decoys
-    floor = max(2, int(min_keep * decoys.count()))
-    while True:
-        s = kept.agg(F.count("*").alias("n"), *[F.sum(F.col(p).cast("double")).alias(p) for p in names]).first()
-        if s["n"] <= floor:
-            return kept
-        worst = max(abs(mean[p] - s[p] / s["n"]) / tolerances[p] for p in names)
+    kept, gone = decoys, []
+    s = kept.agg(F.count("*").alias("n"), *[F.sum(F.col(p).cast("double")).alias(p) for p in names]).first()
+    n, total = s["n"], {p: s[p] for p in names}
+    floor = max(2, int(min_keep * n))
+    while n > floor:
+        worst = max(abs(mean[p] - total[p] / n) / tolerances[p] for p in names)
         if worst <= 1:
-            return kept
-        without = F.greatest(*[F.abs(F.lit(mean[p]) - (F.lit(s[p]) - F.col(p)) / (s["n"] - 1)) / tolerances[p] for p in names], F.lit(0.0))
-        best = kept.agg(F.min(F.struct(without.alias("e"), F.col("id").alias("id"))).alias("b")).first()["b"]
-        if not best["e"] < worst:
-            return kept
-        kept = kept.where(F.col("id") != best["id"])
+            break
+        without = F.greatest(*[F.abs(F.lit(mean[p]) - (F.lit(total[p]) - F.col(p)) / (n - 1)) / tolerances[p] for p in names], F.lit(0.0))
+        left = kept.where(~F.col("id").isin(gone)) if gone else kept
+        best = left.agg(F.min(F.struct(without.alias("e"), F.col("id").alias("id"), *[F.col(p).cast("double").alias(p) for p in names])).alias("b")).first()["b"]
+        if best is None or not best["e"] < worst:
+            break
+        gone.append(best["id"])
+        n, total = n - 1, {p: total[p] - best[p] for p in names}
+        if len(gone) == STEPS:
+            kept, gone = cut(kept.where(~F.col("id").isin(gone))), []
+    return kept.where(~F.col("id").isin(gone)) if gone else kept
 
 
 def match_quality(matched: DataFrame, actives: DataFrame, candidates: DataFrame, tolerances: dict[str, float], per_active: int, max_similarity: DataFrame | None = None, limit: float = MAX_SIMILARITY) -> DataFrame:

@@ -78,7 +78,7 @@ def enrichment_factor(df: DataFrame, fraction: float) -> DataFrame:
     n, a = sizes.first()
     n_top = max(1, round(fraction * n))
     expected = a * n_top / n if n else 0
-    top = df.orderBy("score", "seq").limit(n_top)  # a bounded top-k, not a sort of everything
+    top = ordered_by_score(df).where(F.col("position") <= n_top)  # places over ranges: a share of a large table is no bounded top-k
     ceiling = min(n_top, a) / expected if expected else None
     return top.agg(F.lit(n_top).cast("long").alias("n_top"), F.count_if(F.col("label") == 1).alias("hits"), F.try_divide(F.count_if(F.col("label") == 1).cast("double"), F.lit(expected)).alias("ef"), F.lit(ceiling).cast("double").alias("max_ef"))
 
