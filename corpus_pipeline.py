@@ -10,27 +10,40 @@ from veriflume.llm.queries import tokenizer_path
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go."""
+    """Documents that score as toxic go.
+
+    Null and empty texts are scored like any other; without labels of both classes, or without documents, all stay. Repeated rows
+    share a fate. All columns stay as they are, whatever their names; a text of any length is scored whole.
+    """
     return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go, and with them documents that consist of nothing else."""
+    """Later copies of repeated line runs go, and with them documents that consist of nothing else.
+
+    Null and empty texts stay; rows with one doc_id and one text are one document; a null doc_id comes first; n_chars follows.
+    """
     return line_dedup.dedup(docs, drop_emptied=True)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8."""
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8.
+
+    The smallest doc_id stays, with all its rows; documents without words and rows without a doc_id stay.
+    """
     return group_join.drop_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
+    """Documents with a window of a benchmark item go; null and empty texts stay, and an empty benchmark drops nothing."""
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents and their places in sequences of 2048 tokens."""
+    """Pieces of the remaining documents and their places in sequences of 2048 tokens.
+
+    A null or empty text is the end id alone; repeated rows are packed each for itself; an empty table gives no rows.
+    """
     return bin_slack.pack(docs, tokenizer_path())
 
 

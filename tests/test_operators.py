@@ -208,3 +208,42 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["rule"]: r["n"] for r in spark.table("attrition").collect()} == {"a": 2, "b": 1}
+
+
+def test_streams_beside_attrition(spark, tmp_path):
+    from veriflume.streaming import running
+
+    spark.createDataFrame([("a", 1, "2024-01-01 00:00:00"), ("a", 1, "2024-01-01 00:01:00"), ("b", 2, "2024-01-01 00:02:00"), ("b", 5, "2024-01-01 00:12:00")], "k string, v int, t string").selectExpr("k", "v", "CAST(t AS timestamp) AS t").write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("k string, v int, t timestamp").parquet(str(tmp_path / "in"))
+    for name, df, mode in (("seen", running.first_seen(stream(), "k", "t"), "append"), ("windows", running.windowed(stream(), "t", "v", "k"), "update")):
+        q = df.writeStream.outputMode(mode).format("memory").queryName(name).start()
+        q.processAllAvailable()
+        q.stop()
+    assert sorted(r["k"] for r in spark.table("seen").collect()) == ["a", "b"]
+    assert sorted((r["k"], r["n"], r["total"]) for r in spark.table("windows").collect()) == [("a", 2, 2), ("b", 1, 2), ("b", 1, 5)]
+    sink, one = running.pooled(str(tmp_path / "pool")), spark.createDataFrame([("s1", 1)], "signature string, v int")
+    sink(one, 0)
+    sink(one, 1)
+    assert spark.read.parquet(str(tmp_path / "pool")).count() == 2
+    with pytest.raises(ValueError):
+        sink(spark.createDataFrame([("s2", 1)], "signature string, v int"), 2)
+
+
+def test_rows_for_files(spark):
+    df = records_of(spark, {}, {"relation": ">"})
+    assert records.flatten_records(df).columns[:3] == ["activity_id", "compound_id", "target_id"]
+    points, rejected = curate.curate(df)
+    assert [tuple(r) for r in records.flatten_rejections(rejected).collect()] == [("ACT1", "C1", "T1", "censored_measurement", "relation '>' is a bound, not a value")]
+    r = records.labelled_points(points).first()
+    assert (r["pactivity_label"], r["origin"], r["spread_log_units"], r["activity_types"]) == ("7.000 [derived]", "derived", None, "IC50")
+    assert curate.in_order(points).count() == 1 and curate.potency(points, 8.0).count() == 0 == curate.potency(points, None, 6.0).count()
+
+
+def test_bounds_of_potency_and_citation(spark):
+    df = spark.createDataFrame([("a", 8.0), ("b", 5.5), ("c", 8.0), ("d", None)], "compound_id string, pactivity double")
+    assert sorted(r[0] for r in curate.potency(df, curate.ACTIVE_FROM).collect()) == ["a", "c"] and curate.potency(df, None, curate.DECOY_TO).count() == 1
+    assert [r[0] for r in curate.most_potent(df, 2).collect()] == ["a", "c"]
+    c = spark.range(1).select(units.citation(F.lit(""), F.lit("A1"), F.lit(None).cast("string")).alias("c")).first()["c"]
+    assert c == "unknown-activity / assay A1"
+    q = units.converted(records_of(spark, {}, {"unit": "%"}), keep_steps=True).select(units.as_quantity(F.lit("src")).alias("q")).collect()
+    assert q[0]["q"]["source"] == "src: -log10 of 1.000e-07 M" and q[0]["q"]["notes"] == ["type IC50", "from 100.0 nM"] and q[1]["q"]["value"] is None and q[1]["q"]["source"] == "src: unit '%' is no concentration"
