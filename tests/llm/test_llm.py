@@ -460,6 +460,35 @@ def test_language_odd_rows(spark):
     assert language_kernel.identify(docs.where("false")).count() == 0
 
 
+def test_language_kernel_against_dense_formulas():
+    """Overlaps, Nystroem columns and ridge solution against presence vectors written out."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abc " if i % 2 else "cde ") for _ in range(rng.randint(5, 60))) for i in range(40)]
+    langs = ["x" if i % 2 else "y" for i in range(40)]
+    codes = [language_kernel.grams(t) for t in texts]
+    have = np.unique(np.concatenate(codes))
+    dense = np.stack([np.isin(have, c) for c in codes]).astype(float)
+    unit = dense / np.linalg.norm(dense, axis=1, keepdims=True)
+    picked = language_kernel.pick(langs)[:12]
+    inverted = language_kernel.invert([codes[i] for i in picked])
+    overlap = np.stack([language_kernel.shared(c, inverted, len(picked)) for c in codes])
+    assert (overlap == dense @ dense[picked].T).all()
+    k_xl = unit @ unit[picked].T
+    names, weights = language_kernel.fit(k_xl, picked, langs)
+    w = np.diag(1 / np.array([langs.count(a) for a in langs]))
+    target = np.array([[1.0 if a == b else -1.0 for b in names] for a in langs])
+    want = np.linalg.solve(k_xl.T @ w @ k_xl + language_kernel.RIDGE * unit[picked] @ unit[picked].T + 1e-6 * np.eye(len(picked)), k_xl.T @ w @ target)
+    assert names == ["x", "y"] and np.allclose(weights, want)
+    words = "the cat sat"
+    assert len(language_kernel.grams(words)) == len({words[i : i + n] for n in (1, 2, 3, 4) for i in range(len(words) - n + 1)})
+
+
+def test_language_with_clashing_names(spark):
+    docs = clashing(spark, ["hello there friend", "guten tag mein freund", None]).selectExpr("*", "CASE doc_id WHEN 1 THEN 'de' ELSE 'en' END AS lang", "1 AS score", "'z' AS lang_pred", "'q' AS k")
+    got = language_kernel.identify(docs.unionByName(docs)).collect()
+    assert len(got) == 6 and {r["lang_pred"] for r in got if r["doc_id"] == 2} == {"und"}
+
+
 def test_language_of_megabyte_texts(spark):
     rng = random.Random(7)
     train = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
@@ -516,6 +545,25 @@ def test_join_against_brute_force(spark, monkeypatch, size, percent, hot, block)
     assert [got[i] for i in range(len(texts))] == brute_join(texts, size, percent)
 
 
+def test_join_of_megabyte_texts_and_clashing_names(spark):
+    text = " ".join(f"w{i % 90_001}" for i in range(250_000))
+    docs = clashing(spark, [text, text + " end", "short text of six words here", None]).selectExpr("*", "1 AS grp", "2 AS a", "'x' AS side", "7 AS component_id")
+    assert {r["doc_id"]: r["component_id"] for r in group_join.join(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+    out = group_join.drop_duplicates(docs)
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [0, 2, 3]
+
+
+def test_join_moves_all_texts_beyond_the_lookup(spark, monkeypatch):
+    rng = random.Random(8)
+    base = prose(rng, 80, 9999)
+    texts = [base + f" tail{i}" for i in range(6)] + [prose(rng, 40, 9999) for _ in range(6)]
+    want = brute_join(texts, 4, 85)
+    for limit in (0, 500_000):
+        monkeypatch.setattr(group_join, "LOOKUP", limit)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in group_join.join(docs_of(spark, texts)).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_join_of_a_large_family_is_not_quadratic(spark, monkeypatch):
     """Near copies of one text, in blocks of four: what is sent grows with the family, not with its square."""
     rng = random.Random(4)
@@ -662,6 +710,18 @@ def test_decontamination_against_brute_force(spark, limit):
     assert kept == {d for d in got if not got[d]["contaminated"]}
 
 
+def test_decontamination_of_megabyte_texts_in_parts(spark):
+    """A benchmark of some megabytes in several parts against one automaton, on long texts."""
+    rng = random.Random(12)
+    items = [(i, prose(rng, 60, 99_999)) for i in range(6_000)]
+    texts = [" ".join(w for i in range(k, 6_000, 37) for w in (items[i][1], prose(rng, 9, 99_999))) for k in range(3)] + [prose(rng, 200_000, 99_999), None]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_of(spark, texts)
+    one = sorted(decontaminate.scan(docs, bench).collect())
+    assert one == sorted(decontaminate.scan(docs, bench, limit=100_000).collect()) and [r["n_items"] for r in one[:3]] == [163, 163, 163]
+    assert decontaminate.scan(docs, bench.where("false")).where("n_hit > 0").count() == 0 == decontaminate.scan(docs.where("false"), bench).count()
+
+
 @pytest.mark.parametrize("limit", [2_000_000, 1])
 def test_decontamination_by_items_without_id(spark, tmp_path, limit):
     import duckdb
