@@ -766,7 +766,7 @@ def test_against_sql(spark, name):
 
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "embeddings", "labels"):
+    for t in ("documents", "pages", "benchmark", "embeddings", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     rel = con.sql(queries.ORACLES[name])
     want = sorted((tuple(map(str, (dict(zip(rel.columns, r))[c] for c in sorted(rel.columns)))) for r in rel.fetchall()))

@@ -79,3 +79,42 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d LEF
 """
 
 ORACLES |= {"op5_itq_dedup": ITQ_DEDUP, "op8_group_join": GROUP_JOIN}
+
+CHAT = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(t, r)),
+e AS (SELECT *, replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '|', '\p') AS r, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS t FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>' || r || chr(10) || t || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+FILTER_AUDIT = r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+f AS (SELECT text, min(doc_id) AS first FROM w GROUP BY text),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        CAST(len(ws) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT) + 4 * CAST(100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(text) AS INT)
+        + 8 * CAST(length(translate(text, '#$%&*|', '')) < length(text) AS INT) + 16 * CAST(coalesce(w.doc_id > first, false) AS INT) AS mask
+      FROM w JOIN f USING (text) LEFT JOIN l ON w.doc_id = l.doc_id),
+n AS (SELECT part, mask, count(*) AS n, sum(good) AS g, sum(toxic) AS t FROM m GROUP BY part, mask),
+b(x, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.x || b1.x || c.x || d.x || e.x AS filter_order FROM b a, b b1, b c, b d, b e WHERE len(list_distinct([a.x, b1.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, bit, (SELECT coalesce(sum(q.bit), 0) FROM b q WHERE position(q.x IN filter_order) < step) AS before
+      FROM o, range(1, 6) AS r(step), b WHERE b.x = substr(filter_order, CAST(step AS INT), 1)),
+p AS (SELECT part, filter_order, step, bit,
+        sum(CASE WHEN mask & CAST(before + bit AS BIGINT) = 0 THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN mask & bit > 0 AND mask & CAST(before AS BIGINT) = 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN mask & bit > 0 AND mask & CAST(before AS BIGINT) > 0 THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN mask & bit > 0 AND mask & CAST(before AS BIGINT) = 0 THEN g ELSE 0 END) AS good_lost,
+        sum(CASE WHEN mask & bit > 0 AND mask & CAST(before AS BIGINT) = 0 THEN t ELSE 0 END) AS toxic_lost
+      FROM n, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM p
+"""
+
+ORACLES |= {"op11_incremental_render": CHAT, "op12_filter_audit": FILTER_AUDIT}
