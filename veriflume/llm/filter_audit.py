@@ -23,8 +23,8 @@ from .common import shuffle_parts, trim
 
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
 ODD = b"#$%&*|"
-#: bytes of distinct texts that a map task remembers before it sends its chains
-CHAINS = 32 << 20
+#: bytes of distinct texts that a map task remembers before it sends its chains; bytes of text a reducer is meant to get
+CHAINS, SHARE = 32 << 20, 32 << 20
 
 #: failure conditions over (text, its UTF-8 bytes, its words), by letter
 Test = Callable[[str, bytes, list[bytes]], bool]
@@ -117,7 +117,8 @@ def masks(docs: DataFrame, part: str = "lang", tests: dict[str, Test] | None = N
         yield from final()
         trim()
 
-    n = shuffle_parts(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    n = max(shuffle_parts(docs.sparkSession), -(-size // SHARE))  # reducers grow with the input, whatever the setting says
     rows = docs.select("doc_id", F.col("text").cast("string"), F.col(part).cast("string")).rdd.map(tuple)
     return rows.mapPartitions(local).repartitionAndSortWithinPartitions(n, lambda h: h).mapPartitions(settle)
 
