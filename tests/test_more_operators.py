@@ -1,5 +1,6 @@
 """Backgrounds, matching, triage, models, generation and reports against loops and hand-made cases."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -129,13 +130,14 @@ def test_survivors(spark):
     assert "1 set aside without a strong feature, 1 as joined molecules, 2 left" in reports.triage(triage.triage_counts(t, s))
 
 
-def test_signature_in_parts(spark, monkeypatch):
-    df = spark.createDataFrame([(i, f"v{i}") for i in range(50)], "k long, v string")
-    one = triage.signature(df, "v", "k").first()["signature"]
-    monkeypatch.setattr(triage, "ROWS", 7)
-    two = triage.signature(df, "v", "k").first()["signature"]
-    assert one != two == triage.signature(df.repartition(3), "v", "k").first()["signature"] and len(two) == 16
-    assert triage.signature(df.where("k <> 8"), "v", "k").first()["signature"] != two
+def test_signature_of_any_size(spark, monkeypatch):
+    values = [(i, None if i == 9 else f"v{i % 7}") for i in range(50)]
+    want = hashlib.sha256("\n".join(v for _, v in values if v is not None).encode()).hexdigest()[:16]
+    df = spark.createDataFrame(values, "k long, v string")
+    for ranges in (32, 3):
+        monkeypatch.setattr(triage, "RANGES", ranges)
+        assert triage.signature(df, "v", "k").first()["signature"] == want == triage.signature(df.repartition(3), "v", "k").first()["signature"]
+    assert triage.signature(df.where("false"), "v", "k").first()["signature"] == hashlib.sha256().hexdigest()[:16]
 
 
 def training(spark, n=300):

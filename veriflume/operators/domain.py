@@ -9,16 +9,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import euclidean, nearest
+from ..session import cut
+from .knn import nearest
+from .quantiles import percentiles
 
 
 def knn_distance(rows: DataFrame, train: DataFrame, k: int = 5, exclude_self: bool = False) -> DataFrame:
     """(id, knn_distance): mean Euclidean distance to the k nearest training rows (fewer if there are fewer)."""
-    near = nearest(rows, train, k, euclidean, exclude_self=exclude_self)
+    near = nearest(rows, train, k, exclude_self=exclude_self)
     return near.select("id", (F.aggregate("near.d", F.lit(0.0), lambda s, x: s + x) / F.size("near")).alias("knn_distance"))
 
 def knn_threshold(train: DataFrame, k: int = 5, percentile: float = 0.95) -> DataFrame:
-    return knn_distance(train, train, k, True).agg(F.percentile("knn_distance", F.lit(percentile)).alias("knn_threshold"))
+    """One row: the percentile of the training rows' mean distances to their k nearest other ones."""
+    return percentiles(cut(knn_distance(train, train, k, True)), ["knn_distance"], [percentile]).select(F.get("values", F.lit(0)).alias("knn_threshold"))
 
 
 def gram(train: DataFrame) -> np.ndarray:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .quantiles import percentiles
 
 
 def running_total(df: DataFrame, order: list, amount: Column | None = None, out: str = "before") -> DataFrame:
@@ -94,20 +95,6 @@ def bedroc(df: DataFrame, alpha: float = 20.0) -> DataFrame:
     return s.select(F.when((F.col("a") > 0) & (F.col("a") < F.col("n")), value).alias("bedroc"))
 
 
-def resampled(df: DataFrame, resamples: int, seed: int = 0, order: str = "seq") -> DataFrame:
-    """df's rows with rep and times: how often each is drawn in each resample with replacement.
-
-    Draw j of resample b is row hash(seed, b, j) mod n. Draws are counted per (resample, row) before rows are joined to them.
-    """
-    rows = running_total(df, [order], out="ix")
-    n = df.count()
-    if n < 3:
-        raise ValueError("a bootstrap needs three rows at least")
-    rep, j = F.floor(F.col("id") / n).cast("long"), F.col("id") % n
-    draws = df.sparkSession.range(resamples * n).select(rep.alias("rep"), F.pmod(counter_hash(F.lit(str(seed)), rep.cast("string"), j.cast("string")), F.lit(n)).cast("long").alias("ix"))
-    return draws.groupBy("rep", "ix").agg(F.count("*").alias("times")).join(rows, "ix")
-
-
 def _bounds(values: DataFrame, resamples: int, confidence: float, strict: bool, *by: str) -> DataFrame:
     """(by, low, high, defined) of values (v); undefined resamples are skipped, and with fewer than half defined there are no bounds."""
     tail = (1 - confidence) / 2
@@ -122,8 +109,11 @@ def _bounds(values: DataFrame, resamples: int, confidence: float, strict: bool,
 def bootstrap(df: DataFrame, metric: Column, resamples: int = 1000, seed: int = 0, confidence: float = 0.95, order: str = "seq", strict: bool = False) -> DataFrame:
     """estimate, low, high of a weighted metric over resamples with replacement. metric: a Column over the rows and `times`.
 
-    Undefined resamples are skipped; fewer than half defined gives NULL bounds, or an error if strict.
+    Undefined resamples are skipped; fewer than half defined gives NULL bounds, or an error if strict. Any metric will do, at the price of a
+    row for each row and resample inside Spark; evaluate() and analyse_enrichment() exchange states instead.
     """
+    from .bootstrap import resampled
+
     values = resampled(df, resamples, seed, order).groupBy("rep").agg(metric.alias("v"))
     whole = df.withColumn("times", F.lit(1)).agg(metric.alias("estimate"))
     return whole.crossJoin(_bounds(values, resamples, confidence, strict)).select("estimate", "low", "high", "defined")  # 1 x 1 rows
@@ -136,24 +126,65 @@ def weighted_ranks(drawn: DataFrame, value: str, out: str) -> DataFrame:
     return drawn.join(per.withColumn(out, before + (F.col("__n") + 1) / F.lit(2.0)).drop("__n"), ["rep", value])
 
 
+#: of sums over a resample: what each metric is made of
+PARTS = {"__y": lambda y, p: y, "__yy": lambda y, p: y * y, "__m": lambda y, p: (y - p) * (y - p), "__a": lambda y, p: F.abs(y - p)}
+
+
 def evaluate(df: DataFrame, resamples: int = 1000, seed: int = 0, truth: str = "y", predicted: str = "p", order: str = "seq", confidence: float = 0.95) -> DataFrame:
-    """(metric, estimate, low, high, defined) of r2, rmse, mae and spearman, all over the same resamples."""
-    drawn = resampled(df.select(order, F.col(truth).cast("double").alias("y"), F.col(predicted).cast("double").alias("p")), resamples, seed, order)
-    drawn = cut(drawn)
-    t, miss = F.col("times"), F.col("y") - F.col("p")
-    plain = {"r2": weighted_r2(), "rmse": F.sqrt(F.sum(t * miss * miss) / F.sum(t)), "mae": F.sum(t * F.abs(miss)) / F.sum(t)}
-    a, b = F.col("__a"), F.col("__b")
-    n, sa, sb = F.sum(t), F.sum(t * a), F.sum(t * b)
-    spread = lambda s, x: F.sum(t * x * x) - s * s / n
-    rho = F.when((spread(sa, a) > 1e-9) & (spread(sb, b) > 1e-9), (F.sum(t * a * b) - sa * sb / n) / F.sqrt(spread(sa, a) * spread(sb, b)))
+    """(metric, estimate, low, high, defined) of r2, rmse, mae and spearman, all over the same resamples.
 
-    def measured(rows: DataFrame) -> DataFrame:
-        one = rows.groupBy("rep").agg(*[m.alias(k) for k, m in plain.items()])
-        two = weighted_ranks(weighted_ranks(rows, "y", "__a"), "p", "__b").groupBy("rep").agg(rho.alias("spearman"))
-        return one.join(two, "rep").unpivot(["rep"], [*plain, "spearman"], "metric", "v")
+    The first three exchange sums, a row for each resample and chunk of rows. Ranks need the drawn rows of each resample in order.
+    """
+    from .bootstrap import bounds, resampled, sums
+
+    rows = df.select(order, F.col(truth).cast("double").alias("y"), F.col(predicted).cast("double").alias("p"))
+    parts = rows.withColumns({c: f(F.col("y"), F.col("p")) for c, f in PARTS.items()})
+    got = sums(parts, list(PARTS), resamples, seed, order).toPandas()  # a row a resample
+    spread = got["__yy"] - got["__y"] ** 2 / got["n"]
+    got["r2"] = (1 - got["__m"] / spread).where(spread > 1e-12 * got["__yy"].abs().clip(lower=1e-300))
+    got["rmse"], got["mae"] = (got["__m"] / got["n"]) ** 0.5, got["__a"] / got["n"]
+    a, b, t = F.col("__a"), F.col("__b"), F.col("times")
+    n, sa, sb = F.sum(t), F.sum(t * a), F.sum(t * b)
+    wide = lambda s, x: F.sum(t * x * x) - s * s / n
+    rho = F.when((wide(sa, a) > 1e-9) & (wide(sb, b) > 1e-9), (F.sum(t * a * b) - sa * sb / n) / F.sqrt(wide(sa, a) * wide(sb, b)))
+    once = rows.withColumns({"rep": F.lit(-1).cast("long"), "times": F.lit(1).cast("long")})
+    drawn = cut(resampled(rows, resamples, seed, order).unionByName(once))
+    ranked = weighted_ranks(weighted_ranks(drawn, "y", "__a"), "p", "__b").groupBy("rep").agg(rho.alias("spearman")).toPandas()
+    out = []
+    for name, values in (*((m, got[["rep", m]]) for m in ("r2", "rmse", "mae")), ("spearman", ranked)):
+        whole, each = values.loc[values["rep"] < 0, name], values.loc[values["rep"] >= 0, name]
+        known = lambda x: None if x is None or x != x else float(x)
+        out.append((name, known(whole.iat[0]), *bounds(each.tolist(), resamples, confidence)))
+    return df.sparkSession.createDataFrame(out, "metric string, estimate double, low double, high double, defined long")
+
+
+def analyse_enrichment(df: DataFrame, resamples: int = 2000, seed: int = 0, alpha: float = 20.0, confidence: float = 0.95, gap_warning: str = "", width: float = 0.30, target: float = 0.20) -> DataFrame:
+    """One row of what a screen (seq, label, score) says: n_actives, n_decoys, auc, auc_low, auc_high, ef1, ef5, bedroc, max_ef1, verdict,
+    compounds_needed for an interval of width target (NULL if it is narrower already), gap_warning.
+
+    Places in the ranking are taken once; enrichment factors and BEDROC are sums over them, and the bootstrap draws chunks of it.
+    With one class, what needs two is NULL and the verdict is 'inconclusive'.
+    """
+    from .bootstrap import areas, bounds
+
+    placed = ordered_by_score(df.select("seq", "label", "score"))
+    size = df.agg(F.count("*").alias("n"), F.coalesce(F.count_if(F.col("label") == 1), F.lit(0)).alias("a"), F.coalesce(F.count_if(F.col("label") == 0), F.lit(0)).alias("d")).first()
+    n, a, d = size
+    active = F.col("label") == 1
+    top = {f: max(1, round(f * n)) for f in (0.01, 0.05)}
+    got = placed.agg(*[F.count_if(active & (F.col("position") <= k)).alias(f"h{k}") for k in dict.fromkeys(top.values())], F.sum(F.when(active, F.exp(-alpha * F.col("position") / n)).otherwise(0.0)).alias("s")).first() if n else None
+    ef = {f: got[f"h{k}"] / (a * k / n) if a else None for f, k in top.items()} if n else dict.fromkeys(top)
+    estimate = auc(df).first()["auc"]
+    low = high = bedroc_ = None
+    if a and d:
+        r = a / n
+        bedroc_ = got["s"] / (r * (1 - math.exp(-alpha)) / math.expm1(alpha / n)) * r * math.sinh(alpha / 2) / (math.cosh(alpha / 2) - math.cosh(alpha / 2 - alpha * r)) + 1 / (1 - math.exp(alpha * (1 - r)))
+        low, high, _ = bounds([x["auc"] for x in areas(df, resamples, seed).collect()], resamples, confidence)  # a number a resample
+    says = "inconclusive" if low is None else "separates" if low > 0.5 else "does not separate" if high - low <= width else "inconclusive"
+    needed = math.ceil(min(a, d) * ((high - low) / target) ** 2) if low is not None and high - low > target and min(a, d) else None
+    row = (a, d, estimate, low, high, ef[0.01], ef[0.05], bedroc_, min(top[0.01], a) / (a * top[0.01] / n) if a else None, says, needed, gap_warning)
+    return df.sparkSession.createDataFrame([row], "n_actives long, n_decoys long, auc double, auc_low double, auc_high double, ef1 double, ef5 double, bedroc double, max_ef1 double, verdict string, compounds_needed long, gap_warning string")
 
-    whole = measured(df.select(F.lit(0).cast("long").alias("rep"), F.lit(1).cast("long").alias("times"), F.col(truth).cast("double").alias("y"), F.col(predicted).cast("double").alias("p")))
-    return whole.select("metric", F.col("v").alias("estimate")).join(_bounds(measured(drawn), resamples, confidence, False, "metric"), "metric")
 
 def weighted_r2(truth: str = "y", predicted: str = "p") -> Column:
     t, y, miss = F.col("times"), F.col(truth), F.col(truth) - F.col(predicted)
@@ -164,27 +195,35 @@ def weighted_r2(truth: str = "y", predicted: str = "p") -> Column:
 
 def binned_r2(df: DataFrame, feature: str, target: str, bins: int = 10) -> DataFrame:
     """Share of the target's variance explained by quantile bins of one feature, 0 at least and where bins collapse."""
-    edges = df.agg(F.count_distinct(feature).alias("d"), F.array_distinct(F.percentile(feature, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("e"))
-    inner = F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0)))
-    binned = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter(inner, lambda x: x <= F.col(feature))))  # edges: one row
-    per = binned.groupBy("bin", F.size("e").alias("k")).agg(F.count("*").alias("n"), F.sum(target).alias("s"), F.sum(F.col(target) * F.col(target)).alias("ss"))
-    whole = per.agg(F.max("k").alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.col("ss") - F.col("s") * F.col("s") / F.col("n")).alias("within"))
+    return binned_r2s(df, [feature], target, bins).select("binned_r2")
+
+
+def binned_r2s(df: DataFrame, features: list[str], target: str, bins: int = 10) -> DataFrame:
+    """(feature, binned_r2) of many features together: their edges by one selection, their bins in one pass.
+
+    A bin is a group of few sums, so only a row for each feature and bin meets in the end.
+    """
+    df = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("__y"))
+    edges = percentiles(df, features, [i / bins for i in range(bins + 1)])
+    inner = {r["column"]: sorted(set(r["values"]))[1:-1] if r["n"] else [] for r in edges.collect()}  # a row a feature
+    place = lambda f: F.size(F.filter(F.lit(inner[f]).cast("array<double>"), lambda x: x <= F.col(f)))
+    long = df.select("__y", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), place(f).alias("bin")) for f in features])).alias("x")).select("__y", "x.*")
+    per = long.groupBy("feature", "bin").agg(F.count("*").alias("n"), F.sum("__y").alias("s"), F.sum(F.col("__y") * F.col("__y")).alias("ss"))
+    whole = per.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.col("ss") - F.col("s") * F.col("s") / F.col("n")).alias("within"))
     total = F.col("ss") - F.col("s") * F.col("s") / F.col("n")
-    return whole.select(F.when((F.col("k") < 3) | (total <= 0), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("within") / total)).alias("binned_r2"))
+    flat = F.col("feature").isin([f for f in features if not inner[f]])  # under three edges
+    return whole.select("feature", F.when(flat | (total <= 0), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("within") / total)).alias("binned_r2"))
 
 
 def leakage_screen(df: DataFrame, features: list[str], target: str, max_correlation: float = 0.95, max_binned: float = 0.9, bins: int = 10) -> DataFrame:
-    """(feature, correlation, binned_r2, leaks) of features that vary."""
-    out = None
-    stats = df.agg(*[F.corr(f, target).alias(f"c_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
-    for f in features:
-        if not stats[f"s_{f}"]:
-            continue
-        r = stats[f"c_{f}"]
-        one = binned_r2(df, f, target, bins).select(F.lit(f).alias("feature"), F.lit(r).cast("double").alias("correlation"), "binned_r2")
-        one = one.withColumn("leaks", (F.abs("correlation") >= max_correlation) | (F.col("binned_r2") >= max_binned))
-        out = one if out is None else out.unionByName(one)
-    return df.sparkSession.createDataFrame([], "feature string, correlation double, binned_r2 double, leaks boolean") if out is None else out
+    """(feature, correlation, binned_r2, leaks) of features that vary, all of them in the same few passes."""
+    stats = df.agg(*[F.corr(f, target).alias(f"c_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first() if features else None
+    vary = [f for f in features if stats[f"s_{f}"]]
+    if not vary:
+        return df.sparkSession.createDataFrame([], "feature string, correlation double, binned_r2 double, leaks boolean")
+    r = df.sparkSession.createDataFrame([(f, stats[f"c_{f}"]) for f in vary], "feature string, correlation double")
+    out = binned_r2s(df, vary, target, bins).join(F.broadcast(r), "feature").select("feature", "correlation", "binned_r2")  # a row a feature
+    return out.withColumn("leaks", F.coalesce(F.abs("correlation") >= max_correlation, F.lit(False)) | (F.col("binned_r2") >= max_binned))
 
 
 def verdict(low: Column, high: Column, width: float = 0.30) -> Column:

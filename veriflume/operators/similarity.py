@@ -1,18 +1,20 @@
 """Tanimoto similarity of packed fingerprints, nearest neighbours and diverse subsets.
 
-Thresholded joins are equi-joins: with a and b set bits, similarity t needs t*a <= b <= a/t, so each left row meets only the
-right rows of those bit counts. Searches for the nearest compare block with block in numpy. The full matrix, whose size is that
-of its result, visits a right side dealt to blocks; one under a checked size is broadcast instead.
+Thresholded joins and searches for the nearest go by an inverted index over the rarest set bits (bitindex), over distinct
+fingerprints. The full matrix, whose size is that of its result, visits a right side dealt to blocks; one under a checked size is
+broadcast instead. Fingerprints are (id, word, bits), word being one 64-bit number or an array of them.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import blocks
+from . import bitindex
 
 #: rows of a right side that may be broadcast
 BROADCAST_ROWS = 100_000
@@ -43,20 +45,18 @@ def matrix(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def nearest(left: DataFrame, right: DataFrame, exclude_self: bool = False) -> DataFrame:
     """(id, ref, similarity): the most similar reference, the lowest id on ties; -1 and no reference without a fingerprint or a reference."""
-    packed = lambda df: df.select("id", F.array("word").alias("features")).where("features[0] IS NOT NULL")
-    best = blocks.nearest(packed(left), packed(right), 1, lambda x, y: -blocks.tanimoto(x.astype(np.int64).view(np.uint64), y.astype(np.int64).view(np.uint64)), exclude_self=exclude_self)
-    best = best.select("id", F.get("near", F.lit(0))["ref"].alias("ref"), (-F.get("near", F.lit(0))["d"]).alias("similarity"))
+    mine, refs = bitindex.packed(left), bitindex.packed(right)
+    if not exclude_self:
+        refs = bitindex.distinct_words(refs)  # copies answer by their lowest id
+    best = bitindex.nearest(mine, refs, exclude_self)
     return left.select("id").join(best, "id", "left").withColumn("similarity", F.coalesce("similarity", F.lit(-1.0)))
 
+
 def similar_pairs(fp: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) with a < b and similarity >= threshold, by equi-joins on the number of set bits."""
+    """(a, b, similarity) with a < b and similarity >= threshold; empty and missing fingerprints are in no pair."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    a = fp.where("bits > 0").select(F.col("id").alias("a"), F.col("word").alias("wa"), F.col("bits").alias("na"))
-    b = fp.where("bits > 0").select(F.col("id").alias("b"), F.col("word").alias("wb"), F.col("bits").alias("nb"))
-    reach = F.sequence(F.ceil(F.col("na") * threshold - 1e-9).cast("long"), F.least(F.floor(F.col("na") / threshold + 1e-9).cast("long"), F.lit(64).cast("long")))
-    pairs = a.withColumn("nb", F.explode(reach)).join(b, "nb").where("a < b")
-    return pairs.select("a", "b", tanimoto(F.col("wa"), F.col("wb"), F.col("na"), F.col("nb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    return bitindex.similar(bitindex.packed(fp), threshold)
 
 
 def novelty(nearest_: DataFrame, known: DataFrame, exact_key: str = "word", threshold: float = 0.85) -> DataFrame:
@@ -74,28 +74,55 @@ def mark_known(df: DataFrame, known: DataFrame, key: str = "key") -> DataFrame:
     return df.join(keys, key, "left").withColumn("is_known", F.coalesce("__k", F.lit(False))).drop("__k")
 
 
-def diverse_subset(fp: DataFrame, threshold: float, max_rounds: int = 1000) -> DataFrame:
-    """(id): kept in id order iff no kept smaller id is as similar as threshold; rows without a fingerprint are skipped."""
-    return first_independent(fp.where("word IS NOT NULL").select("id"), similar_pairs(fp, threshold).select("a", "b"), max_rounds)
+def diverse_subset(fp: DataFrame, threshold: float) -> DataFrame:
+    """(id): kept in id order iff no kept smaller id is as similar as threshold; rows without a fingerprint are skipped.
+
+    Copies go first: of equal fingerprints only the lowest id can be kept, unless they are empty, which are like nothing.
+    """
+    rows = bitindex.packed(fp)
+    empty = ~F.exists("words", lambda w: w != 0)
+    one = cut(bitindex.distinct_words(rows.where(~empty)).select("id", "words"))
+    kept = first_independent(one.select("id"), bitindex.similar(one, threshold).select("a", "b"))
+    return kept.unionByName(rows.where(empty).select("id"))
 
 
-def first_independent(ids: DataFrame, pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+#: edges that one task settles at once
+CELL = 500_000
+
+
+def first_independent(ids: DataFrame, pairs: DataFrame, cell: int = CELL) -> DataFrame:
     """The lexicographically first maximal independent set of (id) under edges (a, b), a < b.
 
-    Decided in rounds: a row is kept once all its smaller neighbours are out, and out once one of them is kept. Only edges
-    and undecided ids move.
+    Vertices are dealt to cells of consecutive ids with about `cell` edges into them. A cell's task goes through its edges in order and
+    decides every vertex whose smaller neighbours are decided or in the cell and decided before it; what hangs on another
+    cell waits for the next round, whose cells are dealt anew over what is left. The first cell is always decided whole, so every
+    round ends more than it began, and what fits into one cell ends in it: a chain of any length up to `cell` edges takes one round. A
+    task streams its edges and holds a state a vertex of its cell.
     """
-    edges = cut(pairs)
-    touched = edges.select(F.col("b").alias("id")).distinct()
-    kept, live = ids.join(touched, "id", "left_anti"), edges
-    for _ in range(max_rounds):
-        out = live.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        rest = cut(live.join(out.withColumnRenamed("id", "b"), "b", "left_anti").join(out.withColumnRenamed("id", "a"), "a", "left_anti"))
-        undecided = touched.join(out, "id", "left_anti").join(kept, "id", "left_anti")
-        ready = undecided.join(rest.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
-        touched, live = cut(undecided.join(ready, "id", "left_anti")), rest
-        kept = cut(kept.unionByName(ready))
-        if touched.isEmpty():
-            return kept
-    raise RuntimeError("the subset did not settle")
-
+    kind = ids.schema["id"].dataType.simpleString()
+    live, out = cut(pairs.select("a", "b").where("a < b").distinct()), None
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: dict = {}  # of this cell's vertices: 1 kept, 0 out, -1 waits for another cell
+        now, found = None, set()
+        said = lambda: 0 if 1 in found else -1 if -1 in found else 1
+        for pdf in batches:
+            for a, b, root in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["root"].tolist()):
+                if b != now:
+                    if now is not None:
+                        state[now] = said()
+                    now, found = b, set()
+                found.add(1 if root else state.get(a, -1))
+        if now is not None:
+            state[now] = said()
+        yield pd.DataFrame({"id": list(state), "s": list(state.values())}, dtype=object)
+
+    while n := live.count():
+        waiting = live.select(F.col("b").alias("a"), F.lit(True).alias("waits")).distinct()
+        edges = live.join(waiting, "a", "left").select("a", "b", F.col("waits").isNull().alias("root"))  # a root is known to be kept
+        edges = edges.repartitionByRange(max(1, -(-n // cell)), "b").sortWithinPartitions("b", "a")
+        known = cut(edges.mapInPandas(settle, f"id {kind}, s int").where("s >= 0"))
+        lost = known.where("s = 0").select("id")
+        out = lost if out is None else out.unionByName(lost)
+        live = cut(live.join(known.select(F.col("id").alias("b")), "b", "left_anti").join(lost.withColumnRenamed("id", "a"), "a", "left_anti").select("a", "b"))
+    return ids if out is None else ids.join(out, "id", "left_anti")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import euclidean, nearest
+from .knn import nearest
 
 MIN_LIGAND_ATOMS, BLIND_EDGE, MIN_EDGE, PLANAR = 8, 30.0, 12.0, 2.0
 #: names of residues of proteins (fixed values)
@@ -202,7 +202,7 @@ def rmsd(a: DataFrame, b: DataFrame, on: str = "ix") -> DataFrame:
 def nearest_rmsd(reference: DataFrame, points: DataFrame) -> DataFrame:
     """Deviation of each reference point from its nearest point, in whatever order."""
     at = lambda df: df.select(F.col("ix").alias("id"), F.array(*[F.col(c).cast("double") for c in "xyz"]).alias("features"))
-    near = nearest(at(reference), at(points), 1, euclidean)
+    near = nearest(at(reference), at(points), 1)
     return near.select(F.get("near", F.lit(0))["d"].alias("d")).agg(F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmsd"))
 
 def within(points: DataFrame, centre: tuple[float, float, float], radius: float) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .quantiles import percentiles
 from .ranking import running_total
 
 METHOD_ERROR = 2.5
-#: values hashed at once by signature()
-ROWS = 1_000_000
+#: least number of ranges that signature() streams
+RANGES = 32
 
 
 def _flagged(df: DataFrame) -> DataFrame:
@@ -19,10 +23,13 @@ def _flagged(df: DataFrame) -> DataFrame:
     return out.withColumn("withheld", F.col("n_distinguishable") == 0).withColumn("kept", F.when(F.col("n_distinguishable") == 0, F.col("assessed")).otherwise(F.col("passing")))
 
 
+def _percentile(df: DataFrame, column: str, p: float) -> float | None:
+    return percentiles(df, [column], [p]).first()["values"][0]
+
+
 def by_score(candidates: DataFrame, reference: DataFrame, percentile: float = 0.5, error: float = METHOD_ERROR) -> DataFrame:
     """candidates (best_score) with threshold, assessed, passing, distinguishable, withheld, kept; nothing is ranked."""
-    threshold = reference.agg(F.percentile("best_score", F.lit(percentile)).alias("threshold"))
-    df = candidates.crossJoin(F.broadcast(threshold))  # one row
+    df = candidates.withColumn("threshold", F.lit(_percentile(reference, "best_score", percentile)).cast("double"))
     s = F.col("best_score")
     df = df.withColumn("assessed", s.isNotNull()).withColumn("passing", F.coalesce(s <= F.col("threshold"), F.lit(False)))
     return _flagged(df.withColumn("distinguishable", F.col("passing") & (F.abs(s - F.col("threshold")) > error)))
@@ -30,8 +37,7 @@ def by_score(candidates: DataFrame, reference: DataFrame, percentile: float = 0.
 
 def by_efficiency(candidates: DataFrame, reference: DataFrame, error: float = METHOD_ERROR) -> DataFrame:
     """The same on ligand efficiency against the reference median; a margin counts times the candidate's heavy atoms."""
-    threshold = reference.agg(F.percentile("ligand_efficiency", F.lit(0.5)).alias("threshold"))
-    df = candidates.crossJoin(F.broadcast(threshold))  # one row
+    df = candidates.withColumn("threshold", F.lit(_percentile(reference, "ligand_efficiency", 0.5)).cast("double"))
     e = F.col("ligand_efficiency")
     df = df.withColumn("assessed", e.isNotNull()).withColumn("passing", F.coalesce(e <= F.col("threshold"), F.lit(False)))
     far = F.coalesce(F.abs(e - F.col("threshold")) * F.col("heavy_atoms") > error, F.lit(False))
@@ -79,25 +85,32 @@ def pool_problems(shards: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if got[f"n_{c}"] > 1]
 
 def signature(df: DataFrame, value: str, order: str) -> DataFrame:
-    """First 16 hex digits of a sha256 that stands for the values in order: that of the newline-joined values of a table of up to ROWS rows.
+    """First 16 hex digits of the sha256 of the newline-joined values in order, of a table of any size.
 
-    A larger table's signature is that of its parts' signatures: parts of ROWS rows in order, so that no task holds more than one.
+    A sha256 is sequential: its state is carried through the ordered ranges, one after the other, on the driver, which holds the rows
+    of a range at a time and nothing of what it has passed. NULL values are left out.
     """
-    placed = running_total(df.select(F.col(order).alias("__o"), F.col(value).cast("string").alias("__v")), ["__o"], out="__i").withColumn("__part", F.floor(F.col("__i") / ROWS))
-    hashed = lambda rows, o, v: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(o, v))), lambda x: x[v]), "\n"), 256)
-    parts = placed.groupBy("__part").agg(hashed(placed, "__i", "__v").alias("__s"))
-    whole = parts.agg(F.count("*").alias("n"), F.max("__s").alias("one"), hashed(parts, "__part", "__s").alias("many"))
-    return whole.select(F.substring(F.when(F.col("n") == 1, F.col("one")).when(F.col("n") == 0, F.sha2(F.lit(""), 256)).otherwise(F.col("many")), 1, 16).alias("signature"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.col(order).alias("__o"), F.col(value).cast("string").alias("__v")).where("__v IS NOT NULL")
+    ordered = cut(rows.repartitionByRange(max(n, RANGES), "__o", "__v").sortWithinPartitions("__o", "__v")).orderBy("__o", "__v")
+    state, first = hashlib.sha256(), True
+    for row in ordered.select("__v").toLocalIterator(prefetchPartitions=True):
+        state.update(row["__v"].encode() if first else b"\n" + row["__v"].encode())
+        first = False
+    return df.sparkSession.createDataFrame([(state.hexdigest()[:16],)], "signature string")
+
 
 def five_numbers(df: DataFrame, value: str, by: str) -> DataFrame:
-    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return df.groupBy(by).agg(F.count(value).alias("n"), q.alias("q")).select(by, "n", *[F.col("q")[i].alias(name) for i, name in enumerate(("low", "q1", "median", "q3", "high"))])
+    """(by, n, low, q1, median, q3, high) of each arm's known values, by selection; arms are few."""
+    q = percentiles(df, [value], [0.0, 0.25, 0.5, 0.75, 1.0], by)
+    return q.select(by, "n", *[F.col("values")[i].alias(name) for i, name in enumerate(("low", "q1", "median", "q3", "high"))])
 
 
 def median_shift(df: DataFrame, value: str, by: str, to: str, since: str) -> DataFrame:
     """(to, since, shift): how much the median of one arm lies above that of another; NULL if either is empty."""
-    m = lambda arm: F.percentile(F.when(F.col(by) == arm, F.col(value)), F.lit(0.5))
-    return df.agg((m(to) - m(since)).alias("shift")).select(F.lit(to).alias("to"), F.lit(since).alias("since"), "shift")
+    m = {r[by]: r["values"][0] for r in percentiles(df.where(F.col(by).isin(to, since)), [value], [0.5], by).collect()}
+    a, b = m.get(to), m.get(since)
+    return df.sparkSession.createDataFrame([(to, since, None if a is None or b is None else a - b)], "to string, since string, shift double")
 
 
 def pass_rates(df: DataFrame, value: str, by: str, thresholds: DataFrame) -> DataFrame:

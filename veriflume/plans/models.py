@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import modelling, ranking
 from ..operators.ranking import regression_metrics
+from ..operators.bootstrap import times_sql
 from .bridge import SCORED_CTE, scored, table
 from .registry import query
 
@@ -120,14 +121,14 @@ def baseline_findings(spark, d):
     return table(spark, d, "events").groupBy(F.array_join(f, ";").alias("findings")).agg(F.count("*").alias("n"))
 
 
-DRAWN = f"{SCORED_CTE}, dr AS (SELECT b::INT AS rep, (('0x' || substr(md5('0:' || b || ':' || j), 1, 8))::BIGINT % (SELECT count(*) FROM scored))::INT AS ix FROM range(40) t(b), range((SELECT count(*) FROM scored)) u(j)), s AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS ix FROM scored), x AS (SELECT rep, label::DOUBLE AS y, score / 100 AS p FROM dr JOIN s USING (ix) UNION ALL SELECT -1, label, score / 100 FROM scored), r AS (SELECT *, rank() OVER (PARTITION BY rep ORDER BY y) + (count(*) OVER (PARTITION BY rep, y) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY rep ORDER BY p) + (count(*) OVER (PARTITION BY rep, p) - 1) / 2.0::DOUBLE AS b FROM x), v AS (SELECT rep, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2, sqrt(avg((y - p) ** 2)) AS rmse, avg(abs(y - p)) AS mae, corr(a, b) AS spearman FROM r GROUP BY rep), l AS (UNPIVOT v ON r2, rmse, mae, spearman INTO NAME metric VALUE v)"
+DRAWN = f"{SCORED_CTE}, {times_sql('scored', 1000)}, s AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS ix FROM scored), x AS (SELECT rep, label::DOUBLE AS y, score / 100 AS p FROM drawn JOIN s USING (ix) UNION ALL SELECT -1, label, score / 100 FROM scored), r AS (SELECT *, rank() OVER (PARTITION BY rep ORDER BY y) + (count(*) OVER (PARTITION BY rep, y) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY rep ORDER BY p) + (count(*) OVER (PARTITION BY rep, p) - 1) / 2.0::DOUBLE AS b FROM x), v AS (SELECT rep, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2, sqrt(avg((y - p) ** 2)) AS rmse, avg(abs(y - p)) AS mae, corr(a, b) AS spearman FROM r GROUP BY rep), l AS (UNPIVOT v ON r2, rmse, mae, spearman INTO NAME metric VALUE v)"
 
 
 @query(f"WITH {DRAWN} SELECT metric, round(any_value(v) FILTER (WHERE rep < 0), 5) AS estimate, round(quantile_cont(v, 0.025) FILTER (WHERE rep >= 0), 5) AS low, round(quantile_cont(v, 0.975) FILTER (WHERE rep >= 0), 5) AS high FROM l GROUP BY 1")
 def evaluation(spark, d):
-    """Intervals of every metric over forty resamples of a screen's labels and scores."""
+    """Intervals of every metric over a thousand resamples of a screen's labels and scores."""
     df = scored(spark, d).select("seq", F.col("label").cast("double").alias("y"), (F.col("score") / 100).alias("p"))
-    return ranking.evaluate(df, 40).select("metric", *[F.round(c, 5).alias(c) for c in ("estimate", "low", "high")])
+    return ranking.evaluate(df).select("metric", *[F.round(c, 5).alias(c) for c in ("estimate", "low", "high")])
 
 
 SPLITS = "SELECT (event_id % 97) / 100.0::DOUBLE AS la, (event_id % 97) / 100.0::DOUBLE + (event_id % 31) / 100.0::DOUBLE AS ha, (event_id % 89) / 100.0::DOUBLE AS lb, (event_id % 89) / 100.0::DOUBLE + (event_id % 29) / 100.0::DOUBLE AS hb FROM events"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import background, modelling, ranking, screening, triage
+from ..operators.bootstrap import times_sql
 from .bridge import REGRESSION_CTE, SCORED_CTE, regression, scored, table
 from .registry import query
 
@@ -30,10 +31,10 @@ def mean_baseline(spark, d):
     return modelling.mean_baseline(r.where("id % 5 <> 0"), r.where("id % 5 = 0")).select("n", *[F.round(c, 6).alias(c) for c in ("r2", "rmse", "label_spread")])
 
 
-@query(f"WITH {SCORED_CTE}, d AS (SELECT b::INT AS rep, (('0x' || substr(md5('0:' || b || ':' || j), 1, 8))::BIGINT % (SELECT count(*) FROM scored))::INT AS ix FROM range(40) t(b), range((SELECT count(*) FROM scored)) u(j)), s AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS ix FROM scored), x AS (SELECT rep, label::DOUBLE AS y, score / 100 AS p FROM d JOIN s USING (ix)), v AS (SELECT rep, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS v FROM x GROUP BY rep), w AS (SELECT label::DOUBLE AS y, score / 100 AS p FROM scored) SELECT (SELECT round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) FROM w) AS estimate, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(*) AS defined FROM v")
+@query(f"WITH {SCORED_CTE}, {times_sql('scored', 1000)}, s AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS ix FROM scored), x AS (SELECT rep, label::DOUBLE AS y, score / 100 AS p FROM drawn JOIN s USING (ix)), v AS (SELECT rep, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS v FROM x GROUP BY rep), w AS (SELECT label::DOUBLE AS y, score / 100 AS p FROM scored) SELECT (SELECT round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) FROM w) AS estimate, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(*) AS defined FROM v")
 def bootstrap_r2(spark, d):
     df = scored(spark, d).select("seq", F.col("label").cast("double").alias("y"), (F.col("score") / 100).alias("p"))
-    return ranking.bootstrap(df, ranking.weighted_r2(), 40).select(*[F.round(c, 6).alias(c) for c in ("estimate", "low", "high")], "defined")
+    return ranking.bootstrap(df, ranking.weighted_r2()).select(*[F.round(c, 6).alias(c) for c in ("estimate", "low", "high")], "defined")
 
 
 @query(f"WITH {REGRESSION_CTE}, e AS (SELECT list_sort(list_distinct(quantile_cont(f, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM reg), b AS (SELECT y, len(list_filter(list_slice(e, 2, len(e) - 1), lambda x: x <= f)) AS bin FROM reg, e), g AS (SELECT count(*) AS n, sum(y) AS s, sum(y * y) AS ss FROM b GROUP BY bin) SELECT round(greatest(0, 1 - sum(ss - s * s / n) / (sum(ss) - sum(s) * sum(s) / sum(n))), 6) AS binned_r2 FROM g")
@@ -73,6 +74,25 @@ def bedroc(spark, d):
     return ranking.bedroc(scored(spark, d)).select(F.round("bedroc", 6).alias("bedroc"))
 
 
+SCREENED = f"""WITH {SCORED_CTE}, {times_sql('scored', 2000)}, s AS (SELECT *, row_number() OVER (ORDER BY score, seq) - 1 AS ix, row_number() OVER (ORDER BY score, seq) AS pos, count(*) OVER () AS n, sum(label) OVER () AS a FROM scored),
+x AS (SELECT rep, label, score FROM drawn JOIN s USING (ix) UNION ALL SELECT -1, label, score FROM scored), g AS (SELECT rep, score, count(*) FILTER (WHERE label = 1) AS a, count(*) FILTER (WHERE label = 0) AS d FROM x GROUP BY rep, score),
+u AS (SELECT rep, sum(d * (below + a / 2.0::DOUBLE)) / nullif(sum(a) * sum(d), 0) AS auc FROM (SELECT *, coalesce(sum(a) OVER (PARTITION BY rep ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) GROUP BY rep),
+i AS (SELECT any_value(auc) FILTER (WHERE rep < 0) AS auc, quantile_cont(auc, 0.025) FILTER (WHERE rep >= 0) AS low, quantile_cont(auc, 0.975) FILTER (WHERE rep >= 0) AS high FROM u),
+t AS (SELECT any_value(n)::DOUBLE AS n, any_value(a)::DOUBLE AS a, any_value(greatest(1, round_even(0.01 * n, 0))) AS k1, any_value(greatest(1, round_even(0.05 * n, 0))) AS k5, count(*) FILTER (WHERE label = 1 AND pos <= greatest(1, round_even(0.01 * n, 0))) AS h1, count(*) FILTER (WHERE label = 1 AND pos <= greatest(1, round_even(0.05 * n, 0))) AS h5, sum(CASE WHEN label = 1 THEN exp(-20.0::DOUBLE * pos / n) ELSE 0 END) AS s FROM s),
+b AS (SELECT *, a / n AS q FROM t)
+SELECT a::BIGINT AS n_actives, (n - a)::BIGINT AS n_decoys, round(auc, 6) AS auc, round(low, 6) AS auc_low, round(high, 6) AS auc_high, round(h1 / (a * k1 / n), 6) AS ef1, round(h5 / (a * k5 / n), 6) AS ef5,
+  round(s / (q * (1 - exp(-20.0::DOUBLE)) / (exp(20.0::DOUBLE / n) - 1)) * q * sinh(10.0::DOUBLE) / (cosh(10.0::DOUBLE) - cosh(10.0::DOUBLE - 20 * q)) + 1 / (1 - exp(20 * (1 - q))), 6) AS bedroc, round(least(k1, a) / (a * k1 / n), 6) AS max_ef1,
+  CASE WHEN low > 0.5 THEN 'separates' WHEN high - low <= 0.3 THEN 'does not separate' ELSE 'inconclusive' END AS verdict, CASE WHEN high - low > 0.2 THEN ceil(least(a, n - a) * pow((high - low) / 0.2, 2))::BIGINT END AS compounds_needed
+FROM b, i"""
+
+
+@query(SCREENED)
+def analyse_enrichment(spark, d):
+    """One row of what a screen says: 2,000 resamples of its area, both enrichment factors, BEDROC and the verdict."""
+    out = ranking.analyse_enrichment(scored(spark, d)).drop("gap_warning")
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes])
+
+
 INTERVALS = "SELECT event_id, (event_id % 97) / 100.0::DOUBLE AS low, (event_id % 97) / 100.0::DOUBLE + (event_id % 31 + 10) / 100.0::DOUBLE AS high FROM events"
 
 
