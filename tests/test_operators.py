@@ -1,5 +1,6 @@
 """Properties and hand-computed cases of the library's operators."""
 
+import hashlib
 import random
 
 import pytest
@@ -97,6 +98,79 @@ def test_split_is_disjoint_and_covers(spark):
         split.scaffold_split(df.where("scaffold = 'a'"))
 
 
+def one_by_one(sizes, test, validation, balanced=True):
+    """The sides of groups in order, each decided by itself; None where a side cannot be filled."""
+    n = sum(sizes)
+    quota = {"test": test * n, "validation": validation * n, "train": (1 - test - validation) * n}
+    live, filled, out = [p for p in quota if quota[p] > 0], dict.fromkeys(quota, 0), []
+    for s in sizes:
+        if balanced:
+            side = max(live, key=lambda p: (quota[p] - filled[p], -quota[p], p))
+        else:
+            side = next((p for p in ("test", "validation") if quota[p] and filled[p] < quota[p]), "train")
+        filled[side] += s
+        out.append(side)
+    for side in live:
+        if not filled[side] and quota[side] >= 1:
+            donor = max((p for p in live if p != side), key=out.count)
+            if out.count(donor) < 2:
+                return None
+            i = min((i for i, p in enumerate(out) if p == donor), key=lambda i: abs(sizes[i] - quota[side]))
+            filled[side], filled[donor], out[i] = sizes[i], filled[donor] - sizes[i], side
+    return out if filled["test"] and filled["train"] else None
+
+
+def test_runs_of_groups_are_arithmetic():
+    rng = random.Random(9)
+    for _ in range(400):
+        test, validation, balanced = rng.choice([0.1, 0.2, 0.5]), rng.choice([0.0, 0.1, 0.3]), rng.random() < 0.8
+        runs = sorted({rng.randint(1, 30): rng.randint(1, 60) for _ in range(rng.randint(1, 6))}.items(), reverse=True)
+        sizes = [s for s, m in runs for _ in range(m)]
+        state, got = split.Filling(split._quotas(sum(sizes), test, validation), balanced), []
+        plan = [x for s, m in runs for x in state.run(s, m)]
+        for many, turns in plan:
+            got += [turns[i % len(turns)] for i in range(many)]
+        again = split.Filling(split._quotas(sum(sizes), test, validation), balanced)
+        want = []
+        for s in sizes:
+            want.append(again.next())
+            again.put(want[-1], s)
+        assert got == want and (state.filled, state.groups) == (again.filled, again.groups)
+        assert len(plan) <= 8 * len(runs)
+
+
+@pytest.mark.parametrize("seed", [None, 7])
+def test_scaffold_split_against_a_loop(spark, monkeypatch, seed):
+    monkeypatch.setattr(split, "BLOCK", 6)
+    rng, key = random.Random(2), lambda g: hashlib.sha256(f"{seed}:{g}".encode()).hexdigest()[:16]
+    for sizes, test, validation, balanced in (([40, 25, 20, 15], 0.25, 0.0, True), ([rng.randint(1, 9) for _ in range(25)] + [1] * 20, 0.2, 0.1, True), ([50, 1, 1], 0.2, 0.2, True), ([3] * 14, 0.3, 0.3, False)):
+        groups = {f"g{i:02d}": s for i, s in enumerate(sizes)}
+        rows = [(g, i) for g, s in groups.items() for i in range(s)]
+        df = spark.createDataFrame([(k, g) for k, (g, _) in enumerate(rows)] + [(9000 + i, "") for i in range(4)] + [(9999, None)], "ix long, scaffold string")
+        groups |= {f"<acyclic:{9000 + i}>": 1 for i in range(4)}
+        order = sorted(groups, key=(lambda g: (-groups[g], g)) if seed is None else key)
+        want = one_by_one([groups[g] for g in order], test, validation, balanced)
+        if want is None:
+            with pytest.raises(split.SplitError):
+                split.scaffold_split(df, test, validation, seed, balanced)
+            continue
+        side = dict(zip(order, want))
+        got = split.scaffold_split(df, test, validation, seed, balanced).collect()
+        assert {r["ix"]: r["partition"] for r in got} == {r["ix"]: side[r["scaffold"] or f"<acyclic:{r['ix']}>"] for r in got} and len(got) == len(rows) + 4
+        if seed and validation == 0:
+            for repeat in range(3):
+                seeded = sorted(groups, key=lambda g: hashlib.sha256(f"{4 + repeat}:{g}".encode()).hexdigest()[:16])
+                side = dict(zip(seeded, one_by_one([groups[g] for g in seeded], test, 0.0)))
+                rows_ = split.repeated(df, 3, test, 4).where(f"repeat = {repeat}").collect()
+                assert all(r["partition"] == side[r["scaffold"] or f"<acyclic:{r['ix']}>"] for r in rows_) and len(rows_) == len(got)
+
+
+def test_scaffold_split_of_many_singletons(spark):
+    df = spark.range(30_000).selectExpr("id AS ix", "IF(id % 3 = 0, concat('s', id % 600), '') AS scaffold")
+    got = dict(split.scaffold_split(df, 0.2).groupBy("partition").count().collect())
+    assert got == {"train": 24_000, "test": 6_000}
+
+
 def test_diverse_subset_against_a_loop(spark):
     words = [random.Random(i).getrandbits(20) | random.Random(i // 3).getrandbits(20) for i in range(60)]
     df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id long, word long").withColumn("bits", F.bit_count("word").cast("long"))

@@ -116,12 +116,12 @@ def scaffold_split(spark, d):
     return split.scaffold_split(_parts(spark, d)).select("ix", "partition")
 
 
-SEEDED = " UNION ALL ".join(f"SELECT *, {k} AS repeat FROM ({_split_sql(f'substr(sha256({chr(39)}{k}:{chr(39)} || grp), 1, 16)')})" for k in range(3))
+SEEDED = " UNION ALL ".join(f"SELECT *, {k} AS repeat FROM ({_split_sql(f'substr(sha256({chr(39)}{k}:{chr(39)} || grp), 1, 16)')})" for k in range(5))
 
 
 @query(SEEDED)
 def repeated_splits(spark, d):
-    return split.repeated(_parts(spark, d), 3).select("ix", "partition", "repeat")
+    return split.repeated(_parts(spark, d), 5).select("ix", "partition", "repeat")
 
 
 @query(_split_sql("substr(sha256('7:' || grp), 1, 16)"))
