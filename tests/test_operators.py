@@ -182,22 +182,73 @@ def test_diverse_subset_against_a_loop(spark):
     assert sorted(r["id"] for r in similarity.diverse_subset(df, 0.7).collect()) == kept
 
 
-def test_greedy_match_against_a_loop(spark):
-    rng = random.Random(3)
-    pairs = [(a, c, round(rng.random(), 2)) for a in range(8) for c in range(20) if rng.random() < 0.4]
-    taken, want = set(), []
-    for a in range(8):
-        mine = sorted((d, c) for x, c, d in pairs if x == a and c not in taken)[:2]
+def match_one_by_one(pairs, k):
+    taken, out = set(), []
+    for a in sorted({p[0] for p in pairs}):
+        mine = sorted((d, c) for x, c, d in pairs if x == a and c not in taken)[:k]
         taken |= {c for _, c in mine}
-        want += [(a, c) for _, c in mine]
-    got = matching.greedy_match(spark.createDataFrame(pairs, "active long, candidate long, distance double"), 2)
-    assert sorted((r["active"], r["candidate"]) for r in got.collect()) == sorted(want)
+        out += [(a, c) for _, c in mine]
+    return sorted(out)
+
+
+PAIRS = "active long, candidate long, distance double"
+
+
+@pytest.mark.parametrize("cell", [500_000, 30, 5])
+def test_greedy_match_against_a_loop(spark, cell):
+    rng = random.Random(3)
+    pairs = [(a, c, round(rng.random(), 1)) for a in range(12) for c in range(30) if rng.random() < 0.3]
+    pairs += [(a, 5, 0.05) for a in range(20, 60)]  # many want one candidate
+    got = matching.greedy_match(spark.createDataFrame(pairs, PAIRS), 2, cell)
+    assert sorted((r["active"], r["candidate"]) for r in got.collect()) == match_one_by_one(pairs, 2)
+    assert matching.greedy_match(spark.createDataFrame([], PAIRS)).count() == 0
+
+
+def test_greedy_match_of_a_long_chain(spark):
+    """Each active's second choice is the first one of the next: everything hangs on the first."""
+    n = 5_000
+    pairs = [(a, a, 0.1) for a in range(n)] + [(a, a + 1, 0.2) for a in range(n)]
+    got = matching.greedy_match(spark.createDataFrame(pairs, PAIRS), 1)
+    assert got.count() == n and got.where("active = candidate").count() == n
+    got = matching.greedy_match(spark.createDataFrame([(a, c - 1 if c > a else c, d) for a, c, d in pairs if a] + [(0, 0, 0.1)], PAIRS), 1, 2_000)
+    assert sorted((r["active"], r["candidate"]) for r in got.collect()) == match_one_by_one([(a, c - 1 if c > a else c, d) for a, c, d in pairs if a] + [(0, 0, 0.1)], 1)
+
+
+def balance_one_by_one(actives, decoys, tolerances, min_keep=0.6):
+    mean = {p: sum(r[p] for r in actives) / len(actives) for p in tolerances}
+    left = list(decoys)
+    floor = max(2, int(min_keep * len(left)))
+    worst = lambda rows: max(abs(mean[p] - sum(r[p] or 0.0 for r in rows) / len(rows)) / t for p, t in tolerances.items())
+    while len(left) > floor and worst(left) > 1:
+        total = {p: sum(r[p] or 0.0 for r in left) for p in tolerances}
+        e = {r["id"]: max(abs(mean[p] - (total[p] - r[p]) / (len(left) - 1)) / t for p, t in tolerances.items() if r[p] is not None) for r in left}
+        best = min((round(v, 12), i) for i, v in e.items())
+        if not best[0] < worst(left):
+            break
+        left = [r for r in left if r["id"] != best[1]]
+    return sorted(r["id"] for r in left)
+
+
+@pytest.mark.parametrize("frontier", [500, 20, 2])
+def test_balance_against_a_loop(spark, frontier):
+    rng = random.Random(6)
+    row = lambda i, m: {"id": i, "logp": round(rng.gauss(m, 1), 3), "mw": round(rng.gauss(300 + 30 * m, 40), 1)}
+    actives, decoys = [row(i, 0) for i in range(30)], [row(i, 0.9) for i in range(90)]
+    schema, tolerances = "id long, logp double, mw double", {"logp": 0.5, "mw": 8.0}
+    make = lambda rows: spark.createDataFrame([(r["id"], r["logp"], r["mw"]) for r in rows], schema)
+    passes = []
+    got = sorted(r["id"] for r in matching.balance(make(actives), make(decoys), tolerances, frontier=frontier, passes=passes).collect())
+    assert got == balance_one_by_one(actives, decoys, tolerances) and 54 <= len(got) < 80
+    assert len(passes) <= {500: 1, 20: 6, 2: 60}[frontier], passes
+    decoys[3]["logp"] = None
+    assert sorted(r["id"] for r in matching.balance(make(actives), make(decoys), tolerances, frontier=frontier).collect()) == balance_one_by_one(actives, decoys, tolerances)
 
 
 def test_balance(spark):
     actives = spark.createDataFrame([(i, 10.0) for i in range(5)], "id long, logp double")
     decoys = spark.createDataFrame([(i, 10.0 if i < 6 else 20.0) for i in range(10)], "id long, logp double")
-    assert sorted(r["id"] for r in matching.balance(actives, decoys, {"logp": 0.5}).collect()) == [0, 1, 2, 3, 4, 5]
+    passes = []
+    assert sorted(r["id"] for r in matching.balance(actives, decoys, {"logp": 0.5}, passes=passes).collect()) == [0, 1, 2, 3, 4, 5] and passes == ["frontier"]
 
 
 def test_background_turns_and_interleave(spark):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -13,7 +16,9 @@ from .similarity import every_pair
 # Per-pair and group tolerances of the matched properties.
 TOLERANCES = {"molecular_weight": 25.0, "logp": 1.0, "hbd": 1.0, "hba": 2.0, "rotatable_bonds": 2.0, "formal_charge": 0.0}
 GROUP_TOLERANCES = {**TOLERANCES, "formal_charge": 0.15}
-MAX_SIMILARITY, PER_ACTIVE, STEPS = 0.25, 10, 100
+MAX_SIMILARITY, PER_ACTIVE = 0.25, 10
+#: pairs that one task settles at once; rows fetched at each end of a property
+CELL, FRONTIER = 500_000, 500
 
 
 def tolerance_pairs(actives: DataFrame, candidates: DataFrame, tolerances: dict[str, float], bucket: str) -> DataFrame:
@@ -50,26 +55,59 @@ def drop_similar(pairs: DataFrame, max_similarity: DataFrame, limit: float = MAX
     return pairs.join(max_similarity.where(F.col("similarity") > limit).select("candidate"), "candidate", "left_anti")
 
 
-def greedy_match(pairs: DataFrame, per_active: int = PER_ACTIVE, max_rounds: int = 10_000) -> DataFrame:
+def greedy_match(pairs: DataFrame, per_active: int = PER_ACTIVE, cell: int = CELL) -> DataFrame:
     """(active, candidate, distance): actives in order take their closest free candidates, ties to the lowest id.
 
-    Decided in rounds without a sequential pass: an active proposes its `per_active` best free candidates; one that every
-    proposed candidate hears from no smaller undecided active is settled, and what it takes leaves the pool.
+    Actives are dealt to cells of consecutive ids with about `cell` pairs. A cell's task goes through its actives in order; one is settled
+    once all it takes is free beyond doubt: no smaller active of another cell still wants it, and no unsettled one before it in the
+    cell. What is settled leaves, with the candidates that it takes, and the rest is dealt anew. The first cell is always settled
+    whole, and what fits into one cell ends in it, so a chain of any length up to `cell` pairs takes one round. A task streams its
+    pairs in order and holds the candidates of its cell that are taken or in doubt.
     """
-    rows = cut(pairs)
-    settled = None
-    for _ in range(max_rounds):
-        rank = Window.partitionBy("active").orderBy("distance", "candidate")
-        wants = rows.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= per_active)
-        # a smaller active that can still reach a candidate may take it first
-        first = rows.groupBy("candidate").agg(F.min("active").alias("first"))
-        state = wants.join(first, "candidate").groupBy("active").agg(F.bool_and(F.col("first") == F.col("active")).alias("sure"))
-        done = cut(wants.join(state.where("sure").select("active"), "active").select("active", "candidate", "distance"))
-        settled = done if settled is None else settled.unionByName(done)
-        rows = cut(rows.join(done.select("active").distinct(), "active", "left_anti").join(done.select("candidate"), "candidate", "left_anti").select("active", "candidate", "distance"))
-        if rows.isEmpty():
-            return settled
-    raise RuntimeError("matching did not settle")
+    kinds = {c: pairs.schema[c].dataType.simpleString() for c in ("active", "candidate")}
+    rows, settled = cut(pairs.select("active", "candidate", F.col("distance").cast("double").alias("distance"))), None
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken, doubt, now, mine, first = set(), set(), None, [], None
+
+        def close() -> list[tuple]:
+            got, sure = [], True
+            for candidate, distance, wanted in mine:
+                if len(got) == per_active:
+                    break
+                if candidate in taken:
+                    continue
+                sure = sure and candidate not in doubt and not wanted < first
+                got.append((now, candidate, distance))
+            if sure:
+                taken.update(c for _, c, _ in got)
+                return got or [(now, None, None)]
+            doubt.update(c for c, _, _ in mine)  # it may take any of them
+            return []
+
+        for pdf in batches:
+            out = []
+            for active, candidate, distance, wanted in zip(pdf["active"].tolist(), pdf["candidate"].tolist(), pdf["distance"].tolist(), pdf["wanted"].tolist()):
+                if active != now:
+                    if now is not None:
+                        out += close()
+                    first = active if first is None else first
+                    now, mine = active, []
+                mine.append((candidate, distance, wanted))
+            yield frame(out)
+        if now is not None:
+            yield frame(close())
+
+    frame = lambda out: pd.DataFrame(out, columns=["active", "candidate", "distance"], dtype=object)
+    while n := rows.count():
+        # `wanted`: the smallest active that may still take a candidate
+        asked = rows.join(rows.groupBy("candidate").agg(F.min("active").alias("wanted")), "candidate")
+        dealt = asked.select("active", "candidate", "distance", "wanted").repartitionByRange(max(1, -(-n // cell)), "active").sortWithinPartitions("active", "distance", "candidate")
+        done = cut(dealt.mapInPandas(settle, f"active {kinds['active']}, candidate {kinds['candidate']}, distance double"))
+        got = done.where("candidate IS NOT NULL")
+        settled = got if settled is None else settled.unionByName(got)
+        rows = cut(rows.join(done.select("active").distinct(), "active", "left_anti").join(got.select("candidate"), "candidate", "left_anti"))
+    return rows if settled is None else settled
 
 
 def shared_properties(a: DataFrame, b: DataFrame) -> list[str]:
@@ -83,34 +121,93 @@ def property_gap(df: DataFrame, properties: list[str], label: str = "label") ->
     per = long.groupBy("property").agg((F.avg(F.when(F.col(label) == 1, F.col("v"))) - F.avg(F.when(F.col(label) == 0, F.col("v")))).alias("gap"), F.max("t").alias("__t"))
     return per.select("property", "gap", F.coalesce(F.abs("gap") > F.col("__t"), F.lit(False)).alias("concerning"))
 
-def balance(actives: DataFrame, decoys: DataFrame, tolerances: dict[str, float] = GROUP_TOLERANCES, min_keep: float = 0.6) -> DataFrame:
+def balance(actives: DataFrame, decoys: DataFrame, tolerances: dict[str, float] = GROUP_TOLERANCES, min_keep: float = 0.6, frontier: int = FRONTIER, passes: list | None = None) -> DataFrame:
     """The decoys (id, properties) left after removing, one by one, whichever most reduces the worst gap over its tolerance.
 
-    A step is one pass: gaps without a row follow from sums and counts, which are kept up to date on the driver. Stops at 1, at the
-    floor, or when no removal helps. Removed ids, which are what the driver gathers, are written off every STEPS steps.
+    A pass fetches the rows that are extreme in some direction, `frontier` of each: both ends of every property, and, as the best removal
+    often helps two properties a little, the sums of two in the direction of their gaps. The worst gap is no smaller than a mean of gaps,
+    so what a direction holds beyond the fetched rows bounds how much any other row could help. While the best of the fetched rows beats
+    that bound it is the best of all, and removals follow each other without another pass; where it is not beaten, a pass over all rows finds
+    the next one. Gaps without a row follow from sums and counts. Stops at 1, at the floor, or when no removal helps; ties go to the
+    lowest id. Removed ids, a frontier at a time, are written off. passes, if given, gets an entry for each pass.
     """
     names = [p for p, t in tolerances.items() if t > 0 and p in decoys.columns]
+    if not names:
+        return decoys
     mean = actives.agg(*[F.avg(p).alias(p) for p in names]).first()
-    kept, gone = decoys, []
-    s = kept.agg(F.count("*").alias("n"), *[F.sum(F.col(p).cast("double")).alias(p) for p in names]).first()
-    n, total = s["n"], {p: s[p] for p in names}
+    kept = decoys
+    rows = lambda: kept.select("id", *[F.col(p).cast("double").alias(p) for p in names])
+    s = rows().agg(F.count("*").alias("n"), *[F.sum(p).alias(p) for p in names], *[F.count(p).alias(f"k_{p}") for p in names]).first()
+    n, total, whole = s["n"], {p: s[p] for p in names}, [p for p in names if s[f"k_{p}"] == s["n"]]
     floor = max(2, int(min_keep * n))
-    while n > floor:
-        worst = max(abs(mean[p] - total[p] / n) / tolerances[p] for p in names)
-        if worst <= 1:
+    known = [p for p in names if total[p] is not None and mean[p] is not None]
+    off = lambda p, t, m: (mean[p] - t / m) / tolerances[p]
+    worst = lambda: max((abs(off(p, total[p], n)) for p in known), default=0.0)
+    seen: dict = {}
+    gone: list = []
+    ways: list = []
+
+    def error(row) -> float:
+        return max((abs(off(p, total[p] - row[p], n - 1)) for p in known if row[p] is not None), default=0.0)
+
+    def beyond() -> float:
+        """No row that was not fetched leaves a smaller worst gap than this."""
+        return max((sum(c * (mean[p] - total[p] / (n - 1)) for p, c in way.items()) + end / (n - 1) for way, end in ways if set(way) <= set(whole)), default=0.0)
+
+    while n > floor and worst() > 1:
+        if not seen:
+            if gone:
+                kept, gone = cut(kept.where(~F.col("id").isin(gone))), []
+            if passes is not None:
+                passes.append("frontier")
+            sign = {p: 1.0 if off(p, total[p], n) > 0 else -1.0 for p in known}
+            one = [{p: s / tolerances[p]} for p in known for s in (1.0, -1.0)]
+            two = [{p: sign[p] / 2 / tolerances[p], q: sign[q] / 2 / tolerances[q]} for i, p in enumerate(known) for q in known[i + 1 :]]
+            fetched, ways = _extremes(rows(), one + two, frontier)
+            seen, all_in = {r["id"]: r for r in fetched}, n <= len({r["id"] for r in fetched})
+        e, who = min((error(r), i) for i, r in seen.items())
+        if not all_in and not e < beyond():
+            if gone:
+                kept, gone = cut(kept.where(~F.col("id").isin(gone))), []
+            if passes is not None:
+                passes.append("whole")
+            without = F.greatest(*[F.abs(F.lit(mean[p]) - (F.lit(total[p]) - F.col(p)) / (n - 1)) / tolerances[p] for p in known], F.lit(0.0))
+            row = rows().agg(F.min(F.struct(without.alias("e"), F.col("id").alias("id"), *names)).alias("b")).first()["b"]
+            e, who = row["e"], row["id"]
+            seen = {}  # what was fetched does not reach far enough any more
+        else:
+            row = seen.pop(who)
+        if not e < worst():
             break
-        without = F.greatest(*[F.abs(F.lit(mean[p]) - (F.lit(total[p]) - F.col(p)) / (n - 1)) / tolerances[p] for p in names], F.lit(0.0))
-        left = kept.where(~F.col("id").isin(gone)) if gone else kept
-        best = left.agg(F.min(F.struct(without.alias("e"), F.col("id").alias("id"), *[F.col(p).cast("double").alias(p) for p in names])).alias("b")).first()["b"]
-        if best is None or not best["e"] < worst:
-            break
-        gone.append(best["id"])
-        n, total = n - 1, {p: total[p] - best[p] for p in names}
-        if len(gone) == STEPS:
-            kept, gone = cut(kept.where(~F.col("id").isin(gone))), []
+        gone.append(who)
+        n, total = n - 1, {p: total[p] - (row[p] or 0.0) if p in known else total[p] for p in names}
     return kept.where(~F.col("id").isin(gone)) if gone else kept
 
 
+def _extremes(rows: DataFrame, ways: list[dict[str, float]], many: int) -> tuple[list, list[tuple[dict[str, float], float]]]:
+    """(rows, [(way, end)]): the `many` rows with the smallest sum of coefficient x property in each way, and the largest of these sums.
+
+    Tasks send their own extremes on, so what meets is bounded by tasks, ways and many. Rows without one of a way's properties are not in it.
+    """
+    names = [c for c in rows.columns if c != "id"]
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            keep = set()
+            for way in ways:
+                v = sum(c * held[p] for p, c in way.items()).dropna()
+                keep.update(np.argsort(v.to_numpy(), kind="stable")[:many].tolist() if len(v) == len(held) else held.index.get_indexer(v.nsmallest(many).index).tolist())
+            held = held.iloc[sorted(keep)].reset_index(drop=True)
+        if held is not None:
+            yield held
+
+    near = rows.mapInPandas(local, rows.schema).repartition(1).mapInPandas(local, rows.schema).collect()
+    at = lambda way: sorted(sum(c * r[p] for p, c in way.items()) for r in near if all(r[p] is not None for p in way))[:many]
+    return near, [(way, v[-1]) for way in ways if (v := at(way))]
+
+
 def match_quality(matched: DataFrame, actives: DataFrame, candidates: DataFrame, tolerances: dict[str, float], per_active: int, max_similarity: DataFrame | None = None, limit: float = MAX_SIMILARITY) -> DataFrame:
     """One row of how well matched (active, candidate) pairs match: n_requested, n_selected, deltas (mean difference of each property),
     max_similarity of what was chosen, shortfall (reason to number), adequate: half of what was asked for, and no mean beyond its tolerance.
