@@ -152,7 +152,7 @@ def test_models(spark):
     train, test = t.where("id % 4 > 0"), t.where("id % 4 = 0")
     forest = modelling.fit(train, "forest", trees=30)
     raw = {r["id"]: r["prediction"] for r in modelling.predict_raw(forest, test).collect()}
-    trees = modelling._trees(forest)
+    trees = modelling._trees(forest, spark)
     assert len(trees) == 30
     got = {r["id"]: r for r in modelling.predict(forest, test).collect()}
     for i, r in got.items():
@@ -170,8 +170,8 @@ def test_models(spark):
         each.append(out)
     ids = sorted(got)
     assert np.allclose([raw[i] for i in ids], np.mean(each, 0)) and np.allclose([got[i]["predicted"]["uncertainty"] for i in ids], np.std(each, 0))
-    assert forest.importances().first()["feature"] == "f0" and modelling.fit(train, "ridge").importances() is None
-    assert forest.metadata()["n_train"] == 225 and forest.notes == ()
+    assert forest.importances(spark).first()["feature"] == "f0" and modelling.fit(train, "ridge").importances(spark) is None
+    assert forest.card()["rows"] == 225 and forest.card()["label"]["name"] == "pActivity" and forest.notes == ()
     with pytest.raises(modelling.LabelError):
         modelling.predict_raw(forest, test, ("f1", "f0", "f2", "f3"))
     for bad in (train.limit(5), train.withColumn("label", F.lit(1.0)), train.withColumn("features", F.array(F.lit(float("nan"))))):
@@ -346,3 +346,56 @@ def test_quantity_notes_and_reports(spark):
     assert "too few" in reports.background(a)
     assert "settle" in reports.enrichment({"n_actives": 3, "n_decoys": 4, "auc": 0.6, "ef": 2.0}, (0.3, 0.9), "inconclusive", 70)
     assert "large enough" in reports.gaps(spark.createDataFrame([("logp", 3.0, True)], "property string, gap double, concerning boolean"))
+
+
+def test_permutations_in_one_fit_equal_refits(spark):
+    t = training(spark)
+    train, test = t.where("id % 4 > 0"), t.where("id % 4 = 0")
+    labels = {r["id"]: r["labels"] for r in modelling.permuted_labels(train, 3, 7).collect()}
+    for k in range(3):
+        one = {r["id"]: r["label"] for r in modelling.permuted(train.select("id", "label"), 7 + k).collect()}
+        assert all(labels[i][k] == one[i] for i in one) and len(one) == len(labels)
+    together = modelling.permuted_ridge_scores(train, test, 3, 7)
+    apart = modelling.permutation_scores(modelling.make_fit_predict("ridge", train, test), train, 3, 7)
+    assert np.allclose(together, apart, atol=1e-6)
+    assert modelling.permuted_ridge_scores(train, test.withColumn("label", F.lit(2.0)), 2) == []
+
+
+def test_evaluation_in_one_call(spark):
+    t = training(spark)
+    train, test = t.where("id % 4 > 0"), t.where("id % 4 = 0")
+    out = modelling.predict_raw(modelling.fit(train, "ridge", with_domain=False), test)
+    r = modelling.evaluate(train, test, out, fit_predict="ridge", resamples=60).first()
+    assert (r["n_train"], r["n_test"], r["n_permutations"], r["leaking_features"], r["defensible"]) == (225, 75, 20, [], True)
+    assert r["r2_low"] <= r["r2"] <= r["r2_high"] and r["spearman_low"] is not None and r["notes"] == [] and "beats the mean" in r["findings"]
+    told = train.withColumn("features", F.concat("features", F.array(F.col("label") * 2)))
+    same = test.withColumn("features", F.concat("features", F.array(F.col("label") * 2)))
+    r = modelling.evaluate(told, same, modelling.predict_raw(modelling.fit(told, "ridge", with_domain=False), same), resamples=30, names=["a", "b", "c", "d", "twice"]).first()
+    assert r["leaking_features"] == ["twice"] and not r["defensible"] and r["permutation_p95"] is None
+
+
+def test_model_is_kept_with_its_domain(spark, tmp_path, monkeypatch):
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from veriflume.operators import estimators
+
+    t = training(spark)
+    train, test = t.where("id % 4 > 0"), t.where("id % 4 = 0")
+    for kind, settings in (("ridge", "{}"), ("forest", '{"trees": 20}')):
+        made = estimators.ActivityRegressor(kind=kind, settings=settings, labelName="pIC50", names=["a", "b", "c", "d"]).fit(train)
+        first = {r["id"]: (r["prediction"], r["predicted"]["in_domain"], r["predicted"]["source"]) for r in made.transform(test).collect()}
+        made.write().overwrite().save(str(tmp_path / kind))
+        fitted = []
+        monkeypatch.setattr(domain, "knn_threshold", lambda *a, **b: fitted.append(1))
+        back = estimators.ActivityModel.load(str(tmp_path / kind))
+        again = {r["id"]: (r["prediction"], r["predicted"]["in_domain"], r["predicted"]["source"]) for r in back.transform(test).collect()}
+        monkeypatch.undo()
+        assert again == first and len(first) == 75 and back.uid == made.uid and not fitted  # the training rows' own distances are not taken again
+        assert back.fitted.card() == made.fitted.card() and back.fitted.names == ("a", "b", "c", "d") and {v[1] for v in first.values()} >= {True}
+    pipe = Pipeline(stages=[estimators.ActivityRegressor(kind="ridge")])
+    pipe.write().overwrite().save(str(tmp_path / "pipe"))
+    assert Pipeline.load(str(tmp_path / "pipe")).getStages()[0].getOrDefault("kind") == "ridge"
+    pipe.fit(train).write().overwrite().save(str(tmp_path / "fitted"))
+    assert PipelineModel.load(str(tmp_path / "fitted")).transform(test).count() == 75
+    with pytest.raises(modelling.LabelError):
+        modelling.predict(modelling.fit(train, "ridge", with_domain=False), test)

@@ -131,5 +131,5 @@ def test_cli(spark, seeded, tmp_path, capsys, monkeypatch):
     spark.createDataFrame(points, "compound_id string, smiles string, pactivity double, uncertainty double").write.parquet(str(tmp_path / "points"))
     assert cli.main(["validate", str(tmp_path / "points"), "--resamples", "20"]) == 0
     out = capsys.readouterr().out
-    assert "ridge, scaffold split" in out and "r2" in out and "CAUTION" in out
+    assert "ridge, scaffold split" in out and "r2" in out and "CAUTION" in out and "20 permutations of the labels" in out and "defensible" in out
     assert cli.main(["curate", str(tmp_path / "none"), "x"][:0] + ["query", "unit_kinds", "/root/testdata/sf0.001"]) == 0

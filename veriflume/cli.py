@@ -7,8 +7,8 @@ import argparse
 from pyspark.sql import functions as F
 
 from .functions import molecules
-from .operators import curate, modelling, ranking, reports, split, triage
-from .session import build
+from .operators import curate, modelling, reports, split, triage
+from .session import build, cut
 from .sources import activities, records
 
 
@@ -21,11 +21,18 @@ def validate(points, kind: str = "ridge", resamples: int = 200) -> str:
     data = data.join(made.select("id", F.col("s.scaffold").alias("scaffold")), "id")
     sides = split.scaffold_split(data, ix="id").cache()
     train, test = (sides.where(F.col("partition") == p) for p in ("train", "test"))
-    out = modelling.predict_raw(modelling.fit(train, kind, tuple(molecules.AVAILABLE)), test).select(F.col("id").alias("seq"), F.col("label").alias("y"), F.col("prediction").alias("p"))
-    metrics = ranking.evaluate(out, resamples).cache()
-    r2 = {r["metric"]: r["estimate"] for r in metrics.collect()}["r2"]
-    b = modelling.baselines(train, test).withColumn("f", modelling.findings(F.lit(r2), F.col("mean_r2"), F.col("nn_r2"), F.col("permutation_p95"), F.col("label_spread"))).first()
-    return reports.evaluation(metrics, train.count(), test.count(), f"{kind}, scaffold split", findings=b["f"])
+    names = tuple(molecules.AVAILABLE)
+    out = cut(modelling.predict_raw(modelling.fit(train, kind, names, with_domain=False), test).select("id", "prediction"))
+    refit = "ridge" if kind == "ridge" else modelling.make_fit_predict(kind, train, test)
+    r = modelling.evaluate(train, test, out, list(names), refit, resamples=resamples).first()
+    metrics = spark_rows(train, [(m, r[m], r[f"{m}_low"], r[f"{m}_high"]) for m in ("r2", "rmse", "mae", "spearman")])
+    bar = [] if r["permutation_p95"] is None else [f"{r['n_permutations']} permutations of the labels score {r['permutation_mean']:.3f} on average, {r['permutation_p95']:.3f} at the 95th percentile"]
+    leaks = [f"{n} alone gives the label away" for n in r["leaking_features"]]
+    return reports.evaluation(metrics, r["n_train"], r["n_test"], f"{kind}, scaffold split", leaks, findings=[*r["findings"], *bar, "defensible" if r["defensible"] else "not defensible"])
+
+
+def spark_rows(like, rows):
+    return like.sparkSession.createDataFrame(rows, "metric string, estimate double, low double, high double")
 
 
 def main(argv: list[str] | None = None) -> int:

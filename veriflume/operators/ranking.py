@@ -217,11 +217,12 @@ def binned_r2s(df: DataFrame, features: list[str], target: str, bins: int = 10)
 
 def leakage_screen(df: DataFrame, features: list[str], target: str, max_correlation: float = 0.95, max_binned: float = 0.9, bins: int = 10) -> DataFrame:
     """(feature, correlation, binned_r2, leaks) of features that vary, all of them in the same few passes."""
-    stats = df.agg(*[F.corr(f, target).alias(f"c_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first() if features else None
-    vary = [f for f in features if stats[f"s_{f}"]]
-    if not vary:
+    spread = df.agg(F.stddev_pop(target).alias("y"), *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
+    vary = [f for f in features if spread[f"s_{f}"]]
+    if not vary or not spread["y"]:
         return df.sparkSession.createDataFrame([], "feature string, correlation double, binned_r2 double, leaks boolean")
-    r = df.sparkSession.createDataFrame([(f, stats[f"c_{f}"]) for f in vary], "feature string, correlation double")
+    stats = df.agg(*[F.corr(f, target).alias(f) for f in vary]).first()  # of what varies: it divides by the spread
+    r = df.sparkSession.createDataFrame([(f, stats[f]) for f in vary], "feature string, correlation double")
     out = binned_r2s(df, vary, target, bins).join(F.broadcast(r), "feature").select("feature", "correlation", "binned_r2")  # a row a feature
     return out.withColumn("leaks", F.coalesce(F.abs("correlation") >= max_correlation, F.lit(False)) | (F.col("binned_r2") >= max_binned))
 

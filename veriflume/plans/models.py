@@ -25,7 +25,7 @@ def _sides(t):
 
 def _modelled(spark, d, kind, n=64, **settings):
     train, test = _sides(_training(spark, d, n))
-    return modelling.predict_raw(modelling.fit(train, kind, **settings), test).select("id", "label", "prediction")
+    return modelling.predict_raw(modelling.fit(train, kind, with_domain=False, **settings), test).select("id", "label", "prediction")
 
 
 @query()
@@ -60,20 +60,21 @@ def model_metrics(spark, d):
 
 @query()
 def forest_spread(spark, d):
-    """Predictions as quantities: their uncertainty is the trees' spread."""
-    train, test = _sides(_training(spark, d, 8))
-    out = modelling.predict(modelling.fit(train, "forest", trees=50), test)
+    """Predictions of 500 trees as quantities: their uncertainty is the trees' spread."""
+    train, test = _sides(_training(spark, d))
+    out = modelling.predict(modelling.fit(train, "forest"), test)
     return out.select("id", "predicted.value", "predicted.uncertainty", "predicted.in_domain", "predicted.origin")
 
 
 @query()
 def forest_importances(spark, d):
-    return modelling.fit(_sides(_training(spark, d, 16))[0], "forest", trees=50).importances()
+    """Of 500 trees."""
+    return modelling.fit(_sides(_training(spark, d))[0], "forest", with_domain=False).importances(spark)
 
 
-@query(f"SELECT vec_id AS id, round({Y}, 6) AS label, 4 AS n_features FROM embeddings WHERE embedding IS NOT NULL")
+@query(f"SELECT vec_id AS id, round({Y}, 6) AS label, 64 AS n_features FROM embeddings WHERE embedding IS NOT NULL")
 def training_set(spark, d):
-    points = _training(spark, d, 4).select("id", F.concat(F.lit("C"), F.col("id").cast("string")).alias("smiles"), "label", F.lit("derived").alias("origin"), F.lit(None).cast("double").alias("uncertainty"), "features")
+    points = _training(spark, d).select("id", F.concat(F.lit("C"), F.col("id").cast("string")).alias("smiles"), "label", F.lit("derived").alias("origin"), F.lit(None).cast("double").alias("uncertainty"), "features")
     out = modelling.build_training_set(points.drop("features"), lambda p: p.select("id").join(points.select("id", "features"), "id"))
     return out.select("id", F.round("label", 6).alias("label"), F.size("features").alias("n_features"))
 
@@ -105,12 +106,20 @@ def baseline_bundle(spark, d):
 
 @query()
 def permutation_bar(spark, d):
-    """The refitted model's scores on permuted labels: their mean and 95th percentile."""
-    train, test = _sides(_training(spark, d, 8))
-    b = modelling.baselines(train, test, neighbours=False, fit_predict=modelling.make_fit_predict("ridge", train, test), n_permutations=5)
+    """Ridge refitted to twenty permutations of its labels: the mean and 95th percentile of its scores."""
+    train, test = _sides(_training(spark, d))
+    b = modelling.baselines(train, test, neighbours=False, fit_predict="ridge")
     return b.select("permutation_mean", "permutation_p95", "n_permutations")
 
 
+@query()
+def model_evaluation(spark, d):
+    """One row of whether ridge on all components is a working model: intervals, baselines, leaks, findings and the verdict."""
+    train, test = _sides(_training(spark, d))
+    out = modelling.predict_raw(modelling.fit(train, "ridge", with_domain=False), test)
+    return modelling.evaluate(train, test, out, fit_predict="ridge", split_strategy="every fifth")
+
+
 FOUND = "CASE WHEN spread < 0.3 THEN 'narrow labels;' ELSE '' END || CASE WHEN r2 - mean <= 0.05 THEN 'no better than the mean' ELSE 'beats the mean' END || CASE WHEN nn IS NULL THEN '' WHEN r2 <= nn THEN ';no better than the nearest neighbour' ELSE ';beats the nearest neighbour' END || CASE WHEN r2 <= bar THEN ';within permuted labels' ELSE ';clears permuted labels' END || CASE WHEN r2 > 0.95 THEN ';too good to be true' ELSE '' END"
 
 
