@@ -70,43 +70,88 @@ def test_style_tree_page(spark):
 
 
 def brute_importance(pages):
-    """{(host, path): importance} by loops over the parsed pages."""
+    """{(host, path): (importance, seen)} and, of furniture's last steps over all hosts, {step: (importance, seen)}, by loops over the parsed pages."""
     from collections import Counter
 
-    features = {}
-    for url, page in pages:
+    features, steps = {}, {}
+    for url, page in set(pages):  # copies of a page are one page, and given urls differ
         blocks, nodes = style_tree.parse(page)
         for kind, found in ((0, nodes), (1, blocks)):
             for path, x in found:
                 features.setdefault((url_filter.split_url(url)[0], path, kind), Counter())[x] += 1
-    own = {}
-    for k, c in features.items():
-        m = sum(c.values())
-        if m == 1:
-            own[k] = 1.0
-        elif k[2] == 0:
-            own[k] = -sum(n / m * math.log(n / m) for n in c.values()) / math.log(m)
-        else:
-            own[k] = 1 - sum(math.log(n) for n in c.values()) / len(c) / math.log(m)
-    out = {}
-    for (host, path, kind), v in own.items():
-        if kind == 0:
-            below = [(sum(features[k].values()), own[k], "+" in k[1] and "!" not in k[1]) for k in own if k[2] == 1 and k[0] == host and (k[1] == path or k[1].startswith(path + ">"))]
-            if below:
-                v = 0.1 * v + 0.9 * sum(m * x for m, x, _ in below) / sum(m for m, *_ in below)
-            noise = "!" in path or path[0] == "L" and "+" not in path and not any(g for *_, g in below)
-            faith = not noise and ("+" in path or any(g for *_, g in below))
-            out[host, path] = 0.25 * v if noise else 0.5 + 0.5 * v if faith else v
-    return out
+                if "!" in path:
+                    steps.setdefault(("", path.split(">")[-1], kind), Counter())[x] += 1
+
+    def entropies(features):
+        own = {}
+        for k, c in features.items():
+            m = sum(c.values())
+            if m == 1:
+                own[k] = 1.0
+            elif k[2] == 0:
+                own[k] = -sum(n / m * math.log(n / m) for n in c.values()) / math.log(m)
+            else:
+                own[k] = 1 - sum(math.log(n) for n in c.values()) / len(c) / math.log(m)
+        return own
+
+    def whole(features, own, below):
+        out = {}
+        for (host, path, kind), v in own.items():
+            if kind == 0:
+                m = sum(features[host, path, kind].values())
+                leaves = [(sum(features[k].values()), own[k]) for k in own if k[2] == 1 and k[0] == host and below(k[1], path)]
+                out[host, path] = (0.1 * v + 0.9 * sum(n * x for n, x in leaves) / sum(n for n, _ in leaves) if leaves else v, m)
+        return out
+
+    nodes = whole(features, entropies(features), lambda leaf, path: leaf == path or leaf.startswith(path + ">"))
+    return nodes, whole(steps, entropies(steps), lambda leaf, path: leaf == path)
 
 
 def test_style_tree_importance_against_loops(spark):
     d = "/root/testdata/sf0.001"
     pages = [(r["url"], r["html"]) for r in spark.read.parquet(f"{d}/pages.parquet").collect()]
     pages += [(f"http://t.example/{i}", f"<body><div>Notice</div><div class=x{i % 3}><p>{i} own</p></div>{'<main>m</main>' if i % 2 else ''}</body>") for i in range(12)]
-    got = {(r["host"], r["path"]): r["importance"] for r in style_tree.statistics(spark.createDataFrame(pages, "url string, html string")).collect()}
-    want = brute_importance(pages)
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    pages += [pages[3]] * 9
+    got = style_tree.statistics(spark.createDataFrame(pages, "url string, html string")).collect()
+    want, steps = brute_importance(pages)
+    assert {(r["host"], r["path"]) for r in got} == want.keys() and steps
+    for r in got:
+        v, m = want[r["host"], r["path"]]
+        assert abs(r["importance"] - v) < 1e-9 and abs(r["seen"] - m) < 1e-9
+        step = steps.get(("", r["path"].split(">")[-1])) if r["prior"] < 0 else None
+        assert (r["step_seen"] is None) == (step is None) and (step is None or abs(r["step_importance"] - step[0]) < 1e-9 and abs(r["step_seen"] - step[1]) < 1e-9)
+
+
+def test_style_tree_entropies_decide_for_every_prior(spark):
+    """The given pages on one host, with a notice inside the article that is the same everywhere, furniture whose text and
+    structure never repeat, and furniture that is regular: only their entropies tell them apart."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()
+    rng = random.Random(1)
+
+    def page(i, html_, notice, links):
+        odd = "".join(f"<{rng.choice(['p', 'b', 'ul', 'i', 'h2'])}>{prose(rng, 9, 10**6)}</{rng.choice(['p', 'b'])}>" for _ in range(rng.randint(5, 12))) if links else "<ul><li>Home</li><li>About</li></ul>"
+        return html_.replace("</h1>", f"</h1><div class='box'>{notice}</div>").replace("<footer>", f"<aside>{odd}</aside><footer>")
+
+    def texts(notice, links):
+        pages = spark.createDataFrame([(r["page_id"], f"http://one.example/{i}", page(i, r["html"], notice(i), links)) for i, r in enumerate(rows)], "page_id long, url string, html string")
+        return {r["page_id"]: r["text"].split("\n\n") for r in style_tree.extract(pages).collect()}
+
+    plain = {r["page_id"]: r["text"].split("\n\n") for r in queries.op1_style_tree(spark, "/root/testdata/sf0.01").collect()}
+    same, own = texts(lambda i: "All rights are ours", False), texts(lambda i: f"Own words {i}", True)
+    assert same == plain  # a landmark's branch goes, furniture goes
+    for i, r in enumerate(rows):
+        assert f"Own words {i}" in own[r["page_id"]] and len(own[r["page_id"]]) > len(plain[r["page_id"]]) + 1  # both stay, by their entropies alone
+    assert all("Home" not in t for t in own.values())
+    flat = style_tree.extract(spark.createDataFrame([(r["page_id"], f"http://one.example/{i}", page(i, r["html"], "All rights are ours", False)) for i, r in enumerate(rows)], "page_id long, url string, html string"), {-1: -1.0, 0: -1.0, 1: -1.0})
+    assert all("All rights are ours" in r["text"] and "Home" in r["text"] for r in flat.collect())  # nothing else removes them
+
+
+def test_style_tree_without_evidence_leaves_priors(spark):
+    pages = [(i, f"http://h{i % 3}.example/{i}", f"<body><nav><a>{prose(random.Random(i), 5, 999)}</a></nav><article><p>The same words</p></article></body>") for i in range(6)]
+    got = style_tree.extract(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert {r["text"] for r in got.collect()} == {"The same words"}
+    copies = [(i, "http://one.example/", pages[0][2]) for i in range(50)]  # fifty copies are one page
+    assert {r["text"] for r in style_tree.extract(spark.createDataFrame(copies, "page_id long, url string, html string")).collect()} == {"The same words"}
 
 
 def test_style_tree_without_landmarks(spark):

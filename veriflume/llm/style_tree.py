@@ -3,14 +3,17 @@
 Pages of one host are merged into one tree: nodes are keyed by their path of tags and first class names; pages with a
 landmark (an article or main element with text) and pages without one grow apart from the root. For every node of a host the
 corpus gives two entropies. Presentation: how evenly its occurrences spread over different child sequences. Content: how
-rarely the same text comes back in its leaves. Together they are the node's own importance. Uniform, repetitive branches
-(templates, notices, link lists) get a low one, varied ones a high one.
-
-HTML semantics are priors on it. A node that is navigation, page furniture, a form, an advert or reader comments by tag, role or
-class name, or that lies outside the landmarks of pages that have them, keeps DOUBT of its own importance. A landmark, what it
-holds and what holds it have FAITH at least, so that copies of one article on a host do not erase it. Every page loses the
-branches whose importance is under THRESHOLD; nothing else decides, and without the tree a page keeps all its text but scripts
-and styles.
+rarely the same text comes back in its leaves. Together they are the node's importance, from 0 to 1: uniform, repetitive branches
+(templates, notices, link lists) get a low one, varied ones a high one. Copies of a page count as one page.
+
+HTML semantics are priors: they say how much importance a node needs (NEEDS). A node that is navigation, page furniture, a form, an
+advert or reader comments by tag, role or class name, or that lies outside the landmarks of pages that have them, needs nearly all there
+is: its texts must never come back and its structure hardly ever. A landmark, what it holds and what holds it, needs next to none, so only
+what is the same on page after page, such as a notice inside the article, goes. Entropies that go against a prior must be certain: one
+over the number of pages is taken off what speaks for furniture and added to what a landmark has. Entropies of a node seen on fewer than
+MIN_SEEN pages of its host tell nothing: furniture is then judged by the entropies of its tag and class over all hosts, and where these
+too were seen too rarely the prior stands by itself: furniture goes, everything else stays. Every page loses the branches that need
+more than they have.
 """
 
 from __future__ import annotations
@@ -27,12 +30,14 @@ from pyspark.sql import functions as F
 from .common import cut
 from .url_filter import split_url
 
-#: nodes less important than this are removed, once seen often enough to tell
-THRESHOLD, MIN_SEEN = 0.3, 8
+#: importance below which a node goes, by its prior: furniture (-1), neither (0), landmark (1)
+NEEDS = {-1: 0.99, 0: 0.3, 1: 0.05}
+#: pages on which a node must be seen before its entropies count
+MIN_SEEN = 8
 #: weight of the content of what lies below a node against its own presentation
 GAMMA = 0.9
-#: what priors make of a node's own importance v: DOUBT * v for noise, FAITH + (1 - FAITH) * v for landmarks
-DOUBT, FAITH = 0.25, 0.5
+#: copied pages up to this many are broadcast (24 bytes each); beyond, pages are joined to them
+COPIES = 1_000_000
 #: host verdicts up to this many are broadcast (about 100 bytes each); beyond, they are joined to their pages
 BROADCAST_ROWS = 200_000
 
@@ -58,8 +63,8 @@ LANDMARKS = frozenset("article main".split())
 class Node:
     __slots__ = ("tag", "path", "noise", "landmark", "children", "texts")
 
-    def __init__(self, tag, path, noise, landmark, texts=None):
-        self.tag, self.path, self.noise, self.landmark, self.children, self.texts = tag, path, noise, landmark, [], texts
+    def __init__(self, tag, path, noise, landmark, texts=None, children=None):
+        self.tag, self.path, self.noise, self.landmark, self.children, self.texts = tag, path, noise, landmark, [] if children is None else children, texts
 
 
 def _names(attrs: str) -> tuple[list[str], str, bool]:
@@ -171,7 +176,8 @@ def parse(page: str):
             else:
                 noise = tag in NOISE_TAGS or role in NOISE_ROLES or hidden or bool(named & NOISE_NAMES) or not top.landmark and (tag == "header" or bool(named & HEADERS))
         if top.noise:
-            stack.append(Node(tag, top.path, True, False, top.texts))
+            top.children.append(tag)  # furniture is one node: its tags in order are its structure
+            stack.append(Node(tag, top.path, True, False, top.texts, top.children))
             continue
         landmark = top.landmark or not noise and (tag in LANDMARKS or role == "main")
         key = (tag if tag.isalnum() else ODD.sub("_", tag)) + ("." + re.sub(r"\d+", "0", words[0]) if words else "") + ("!" if noise else "+" if landmark and not top.landmark else "")
@@ -199,31 +205,49 @@ def main_blocks(page: str | None, low: set[str]) -> list[str]:
     return out
 
 
+def weighted(pages: DataFrame, copies: int = COPIES) -> DataFrame:
+    """(url, html, weight): a page of which a host has n copies weighs 1 / n."""
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "(?s)://([^/?#]*)", 1))
+    base = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).where("html IS NOT NULL AND html <> ''")
+    keyed = base.withColumns({"a": F.xxhash64(F.lit(1), host, "html"), "b": F.xxhash64(F.lit(2), host, "html")})
+    often = cut(keyed.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1"))
+    few = often.limit(copies + 1).count() <= copies
+    joined = keyed.join(F.broadcast(often) if few else often, ["a", "b"], "left")
+    return joined.select("url", "html", (1 / F.coalesce("n", F.lit(1))).alias("weight"))
+
+
+def _values(per_feature: DataFrame, by: list[str]) -> DataFrame:
+    """(by, kind, m, v) of features counted n times: pages seen, and entropy of child sequences (kind 0) or rarity of texts (1)."""
+    per_feature = per_feature.groupBy(*by, "kind", "f").agg(F.sum("n").alias("n"))
+    log_n = F.log("n")
+    per_node = per_feature.groupBy(*by, "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * log_n).alias("nlogn"), F.avg(log_n).alias("logn"))
+    log_m = F.log("m")
+    spread = F.when(F.col("m") < 1.5, 1.0).when(F.col("kind") == 0, (log_m - F.col("nlogn") / F.col("m")) / log_m).otherwise(1 - F.col("logn") / log_m)
+    return per_node.select(*by, "kind", "m", F.least(F.greatest(spread, F.lit(0.0)), F.lit(1.0)).alias("v"))
+
+
 def statistics(pages: DataFrame) -> DataFrame:
-    """(host, path, importance, seen, prior) of every node of every host's tree; prior: -1 noise, 1 landmark, 0 neither."""
+    """(host, path, importance, seen, prior, step_importance, step_seen) of every node of every host's tree.
+
+    prior: -1 furniture, 1 landmark, 0 neither. The last two are those of furniture's last step over all hosts, else NULL.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = lambda t: xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)
         for pdf in batches:
             out = {}
-            for url, page in zip(pdf["url"], pdf["html"]):
-                if not page:
-                    continue
+            for url, page, weight in zip(pdf["url"], pdf["html"], pdf["weight"]):
                 host = split_url(url)[0]
                 blocks, nodes = parse(page)
                 for kind, found in ((0, nodes), (1, blocks)):
                     for path, feature in found:
                         k = (host, path, kind, digest(feature))
-                        out[k] = out.get(k, 0) + 1
+                        out[k] = out.get(k, 0.0) + weight
             yield pd.DataFrame([(*k, n) for k, n in out.items()], columns=["host", "path", "kind", "f", "n"])
 
-    seen = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInPandas(run, "host string, path string, kind int, f long, n long")
-    per_feature = seen.groupBy("host", "path", "kind", "f").agg(F.sum("n").alias("n"))
-    log_n = F.log("n")
-    per_node = per_feature.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * log_n).alias("nlogn"), F.avg(log_n).alias("logn"))
-    log_m = F.log("m")
-    spread = F.when(F.col("m") == 1, 1.0).when(F.col("kind") == 0, (log_m - F.col("nlogn") / F.col("m")) / log_m).otherwise(1 - F.col("logn") / log_m)
-    per_node = cut(per_node.select("host", "path", "kind", "m", spread.alias("v")))  # read twice below; pages are parsed once for it
+    seen = weighted(pages).mapInPandas(run, "host string, path string, kind int, f long, n double")
+    per_feature = cut(seen.groupBy("host", "path", "kind", "f").agg(F.sum("n").alias("n")))  # pages are parsed once for what follows
+    per_node = cut(_values(per_feature, ["host", "path"]))
     # content of a node: its leaves' content, weighted by how often they occur
     steps = F.split("path", ">")
     up = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), ">"))
@@ -231,21 +255,30 @@ def statistics(pages: DataFrame) -> DataFrame:
     leaves = per_node.where("kind = 1").select("host", F.explode(up).alias("path"), "m", "v", good.alias("good"))
     content = leaves.groupBy("host", "path").agg((F.sum(F.col("m") * F.col("v")) / F.sum("m")).alias("content"), F.bool_or("good").alias("good"))
     nodes = per_node.where("kind = 0").select("host", "path", F.col("m").alias("seen"), F.col("v").alias("presentation"))
-    value = F.when(F.col("content").isNull(), F.col("presentation")).otherwise((1 - GAMMA) * F.col("presentation") + GAMMA * F.col("content"))
+    whole = lambda content, presentation: F.when(content.isNull(), presentation).otherwise((1 - GAMMA) * presentation + GAMMA * content)
     prior = F.when(F.contains("path", F.lit("!")), -1).when(F.contains("path", F.lit("+")) | F.col("good"), 1).when(F.startswith("path", F.lit("L")), -1).otherwise(0)
-    nodes = nodes.join(content, ["host", "path"], "left").select("host", "path", value.alias("v"), "seen", prior.alias("prior"))
-    importance = F.when(F.col("prior") < 0, DOUBT * F.col("v")).when(F.col("prior") > 0, FAITH + (1 - FAITH) * F.col("v")).otherwise(F.col("v"))
-    return nodes.select("host", "path", importance.alias("importance"), "seen", "prior")
-
-
-def low_nodes(pages: DataFrame, threshold: float = THRESHOLD, min_seen: int = MIN_SEEN) -> DataFrame:
-    """(host, path) of the nodes that go, without those right below another one. Entropies alone condemn only what is seen often enough."""
-    low = cut(statistics(pages).where((F.col("importance") < threshold) & ((F.col("seen") >= min_seen) | (F.col("prior") < 0))).select("host", "path"))
+    nodes = nodes.join(content, ["host", "path"], "left").select("host", "path", whole(F.col("content"), F.col("presentation")).alias("importance"), "seen", prior.alias("prior"))
+    # furniture over all hosts, by its last step: as many rows as there are tags with class names
+    last = F.element_at(F.split("path", ">"), -1)
+    per_step = _values(per_feature.where(F.contains("path", F.lit("!"))).select(last.alias("step"), "kind", "f", "n"), ["step"])
+    kinds = per_step.groupBy("step").agg(F.max(F.when(F.col("kind") == 0, F.col("m"))).alias("step_seen"), F.max(F.when(F.col("kind") == 0, F.col("v"))).alias("p"), F.max(F.when(F.col("kind") == 1, F.col("v"))).alias("c"))
+    kinds = kinds.select("step", whole(F.col("c"), F.col("p")).alias("step_importance"), "step_seen")
+    return nodes.withColumn("step", F.when(F.col("prior") < 0, last)).join(kinds, "step", "left").drop("step")
+
+
+def low_nodes(pages: DataFrame, needs: dict[int, float] | None = None, min_seen: int = MIN_SEEN) -> DataFrame:
+    """(host, path) of the nodes that go, without those right below another one."""
+    needs = NEEDS if needs is None else needs
+    enough = lambda c: F.col(c) > min_seen - 0.5  # noqa: E731  weights add up to whole numbers but for rounding
+    sure = lambda v, m: F.col(v) + F.col("prior") / F.col(m)
+    told = F.when(enough("seen"), sure("importance", "seen")).when(enough("step_seen"), sure("step_importance", "step_seen"))
+    need = F.when(F.col("prior") < 0, needs[-1]).when(F.col("prior") > 0, needs[1]).otherwise(needs[0])
+    low = cut(statistics(pages).where(F.coalesce(told < need, F.col("prior") < 0)).select("host", "path"))
     above = low.select("host", F.col("path").alias("parent"))
     return low.withColumn("parent", F.regexp_extract("path", "^(.*)>", 1)).join(above, ["host", "parent"], "left_anti").select("host", "path")
 
 
-def extract(pages: DataFrame, threshold: float = THRESHOLD, min_seen: int = MIN_SEEN, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def extract(pages: DataFrame, needs: dict[int, float] | None = None, min_seen: int = MIN_SEEN, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(page_id, url, text, n_chars) of every page: its main blocks, white space squeezed, joined by two newlines.
 
     Null or empty html gives an empty text; a null or odd url belongs to the host ''. Repeated rows each give a row.
@@ -255,7 +288,7 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD, min_seen: int = MIN_
     spark = pages.sparkSession
     kind = pages.schema["page_id"].dataType.simpleString()
     base = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    low = cut(low_nodes(pages, threshold, min_seen))
+    low = cut(low_nodes(pages, needs, min_seen))
     out = f"page_id {kind}, url string, text string, n_chars long"
 
     def rows(pdf: pd.DataFrame, texts: list[str]) -> pd.DataFrame:
