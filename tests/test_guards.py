@@ -1,7 +1,10 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from veriflume.operators import guards
-from veriflume.sources import records
+from veriflume.sources import records, sinks
 
 
 def test_refusals(spark):
@@ -27,6 +30,22 @@ def test_arms_and_cells(spark):
 def test_search_and_flush(spark, tmp_path):
     c = spark.createDataFrame([("a", ["P"], "X", 1.5), ("b", ["P"], "X", 1.2), ("c", ["Q"], "X", 1.0), ("d", ["P"], "N", 1.0)], "structure_id string, accessions array<string>, method string, resolution double")
     assert [r["structure_id"] for r in records.search(c, "P", "X", 2.0, 5).collect()] == ["b", "a"]
+    for _ in range(2):  # a retried cell is there once
+        records.flush(c, str(tmp_path / "cells"), "r1/l1")
+    records.flush(c.limit(1), str(tmp_path / "cells"), "r1/l2")
+    got = sinks.read_cells(spark, str(tmp_path / "cells"))
+    assert dict(got.groupBy("cell").count().collect()) == {"r1/l1": 4, "r1/l2": 1} and sinks.finished(str(tmp_path / "cells")) == ["r1/l1", "r1/l2"]
+    with pytest.raises(Exception, match="raised here"):
+        records.flush(c.withColumn("structure_id", F.when(F.col("structure_id") == "d", F.raise_error(F.lit("raised here"))).otherwise(F.col("structure_id"))), str(tmp_path / "cells"), "r1/l1")
+    assert sinks.read_cells(spark, str(tmp_path / "cells"), ["r1/l1"]).count() == 4  # a failed cell leaves the last one as it was
+    assert not [p for p in (tmp_path / "cells" / "_staging").rglob("*") if p.is_file()]
+    assert len(list((tmp_path / "cells").glob("cell-*/*.parquet"))) <= 5 and sinks.read_cells(spark, str(tmp_path / "none")) is None
+
+
+def test_structure_files(spark, tmp_path):
+    rows = [(s, i, f"ATOM {s} {i:5d}") for s in ("1abc", "2xyz") for i in range(300)]
+    random.Random(1).shuffle(rows)
     for _ in range(2):
-        records.flush(c, str(tmp_path / "cells"))
-    assert spark.read.parquet(str(tmp_path / "cells")).count() == 8
+        sinks.write_lines(spark.createDataFrame(rows, "id string, line_no int, text string").repartition(7), str(tmp_path / "out"), "id", ["line_no"], "text", ".pdb", "END")
+    assert sorted(p.name for p in (tmp_path / "out").glob("*.pdb")) == ["1abc.pdb", "2xyz.pdb"]
+    assert (tmp_path / "out" / "2xyz.pdb").read_text().splitlines() == [f"ATOM 2xyz {i:5d}" for i in range(300)] + ["END"]

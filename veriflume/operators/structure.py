@@ -184,6 +184,13 @@ def structure_text(a: DataFrame) -> DataFrame:
     return lines.groupBy("structure_id").agg(text.alias("text"))
 
 
+def write_structures(a: DataFrame, path: str) -> None:
+    """A file `<structure_id>.pdb` for each structure: its atoms as fixed-width lines in order, with an END line."""
+    from ..sources.sinks import write_lines
+
+    write_lines(a.select("structure_id", "line_no", format_atom().alias("v")), path, "structure_id", ["line_no"], "v", ".pdb", "END")
+
+
 def contains(cx: Column, sx: Column, x: Column) -> Column:
     return F.abs(x - cx) <= sx / 2
 

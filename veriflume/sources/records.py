@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sinks import write_cell
+
 
 class TargetError(ValueError):
     pass
@@ -113,6 +115,6 @@ def search(catalogue: DataFrame, accession: str, method: str, max_resolution: fl
     return catalogue.where(hit).orderBy("resolution", "structure_id").limit(limit)
 
 
-def flush(cell: DataFrame, path: str) -> None:
-    """Appends one finished cell, so that a crash costs one."""
-    cell.write.mode("append").parquet(path)
+def flush(cell: DataFrame, path: str, name: str) -> None:
+    """Writes one finished cell, so that a crash costs one; a cell that is written again replaces itself. See sinks."""
+    write_cell(cell, path, name)
