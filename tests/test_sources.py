@@ -52,6 +52,9 @@ def test_background_scan_keeps_failures(spark, seeded):
     kept, failed = activities.scan_background(spark, BASE, {"one": "P1", "two": "P2", "three": "P3"}, 2, cache=seeded, offline=True)
     assert sorted((r["source"], r["molecule_id"]) for r in kept.collect()) == [("one", "M1"), ("one", "M2")]
     assert {r["source"] for r in failed.collect()} == {"two", "three"}
+    again, lost = activities.scan_background(spark, BASE, {"one": "P1", "two": "P2", "three": "P3", "four": "P1"}, 2, cache=seeded, offline=True, parallel=3)
+    assert sorted((r["source"], r["molecule_id"], r["seq"]) for r in again.collect()) == [("four", "M1", 0), ("four", "M2", 1), ("one", "M1", 0), ("one", "M2", 1)]
+    assert {r["source"]: r["reason"].split(":")[0] for r in lost.collect()} == {"two": "no single-protein targets for P2", "three": "not in the cache, and offline"}
 
 
 def test_pushed_filters_reach_the_address(spark, tmp_path):
@@ -65,7 +68,7 @@ def test_pushed_filters_reach_the_address(spark, tmp_path):
     assert list(reader.pushFilters([paged.EqualTo(("kind",), "a"), other, paged.IsNotNull(("kind",))])) == [other]
     assert reader.url(0, 5) == f"{BASE}?kind=a&kind__isnull=false&limit=5&offset=0"
     r = paged.cache_report(spark, str(tmp_path)).first()
-    assert r["n_entries"] == 2 and r["n_bytes"] > 0 and cache.describe() == "no requests"
+    assert r["n_entries"] == 2 and r["n_bytes"] > 0
 
 
 def test_pages_in_parallel(spark, tmp_path):
@@ -77,6 +80,39 @@ def test_pages_in_parallel(spark, tmp_path):
         assert sorted(r["id"] for r in df.collect()) == list(range(7)) and df.rdd.getNumPartitions() == n
 
 
+def test_readers_share_one_interval():
+    """Four readers in slots of their own never send two requests within an interval of each other."""
+    sent = []
+    for reader in range(4):
+        clock = [0.0]
+        pace = paged.Pace(reader, 4, 0.5, clock=lambda c=clock: c[0], sleep=lambda s, c=clock: c.__setitem__(0, c[0] + s))
+        for k in range(6):
+            pace.wait()
+            sent.append(round(clock[0], 9))
+            clock[0] += 0.3 if k % 2 else 0.0  # answers take time
+    gaps = [b - a for a, b in zip(sorted(sent), sorted(sent)[1:])]
+    assert len(sent) == 24 and min(gaps) > 0.499
+    late = paged.Pace(0, 2, 1.0, clock=lambda: 100.0, sleep=lambda s: 1 / 0)
+    late.next = 5.0
+    late.wait()
+    assert late.next == 102.0  # a slot that was missed is not made up for
+
+
+def test_requests_are_counted(spark, tmp_path):
+    cache = paged.Cache(str(tmp_path))
+    for at, size in paged.pages(7, 7, 2):
+        cache.put(f"{BASE}?limit={size}&offset={at}", {"rows": [{"id": at + k} for k in range(size)], "page_meta": {"total_count": 7}})
+    df = paged.paged(spark, BASE, "id int, _request string", "rows", limit=7, page=2, cache=str(tmp_path), offline=True, parallel=2)
+    assert tuple(paged.request_counts(df).first()) == (4, 4, 1.0)
+    assert tuple(paged.request_counts(df.where("false")).first()) == (0, 0, None)
+    mixed = spark.createDataFrame([("hit 0",), ("hit 0",), ("miss 2",), (None,)], "_request string")
+    assert tuple(paged.request_counts(mixed).first()) == (2, 1, 0.5)
+    cache.put(f"{BASE}/x?k=a,b&limit=50&offset=0", {"rows": [{"id": "a"}, {"id": "b"}]})
+    ids = spark.createDataFrame([("a",), ("b",), (None,)], "i string")
+    got = paged.batched_lookup(ids, "i", f"{BASE}/x", "k", "rows", "id", "id string, _request string", cache=str(tmp_path), offline=True)
+    assert {tuple(r) for r in got.collect()} == {("a", "hit 0"), ("b", "hit 0")}
+
+
 def test_fetch_text(tmp_path):
     answers = iter([(500, ""), (200, "ATOM")])
     assert paged.fetch_text("http://x", str(tmp_path), "a.pdb", fetch=lambda u: next(answers), sleep=lambda s: None) == "ATOM"

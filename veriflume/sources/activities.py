@@ -5,9 +5,13 @@ Every function reads pages of one service (base is its address) through its cach
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import paged, records
 from .paged import Cache, SourceError, batched_lookup, get
 
@@ -72,25 +76,45 @@ def release(base: str, cache: str | None = None, offline: bool = False) -> str |
     return next((payload[k] for k in RELEASE_KEYS if payload.get(k)), None)
 
 
-def scan_background(spark: SparkSession, base: str, accessions: dict[str, str], per_source: int = 200, types: list[str] = ("IC50", "Ki"), cache: str | None = None, offline: bool = False) -> tuple[DataFrame, DataFrame]:
+def scan_background(spark: SparkSession, base: str, accessions: dict[str, str], per_source: int = 200, types: list[str] = ("IC50", "Ki"), cache: str | None = None, offline: bool = False, page: int = paged.PAGE, parallel: int = 1) -> tuple[DataFrame, DataFrame]:
     """((source, molecule_id, smiles, seq), (source, reason)) of named accessions: the first distinct molecules of each, and what failed.
 
-    A target that cannot be read costs itself only. Four activities a molecule wanted are asked for.
+    One scan, a partition for each reader: a target that cannot be read is a row with its reason, and costs itself only. Four activities a
+    molecule wanted are asked for. Readers share one interval between requests; a retried task finds its responses in the cache.
     """
     from ..operators.background import contributions
 
-    every, failed = None, {}
-    for name, accession in accessions.items():
-        try:
-            target = records.resolve_target(targets(spark, base, accession, cache, offline), accession)
-            rows = activities(spark, base, target, list(types), per_source * 4, cache, offline).select(F.lit(name).alias("source"), F.col("molecule_chembl_id").alias("molecule_id"), F.col("canonical_smiles").alias("smiles"), F.monotonically_increasing_id().alias("seq"))
-            rows = rows.cache()
-            rows.count()
-        except Exception as problem:  # noqa: BLE001  whatever the service or its answers have, the other targets go on
-            failed[name] = str(problem).split("\n")[0][:120]
-            continue
-        every = rows if every is None else every.unionByName(rows)
-    if every is None:
-        every = spark.createDataFrame([], "source string, molecule_id string, smiles string, seq long")
-    kept, empty = contributions(every, per_source, [n for n in accessions if n not in failed])
-    return kept, empty.unionByName(spark.createDataFrame(list(failed.items()), "source string, reason string"))
+    limit = per_source * 4
+    wanted = spark.createDataFrame([(i % parallel, n, a) for i, (n, a) in enumerate(accessions.items())], "reader int, source string, accession string")
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, paces = Cache(cache), {}
+        for pdf in parts:
+            for reader, name, accession in zip(pdf["reader"], pdf["source"], pdf["accession"]):
+                pace = paces.setdefault(reader, paged.Pace(int(reader), parallel))
+                rows, reason = [], None
+                try:
+                    target = _single(get(f"{base}/target.json?target_components__accession={accession}&limit=50&offset=0", held, offline, pace=pace), accession)
+                    address = f"{base}/activity.json?target_chembl_id={target}&standard_type__in={','.join(types)}&canonical_smiles__isnull=false"
+                    for offset, size in paged.pages(limit, limit, page):
+                        found = get(f"{address}&limit={size}&offset={offset}", held, offline, pace=pace).get("activities", [])
+                        rows += [(name, x.get("molecule_chembl_id"), x.get("canonical_smiles"), offset + k, None) for k, x in enumerate(found)]
+                        if len(found) < size:  # a short page is the last
+                            break
+                except Exception as problem:  # noqa: BLE001  whatever the service or its answers have, the other targets go on
+                    rows, reason = [], str(problem).split("\n")[0][:120]
+                yield pd.DataFrame(rows if reason is None else [(name, None, None, None, reason)], columns=["source", "molecule_id", "smiles", "seq", "reason"], dtype=object)
+
+    found = cut(wanted.repartition(parallel, "reader").mapInPandas(scan, "source string, molecule_id string, smiles string, seq long, reason string"))
+    failed = found.where("reason IS NOT NULL").select("source", "reason")
+    names = [n for n in accessions if n not in {r["source"] for r in failed.collect()}]  # a row a failed target
+    kept, empty = contributions(found.where("reason IS NULL").drop("reason"), per_source, names)
+    return kept, empty.unionByName(failed)
+
+
+def _single(payload: dict, accession: str) -> str:
+    """The one single-protein target of an answer."""
+    ids = {t.get("target_chembl_id") for t in payload.get("targets", []) if t.get("target_type") == "SINGLE PROTEIN"}
+    if len(ids) != 1:
+        raise records.TargetError(f"{len(ids) or 'no'} single-protein target{'s' * (len(ids) != 1)} for {accession}")
+    return ids.pop()

@@ -1,8 +1,10 @@
 """A Python data source over an offset-paginated JSON service, with a response cache.
 
-Executors fetch pages; how many of them at once is the option `parallel` (1), since the service's interval between requests is
-kept by each. Responses are kept as gzipped JSON named by the hash of their address, in a folder that all executors must share; a
-corrupt entry is a miss, and offline reads fail on a miss. Filters on columns named in the option `push` reach the address.
+Executors fetch pages, `parallel` (1) of them at once. The service's interval between requests holds for all of them together: each reader gets
+its own of `parallel` time slots, that far apart, when partitions are dealt. Responses are kept as gzipped JSON named by the hash of
+their address, in a folder that all executors must share; a corrupt entry is a miss, and offline reads fail on a miss. Filters on columns
+named in the option `push` reach the address. Hits and misses are carried out as rows: a column `_request` tells where a row's
+page came from, and request_counts() counts them.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
 PAGE, INTERVAL, BACKOFF = 1000, 0.34, (1, 2, 4, 8)
+#: a column of a schema that gets where a row came from: hit or miss of the cache, and which request of its reader it was
+REQUEST = "_request"
 
 
 class SourceError(RuntimeError):
@@ -48,11 +52,6 @@ class Cache:
         self.misses += 1
         return None
 
-    def describe(self) -> str:
-        """What this reader's cache did: each task has its own counts."""
-        n = self.hits + self.misses
-        return f"{self.hits} of {n} responses from the cache" if n else "no requests"
-
     def put(self, url: str, value) -> None:
         if self.folder:
             os.makedirs(self.folder, exist_ok=True)
@@ -62,16 +61,32 @@ class Cache:
             os.replace(temporary, self.path(url))
 
 
-def get(url: str, cache: Cache, offline: bool = False, fetch: Callable[[str], tuple[int, str]] | None = None, sleep: Callable[[float], None] = time.sleep) -> dict:
-    """One response: cached, or fetched with retries on 429, server errors, broken connections and bodies that are not JSON."""
+class Pace:
+    """The time slots of one of several readers: `step` seconds apart, the first after `lag`. Together they keep one interval."""
+
+    def __init__(self, reader: int = 0, readers: int = 1, interval: float = INTERVAL, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.step, self.clock, self.sleep = interval * readers, clock, sleep
+        self.next = clock() + interval * (reader + 1)
+
+    def wait(self) -> None:
+        now = self.clock()
+        if self.next > now:
+            self.sleep(self.next - now)
+        self.next = max(self.next, now) + self.step
+
+
+def get(url: str, cache: Cache, offline: bool = False, fetch: Callable[[str], tuple[int, str]] | None = None, sleep: Callable[[float], None] = time.sleep, pace: Pace | None = None) -> dict:
+    """One response: cached, or fetched in a time slot, with retries on 429, server errors, broken connections and bodies that are not JSON."""
     found = cache.get(url)
     if found is not None:
         return found
     if offline:
         raise SourceError(f"not in the cache, and offline: {url}")
-    last = ""
-    for wait in (INTERVAL, *BACKOFF):
-        sleep(wait)
+    last, pace = "", pace or Pace(sleep=sleep)
+    for wait in (0, *BACKOFF):
+        if wait:
+            sleep(wait)
+        pace.wait()
         try:
             status, body = (fetch or _http)(url)
         except OSError as problem:
@@ -106,10 +121,10 @@ def pages(limit: int, total: int, page: int = PAGE) -> list[tuple[int, int]]:
 
 
 class Page(InputPartition):
-    """Pages (offset, size) that one task fetches, one after the other."""
+    """Pages (offset, size) that one task fetches, one after the other, in the time slots of one of so many readers."""
 
-    def __init__(self, parts: list[tuple[int, int]]):
-        self.parts = parts
+    def __init__(self, parts: list[tuple[int, int]], reader: int = 0, readers: int = 1):
+        self.parts, self.reader, self.readers = parts, reader, readers
 
 
 class PagedReader(DataSourceReader):
@@ -125,20 +140,24 @@ class PagedReader(DataSourceReader):
         terms = urllib.parse.urlencode([*sorted(self.terms), ("limit", size), ("offset", offset)], safe=",")
         return f"{base}{'&' if '?' in base else '?'}{terms}"
 
-    def _get(self, offset: int, size: int) -> dict:
-        return get(self.url(offset, size), Cache(self.options.get("cache")), self.options.get("offline", "false") == "true")
+    def _get(self, offset: int, size: int, cache: Cache | None = None, pace: Pace | None = None) -> dict:
+        return get(self.url(offset, size), cache or Cache(self.options.get("cache")), self.options.get("offline", "false") == "true", pace=pace)
 
     def partitions(self):
         first = self._get(0, min(self.page, self.limit))
         total = (first.get("page_meta") or {}).get("total_count", len(first.get(self.key, [])))
         every = pages(self.limit, int(total), self.page)
-        return [Page(every[k :: self.parallel]) for k in range(min(self.parallel, len(every)))]
+        readers = min(self.parallel, len(every))
+        return [Page(every[k::readers], k, readers) for k in range(readers)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
+        cache, pace = Cache(self.options.get("cache")), Pace(partition.reader, partition.readers)
         for offset, size in partition.parts:
-            rows = self._get(offset, size).get(self.key, [])
+            before = cache.hits
+            rows = self._get(offset, size, cache, pace).get(self.key, [])
+            request = f"{'hit' if cache.hits > before else 'miss'} {offset}"
             for row in rows:
-                yield tuple(_value(row.get(f.name)) for f in self.schema)
+                yield tuple(request if f.name == REQUEST else _value(row.get(f.name)) for f in self.schema)
             if len(rows) < size:  # a short page is the last
                 return
 
@@ -186,6 +205,13 @@ def paged(spark: SparkSession, address: str, schema: str, key: str, push: dict[s
     return spark.read.format("paged").schema(schema).options(**options).load(address)
 
 
+def request_counts(rows: DataFrame) -> DataFrame:
+    """One row of what rows with a column `_request` say: n_requests that gave rows, n_hits of the cache, hit_rate (NULL of none)."""
+    each = rows.select(REQUEST).where(F.col(REQUEST).isNotNull()).distinct()
+    out = each.agg(F.count("*").alias("n_requests"), F.count_if(F.startswith(REQUEST, F.lit("hit"))).alias("n_hits"))
+    return out.withColumn("hit_rate", F.try_divide(F.col("n_hits").cast("double"), F.col("n_requests")))
+
+
 def batches(ids: DataFrame, column: str, size: int = 50) -> DataFrame:
     """(batch, ids) of the distinct, non-null ids in their order, `size` to a batch."""
     from ..operators.ranking import running_total
@@ -202,13 +228,19 @@ def batched_lookup(ids: DataFrame, column: str, address: str, parameter: str, ke
     cell = lambda x, kind: None if x is None else str(_value(x)) if kind == "string" else _value(x)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = Cache(cache)
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        held, pace = Cache(cache), Pace(context.partitionId() % parallel if context else 0, parallel)
         for pdf in parts:
             found: dict = {}
-            for some in pdf["ids"]:
-                for row in get(f"{address}?{parameter}={','.join(some)}&limit={size}&offset=0", held, offline).get(key, []):
+            for batch, some in zip(pdf["batch"], pdf["ids"]):
+                before = held.hits
+                answer = get(f"{address}?{parameter}={','.join(some)}&limit={size}&offset=0", held, offline, pace=pace).get(key, [])
+                request = f"{'hit' if held.hits > before else 'miss'} {batch}"
+                for row in answer:
                     if row.get(id_field):
-                        found[str(row[id_field])] = row
+                        found[str(row[id_field])] = {**row, REQUEST: request}
             yield pd.DataFrame([[cell(r.get(n), kind) for n, kind in fields] for r in found.values()], columns=names, dtype=object)
 
     return batches(ids, column, size).repartition(parallel).mapInPandas(run, schema)
