@@ -399,3 +399,28 @@ def test_model_is_kept_with_its_domain(spark, tmp_path, monkeypatch):
     assert PipelineModel.load(str(tmp_path / "fitted")).transform(test).count() == 75
     with pytest.raises(modelling.LabelError):
         modelling.predict(modelling.fit(train, "ridge", with_domain=False), test)
+
+
+def test_groups_are_kept_apart(spark):
+    rng = np.random.default_rng(3)
+    a = [(i, f"g{i % 3}", *map(float, rng.normal(size=3) * 10)) for i in range(60)]
+    b = [(100 + i, f"g{i % 2}", *map(float, rng.normal(size=3) * 10)) for i in range(50)] + [(900, None, 0.0, 0.0, 0.0)]
+    schema = "ix long, grp string, x double, y double, z double"
+    got = {r["grp"]: r["rmsd"] for r in structure.nearest_rmsd(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), "grp").collect()}
+    for g in ("g0", "g1"):
+        d = [min(sum((p - q) ** 2 for p, q in zip(x[2:], y[2:])) for y in b if y[1] == g) for x in a if x[1] == g]
+        assert abs(got[g] - (sum(d) / len(d)) ** 0.5) < 1e-9
+    assert set(got) == {"g0", "g1"}
+
+
+def test_rejections_keep_first_seen_order(spark):
+    rows = spark.createDataFrame([(3, "b"), (1, "c"), (2, "a"), (4, "c"), (5, "b"), (9, "a")], "seq long, rule string")
+    assert [tuple(r) for r in curate.summary(rows).collect()] == [("c", 2), ("a", 2), ("b", 2)]
+
+
+def test_prevalence_counts_what_rows_have(spark):
+    from veriflume.operators import features
+
+    rows = spark.createDataFrame([({"a": 2, "b": 0},), ({"a": 1, "c": 5},), (None,), ({},)], "counts map<string,int>")
+    assert {tuple(r) for r in features.prevalence(rows, ["a", "b", "z"]).collect()} == {("a", 2 / 3, 3), ("b", 0.0, 3), ("z", 0.0, 3)}
+    assert {tuple(r) for r in features.prevalence(rows.where("false"), ["a"]).collect()} == {("a", 0.0, 0)}

@@ -160,9 +160,10 @@ def accounting(records: DataFrame, policy: CurationPolicy = CurationPolicy(), ag
     return out.withColumn("retention", F.try_divide(F.col("n_input") - F.col("n_rejected"), F.col("n_input"))).withColumn("balanced", F.col("n_kept_measurements") + F.col("n_rejected") == F.col("n_input"))
 
 
-def summary(rejections: DataFrame) -> DataFrame:
-    """(rule, n), the most frequent first."""
-    return rejections.groupBy("rule").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rule")
+def summary(rejections: DataFrame, seq: str = "seq") -> DataFrame:
+    """(rule, n), the most frequent first, ties by which rule was met first in the records' order."""
+    first = F.min(seq) if seq in rejections.columns else F.min("rule")
+    return rejections.groupBy("rule").agg(F.count("*").alias("n"), first.alias("__first")).orderBy(F.desc("n"), "__first", "rule").drop("__first")
 
 
 def in_order(points: DataFrame, key: str = "compound_id") -> DataFrame:

@@ -9,10 +9,15 @@ PREVALENT, RATIO, DISCRIMINATING, MIN_BACKGROUND, MIN_ACTIVES = 0.8, 1.5, 3.0, 1
 
 
 def prevalence(df: DataFrame, features: list[str], counts: str = "counts") -> DataFrame:
-    """(feature, prevalence, n): share of parseable rows (counts not NULL) with the feature; absent features are there with 0."""
+    """(feature, prevalence, n): share of parseable rows (counts not NULL) with the feature; absent features are there with 0.
+
+    Rows are exploded into the features that they have, once, and those are counted: what a row costs is what it has.
+    """
     parsed = df.where(F.col(counts).isNotNull())
-    wide = parsed.agg(F.count("*").alias("n"), *[F.avg(F.when(F.coalesce(F.try_element_at(counts, F.lit(f)), F.lit(0)) > 0, 1.0).otherwise(0.0)).alias(f"f{i}") for i, f in enumerate(features)])
-    return wide.select("n", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.coalesce(f"f{i}", F.lit(0.0)).alias("prevalence")) for i, f in enumerate(features)])).alias("x")).select("x.feature", "x.prevalence", "n")
+    total = parsed.agg(F.count("*").alias("n"))
+    having = parsed.select(F.explode(F.map_keys(F.map_filter(counts, lambda k, v: v > 0))).alias("feature")).groupBy("feature").agg(F.count("*").alias("k"))
+    names = F.broadcast(df.sparkSession.createDataFrame([(f,) for f in features], "feature string"))
+    return names.join(having, "feature", "left").crossJoin(F.broadcast(total)).select("feature", F.coalesce(F.try_divide(F.coalesce("k", F.lit(0)).cast("double"), F.col("n")), F.lit(0.0)).alias("prevalence"), "n")  # a row a feature, and one
 
 
 def profile(actives: DataFrame, background: DataFrame | None = None, threshold: float = PREVALENT, ratio: float = RATIO) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .similarity import every_pair
+
 # What each kind of work needs at least.
 MINIMUM = {"records": 100, "points": 100, "actives": 20, "decoys": 10, "per_group": 5}
 
@@ -45,9 +47,12 @@ def usable_structures(atoms: DataFrame, ligands: DataFrame, chains: DataFrame) -
 
 
 def cross_pairs(receptors: DataFrame, ligands: DataFrame, transforms: DataFrame) -> DataFrame:
-    """(receptor, ligand, allowed): every ordered pair; off the diagonal a trusted transform is needed. Sets of structures are small."""
+    """(receptor, ligand, allowed): every ordered pair, which is what is asked for; off the diagonal a trusted transform is needed.
+
+    Ligands are broadcast up to a checked number, else dealt to blocks.
+    """
     trusted = transforms.where("trusted").select("receptor", "ligand").withColumn("t", F.lit(True))
-    pairs = receptors.select(F.col("structure_id").alias("receptor")).crossJoin(F.broadcast(ligands.select(F.col("structure_id").alias("ligand"))))
+    pairs = every_pair(receptors.select(F.col("structure_id").alias("receptor")), ligands.select(F.col("structure_id").alias("ligand")))
     return pairs.join(trusted, ["receptor", "ligand"], "left").select("receptor", "ligand", ((F.col("receptor") == F.col("ligand")) | F.coalesce("t", F.lit(False))).alias("allowed"))
 
 

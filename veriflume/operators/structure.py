@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .knn import nearest
+from .ranking import running_total
 
 MIN_LIGAND_ATOMS, BLIND_EDGE, MIN_EDGE, PLANAR = 8, 30.0, 12.0, 2.0
 #: names of residues of proteins (fixed values)
@@ -206,11 +208,24 @@ def rmsd(a: DataFrame, b: DataFrame, on: str = "ix") -> DataFrame:
     return both.agg(F.count_if(F.col(f"a.{on}").isNull() | F.col(f"b.{on}").isNull()).alias("odd"), F.sqrt(F.avg(d2)).alias("r"), F.count(F.lit(1)).alias("n")).select("n", F.when(F.col("odd") == 0, F.col("r")).alias("rmsd"))
 
 
-def nearest_rmsd(reference: DataFrame, points: DataFrame) -> DataFrame:
-    """Deviation of each reference point from its nearest point, in whatever order."""
-    at = lambda df: df.select(F.col("ix").alias("id"), F.array(*[F.col(c).cast("double") for c in "xyz"]).alias("features"))
-    near = nearest(at(reference), at(points), 1)
-    return near.select(F.get("near", F.lit(0))["d"].alias("d")).agg(F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmsd"))
+def nearest_rmsd(reference: DataFrame, points: DataFrame, by: str | None = None) -> DataFrame:
+    """Deviation of each reference point from its nearest point, in whatever order; by: of each group from the points of its own.
+
+    Groups are kept apart by a coordinate of their own, further than any two points are from each other, so that all of them take one join.
+    Points without a group are left out, and so are groups that have no points.
+    """
+    if by is None:
+        at = lambda df: df.select(F.col("ix").alias("id"), F.array(*[F.col(c).cast("double") for c in "xyz"]).alias("features"))
+        near = nearest(at(reference), at(points), 1)
+        return near.select(F.get("near", F.lit(0))["d"].alias("d")).agg(F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmsd"))
+    far = 4 * sum((max(abs(v) for v in r) if (r := df.agg(*[f(c).cast("double") for c in "xyz" for f in (F.min, F.max)]).first())[0] is not None else 0.0) for df in (reference, points)) + 1
+    groups = points.select(by).where(F.col(by).isNotNull()).distinct()
+    placed = running_total(groups, [by], out="__g")
+    at = lambda df: df.join(placed, by).select(F.col("ix").alias("id"), by, F.array(*[F.col(c).cast("double") for c in "xyz"], F.col("__g") * F.lit(float(far))).alias("features"))
+    mine = at(reference)
+    d = F.get("near", F.lit(0))["d"]
+    return nearest(mine, at(points), 1).join(mine.select("id", by), "id").groupBy(by).agg(F.sqrt(F.avg(d * d)).alias("rmsd"))
+
 
 def within(points: DataFrame, centre: tuple[float, float, float], radius: float) -> DataFrame:
     d2 = sum(((F.col(c) - v) * (F.col(c) - v) for c, v in zip("xyz", centre)), F.lit(0.0))
@@ -261,11 +276,10 @@ def redock(crystal: DataFrame, poses: DataFrame, limit: float = 2.0) -> DataFram
     crystal atom against its nearest one: a lower bound, for telling a hit from a miss. No pose or no points: rmsd is NULL, not passed.
     """
     top = poses.groupBy("ligand").agg(F.min_by(F.struct("score", "points", "error"), "rank").alias("p")).select("ligand", "p.*")
-    met = crystal.join(top, "ligand")
-    gap = lambda p: sum(((F.col(c) - p[c]) * (F.col(c) - p[c]) for c in "xyz"), F.lit(0.0))
-    near = met.withColumn("d2", F.array_min(F.transform("points", gap)))  # a pose's atoms against one crystal atom, in its own row
-    per = near.groupBy("ligand").agg(F.when(F.count("d2") == F.count("*"), F.sqrt(F.avg("d2"))).alias("rmsd"), F.count("*").alias("n"))
-    out = top.join(per, "ligand", "left")
+    docked = top.select("ligand", F.posexplode("points")).select("ligand", F.monotonically_increasing_id().alias("ix"), "col.x", "col.y", "col.z")  # ids of one use
+    size = crystal.groupBy("ligand").agg(F.count("*").alias("n"))
+    ix = crystal.select(F.struct("ligand", "ix").alias("ix"), "ligand", "x", "y", "z")
+    out = top.join(nearest_rmsd(ix, cut(docked), "ligand"), "ligand", "left").join(size, "ligand", "left")
     detail = F.coalesce("error", F.when(F.coalesce(F.size("points"), F.lit(0)) <= 0, "the top pose has no atoms"), F.concat(F.size("points").cast("string"), F.lit(" docked atoms against "), F.col("n").cast("string")))
     return out.select("ligand", "rmsd", "score", F.coalesce(F.col("rmsd") < limit, F.lit(False)).alias("passed"), detail.alias("detail"))
 

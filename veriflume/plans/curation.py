@@ -116,14 +116,16 @@ def rejection_summary(spark, d):
     return curate.summary(curate.curate(activity(spark, d))[1])
 
 
-DETAIL = f"CASE rule WHEN 'missing_structure' THEN 'no structure is given' WHEN 'low_target_confidence' THEN CASE WHEN confidence_score IS NULL THEN 'no confidence score' ELSE 'confidence ' || confidence_score || ' is under 8' END WHEN 'wrong_assay_type' THEN 'assay type ' || chr(39) || assay_type || chr(39) || ' is none of B, F' WHEN 'incommensurable_endpoint' THEN 'family ' || chr(39) || family || chr(39) || ' is none of functional' WHEN 'source_flagged_invalid' THEN 'the source says ' || chr(39) || data_validity_comment || chr(39) WHEN 'potential_duplicate' THEN 'the source takes it for a repeated measurement' WHEN 'censored_measurement' THEN 'relation ' || chr(39) || relation || chr(39) || ' is a bound, not a value' WHEN 'unconvertible_value' THEN {REFUSAL} END"
+DETAIL = f"CASE rule WHEN 'missing_structure' THEN 'no structure is given' WHEN 'low_target_confidence' THEN CASE WHEN confidence_score IS NULL THEN 'no confidence score' ELSE 'confidence ' || confidence_score || ' is under 8' END WHEN 'wrong_assay_type' THEN 'assay type ' || chr(39) || assay_type || chr(39) || ' is none of B, F' WHEN 'incommensurable_endpoint' THEN 'family ' || chr(39) || family || chr(39) || ' is none of functional' WHEN 'source_flagged_invalid' THEN 'the source says ' || chr(39) || data_validity_comment || chr(39) WHEN 'potential_duplicate' THEN 'the source takes it for a repeated measurement' WHEN 'censored_measurement' THEN 'relation ' || chr(39) || relation || chr(39) || ' is a bound, not a value' WHEN 'unconvertible_value' THEN {REFUSAL} WHEN 'implausible_pactivity' THEN printf('pActivity %.2f is not within 2.0 to 12.0', p) WHEN 'pchembl_disagreement' THEN printf('pActivity %.2f, but %.2f by the source', p, pchembl_value) END"
 
 
-@query(f"WITH {RULED} SELECT rule, {DETAIL} AS detail, count(*) AS n FROM ruled WHERE rule NOT IN ('implausible_pactivity', 'pchembl_disagreement') GROUP BY ALL")
+APART = "printf('%d measurements lie %.2f log units apart, over 1.0', n_measurements, spread)"
+
+
+@query(f"WITH {RULED}, d AS (SELECT rule, {DETAIL} AS detail FROM ruled WHERE rule IS NOT NULL UNION ALL SELECT 'irreconcilable_replicates', {APART} FROM ruled r JOIN grp g USING (compound_id, target_id) WHERE r.rule IS NULL AND g.spread > 1) SELECT rule, detail, count(*) AS n FROM d GROUP BY ALL")
 def rejection_details(spark, d):
-    """Details of the rules whose words hold no computed number."""
-    r = curate.curate(activity(spark, d))[1].where("rule NOT IN ('implausible_pactivity', 'pchembl_disagreement', 'irreconcilable_replicates')")
-    return r.groupBy("rule", "detail").agg(F.count("*").alias("n"))
+    """Every rejected record's rule in words."""
+    return curate.curate(activity(spark, d))[1].groupBy("rule", "detail").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {RULED}, pts AS (SELECT target_id, compound_id, med FROM grp WHERE spread <= 1) SELECT count(*) FILTER (WHERE med >= 8) AS n_active, count(*) FILTER (WHERE med <= 5.5) AS n_decoy_pool, count(*) FILTER (WHERE med <= 6) AS n_background FROM pts")
@@ -185,9 +187,9 @@ def quantity_label(spark, d):
     return _quantities(spark, d).groupBy(Q.label(F.col("q")).alias("label")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {ACTIVITY_CTE} SELECT assay_id, assay_type, confidence_score, count(*) AS n FROM (SELECT a.assay_id, CASE WHEN s.s_suppkey % 2 = 0 THEN 'F' ELSE a.assay_type END AS assay_type, s.conf AS confidence_score FROM activity a LEFT JOIN (SELECT concat('A', s_suppkey) AS aid, s_suppkey, (s_suppkey % 9 + 1)::INT AS conf FROM supplier WHERE s_suppkey < 40) s ON a.assay_id = s.aid) GROUP BY ALL")
+@query(f"WITH {ACTIVITY_CTE} SELECT assay_id, assay_type, confidence_score, count(*) AS n FROM (SELECT a.assay_id, CASE WHEN s.s_suppkey % 2 = 0 THEN 'F' ELSE a.assay_type END AS assay_type, s.conf AS confidence_score FROM activity a LEFT JOIN (SELECT concat('A', s_suppkey) AS aid, s_suppkey, (s_suppkey % 9 + 1)::INT AS conf FROM supplier) s ON a.assay_id = s.aid) GROUP BY ALL")
 def assay_left_join(spark, d):
-    assays = table(spark, d, "supplier").where("s_suppkey < 40").select(F.concat(F.lit("A"), F.col("s_suppkey").cast("string")).alias("assay_id"), F.when(F.col("s_suppkey") % 2 == 0, "F").alias("assay_type"), (F.col("s_suppkey") % 9 + 1).cast("int").alias("confidence_score"))
+    assays = table(spark, d, "supplier").select(F.concat(F.lit("A"), F.col("s_suppkey").cast("string")).alias("assay_id"), F.when(F.col("s_suppkey") % 2 == 0, "F").alias("assay_type"), (F.col("s_suppkey") % 9 + 1).cast("int").alias("confidence_score"))
     return records.assemble(activity(spark, d), assays).groupBy("assay_id", "assay_type", "confidence_score").agg(F.count("*").alias("n"))
 
 
