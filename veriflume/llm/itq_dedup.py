@@ -1,9 +1,10 @@
 """Near-duplicate embeddings: iterative quantisation, multi-index Hamming tables, exact reranking.
 
 A rotation of the principal axes that balances binary codes is learned on a bounded sample. Codes are cut into chunks; each
-chunk is a hash table over all vectors, keyed with the label. What goes through the tables are ids and codes: two vectors that
-share a bucket are candidates when their whole codes differ in few enough bits, in the first table they meet in. Only vectors
-with a candidate are then fetched, once for each table that they have one in, and compared by their original components.
+chunk is a hash table over all vectors, keyed with the label. What goes through the tables are ids and the first 64 bits of the
+codes: two vectors that share a bucket are candidates when these differ in few enough bits. Only vectors with a candidate are then
+fetched, once for each table that they have one in, and compared by their original components; a pair counts in the first table that
+it shares a bucket of, which the codes of the fetched vectors tell.
 
 Two vectors at angle t differ in a bit with probability t/pi for random planes: enough chunks are used to miss a pair at the
 threshold with probability MISS at most, and the Hamming radius lies SIGMAS deviations above its mean distance. Learned planes
@@ -50,6 +51,11 @@ def shape_of(n_largest: int, dims: int, cosine: float = COSINE, miss: float = MI
     return bits, tables, -(-tables // max(1, dims // bits))
 
 
+def sent(n_largest: int, dims: int, cosine: float = COSINE) -> int:
+    """Bytes of a vector that go through the tables: id, label, dimensions, table, key and digest of 64 bits for each."""
+    return shape_of(n_largest, dims, cosine)[1] * (8 + 4 + 4 + 4 + 4 + 8)
+
+
 def unit(vectors) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of length 1 in double precision, and which are usable (equal lengths are the caller's affair)."""
     x = np.array(vectors, np.float64)
@@ -91,7 +97,7 @@ def _fresh(unit: dict[str, np.ndarray]) -> np.ndarray:
     n, table = len(unit["vec_id"]), int(unit["table"][0])
     mine = ~np.eye(n, dtype=bool)
     if table:
-        keys = _matrix(unit["keys"], "<i4")[:, :table]
+        keys = unit["keys"]
         for t in range(table):
             mine &= keys[:, t][:, None] != keys[:, t][None, :]
     if unit["i"][0] != unit["j"][0]:
@@ -125,56 +131,61 @@ def links(vectors: DataFrame, wide: int, cosine: float = COSINE) -> tuple[DataFr
         plans[d] = (bits, tables, [learn(x, s) for s in range(rotations)])
     shared = spark.sparkContext.broadcast(plans)
 
+    def coded(x: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """(keys of all tables, the first 64 bits of the code) of unit vectors."""
+        bits, tables, maps = shared.value[d]
+        on, per = np.concatenate([x @ m >= 0 for m in maps], 1), max(1, d // bits)
+        keys = np.empty((len(x), tables), "<i4")
+        for t in range(tables):
+            part = on[:, (t // per) * d + (t % per) * bits :][:, : min(bits, d)]
+            keys[:, t] = part @ (1 << np.arange(part.shape[1]))
+        head = on[:, :64]
+        return keys, np.packbits(np.pad(head, ((0, 0), (0, 64 - head.shape[1]))), axis=1).view("<i8")[:, 0]
+
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            dims, keys_of, code_of = np.array([len(v) // wide for v in pdf["embedding"]]), np.empty(len(pdf), object), np.empty(len(pdf), object)
+            dims = np.array([len(v) // wide for v in pdf["embedding"]])
             for d in np.unique(dims):
                 rows = np.flatnonzero(dims == d)
-                bits, tables, maps = shared.value[d]
-                x, per = unit(_matrix(pdf["embedding"].iloc[rows], kind))[0], max(1, d // bits)
-                on = np.concatenate([x @ m >= 0 for m in maps], 1)
-                keys = np.empty((len(rows), tables), "<i4")
-                for t in range(tables):
-                    part = on[:, (t // per) * d + (t % per) * bits :][:, : min(bits, d)]
-                    keys[:, t] = part @ (1 << np.arange(part.shape[1]))
-                code = np.packbits(np.pad(on, ((0, 0), (0, -on.shape[1] % 64))), axis=1)
-                for i, k, c in zip(rows, keys, code):
-                    keys_of[i], code_of[i] = k.tobytes(), c.tobytes()
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "label": pdf["label"], "d": dims.astype(np.int32), "keys": keys_of, "code": code_of})
+                keys, digest = coded(unit(_matrix(pdf["embedding"].iloc[rows], kind))[0], d)
+                for t in range(keys.shape[1]):
+                    yield pd.DataFrame({"vec_id": pdf["vec_id"].iloc[rows], "label": pdf["label"].iloc[rows], "d": np.int32(d), "table": np.int32(t), "key": keys[:, t], "digest": digest})
 
     label = f"label {vectors.schema['label'].dataType.simpleString()}"
-    coded = cut(vectors.select("vec_id", "label", "embedding").mapInPandas(trimmed(encode), f"vec_id long, {label}, d int, keys binary, code binary"))
-    # the little-endian 32-bit keys, one a table
-    n_tables = F.sequence(F.lit(0), (F.octet_length("keys") / 4).cast("int") - 1)
-    spread = coded.select("*", F.explode(n_tables).alias("table")).withColumn("key", F.substring("keys", F.col("table") * 4 + 1, F.lit(4)))
-
-    columns = ["vec_id", "d", "label", "table", "key", "keys"]
+    columns = ["vec_id", "d", "label", "table", "key"]
+    spread = cut(vectors.select("vec_id", "label", "embedding").mapInPandas(trimmed(encode), f"vec_id long, {label}, d int, table int, key int, digest long"))
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, held = [], 0
         for unit in grouped_arrays(batches, [*UNIT, "i", "j"]):
-            d = int(unit["d"][0])
-            near = hamming(_matrix(unit["code"], "<u8")) <= radius_of(d * len(shared.value[d][2]), cosine)
-            if near.sum() > len(near):
-                some = np.flatnonzero((near & _fresh(unit)).any(1))
-                if len(some):
-                    out.append({c: unit[c][some] for c in columns})
-                    held += len(some)
+            near = hamming(unit["digest"].view(np.uint64)[:, None]) <= radius_of(min(64, int(unit["d"][0])), cosine)
+            np.fill_diagonal(near, False)
+            if unit["i"][0] != unit["j"][0]:
+                near &= unit["block"][:, None] != unit["block"][None, :]
+            some = np.flatnonzero(near.any(1))
+            if len(some):
+                out.append({c: unit[c][some] for c in columns})
+                held += len(some)
             if held > 20_000:
                 yield pd.DataFrame({c: np.concatenate([x[c] for x in out]) for c in columns})
                 out, held = [], 0
         if out:
             yield pd.DataFrame({c: np.concatenate([x[c] for x in out]) for c in columns})
 
-    met = _dealt(spread).mapInPandas(trimmed(candidates), f"vec_id long, d int, {label}, table int, key binary, keys binary").distinct()
+    met = _dealt(spread).mapInPandas(trimmed(candidates), f"vec_id long, d int, {label}, table int, key int").distinct()
     opened = cut(met).join(vectors.select("vec_id", "embedding", "n"), "vec_id")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, edges = [], []
         for group in grouped_arrays(batches, [*UNIT, "i", "j"]):
             x = unit(_matrix(group["embedding"], kind))[0]
-            ids, near = group["vec_id"], (x @ x.T >= cosine) & _fresh(group)
-            n = near @ group["n"]
+            near = x @ x.T >= cosine
+            if near.sum() > len(near):  # keys are cut from the vectors that are here, not sent
+                group["keys"] = coded(x, int(group["d"][0]))[0] if group["table"][0] else None
+                near &= _fresh(group)
+            else:
+                near[:] = False
+            ids, n = group["vec_id"], near @ group["n"]
             hit = np.flatnonzero(n)
             counts += [(x, None, n) for x, n in zip(ids[hit].tolist(), n[hit].tolist())]
             edges += [(int(ids[a]), int(ids[b]), None) for a, b in forest(near)]
