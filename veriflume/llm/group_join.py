@@ -91,6 +91,12 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def by_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+    """The rows of one bucket after the other, without the bucket, from batches sorted by it."""
+    for group in grouped(batches, ["bucket"]):
+        yield list(group.drop(columns="bucket").itertuples(index=False, name=None))
+
+
 def hot_tokens(docs: DataFrame, size: int, hot: int = HOT, kept: int = HOT_KEPT) -> tuple[np.ndarray, np.ndarray]:
     """(sorted tokens, binary logarithms of their counts) of tokens in `hot` documents at least (the `kept` most frequent).
 
@@ -124,16 +130,13 @@ def hot_tokens(docs: DataFrame, size: int, hot: int = HOT, kept: int = HOT_KEPT)
             yield flush()
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {}
-        for pdf in batches:
-            for b, t, n in zip(pdf["bucket"], pdf["tokens"], pdf["counts"]):
-                held.setdefault(b, []).append((np.frombuffer(t, np.uint64), np.frombuffer(zlib.decompress(n), np.uint32)))
-        for parts in held.values():
-            value, at = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([n for _, n in parts]), len(value))
+        for parts in by_bucket(batches):  # one at a time
+            tokens, counts = zip(*((np.frombuffer(t, np.uint64), np.frombuffer(zlib.decompress(n), np.uint32)) for t, n in parts))
+            value, at = np.unique(np.concatenate(tokens), return_inverse=True)
+            n = np.bincount(at, np.concatenate(counts), len(value))
             yield pd.DataFrame({"token": value[n >= hot].view(np.int64), "n": n[n >= hot].astype(np.int64)})
 
-    found = map_small(_texts(docs).select("text"), count, "bucket int, tokens binary, counts binary").repartition(buckets, "bucket").mapInPandas(trimmed(add), "token long, n long")
+    found = map_small(_texts(docs).select("text"), count, "bucket int, tokens binary, counts binary").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(trimmed(add), "token long, n long")
     got = found.orderBy(F.desc("n"), "token").limit(kept).toPandas()
     token = got["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
@@ -211,12 +214,12 @@ def matrix(docs: DataFrame, size: int, percent: int, hot: tuple[np.ndarray, np.n
             yield flush()
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {}
-        for pdf in batches:
-            for b, d in zip(pdf["bucket"], pdf["data"]):
-                n = len(d) // 13
-                held.setdefault(b, []).append((_unsix(d[: 6 * n]), _unsix(d[6 * n : 12 * n]), np.frombuffer(d, np.uint8, n, 12 * n)))
-        for parts in held.values():
+        def read(d: bytes) -> tuple[np.ndarray, ...]:
+            n = len(d) // 13
+            return _unsix(d[: 6 * n]), _unsix(d[6 * n : 12 * n]), np.frombuffer(d, np.uint8, n, 12 * n)
+
+        for held in by_bucket(batches):  # one at a time: the rest is still in the sorted exchange
+            parts = [read(d) for d, in held]
             token, group, band = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort((group, band, token))
             token, group, band = token[order], group[order], band[order].astype(np.int16)
@@ -245,7 +248,7 @@ def matrix(docs: DataFrame, size: int, percent: int, hot: tuple[np.ndarray, np.n
 
     made = cut(map_small(_texts(docs), build, "bucket int, data binary, doc_id long, n long, a long, b long, grp long"))
     info = made.where("data IS NULL").select("doc_id", "n", "a", "b", "grp")
-    pairs = made.where("data IS NOT NULL").select("bucket", "data").repartition(buckets, "bucket").mapInPandas(trimmed(pair), "g1 long, g2 long, shared long, low int")
+    pairs = made.where("data IS NOT NULL").select("bucket", "data").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(trimmed(pair), "g1 long, g2 long, shared long, low int")
     # sets of the lower band have so many tokens at least, and so share so many
     least = F.ceil(F.lit(percent / 100) * F.pow(F.lit(100 / percent), F.col("low")) - 1e-3) if step < math.inf else F.lit(1)
     need = F.least(F.lit(DEPTH), F.greatest(F.lit(1), least))
