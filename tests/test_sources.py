@@ -80,6 +80,20 @@ def test_pages_in_parallel(spark, tmp_path):
         assert sorted(r["id"] for r in df.collect()) == list(range(7)) and df.rdd.getNumPartitions() == n
 
 
+def test_search_is_a_request(spark, tmp_path):
+    import urllib.parse
+
+    terms = records.search_terms("P1", 2.0, 2)
+    assert [n["parameters"]["value"] for n in terms["query"]["nodes"]] == ["P1", "UniProt", 2.0] and terms["request_options"]["paginate"]["rows"] == 2
+    cache = paged.Cache(str(tmp_path))
+    address = lambda a: f"{BASE}/search?{urllib.parse.urlencode({'json': json.dumps(records.search_terms(a, 2.0, 2), sort_keys=True, separators=(',', ':'))})}"
+    cache.put(address("P1"), {"result_set": [{"identifier": "2ABC"}, {"identifier": "1XYZ"}, {"identifier": "9ZZZ"}]})
+    cache.put(address("P2"), {"result_set": None})
+    got = records.search_service(spark, f"{BASE}/search", ["P1", "P2", "P3"], 2.0, 2, str(tmp_path), True, 2).collect()
+    assert sorted((r["accession"], r["rank"], r["structure_id"]) for r in got if r["reason"] is None) == [("P1", 0, "2ABC"), ("P1", 1, "1XYZ")]
+    assert [(r["accession"], r["reason"].split(":")[0]) for r in got if r["reason"]] == [("P3", "not in the cache, and offline")]
+
+
 def test_readers_share_one_interval():
     """Four readers in slots of their own never send two requests within an interval of each other."""
     sent = []

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import urllib.parse
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .paged import Cache, Pace, SourceError, get
 from .sinks import write_cell
 
 
@@ -115,6 +121,41 @@ def search(catalogue: DataFrame, accession: str, method: str, max_resolution: fl
     return catalogue.where(hit).orderBy("resolution", "structure_id").limit(limit)
 
 
+# Attributes of the structure search service.
+SEARCHED = {"accession": "rcsb_polymer_entity_container_identifiers.reference_sequence_identifiers.database_accession", "database": "rcsb_polymer_entity_container_identifiers.reference_sequence_identifiers.database_name", "resolution": "rcsb_entry_info.resolution_combined"}
+
+
+def search_terms(accession: str, max_resolution: float, limit: int) -> dict:
+    """The search document of an accession's structures up to a resolution: three AND-ed terms, the best resolved first, so many of them."""
+    wanted = [("accession", "exact_match", accession), ("database", "exact_match", "UniProt"), ("resolution", "less_or_equal", max_resolution)]
+    nodes = [{"type": "terminal", "service": "text", "parameters": dict(zip(("attribute", "operator", "value"), (SEARCHED[k], how, v)))} for k, how, v in wanted]
+    order = {"sort_by": SEARCHED["resolution"], "direction": "asc"}
+    return {"query": {"type": "group", "logical_operator": "and", "nodes": nodes}, "return_type": "entry", "request_options": {"paginate": {"start": 0, "rows": limit}, "sort": [order]}}
+
+
+def search_service(spark: SparkSession, address: str, accessions: list[str], max_resolution: float, limit: int, cache: str | None = None, offline: bool = False, parallel: int = 1) -> DataFrame:
+    """(accession, rank, structure_id, reason): what the service answers for each accession, in its order; one that fails is a row with its reason.
+
+    Requests are GETs with the document in `json`, so that they have an address in the cache; readers share one interval.
+    """
+    wanted = spark.createDataFrame([(i % parallel, a) for i, a in enumerate(accessions)], "reader int, accession string")
+
+    def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, paces = Cache(cache), {}
+        for pdf in parts:
+            for reader, accession in zip(pdf["reader"], pdf["accession"]):
+                pace = paces.setdefault(reader, Pace(int(reader), parallel))
+                terms = json.dumps(search_terms(accession, max_resolution, limit), sort_keys=True, separators=(",", ":"))
+                try:
+                    hits = get(f"{address}?{urllib.parse.urlencode({'json': terms})}", held, offline, pace=pace).get("result_set") or []
+                    rows = [(accession, k, h["identifier"], None) for k, h in enumerate(hits[:limit])]
+                except (SourceError, KeyError, TypeError) as problem:
+                    rows = [(accession, None, None, str(problem).split("\n")[0][:120])]
+                yield pd.DataFrame(rows, columns=["accession", "rank", "structure_id", "reason"], dtype=object)
+
+    return wanted.repartition(parallel, "reader").mapInPandas(ask, "accession string, rank int, structure_id string, reason string")
+
+
 def flush(cell: DataFrame, path: str, name: str) -> None:
     """Writes one finished cell, so that a crash costs one; a cell that is written again replaces itself. See sinks."""
     write_cell(cell, path, name)
