@@ -243,7 +243,7 @@ def test_toxicity_without_gold(spark):
     labels = spark.read.parquet(f"{d}/labels.parquet")
     truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
     lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
-    got = [(r["score"], truth[r["doc_id"]]) for r in toxicity.judge(docs, labels, use_gold=False).collect() if r["held_out"] and r["doc_id"] in truth and lang[r["doc_id"]] == "en"]
+    got = [(r["score"], truth[r["doc_id"]]) for r in toxicity.judge(docs, labels.where("false")).collect() if r["held_out"] and r["doc_id"] in truth and lang[r["doc_id"]] == "en"]
     pos, neg = [s for s, y in got if y], [s for s, y in got if not y]
     assert np.mean([(p > n) + (p == n) / 2 for p in pos for n in neg]) > 0.9
 
@@ -289,6 +289,42 @@ def test_label_model_finds_the_good_voter():
     assert ((q > 0.5) == y).mean() > 0.95 and rate[0, 1] > 0.8 > rate[0, 0] and weight[1] < 0.6 < weight[0]
 
 
+def test_label_model_against_a_loop():
+    """Expectation and maximisation row by row, voter by voter, on few rows; some without a gold vote."""
+    rng = random.Random(5)
+    n, k = 40, 3
+    y = [rng.random() < 0.4 for _ in range(n)]
+    votes = [[int(rng.random() < (0.8 if y[i] else 0.1)), int(rng.random() < 0.5), int(rng.random() < (0.6 if y[i] else 0.3))] for i in range(n)]
+    gold = [None if i % 3 == 0 else int(y[i]) for i in range(n)]
+    start = [v[0] == 1 for v in votes]
+    q = [0.9 if (g if g is not None else s) else 0.05 for g, s in zip(gold, start)]
+    weight = [1.0] * k
+    for turn in range(toxicity.ROUNDS):
+        prior = {}
+        for told in (True, False):
+            mine = [q[i] for i in range(n) if (gold[i] is not None) == told]
+            prior[told] = (sum(mine) + 1) / (len(mine) + 2)
+        rate = [[(sum(r[i] * votes[i][j] for i in range(n)) + 0.5) / (sum(r) + 1) for r in ([1 - x for x in q], q)] for j in range(k)]
+        gs = [i for i in range(n) if gold[i] is not None]
+        grate = [(sum(r(i) * gold[i] for i in gs) + 0.5) / (sum(r(i) for i in gs) + 1) for r in (lambda i: 1 - q[i], lambda i: q[i])]
+        if turn % 4 == 2:
+            left = [[votes[i][j] - (q[i] * rate[j][1] + (1 - q[i]) * rate[j][0]) for j in range(k)] for i in range(n)]
+            cov = [[sum(r[a] * r[b] for r in left) / n for b in range(k)] for a in range(k)]
+            weight = [1 / max(1, sum(max(cov[a][b] / math.sqrt(cov[a][a] * cov[b][b]), 0) for b in range(k))) for a in range(k)]
+        new = []
+        for i in range(n):
+            p = prior[gold[i] is not None]
+            z = math.log(p / (1 - p))
+            for j in range(k):
+                z += weight[j] * (math.log(rate[j][1] / rate[j][0]) if votes[i][j] else math.log((1 - rate[j][1]) / (1 - rate[j][0])))
+            if gold[i] is not None:
+                z += math.log(grate[1] / grate[0]) if gold[i] else math.log((1 - grate[1]) / (1 - grate[0]))
+            new.append(1 / (1 + math.exp(-z)))
+        q = new
+    got, rates, weights = toxicity.label_model(np.array(votes, np.float32), np.array([np.nan if g is None else g for g in gold]), np.array(start))
+    assert np.allclose(got, q, atol=1e-4) and np.allclose(rates, rate, atol=1e-5) and np.allclose(weights, weight, atol=1e-5)
+
+
 # ---------------------------------------------------------------- 4 lines
 
 def brute_lines(texts, min_words=8):
@@ -426,6 +462,10 @@ def test_itq_recall_on_a_larger_table(spark):
     assert all(got[k] <= n for k, n in want.items()) and sum(got.values()) >= 0.97 * sum(want.values())
 
 
+def test_what_goes_through_the_tables_is_small():
+    assert itq_dedup.sent(1_000, 64) < 300 and itq_dedup.sent(10**6, 64) < 1_000 and itq_dedup.sent(10**8, 64) < 2_500
+
+
 def test_hamming_candidates():
     rng = np.random.default_rng(3)
     codes = rng.integers(0, 2**63, (30, 2), dtype=np.uint64)
@@ -755,6 +795,23 @@ def test_decontamination_against_brute_force(spark, limit):
     assert kept == {d for d in got if not got[d]["contaminated"]}
 
 
+def test_automaton_is_packed():
+    """A benchmark at the limit of one part takes tens of MB, not a GB: measured at a twentieth of it."""
+    import tracemalloc
+
+    rng = random.Random(1)
+    items = [(i, " ".join(f"w{rng.randrange(30_000)}" for _ in range(100))) for i in range(decontaminate.PASS_WORDS // 2_000)]
+    tracemalloc.start()
+    machine = decontaminate.Automaton(items)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size * 20 < 400e6, size
+    words = decontaminate.words_of(f"a b {items[7][1]} c {items[9][1]}")
+    hit, found = machine.find(words)
+    assert found == {7, 9} and sum(hit) == 200
+    assert decontaminate.automaton("x", items[:3], 10) is decontaminate.automaton("x", [], 10) is not decontaminate.automaton("y", items[:3], 10)
+
+
 def test_decontamination_of_megabyte_texts_in_parts(spark):
     """A benchmark of some megabytes in several parts against one automaton, on long texts."""
     rng = random.Random(12)

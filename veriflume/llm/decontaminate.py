@@ -2,24 +2,30 @@
 
 Patterns are the windows of benchmark items. A shift table over blocks of adjacent words says how far a
 search position can move without missing a window; only blocks that end some window (shift 0) open a
-suffix-hash bucket, whose windows are then compared word by word.
+suffix-hash bucket, whose windows are then compared word by word. Words are numbered, the shift table is an array of bytes by a hash of the
+block (blocks that share a place have the least of their shifts), windows are a sorted array of hashes: an automaton takes some
+30 bytes a benchmark word and the vocabulary, and stays in a worker from task to task.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep_rows, map_small, turn_to
+from .common import ROOT, cut, keep_rows, map_small, mix, turn_to
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
+#: of the first word's number in a block's hash
+SPREAD = 1_000_003
 #: benchmark words (of about eight bytes) in one automaton, which is what is broadcast at once; larger benchmarks are searched part
 #: by part, one automaton and one pass over the documents each, with the same result
 PASS_WORDS = 2_000_000
@@ -31,59 +37,108 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WuManber:
-    """Windows of one length: shift table, suffix-hash buckets and direct comparison."""
-
-    def __init__(self, length: int, block: int = 2):
-        self.length, self.block = length, min(block, length)
-        self.far = length - self.block + 1
-        self.shift: dict[tuple, int] = {}
-        self.bucket: dict[tuple, dict[tuple, set]] = {}
-
-    def add(self, window: tuple, item) -> None:
-        m, b = self.length, self.block
-        for end in range(b, m + 1):
-            key = window[end - b : end]
-            if m - end < self.shift.get(key, self.far):
-                self.shift[key] = m - end
-        self.bucket.setdefault(window[m - b :], {}).setdefault(window, set()).add(item)
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, set]]:
-        """(start, items) of every occurrence."""
-        m, b, far, n = self.length, self.block, self.far, len(words)
-        get, at = self.shift.get, m
-        while at <= n:
-            key = tuple(words[at - b : at])
-            step = get(key, far)
+    """Windows of one length: shift table, suffix-hash buckets and direct comparison, as sorted arrays."""
+
+    def __init__(self, length: int, items: list[tuple[int, list[int]]], block: int = 2):
+        """items: (item number, its words' numbers), `length` words at least each."""
+        self.length, self.block = m, b = length, min(block, length)
+        self.words = np.concatenate([np.array(w, np.int32) for _, w in items])
+        size = np.array([len(w) for _, w in items])
+        first = np.r_[0, np.cumsum(size)[:-1]]
+        place = np.arange(len(self.words)) - np.repeat(first, size)  # of each word in its item
+        ends = np.flatnonzero(place >= b - 1)
+        self.mask = (1 << max(10, int(4 * len(ends)).bit_length())) - 1
+        where = self.words[ends].astype(np.int64) if b == 1 else self.words[ends - 1].astype(np.int64) * SPREAD + self.words[ends]
+        table = np.full(self.mask + 1, m - b + 1)
+        np.minimum.at(table, where & self.mask, np.maximum(0, m - 1 - place[ends]))  # a block that ends early in its item can only end a window later
+        self.shift = np.minimum(table, 255).astype(np.uint8).tobytes()
+        self.starts = np.flatnonzero(place <= np.repeat(size, size) - m).astype(np.int32)
+        hashed = self._windows(self.words[self.starts[:, None] + np.arange(m)])
+        order = np.argsort(hashed, kind="stable")
+        self.starts, self.hashed = self.starts[order], hashed[order]
+        self.item = np.repeat(np.array([i for i, _ in items], np.int32), size)[self.starts]
+
+    @staticmethod
+    def _windows(windows: np.ndarray) -> np.ndarray:
+        """A hash of each row of word numbers."""
+        code = mix(windows.astype(np.uint64) + np.uint64(1))
+        out = np.zeros(len(windows), np.uint64)
+        for i in range(windows.shape[1]):
+            out = mix(out * ROOT + code[:, i])
+        return out
+
+    def search(self, words: list[bytes], number: dict[bytes, int]) -> Iterator[tuple[int, np.ndarray]]:
+        """(start, item numbers) of every occurrence; number: what the items' words are numbered."""
+        m, b, shift, mask, get = self.length, self.block, self.shift, self.mask, number.get
+        where, at, last, far = [], m - b, len(words) - b, m - b + 1  # at: where a window's last block begins
+        while at <= last:
+            x = get(words[at])
+            if x is None:  # no window holds this word
+                at += far
+                continue
+            if b > 1:
+                y = get(words[at + 1])
+                if y is None:
+                    at += far + 1
+                    continue
+                x = x * SPREAD + y
+            step = shift[x & mask]
             if step:
                 at += step
                 continue
-            items = self.bucket[key].get(tuple(words[at - m : at]))
-            if items is not None:
-                yield at - m, items
+            where.append(at + b - m)
             at += 1
-
-
-def build(items: Iterable[tuple[object, str | None]], window: int = WINDOW) -> list[WuManber]:
-    by: dict[int, WuManber] = {}
-    for item, text in items:
-        words = words_of(text)
-        size = min(window, len(words))
-        if size:
-            machine = by.setdefault(size, WuManber(size))
-            for i in range(len(words) - size + 1):
-                machine.add(tuple(words[i : i + size]), item)
-    return list(by.values())
-
-
-def find(machines: list[WuManber], words: list[bytes]) -> tuple[bytearray, set]:
-    """A flag per word (inside an occurrence), and the items with occurring windows."""
-    hit, items = bytearray(len(words)), set()
-    for machine in machines:
-        ones = b"\x01" * machine.length
-        for at, whose in machine.search(words):
-            hit[at : at + machine.length] = ones
-            items |= whose
-    return hit, items
+        if not where:
+            return
+        texts = np.array([[get(w, -1) for w in words[s : s + m]] for s in where], np.int32)
+        hashed = self._windows(texts)
+        low, high = np.searchsorted(self.hashed, hashed, "left"), np.searchsorted(self.hashed, hashed, "right")
+        for k in np.flatnonzero(high > low):
+            bucket = slice(low[k], high[k])
+            same = (self.words[self.starts[bucket, None] + np.arange(m)] == texts[k]).all(1)
+            if same.any():
+                yield where[k], self.item[bucket][same]
+
+
+class Automaton:
+    """All windows of a list of items, and what its words are numbered."""
+
+    def __init__(self, items: Iterable[tuple[object, str | None]], window: int = WINDOW):
+        self.number: dict[bytes, int] = {}
+        self.items: list = []
+        by: dict[int, list[tuple[int, list[int]]]] = {}
+        for item, text in items:
+            words = words_of(text)
+            size = min(window, len(words))
+            if size:
+                by.setdefault(size, []).append((len(self.items), [self.number.setdefault(w, len(self.number)) for w in words]))
+                self.items.append(item)
+        self.machines = [WuManber(size, some) for size, some in by.items()]
+
+    def find(self, words: list[bytes]) -> tuple[bytearray, set]:
+        """A flag per word (inside an occurrence), and the items with occurring windows."""
+        hit, found = bytearray(len(words)), set()
+        for machine in self.machines:
+            ones = b"\x01" * machine.length
+            for at, whose in machine.search(words, self.number):
+                hit[at : at + machine.length] = ones
+                found.update(whose.tolist())
+        return hit, {self.items[i] for i in found}
+
+    def any(self, words: list[bytes]) -> bool:
+        return any(True for m in self.machines for _ in m.search(words, self.number))
+
+
+_KEPT: dict[str, Automaton] = {}
+
+
+def automaton(name: str, items: Iterable[tuple[object, str | None]], window: int) -> Automaton:
+    """The automaton of a broadcast of that name: a worker builds it once, and keeps the last one."""
+    turn_to("decontaminate", _KEPT.clear)
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Automaton(items, window)
+    return _KEPT[name]
 
 
 def parts_of(benchmark: DataFrame, limit: int = PASS_WORDS) -> Iterator[list[tuple]]:
@@ -122,14 +177,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int
     if len(every) == 1:
         shared = spark.sparkContext.broadcast(every[0])
 
+        name = uuid.uuid4().hex
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            turn_to("decontaminate")
-            machines = build(shared.value, window)
+            machine = automaton(name, shared.value, window)
             for pdf in batches:
                 rows = []
                 for doc, text in zip(pdf["doc_id"], pdf["text"]):
                     words = words_of(text)
-                    hit, items = find(machines, words)
+                    hit, items = machine.find(words)
                     n = sum(hit)
                     rows.append((doc, len(words), n, len(items), _digest({str(i) for i in items if i is not None}), n > 0))
                 yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
@@ -141,13 +197,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int
     for items in parts_of(benchmark, limit):
         shared = spark.sparkContext.broadcast(items)
 
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            turn_to("decontaminate")
-            machines = build(shared.value, window)
+        def search(batches: Iterator[pd.DataFrame], shared=shared, name=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            machine = automaton(name, shared.value, window)
             for pdf in batches:
                 rows = []
                 for a, b, text in zip(pdf["a"], pdf["b"], pdf["text"]):
-                    hit, found = find(machines, words_of(text))
+                    hit, found = machine.find(words_of(text))
                     if found:
                         flags = re.finditer(rb"\x01+", bytes(hit))
                         rows.append((a, b, [x for m in flags for x in m.span()], [None if i is None else str(i) for i in found]))
@@ -193,12 +248,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     spark = docs.sparkSession
 
     def without(rows: DataFrame, items: list[tuple]) -> tuple[DataFrame, object]:
-        shared = spark.sparkContext.broadcast(items)
+        shared, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
         def start() -> Callable[[str | None], bool]:
-            turn_to("decontaminate")
-            machines = build(shared.value, window)
-            return lambda text: not any(True for words in (words_of(text),) for m in machines for _ in m.search(words))
+            machine = automaton(name, shared.value, window)
+            return lambda text: not machine.any(words_of(text))
 
         return keep_rows(rows, "text", start), shared
 
