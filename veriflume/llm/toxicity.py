@@ -4,13 +4,15 @@
    labelled training rows associate with toxic text; each votes toxic where it occurs and abstains elsewhere. Pattern voters
    look at how many lexicon voters fired, how dense they are and whether none did, and at shouting, runs of exclamation marks
    and masked words, whatever the words. The gold label is one more voter, of unknown accuracy.
-2. Label model. A generative model of the votes, fitted by expectation-maximisation, estimates every voter's firing rates
-   given the hidden class (its accuracy) and, from residual covariances given the class, the correlations between voters;
-   voters that say the same thing share one vote. It starts from the seeds' votes, and the gold votes where they are used.
+2. Label model. A generative model of the votes on labelled and unlabelled documents alike, fitted by expectation-maximisation,
+   estimates every voter's firing rates given the hidden class (its accuracy) and, from residual covariances given the class, the
+   correlations between voters; voters that say the same thing share one vote. The gold voter abstains on unlabelled rows. It starts from
+   the gold votes, and from the seeds' votes where there is none.
 3. Classifier. Logistic regression on the voters' counts and the patterns is trained on the posterior labels. It alone
    scores texts, whole.
 
-With use_gold=False neither the voters nor their model see a label: seeds and patterns alone make the posterior labels.
+With use_gold=False, or without labels of both classes, neither the voters nor their model see a label: seeds and patterns alone make the
+posterior labels, of unlabelled documents.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, keep_rows, map_small, turn_to
 
-#: labelled rows of the fit (chosen by the hash of doc_id), lexicon voters, fewest toxic rows behind one
-TRAINING, VOTERS, SUPPORT = 12_000, 400, 4
+#: labelled and unlabelled rows of the fit (chosen by the hash of doc_id), lexicon voters, fewest toxic rows behind one
+TRAINING, UNLABELLED, VOTERS, SUPPORT = 12_000, 6_000, 400, 4
 #: shortest and longest word beginning used as a voter
 STEMS = range(3, 9)
 ROUNDS, L2 = 25, 1e-3
@@ -103,30 +105,35 @@ class Voters:
 def label_model(votes: np.ndarray, gold: np.ndarray | None, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of class 1, firing rates [voters, 2], weights) of binary votes and the gold voter (if any), by EM.
 
-    start: rows that are taken for class 1 at first (default: those that gold votes for).
-    Correlations: residual covariance of votes given the posterior; a voter's weight is one over the number of voters that it
-    moves together with, itself included.
+    gold: 1, 0, or NaN where it abstains. Rows with and without a gold vote have priors of their own: they were chosen otherwise.
+    start: rows that are taken for class 1 at first; where gold votes, its vote counts instead.
+    Correlations: residual covariance of votes given the posterior, taken anew every few turns; a voter's weight is one over the number
+    of voters that it moves together with, itself included.
     """
     n = len(votes)
-    yes = np.zeros(n, bool) if gold is None else gold > 0
-    q = np.where(yes if start is None else yes | start, 0.9, 0.05)
+    gold = np.full(n, np.nan) if gold is None else np.asarray(gold, float)
+    told = ~np.isnan(gold)
+    yes = np.where(told, gold > 0, False if start is None else start)
+    q = np.where(yes, 0.9, 0.05)
     weight = np.ones(votes.shape[1])
     rate = np.zeros((votes.shape[1], 2))
     for turn in range(ROUNDS):
-        prior = (q.sum() + 1) / (n + 2)
+        prior = np.empty(n)
+        for rows in (told, ~told):
+            prior[rows] = (q[rows].sum() + 1) / (rows.sum() + 2)
         for c, r in ((0, 1 - q), (1, q)):
             rate[:, c] = (r @ votes + 0.5) / (r.sum() + 1)
-        gold_rate = [0.5, 0.5] if gold is None else [((1 - q) @ gold + 0.5) / ((1 - q).sum() + 1), (q @ gold + 0.5) / (q.sum() + 1)]
-        if turn in (2, 6):
+        g, t = gold[told], q[told]
+        gold_rate = [((1 - t) @ g + 0.5) / ((1 - t).sum() + 1), (t @ g + 0.5) / (t.sum() + 1)]
+        if turn % 4 == 2:
             left = votes - (np.outer(q, rate[:, 1]) + np.outer(1 - q, rate[:, 0])).astype(np.float32)
             cov = left.T @ left / n
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             weight = 1 / np.maximum(1, np.maximum(cov / np.outer(sd, sd), 0).sum(1))
         fires = np.log(rate[:, 1] / rate[:, 0]) * weight
         silent = np.log((1 - rate[:, 1]) / (1 - rate[:, 0])) * weight
-        score = math.log(prior / (1 - prior)) + votes @ (fires - silent).astype(np.float32) + silent.sum()
-        if gold is not None:
-            score = score + np.where(gold > 0, math.log(gold_rate[1] / gold_rate[0]), math.log((1 - gold_rate[1]) / (1 - gold_rate[0])))
+        score = np.log(prior / (1 - prior)) + votes @ (fires - silent).astype(np.float32) + silent.sum()
+        score[told] += np.where(g > 0, math.log(gold_rate[1] / gold_rate[0]), math.log((1 - gold_rate[1]) / (1 - gold_rate[0])))
         q = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
     return q, rate, weight
 
@@ -182,25 +189,30 @@ def lexicon_of(train: DataFrame, n_pos: int, n_neg: int, voters: int = VOTERS, s
 
 
 def fit(docs: DataFrame, gold: DataFrame, use_gold: bool = True):
-    """A model (lexicon, weights, intercept) of documents (doc_id, text) and their labels (doc_id, toxic 0/1).
+    """A model (lexicon, weights, intercept) of documents (doc_id, text) and the labels of some of them (doc_id, toxic 0/1).
 
-    None if the labels, or those of the documents there are, lack a class. use_gold=False: labels only choose the rows of the fit.
+    The label model sees labelled and unlabelled rows; the classifier is trained on the posteriors of the labelled ones, or, where labels are not
+    used or lack a class, on those of the unlabelled. None if nothing speaks for class 1: no seed fires, no row is labelled toxic.
     """
-    n = {r["toxic"]: r["n"] for r in gold.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not n.get(0) or not n.get(1):
-        return None
-    # all toxic rows up to half of the bound, and clean ones for the rest; so few ids are broadcast, and no text is moved
-    share = {1: min(1.0, TRAINING / 2 / n[1]), 0: min(1.0, TRAINING / 2 / n[0])}
-    rate = F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
-    picked = gold.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
-    sample = cut(docs.join(F.broadcast(picked), "doc_id"))
+    n = {r["toxic"]: r["n"] for r in gold.groupBy("toxic").agg(F.count("*").alias("n")).collect()} if use_gold else {}
+    use_gold = bool(n.get(0) and n.get(1))
+    # all toxic rows up to half of the bound, and clean ones for the rest, and some without a label; so few ids are broadcast, and no text is moved
+    share = {1: min(1.0, TRAINING / 2 / n[1]), 0: min(1.0, TRAINING / 2 / n[0])} if use_gold else {1: 0.0, 0: 0.0}
+    part = lambda salt: F.pmod(F.xxhash64("doc_id", *salt), F.lit(1 << 20)) / (1 << 20)
+    picked = gold.where(part([]) < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
+    free = min(1.0, UNLABELLED / max(1, docs.count()))
+    chosen = docs.join(F.broadcast(picked), "doc_id", "left").where(F.col("toxic").isNotNull() | (part([F.lit(7)]) < free) & ~held_out())
+    other = gold.select("doc_id", F.lit(True).alias("labelled"))
+    sample = chosen.join(other, "doc_id", "left").where("toxic IS NOT NULL OR labelled IS NULL" if use_gold else "true").drop("labelled")
+    sample = cut(sample if use_gold else sample.withColumn("toxic", F.lit(None).cast("int")))
     lexicon = list(SEEDS)
     if use_gold:
         mine = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-        if not mine.get(0) or not mine.get(1):
-            return None
-        found = lexicon_of(sample.select("text", "toxic"), mine[1], mine[0])
-        lexicon = [*found, *(t for t in SEEDS if t not in set(found))]
+        if mine.get(0) and mine.get(1):
+            found = lexicon_of(sample.where("toxic IS NOT NULL").select("text", "toxic"), mine[1], mine[0])
+            lexicon = [*found, *(t for t in SEEDS if t not in set(found))]
+        else:
+            use_gold = False  # labels of both classes, documents of one
     seeds = np.isin(lexicon, SEEDS)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,17 +221,22 @@ def fit(docs: DataFrame, gold: DataFrame, use_gold: bool = True):
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "row": [voters.row(t).astype(np.float16).tobytes() for t in pdf["text"]]})
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    got = sorted(((r["doc_id"], r["toxic"], bytes(r["row"])) for r in map_small(sample, features, f"doc_id {kind}, toxic int, row binary").collect()), key=lambda r: (r[0], r[1]))
-    if not got:
+    rows = [(r["doc_id"], r["toxic"] if use_gold else None, bytes(r["row"])) for r in map_small(sample, features, f"doc_id {kind}, toxic int, row binary").collect()]
+    if not rows:
         return None
-    x = np.frombuffer(b"".join(r for *_, r in got), np.float16).reshape(len(got), -1).astype(np.float32)
-    gold = np.array([t for _, t, _ in got], np.float64)
+    rows.sort(key=lambda r: (r[0], -1 if r[1] is None else r[1], r[2]))
+    x = np.frombuffer(b"".join(r for *_, r in rows), np.float16).reshape(len(rows), -1).astype(np.float32)
+    votes_of = np.array([np.nan if t is None else t for _, t, _ in rows], np.float64)
     size = len(lexicon)
     votes = np.hstack([x[:, :size] > 0, x[:, [size + k for k in VOTING]] > 0]).astype(np.float32)
-    posterior, _, _ = label_model(votes, gold if use_gold else None, (votes[:, :size][:, seeds] > 0).any(1) if not use_gold else None)
-    posterior = np.clip(posterior, 0.01, 0.99)
-    w, b = logistic(x, posterior)
-    b += math.log(share[0] / share[1])  # back to the corpus's own share of toxic rows
+    start = (votes[:, :size][:, seeds] > 0).any(1)
+    if not use_gold and not start.any():
+        return None
+    posterior, _, _ = label_model(votes, votes_of, start)
+    taught = ~np.isnan(votes_of) if use_gold else np.ones(len(rows), bool)
+    w, b = logistic(x[taught], np.clip(posterior[taught], 0.01, 0.99))
+    if use_gold:
+        b += math.log(share[0] / share[1])  # back to the corpus's own share of toxic rows
     return lexicon, w.astype(np.float32), b
 
 
@@ -253,7 +270,7 @@ def held_out() -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, use_gold: bool = True):
-    """The model learned from the labels of documents that are not held out.
+    """The model learned from documents, and the labels of those that are not held out.
 
     Null labels are ignored; several labels of a document count as toxic when at least half are. Texts are null-safe: a null
     text is a training row without words.
@@ -266,7 +283,8 @@ def train(docs: DataFrame, labels: DataFrame, use_gold: bool = True):
 def judge(docs: DataFrame, labels: DataFrame, use_gold: bool = True) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row: null and empty texts too; repeated rows each give one.
 
-    Equal texts get equal scores. Empty documents or labels, or labels of other documents only: every score is 0.
+    Equal texts get equal scores. Without labels of both classes on documents that are there, seeds and patterns alone decide; where no
+    seed fires either, every score is 0.
     """
     return score(docs, train(docs, labels, use_gold)).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
