@@ -12,8 +12,9 @@ from veriflume.llm.queries import tokenizer_path
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go.
 
-    Null and empty texts are scored like any other; without labels of both classes, or without documents, all stay. Repeated rows
-    share a fate. All columns stay as they are, whatever their names; a text of any length is scored whole.
+    Null and empty texts are scored like any other. Without labels of both classes general insults and patterns decide; where none of
+    these is found either, or there are no documents, all stay. Repeated rows share a fate. All columns stay as they are, whatever their
+    names; a text of any length is scored whole.
     """
     return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
 
