@@ -114,8 +114,8 @@ def test_match_quality(spark):
     chosen = spark.createDataFrame([(1, 10), (2, 11)], "active long, candidate long")
     near = spark.createDataFrame([(10, 0.1), (11, 0.2), (12, 0.9)], "candidate long, similarity double")
     q = matching.match_quality(chosen, a, c, {"molecular_weight": 25.0}, 2, near).first()
-    assert (q["n_requested"], q["n_selected"], q["deltas"], q["max_similarity"], q["adequate"]) == (4, 2, {"molecular_weight": 10.0}, 0.2, True)
-    assert q["shortfall"] == {"too few matches for an active": 2, "similarity above 0.25": 1}
+    assert (q["n_wanted"], q["n_found"], q["mean_gaps"], q["max_similarity"], q["adequate"]) == (4, 2, {"molecular_weight": 10.0}, 0.2, True)
+    assert q["unmet"] == {"actives left short": 2, "controls too alike, over 0.25": 1}
     assert "2 of 4 decoys" in reports.decoys(matching.match_quality(chosen, a, c, {"molecular_weight": 25.0}, 2, near))
     assert "WARNING" in reports.decoys(matching.match_quality(chosen, a, c, {"molecular_weight": 5.0}, 2))
 

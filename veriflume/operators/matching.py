@@ -209,8 +209,8 @@ def _extremes(rows: DataFrame, ways: list[dict[str, float]], many: int) -> tuple
 
 
 def match_quality(matched: DataFrame, actives: DataFrame, candidates: DataFrame, tolerances: dict[str, float], per_active: int, max_similarity: DataFrame | None = None, limit: float = MAX_SIMILARITY) -> DataFrame:
-    """One row of how well matched (active, candidate) pairs match: n_requested, n_selected, deltas (mean difference of each property),
-    max_similarity of what was chosen, shortfall (reason to number), adequate: half of what was asked for, and no mean beyond its tolerance.
+    """One row of how well matched (active, candidate) pairs match: n_wanted, n_found, mean_gaps (mean difference of each property),
+    max_similarity of what was chosen, unmet (reason to number), adequate: half of what was asked for, and no mean beyond its tolerance.
 
     max_similarity: (candidate, similarity) to the most similar active.
     """
@@ -224,11 +224,11 @@ def match_quality(matched: DataFrame, actives: DataFrame, candidates: DataFrame,
     within = F.lit(True)
     for p in names:
         within = within & F.coalesce(mean[p] <= tolerances[p], F.lit(True))
-    got = pairs.agg(F.count("*").alias("n_selected"), F.map_from_entries(known).alias("deltas"), F.coalesce(F.max("similarity"), F.lit(0.0)).alias("max_similarity"), within.alias("__w"))
+    got = pairs.agg(F.count("*").alias("n_found"), F.map_from_entries(known).alias("mean_gaps"), F.coalesce(F.max("similarity"), F.lit(0.0)).alias("max_similarity"), within.alias("__w"))
     per = actives.select(F.col("id").alias("active")).join(matched.groupBy("active").agg(F.count("*").alias("n")), "active", "left")
     short = per.agg(F.count("*").alias("__n"), F.count_if(F.coalesce("n", F.lit(0)) < per_active).alias("__few"))
     too = (candidates.limit(0) if max_similarity is None else max_similarity.where(F.col("similarity") > limit)).agg(F.count("*").alias("__too"))
     out = got.crossJoin(short).crossJoin(too)  # one row each
-    reasons = F.map_filter(F.create_map(F.lit("too few matches for an active"), F.col("__few"), F.lit(f"similarity above {limit:g}"), F.col("__too")), lambda k, v: v > 0)
+    reasons = F.map_filter(F.create_map(F.lit("actives left short"), F.col("__few"), F.lit(f"controls too alike, over {limit:g}"), F.col("__too")), lambda k, v: v > 0)
     asked = F.col("__n") * per_active
-    return out.select(asked.alias("n_requested"), "n_selected", "deltas", "max_similarity", reasons.alias("shortfall"), ((F.col("n_selected") >= 0.5 * asked) & F.col("__w")).alias("adequate"))
+    return out.select(asked.alias("n_wanted"), "n_found", "mean_gaps", "max_similarity", reasons.alias("unmet"), ((F.col("n_found") >= 0.5 * asked) & F.col("__w")).alias("adequate"))

@@ -84,9 +84,9 @@ def background(account: DataFrame, failed: DataFrame | None = None) -> str:
 
 def decoys(quality: DataFrame) -> str:
     q = quality.first()
-    lines = [f"{q['n_selected']} of {q['n_requested']} decoys; largest similarity to an active {q['max_similarity']:.3f}"]
-    lines += [f"  {k}: mean difference {v:.2f}" for k, v in sorted(q["deltas"].items())]
-    lines += [f"  {n:>8} {k}" for k, n in sorted(q["shortfall"].items(), key=lambda x: (-x[1], x[0]))]
+    lines = [f"{q['n_found']} of {q['n_wanted']} decoys; largest similarity to an active {q['max_similarity']:.3f}"]
+    lines += [f"  {k}: mean difference {v:.2f}" for k, v in sorted(q["mean_gaps"].items())]
+    lines += [f"  {n:>8} {k}" for k, n in sorted(q["unmet"].items(), key=lambda x: (-x[1], x[0]))]
     return "\n".join(lines if q["adequate"] else [*lines, "  WARNING: enrichment against these may be that of their properties"])
 
 

@@ -259,7 +259,7 @@ def background_two_sided(spark, d):
     return features.two_sided(p, of(ANCHORS), of(PLAIN)).select(F.round("anchor", 6).alias("anchor"), F.round("incidental", 6).alias("incidental"), "verdict")
 
 
-PICKED = CHOSEN.replace("SELECT active, x.candidate AS candidate, x.distance AS distance FROM (SELECT active, unnest(mine) AS x FROM step WHERE k > 0)", "SELECT (SELECT count(*) * 3 FROM p WHERE label = 1) AS n_requested, count(*) AS n_selected, round(avg(abs(a.price - c.price)), 6) AS price, round(avg(abs(a.size - c.size)), 6) AS size, count(*) >= 0.5 * (SELECT count(*) * 3 FROM p WHERE label = 1) AND avg(abs(a.price - c.price)) <= 25 AND avg(abs(a.size - c.size)) <= 3 AS adequate FROM (SELECT active, unnest(mine) AS x FROM step WHERE k > 0) y JOIN p a ON a.id = y.active JOIN p c ON c.id = y.x.candidate")
+PICKED = CHOSEN.replace("SELECT active, x.candidate AS candidate, x.distance AS distance FROM (SELECT active, unnest(mine) AS x FROM step WHERE k > 0)", "SELECT (SELECT count(*) * 3 FROM p WHERE label = 1) AS n_wanted, count(*) AS n_found, round(avg(abs(a.price - c.price)), 6) AS price, round(avg(abs(a.size - c.size)), 6) AS size, count(*) >= 0.5 * (SELECT count(*) * 3 FROM p WHERE label = 1) AND avg(abs(a.price - c.price)) <= 25 AND avg(abs(a.size - c.size)) <= 3 AS adequate FROM (SELECT active, unnest(mine) AS x FROM step WHERE k > 0) y JOIN p a ON a.id = y.active JOIN p c ON c.id = y.x.candidate")
 
 
 @query(PICKED)
@@ -267,4 +267,4 @@ def match_quality(spark, d):
     p = _props(spark, d)
     chosen = matching.greedy_match(_pairs(spark, d).withColumn("distance", F.round("distance", 9)), 3)
     q = matching.match_quality(chosen, p.where("label = 1"), p.where("label = 0"), TOL, 3)
-    return q.select("n_requested", "n_selected", *[F.round(F.col("deltas")[c], 6).alias(c) for c in ("price", "size")], "adequate")
+    return q.select("n_wanted", "n_found", *[F.round(F.col("mean_gaps")[c], 6).alias(c) for c in ("price", "size")], "adequate")
