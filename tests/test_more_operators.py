@@ -344,7 +344,8 @@ def test_quantity_notes_and_reports(spark):
     assert spark.range(1).select(q.alias("q")).first()["q"]["notes"] == ["a", "b", "c"]
     a = background.account(spark.createDataFrame([("s", 1, "m")], "source string, seq long, molecule_id string"), 10)
     assert "too few" in reports.background(a)
-    assert "settle" in reports.enrichment({"n_actives": 3, "n_decoys": 4, "auc": 0.6, "ef": 2.0}, (0.3, 0.9), "inconclusive", 70)
+    text = reports.enrichment({"n_actives": 3, "n_decoys": 4, "auc": 0.6, "auc_low": 0.3, "auc_high": 0.9, "ef1": 2.0, "ef5": None, "max_ef1": 2.3, "bedroc": 0.5, "verdict": "inconclusive", "compounds_needed": 70, "gap_warning": "logp differs"})
+    assert "about 70 compounds" in text and "[0.300, 0.900]" in text and "EF 5 % not defined" in text and "WARNING: logp differs" in text and "handful" in text
     assert "large enough" in reports.gaps(spark.createDataFrame([("logp", 3.0, True)], "property string, gap double, concerning boolean"))
 
 

@@ -39,13 +39,21 @@ def in_chunk(seed: int, reps: np.ndarray, chunk: int, n: int, size: int = CHUNK)
     rows = lambda a, b: min(b * size, n) - a * size
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        # one generator a node: its numbers belong to resamples by their order, so a unit draws those before it too
-        taken = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed & 0xFFFFFFFF, lo, hi]))).random(int(reps.max()) + 1)[reps]
-        first = _binomial(taken, left, rows(lo, mid) / rows(lo, hi))
+        first = _binomial(_uniform(seed, lo, hi, reps), left, rows(lo, mid) / rows(lo, hi))
         lo, hi, left = (lo, mid, first) if chunk < mid else (mid, hi, left - first)
     return left
 
 
+def _uniform(seed: int, lo: int, hi: int, reps: np.ndarray) -> np.ndarray:
+    """A number in [0, 1) for each resample at a node of the tree, from two counter hashes."""
+    node = np.array([seed & 0xFFFFFFFF], np.uint64)
+    for x in (lo + 1, hi, 0x9E3779B9):  # no chunk has the last one's number
+        node = mix32(mix32(node) ^ np.uint64(x & 0xFFFFFFFF))
+    high = mix32(node ^ reps.astype(np.uint64))
+    low = mix32(high ^ np.uint64(0x85EBCA6B))
+    return (high.astype(float) * 2.0**21 + (low >> np.uint64(11)).astype(float)) / 2.0**53
+
+
 def _binomial(u: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
     """Binomial numbers by inversion of uniform ones: exact sums of the distribution around its mean, wide enough for any u."""
     out = np.empty(len(u), np.int64)

@@ -62,15 +62,22 @@ def evaluation(metrics: DataFrame, n_train: int, n_test: int, split: str, warnin
     return "\n".join([*lines, *(f"  {f}" for f in findings)])
 
 
-def enrichment(row, intervals: tuple[float, float] | None = None, verdict: str | None = None, needed: int | None = None) -> str:
-    """auc() (with ef, max_ef and bedroc where given), its interval, the verdict and how many compounds would settle it."""
+def enrichment(row) -> str:
+    """The row of analyse_enrichment(): the area with its interval, enrichment factors, BEDROC, what the decoys' properties allow to say, the
+    verdict, and how many compounds would settle an open question."""
     r = row.asDict() if hasattr(row, "asDict") else dict(row)
-    lines = [f"{r['n_actives']} actives, {r['n_decoys']} decoys: AUC " + ("not defined" if r["auc"] is None else f"{r['auc']:.3f}") + (f" [{intervals[0]:.3f}, {intervals[1]:.3f}]" if intervals else "")]
-    for k in ("ef", "max_ef", "bedroc"):
-        if r.get(k) is not None:
-            lines.append(f"  {k} {r[k]:.2f}")
-    if verdict:
-        lines.append(f"  {verdict}" + (f"; about {needed} compounds a group would settle it" if verdict == "inconclusive" and needed else ""))
+    known = lambda k, digits=2: "not defined" if r.get(k) is None else f"{r[k]:.{digits}f}"
+    interval = f" [{r['auc_low']:.3f}, {r['auc_high']:.3f}]" if r.get("auc_low") is not None else ", no interval"
+    lines = [f"{r['n_actives']} actives, {r['n_decoys']} decoys: AUC {known('auc', 3)}{interval}"]
+    lines += [f"  EF 1 % {known('ef1')} of at most {known('max_ef1')}, EF 5 % {known('ef5')}, BEDROC {known('bedroc', 3)}"]
+    if r.get("gap_warning"):
+        lines.append(f"  WARNING: {r['gap_warning']}")
+    said = {"separates": "the screen ranks actives before decoys", "does not separate": "the screen does not rank actives before decoys: a result, not a fault", "inconclusive": "the screen is too small to tell: this is no evidence either way"}
+    lines.append(f"  {r['verdict']}: {said[r['verdict']]}")
+    if r["verdict"] == "inconclusive" and r.get("compounds_needed"):
+        lines.append(f"  about {r['compounds_needed']} compounds a group would settle it")
+    if max(1, round(0.01 * (r["n_actives"] + r["n_decoys"]))) < 5:
+        lines.append("  the first hundredth is a handful of compounds: its enrichment factor hangs on single ones")
     return "\n".join(lines)
 
 
