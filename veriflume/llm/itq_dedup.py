@@ -111,6 +111,7 @@ UNIT = ["d", "label", "table", "key"]
 def _dealt(rows: DataFrame) -> DataFrame:
     """rows (with UNIT) of buckets of two vectors or more, in units of two blocks of a bucket, sorted; a bucket's blocks meet pairwise."""
     crowd = rows.groupBy(*UNIT).agg(F.count("*").alias("size")).where("size > 1").select(*UNIT, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    crowd = cut(crowd)  # apart from it, adaptive execution can split the join of a bucket's many rows
     units = rows.join(crowd, UNIT).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
     return units.repartition(*UNIT, "i", "j").sortWithinPartitions(*UNIT, "i", "j", "vec_id")
