@@ -7,14 +7,15 @@ import json
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel, RandomForestRegressionModel
+from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession
 
 from . import modelling
 from .domain import Domain
+from .forest import Forest
 
-SAVED = {"forest": RandomForestRegressionModel, "boosting": GBTRegressionModel, "ridge": LinearRegressionModel}
+SAVED = {"forest": Forest, "boosting": GBTRegressionModel, "ridge": LinearRegressionModel}
 
 
 class _Settings(Params):
@@ -71,7 +72,7 @@ class _Writer(MLWriter):
         f = self.instance.fitted
         extra = {"fitted": {"names": list(f.names), "n_train": f.n_train, "label_mean": f.label_mean, "label_std": f.label_std, "label_name": f.label_name, "curation": f.curation, "seed": f.seed, "notes": list(f.notes), "kind": f.kind}}
         DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession, extraMetadata=extra)
-        f.model.write().save(f"{path}/regressor")
+        (f.model if f.kind == "forest" else f.model.write()).save(f"{path}/regressor")
         f.domain.save(f"{path}/domain")
 
 

@@ -30,7 +30,7 @@ def _modelled(spark, d, kind, n=64, **settings):
 
 @query()
 def rf_predict(spark, d):
-    """500 trees, as deep as they grow up to Spark's cap."""
+    """500 trees, as deep as they grow up to 30 levels."""
     return _modelled(spark, d, "forest")
 
 
