@@ -204,6 +204,25 @@ def test_greedy_match_against_a_loop(spark, cell):
     assert matching.greedy_match(spark.createDataFrame([], PAIRS)).count() == 0
 
 
+@pytest.mark.parametrize("rows", [4_000_000, 10])
+def test_match_and_counts_of_many_copies(spark, rows):
+    """Kinds are compared, not copies; ties of distance over several kinds go by id, and missing properties are left out."""
+    rng = random.Random(5)
+    some = lambda: (rng.choice([100.0, 101.0, 110.0, 126.0]), rng.choice([1.0, 2.0, 4.0, None]), rng.choice([0, 1]))
+    a, c = [(i, *some()) for i in range(60)], [(1_000 - 3 * i, *some()) for i in range(150)]
+    tol = {"w": 25.0, "s": 2.0, "k": 0.0}
+    gap = lambda x, y: [None if u is None or v is None else abs(u - v) for u, v in zip(x[1:], y[1:])]
+    pairs = [(x[0], y[0], sum(0.0 if v is None else v / (t or 1.0) for v, t in zip(g, tol.values()))) for x in a for y in c for g in [gap(x, y)] if all(v is None or v <= t for v, t in zip(g, tol.values()))]
+    df = lambda r: spark.createDataFrame(r, "id long, w double, s double, k int")
+    assert sorted((r["active"], r["candidate"], r["distance"]) for r in matching.tolerance_pairs(df(a), df(c), tol, "w").collect()) == sorted(pairs)
+    want = {x: (len(d), min(d)) for x in {p[0] for p in pairs} if (d := [p[2] for p in pairs if p[0] == x])}
+    assert {r["active"]: (r["n"], r["closest"]) for r in matching.closest_controls(df(a), df(c), tol, "w").collect()} == want
+    rounded = [(x, y, round(d, 1)) for x, y, d in pairs]
+    got = matching.match(df(a), df(c), tol, "w", 2, digits=1, rows=rows)
+    assert sorted((r["active"], r["candidate"]) for r in got.collect()) == match_one_by_one(rounded, 2)
+    assert {(r["active"], r["candidate"], r["distance"]) for r in got.collect()} <= set(rounded)
+
+
 def test_greedy_match_of_a_long_chain(spark):
     """Each active's second choice is the first one of the next: everything hangs on the first."""
     n = 5_000

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -17,13 +17,46 @@ from .similarity import every_pair
 TOLERANCES = {"molecular_weight": 25.0, "logp": 1.0, "hbd": 1.0, "hba": 2.0, "rotatable_bonds": 2.0, "formal_charge": 0.0}
 GROUP_TOLERANCES = {**TOLERANCES, "formal_charge": 0.15}
 MAX_SIMILARITY, PER_ACTIVE = 0.25, 10
-#: pairs that one task settles at once; rows fetched at each end of a property
-CELL, FRONTIER = 500_000, 500
+#: pairs that one task settles at once; rows fetched at each end of a property; ids of copies that travel together; rows of a group that one task matches
+CELL, FRONTIER, CHUNK, ROWS = 500_000, 500, 1_000, 4_000_000
+
+
+def _copies(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(kinds (id, __n, properties), members (__of, id)): rows of equal properties are one kind, named by its lowest id."""
+    kinds = rows.groupBy(*names).agg(F.min("id").alias("id"), F.count("*").alias("__n"))
+    k = kinds.select(F.col("id").alias("__of"), *[F.col(p).alias(f"__p_{p}") for p in names])
+    same = reduce(lambda x, y: x & y, [F.col(p).eqNullSafe(F.col(f"__p_{p}")) for p in names])
+    return kinds, rows.join(k, same).select("__of", "id")
 
 
 def tolerance_pairs(actives: DataFrame, candidates: DataFrame, tolerances: dict[str, float], bucket: str) -> DataFrame:
     """(active, candidate, distance) of pairs within every tolerance; a property that either side lacks is left out.
 
+    Rows of equal properties have the same pairs: kinds of rows are compared, and what matches is written out for their members. All that is
+    exchanged is kinds, members, and ids by the CHUNK.
+    """
+    names = list(tolerances)
+    (a, mine), (c, theirs) = _copies(actives, names), _copies(candidates, names)
+    place = F.floor((F.row_number().over(Window.partitionBy("__of").orderBy("id")) - 1) / CHUNK)
+    packed = theirs.withColumn("__c", place).groupBy(F.col("__of").alias("candidate"), "__c").agg(F.collect_list("id").alias("ids"))  # CHUNK at most
+    found = kind_pairs(a, c, tolerances, bucket).join(packed, "candidate").select(F.col("active").alias("__of"), "ids", "distance")
+    return found.join(mine, "__of").select(F.col("id").alias("active"), F.explode("ids").alias("candidate"), "distance")
+
+
+def closest_controls(actives: DataFrame, candidates: DataFrame, tolerances: dict[str, float], bucket: str) -> DataFrame:
+    """(active, n, closest): how many candidates each active has within every tolerance, and the least distance; none: no row.
+
+    What groupBy gives of tolerance_pairs, without writing pairs out.
+    """
+    names = list(tolerances)
+    (a, mine), (c, _) = _copies(actives, names), _copies(candidates, names)
+    per = kind_pairs(a, c, tolerances, bucket).join(c.select(F.col("id").alias("candidate"), "__n"), "candidate").groupBy(F.col("active").alias("__of")).agg(F.sum("__n").alias("n"), F.min("distance").alias("closest"))
+    return mine.join(per, "__of").select(F.col("id").alias("active"), "n", "closest")
+
+
+def kind_pairs(actives: DataFrame, candidates: DataFrame, tolerances: dict[str, float], bucket: str) -> DataFrame:
+    """(active, candidate, distance) of rows (id, properties) as they stand, copies one by one.
+
     An equi-join on buckets of one wide property, as wide as its tolerance: an active visits three. Zero tolerances are
     equi-join keys too. Distance is the sum of differences over tolerances. Rows that lack one of the joined properties, which
     should be few, meet all rows of the other side, block by block.
@@ -50,6 +83,7 @@ def tolerance_pairs(actives: DataFrame, candidates: DataFrame, tolerances: dict[
             out = out.unionByName(found(every_pair(odd_a, odd_c)))
     return out
 
+
 def drop_similar(pairs: DataFrame, max_similarity: DataFrame, limit: float = MAX_SIMILARITY) -> DataFrame:
     """Pairs without candidates that resemble any active more than limit. max_similarity: (candidate, similarity)."""
     return pairs.join(max_similarity.where(F.col("similarity") > limit).select("candidate"), "candidate", "left_anti")
@@ -110,6 +144,89 @@ def greedy_match(pairs: DataFrame, per_active: int = PER_ACTIVE, cell: int = CEL
     return rows if settled is None else settled
 
 
+def match(actives: DataFrame, candidates: DataFrame, tolerances: dict[str, float], bucket: str, per_active: int = PER_ACTIVE, digits: int | None = None, rows: int = ROWS) -> DataFrame:
+    """(active, candidate, distance): what greedy_match takes from tolerance_pairs, whose distances are rounded to `digits` if given.
+
+    The choice is sequential, in the order of actives, but only among rows that agree in the properties of no tolerance: a task goes through
+    one such group of up to `rows` rows. Candidates of equal properties are a queue; an active walks the queues by distance and takes
+    from their heads, so pairs are never written. Larger groups, and rows that lack what groups them, go by pairs and cells.
+    """
+    names, exact = list(tolerances), [p for p, t in tolerances.items() if t == 0]
+    cols = [F.col(p).cast("double").alias(p) for p in names]
+    both = actives.select(F.lit(0).alias("side"), "id", *cols).unionByName(candidates.select(F.lit(1).alias("side"), "id", *cols))
+    both = cut(both.join(actives.select(*[F.col(p).cast("double").alias(p) for p in exact]).distinct(), exact, "left_semi") if exact and not _lacks(actives, candidates, exact) else both)
+    odd = reduce(lambda x, y: x | y, [F.coalesce(F.isnan(p), F.lit(False)) for p in names] + [F.col(p).isNull() for p in exact])
+    s = both.groupBy(*exact).agg(F.count("*").alias("n"), F.count_if(odd).alias("odd")).agg(F.max("n").alias("n"), F.sum("odd").alias("odd")).first()
+    if (s["n"] or 0) > rows or s["odd"]:
+        pairs = tolerance_pairs(actives, candidates, tolerances, bucket)
+        return greedy_match(pairs if digits is None else pairs.withColumn("distance", F.round("distance", digits)), per_active)
+    kind = {f.name: f.dataType.simpleString() for f in both.schema}["id"]
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = _walked(pdf[pdf["side"] == 0], pdf[pdf["side"] == 1], tolerances, per_active, digits)
+        return pd.DataFrame(out, columns=["active", "candidate", "distance"], dtype=object)
+
+    return both.groupBy(*exact).applyInPandas(settle, f"active {kind}, candidate {kind}, distance double")
+
+
+def _lacks(actives: DataFrame, candidates: DataFrame, exact: list[str]) -> bool:
+    some = reduce(lambda x, y: x | y, [F.col(p).isNull() for p in exact])
+    return not actives.where(some).isEmpty() or not candidates.where(some).isEmpty()
+
+
+def _walked(actives: pd.DataFrame, candidates: pd.DataFrame, tolerances: dict[str, float], per_active: int, digits: int | None, held: int = 10_000_000) -> list[tuple]:
+    """(active, candidate, distance) that one group's actives take in the order of their ids. held: entries of walks that are kept at once."""
+    if not len(actives) or not len(candidates):
+        return []
+    names = list(tolerances)
+    actives, candidates = actives.sort_values("id", kind="stable"), candidates.sort_values("id", kind="stable")
+    code = candidates.groupby(names, dropna=False, sort=False).ngroup().to_numpy()
+    order = np.argsort(code, kind="stable")
+    ids = candidates["id"].to_numpy()[order].tolist()
+    end = np.cumsum(np.bincount(code))
+    head = end - np.bincount(code)  # of every queue
+    kinds = candidates[names].to_numpy(float)[order[head]]
+    mine, wanted = actives.groupby(names, dropna=False, sort=False).ngroup().to_numpy(), actives[names].to_numpy(float)
+    walks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    size, out = 0, []
+    for who, m, row in zip(actives["id"].tolist(), mine.tolist(), wanted):
+        if m not in walks:
+            fits, total = head < end, np.zeros(len(kinds))
+            for j, t in enumerate(tolerances.values()):
+                gap = np.abs(row[j] - kinds[:, j])
+                none = np.isnan(gap)  # either side lacks it
+                fits, total = fits & (none | (gap <= t)), total + np.where(none, 0.0, gap / (t if t > 0 else 1.0))
+            at = np.flatnonzero(fits)
+            d = total[at] if digits is None else np.round(total[at], digits)
+            by = np.argsort(d, kind="stable")
+            if size > held:
+                walks, size = {}, 0
+            walks[m] = (at[by], d[by])
+            size += len(at)
+        queues, d = walks[m]
+        i, got, passed = 0, 0, 0
+        while got < per_active and i < len(queues):
+            if head[queues[i]] == end[queues[i]]:
+                i, passed = i + 1, passed + 1
+                continue
+            j, run = i, []
+            while j < len(queues) and d[j] == d[i]:
+                if head[queues[j]] < end[queues[j]]:
+                    run.append(queues[j])
+                j += 1
+            while run and got < per_active:
+                q = min(run, key=lambda q: ids[head[q]])
+                out.append((who, ids[head[q]], float(d[i])))
+                head[q], got = head[q] + 1, got + 1
+                if head[q] == end[q]:
+                    run.remove(q)
+            i = j
+        if passed > 32:
+            left = head[queues] < end[queues]
+            walks[m] = (queues[left], d[left])
+    return out
+
+
 def shared_properties(a: DataFrame, b: DataFrame) -> list[str]:
     """Names that both tables have, sorted, without their ids and labels."""
     return sorted((set(a.columns) & set(b.columns)) - {"id", "label"})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import domain, features, matching, similarity, split
+from ..session import cut
 from .bridge import FINGERPRINT_CTE, fingerprints, table
 from .registry import query
 
@@ -154,20 +155,22 @@ def _props(spark, d):
     return p.select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"), (F.col("p_partkey") % 4).alias("kind"), (F.col("p_partkey") % 20 == 0).cast("int").alias("label"))
 
 
-def _pairs(spark, d):
+def _roles(spark, d):
     p = _props(spark, d)
-    return matching.tolerance_pairs(p.where("label = 1"), p.where("label = 0"), TOL, "price")
+    return p.where("label = 1"), p.where("label = 0")
 
 
 @query(f"WITH {MATCH} SELECT active, count(*) AS n, round(min(distance), 6) AS closest FROM pairs GROUP BY 1")
 def decoy_pairs(spark, d):
-    return _pairs(spark, d).groupBy("active").agg(F.count("*").alias("n"), F.round(F.min("distance"), 6).alias("closest"))
+    return matching.closest_controls(*_roles(spark, d), TOL, "price").select("active", "n", F.round("closest", 6).alias("closest"))
 
 
 @query(f"WITH {MATCH} SELECT active, candidate FROM pairs WHERE candidate NOT IN (SELECT id FROM p WHERE size > 30)")
 def decoy_exclusion(spark, d):
     sim = _props(spark, d).select(F.col("id").alias("candidate"), (F.col("size") / 100.0).alias("similarity"))
-    return matching.drop_similar(_pairs(spark, d), sim, 0.30).select("active", "candidate")
+    actives, candidates = _roles(spark, d)
+    kept = matching.drop_similar(candidates.withColumnRenamed("id", "candidate"), sim, 0.30).withColumnRenamed("candidate", "id")
+    return matching.tolerance_pairs(actives, kept, TOL, "price").select("active", "candidate")
 
 
 CHOSEN = f"""WITH RECURSIVE {MATCH}, c AS (SELECT active, list({{'candidate': candidate, 'distance': round(distance, 9)}} ORDER BY round(distance, 9), candidate) AS cs FROM pairs GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY active) AS k FROM c),
@@ -177,7 +180,7 @@ SELECT active, x.candidate AS candidate, x.distance AS distance FROM (SELECT act
 
 @query(CHOSEN)
 def decoy_select(spark, d):
-    return matching.greedy_match(_pairs(spark, d).withColumn("distance", F.round("distance", 9)), 3)
+    return matching.match(*_roles(spark, d), TOL, "price", 3, digits=9)
 
 
 @query(f"SELECT property, round(gap, 6) AS gap FROM (SELECT 'price' AS property, avg(price) FILTER (WHERE label = 1) - avg(price) FILTER (WHERE label = 0) AS gap FROM ({PROPS}) UNION ALL SELECT 'size', avg(size) FILTER (WHERE label = 1) - avg(size) FILTER (WHERE label = 0) FROM ({PROPS}))")
@@ -264,7 +267,7 @@ PICKED = CHOSEN.replace("SELECT active, x.candidate AS candidate, x.distance AS
 
 @query(PICKED)
 def match_quality(spark, d):
-    p = _props(spark, d)
-    chosen = matching.greedy_match(_pairs(spark, d).withColumn("distance", F.round("distance", 9)), 3)
-    q = matching.match_quality(chosen, p.where("label = 1"), p.where("label = 0"), TOL, 3)
+    actives, candidates = _roles(spark, d)
+    chosen = matching.match(actives, candidates, TOL, "price", 3, digits=9)
+    q = matching.match_quality(cut(chosen), actives, candidates, TOL, 3)
     return q.select("n_wanted", "n_found", *[F.round(F.col("mean_gaps")[c], 6).alias(c) for c in ("price", "size")], "adequate")
