@@ -152,6 +152,40 @@ def test_nearest_vectors_against_all_pairs(spark, k, block, broadcast, own):
         assert met.value < 0.35 * len(x) * len(y), met.value
 
 
+def test_wide_rows_meet_large_blocks(spark, monkeypatch):
+    """In many dimensions no cell is ruled out: rows go to a few large blocks, not to every cell, and answers stay exact."""
+    from veriflume.operators import knn
+
+    monkeypatch.setattr(knn, "CHUNK", 40)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 40)).round(2)
+    x[200:] = x[:100]  # ties
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VEC)
+    sent, plain = [], knn._in_blocks
+    monkeypatch.setattr(knn, "_in_blocks", lambda *a: sent.append(a[0].count()) or plain(*a))
+    for own in (True, False):
+        got = {r["id"]: [(n["d"], n["ref"]) for n in r["near"]] for r in knn.nearest(rows, rows, 3, exclude_self=own, broadcast_numbers=0, wide=0, large=128).collect()}
+        for i, v in enumerate(x):
+            d = np.sqrt(((v - x) ** 2).sum(1))
+            want = sorted((float(z), j) for j, z in enumerate(d) if not (own and i == j))[:3]
+            assert [j for _, j in got[i]] == [j for _, j in want] and np.allclose([z for z, _ in got[i]], [z for z, _ in want])
+    assert len(sent) == 2 and sent[0] > 100
+
+
+def test_memory_of_a_broadcast_side():
+    """Distances to all rows of the right side never stand at once."""
+    import tracemalloc
+
+    from veriflume.operators import knn
+
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(256, 4)), rng.normal(size=(200_000, 4))
+    tracemalloc.start()
+    knn._top(np.arange(256), x, np.arange(len(y)), y, 1, False)
+    assert tracemalloc.get_traced_memory()[1] < 100e6  # all at once are 410 MB
+    tracemalloc.stop()
+
+
 def test_nearest_vectors_of_nothing(spark):
     from veriflume.operators import knn
 
