@@ -45,6 +45,42 @@ def test_similar_pairs_against_all_pairs(spark, monkeypatch, sparse, block, thre
     assert met.value < 0.1 * 220 * 219 / 2 or not sparse, met.value
 
 
+@pytest.mark.parametrize("width, sparse", [(1, True), (1, False), (2, False)])
+def test_narrow_fingerprints_are_counted_in_strips(spark, monkeypatch, width, sparse):
+    """A unit's pairs are strips of counts."""
+    asked = bitindex.FEW_WORDS
+    assert width <= asked
+    monkeypatch.setattr(bitindex, "BLOCK", 64)
+    monkeypatch.setattr(bitindex, "STRIP", 16)
+    bits, rows = fingerprints(random.Random(11), 200, width=width, sparse=sparse)
+    for threshold in (0.45, 0.7, 1.0):
+        want = {(a, b): likeness(x, y) for a, x in bits for b, y in bits if a < b and x and y and likeness(x, y) >= threshold}
+        got = bitindex.similar(spark.createDataFrame(rows, FP), threshold).collect()
+        assert {(r["a"], r["b"]): pytest.approx(r["similarity"]) for r in got} == want and len(got) == len(want) > 0
+    one = dict(bits)[7]
+    word = [int(w) for w in dict(rows)[7]]
+    said = {r["id"]: r["s"] for r in spark.createDataFrame(rows, FP).select("id", similarity.likeness(F.col("words"), word).alias("s")).collect()}
+    assert all(abs(said[i] - likeness(x, one)) < 1e-12 for i, x in bits)
+
+
+def test_a_pinned_structure_takes_no_pairs(spark, monkeypatch):
+    from veriflume.operators import generation
+
+    calls, plain = [], similarity.similar_pairs
+    monkeypatch.setattr(similarity, "similar_pairs", lambda *a: calls.append(1) or plain(*a))
+    df = spark.createDataFrame([(i, 25, 1.0, w, w.bit_count()) for i, w in enumerate([7, 3, 56, 24, 7 << 20])], "id long, heavy_atoms int, resolution double, word long, bits long")
+    assert sorted(r["id"] for r in generation.select_diverse(df, pinned=3).collect()) == [0, 3, 4] and len(calls) == 1
+
+
+def test_copies_of_a_molecule_are_taken_apart_once(spark):
+    from veriflume.operators import generation
+
+    met = generation.fragments(spark.createDataFrame([("CCc1ccccc1",)] * 50, "smiles string"))
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[max(plan.rfind("ArrowEvalPython"), plan.rfind("BatchEvalPython")):]
+    assert "Aggregate" in below and met.count() == generation.fragments(spark.createDataFrame([("CCc1ccccc1",)], "smiles string")).count() > 0
+
+
 @pytest.mark.parametrize("own", [True, False])
 @pytest.mark.parametrize("sparse, block, few", [(True, 2048, 0), (True, 16, 0), (False, 32, 0), (True, 2048, 1000)])
 def test_nearest_against_all_pairs(spark, monkeypatch, sparse, block, few, own):

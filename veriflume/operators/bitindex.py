@@ -27,6 +27,8 @@ BLOCK, FIRST, STRIP = 2048, 2, 256
 #: references up to this many are compared where the rows are, without an exchange
 BROADCAST_ROWS = 20_000
 EPS = 1e-9
+#: fingerprints of so many words are counted for all pairs of a strip
+FEW_WORDS = 2
 #: stands for all rows in the counts of bits, and for the list that all share
 ALL = -1
 
@@ -217,6 +219,19 @@ def similar(fp: DataFrame, threshold: float, met=None) -> DataFrame:
             y = rows[1][slice(*np.searchsorted(size[rows[1]], [size[x[0]] * threshold - EPS, size[x[-1]] / threshold + EPS]))]  # others have too few bits or too many
             if not len(y):
                 continue
+            if words.shape[1] <= FEW_WORDS:  # bits of all pairs are counted sooner than pairs are told apart
+                both = sum(np.bitwise_count(words[x, k][:, None] & words[y, k][None, :]).astype(np.int16) for k in range(words.shape[1]))
+                r, c = np.nonzero(both >= np.ceil(np.arange(2 * 64 * FEW_WORDS + 1) * share - EPS).astype(np.int16)[size[x][:, None] + size[y][None, :]])
+                u, v, both = x[r], y[c], both[r, c].astype(np.int64)
+                s = both / (size[u] + size[v] - both)
+                ok = (s >= threshold - EPS) & ((own[u] < own[v]) | (i != j))
+                if met is not None:
+                    met.add(len(x) * len(y))
+                if at >= 0:
+                    ok[ok] = first_shared(words[u[ok]], words[v[ok]]) == at
+                s, u, v = s[ok], own[u[ok]], own[v[ok]]
+                out.append(pd.DataFrame({"a": np.where(u < v, u, v), "b": np.where(u < v, v, u), "similarity": s}))
+                continue
             a, b = size[x][:, None], size[y][None, :]
             p, q = left_of[x][:, None], left_of[y][None, :]
             may = (np.minimum(p, q) >= (a + b) * share - EPS) & (((a <= b) & (p >= a * least - EPS)) | ((b <= a) & (q >= b * least - EPS)))
