@@ -28,6 +28,15 @@ def tanimoto(a: Column, b: Column, bits_a: Column, bits_b: Column) -> Column:
     return F.when(whole > 0, shared / whole).when(whole == 0, 0.0)
 
 
+def likeness(word: Column, given: int | list[int]) -> Column:
+    """Similarity of a fingerprint, one word or an array of them, to one that is at hand; 0 for two empty ones."""
+    words, given = (word, given) if isinstance(given, list) else (F.array(word.cast("long")), [given])
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    shared = total(F.zip_with(words, F.array(*[F.lit(x).cast("long") for x in given]), lambda x, y: F.bit_count(x.bitwiseAND(y))))
+    whole = total(F.transform(words, F.bit_count)) + sum((x & (1 << 64) - 1).bit_count() for x in given) - shared
+    return F.when(whole > 0, shared / whole).otherwise(0.0)
+
+
 def every_pair(left: DataFrame, right: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """Each left row with each right row; columns must not clash."""
     if len(right.take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS:
