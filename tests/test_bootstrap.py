@@ -67,3 +67,18 @@ def test_intervals_cover_the_truth(spark):
     got = {r["metric"]: r for r in ranking.evaluate(spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(y, p))], "seq long, y double, p double"), 300).collect()}
     assert all(r["low"] < r["estimate"] < r["high"] and r["defined"] == 300 for r in got.values())
     assert math.isclose(got["rmse"]["estimate"], math.sqrt(((y - p) ** 2).mean())) and got["rmse"]["low"] < 0.5 < got["rmse"]["high"]
+
+
+def test_ranks_of_resamples_take_one_exchange(spark):
+    """Ranks of two values, and the sums over them, need the drawn rows exchanged once; no join by value, which a small file on disk would make a broadcast."""
+    from pyspark.sql import functions as F
+
+    from veriflume.operators import ranking
+
+    rows = [(r, t, y, p) for r in (0, 1) for t, y, p in ((2, 1.0, 5.0), (1, 1.0, 4.0), (3, 0.5, 5.0), (1, 7.0, 6.0))]
+    drawn = spark.createDataFrame(rows, "rep long, times long, y double, p double").repartition("rep")
+    out = ranking.weighted_ranks(ranking.weighted_ranks(drawn, "y", "a"), "p", "b")
+    got = {(r["y"], r["p"]): (r["a"], r["b"]) for r in out.where("rep = 1").collect()}
+    assert got == {(1.0, 5.0): (5.0, 4.0), (1.0, 4.0): (5.0, 1.0), (0.5, 5.0): (2.0, 4.0), (7.0, 6.0): (7.0, 7.0)}
+    plan = out.groupBy("rep").agg(F.sum("a"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan

@@ -120,10 +120,12 @@ def bootstrap(df: DataFrame, metric: Column, resamples: int = 1000, seed: int =
 
 
 def weighted_ranks(drawn: DataFrame, value: str, out: str) -> DataFrame:
-    """drawn (rep, times) with the mean rank that a value's copies share within its resample."""
-    per = drawn.groupBy("rep", value).agg(F.sum("times").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy("rep").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return drawn.join(per.withColumn(out, before + (F.col("__n") + 1) / F.lit(2.0)).drop("__n"), ["rep", value])
+    """drawn (rep, times) with the mean rank that a value's copies share within its resample; rows without a value are left out.
+
+    Rows are exchanged by their resample only, so ranks of several values, and what is summed of them, share one exchange.
+    """
+    upto, peers = Window.partitionBy("rep").orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy("rep", value)
+    return drawn.where(F.col(value).isNotNull()).withColumn(out, F.sum("times").over(upto) - (F.sum("times").over(peers) - 1) / F.lit(2.0))
 
 
 #: of sums over a resample: what each metric is made of
@@ -148,7 +150,7 @@ def evaluate(df: DataFrame, resamples: int = 1000, seed: int = 0, truth: str = "
     wide = lambda s, x: F.sum(t * x * x) - s * s / n
     rho = F.when((wide(sa, a) > 1e-9) & (wide(sb, b) > 1e-9), (F.sum(t * a * b) - sa * sb / n) / F.sqrt(wide(sa, a) * wide(sb, b)))
     once = rows.withColumns({"rep": F.lit(-1).cast("long"), "times": F.lit(1).cast("long")})
-    drawn = cut(resampled(rows, resamples, seed, order).unionByName(once))
+    drawn = resampled(rows, resamples, seed, order).unionByName(once).select("rep", "times", "y", "p").repartition(min(resamples + 1, 200), "rep")  # a fixed number: small as files, they are long to sort
     ranked = weighted_ranks(weighted_ranks(drawn, "y", "__a"), "p", "__b").groupBy("rep").agg(rho.alias("spearman")).toPandas()
     out = []
     for name, values in (*((m, got[["rep", m]]) for m in ("r2", "rmse", "mae")), ("spearman", ranked)):
